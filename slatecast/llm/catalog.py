@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
