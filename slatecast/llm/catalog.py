@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, substring_dedup
+from . import bpe, line_dedup, near_dedup, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+}
