@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, near_dedup, quality, substring_dedup
+from . import bpe, decontaminate, line_dedup, near_dedup, quality, substring_dedup
+from .shared import ship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -16,6 +27,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
+
 SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.OP4_SQL,
 }

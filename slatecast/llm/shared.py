@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, wherever the driver found it; once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_slatecast_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    at = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "slatecast"), "zip", root, "slatecast")
+    context.addPyFile(at)
+    context._slatecast_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
