@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, substring_dedup
+from . import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality, substring_dedup
 from .shared import ship
 
 
@@ -24,6 +24,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_language_id": language_id.op5_language_id,
+    "op6_html_extraction": html_text.op6_html_extraction,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
