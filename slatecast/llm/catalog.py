@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality, substring_dedup
+from . import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality, secrets, substring_dedup, warc
 from .shared import ship
 
 
@@ -25,12 +25,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op6_html_extraction": html_text.op6_html_extraction,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op10_warc": warc.OP10_SQL,
 }

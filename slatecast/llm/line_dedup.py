@@ -87,25 +87,25 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, i - 1 AS at, string_split(coalesce(text, ''), chr(10))[i] AS line
+  SELECT doc_id, i - 1 AS pos, string_split(coalesce(text, ''), chr(10))[i] AS line
   FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)
 ),
 counted AS (
   SELECT *, row_number() OVER w AS n, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-  WINDOW w AS (PARTITION BY doc_id ORDER BY at)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ),
 later AS (
   SELECT doc_id, n FROM counted WHERE line3 IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, n) > 1
 ),
 gone AS (
-  SELECT DISTINCT c.doc_id, c.at FROM counted c JOIN later l ON c.doc_id = l.doc_id AND c.n BETWEEN l.n AND l.n + 2
+  SELECT DISTINCT c.doc_id, c.pos FROM counted c JOIN later l ON c.doc_id = l.doc_id AND c.n BETWEEN l.n AND l.n + 2
 ),
 kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL) AS text, count(g.at) AS n_removed,
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text, count(g.pos) AS n_removed,
          count(*) FILTER (WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]')) AS n_lines
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
 )
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM kept
