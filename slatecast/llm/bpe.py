@@ -156,7 +156,7 @@ class Codec:
         spans = list(zip(at[:-1], at[1:], strict=True))
         out: dict[str, list] = {"n_tokens": np.diff(at).tolist()}
         if "token_ids" in wanted:
-            out["token_ids"] = [ids[a:b].tolist() for a, b in spans]
+            out["token_ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
         if "ids_sha256" in wanted:
             said, ends = self.decimal.join(ids)
             out["ids_sha256"] = [hashlib.sha256(said[ends[a] : max(ends[a], ends[b] - 1)]).hexdigest() for a, b in spans]
@@ -232,17 +232,21 @@ def tokenize(
                 codec = codec or Codec(read_ranks(vocabulary), pattern)
                 ids, texts = columns(batch, id_col, text_col)
                 made = codec.rows([t or "" for t in texts.to_pylist()], outputs)
-                made = [pa.array(c, types[OUTPUTS[o]]) for o, c in zip(outputs, made, strict=True)]
+                made = [c if isinstance(c, pa.Array) else pa.array(c, types[OUTPUTS[o]]) for o, c in zip(outputs, made, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, *made], [id_col, *outputs])
 
     return picked.mapInArrow(run, schema)
 
 
-def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    """Every document encoded with the 50k rank file and decoded again: counts and digests."""
+def with_public_ranks(docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
+    """``tokenize`` with the 50k rank file and pattern of the public tokenizers."""
     import public_tokenizers
 
+    return tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=outputs)
+
+
+def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document encoded with the 50k rank file and decoded again: counts and digests."""
     from .shared import table
 
-    docs = table(spark, sf_dir, "documents")
-    return tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=DIGESTS)
+    return with_public_ranks(table(spark, sf_dir, "documents"), DIGESTS)

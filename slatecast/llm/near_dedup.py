@@ -235,6 +235,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, in their columns, without those that a document with a smaller id stands for.
+
+    Rows with a null id stay. Rows that share an id stay or go together.
+    """
+    found = near_duplicates(docs, id_col, text_col, k, percent).where("not kept")
+    gone = materialise(found.select(F.col("doc_id").alias("gone_id_")).distinct(), "near-duplicates")
+    return docs.join(gone, docs[id_col].cast("bigint") == F.col("gone_id_"), "left_anti")
+
+
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at similarity 0.75 of five-word shingles."""
     from .shared import table
