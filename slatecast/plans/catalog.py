@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import forecasts, panels, relational
+
+QUERIES: dict = panels.QUERIES | forecasts.QUERIES | relational.QUERIES
+SQL: dict = panels.SQL | forecasts.SQL | relational.SQL
