@@ -60,7 +60,7 @@ def parse_number(c: Column | str) -> Column:
     plain = F.regexp_replace(s, r"[$,%()+\s]|[kmb]$", "")
     scale = F.when(s.endswith("k"), 1e3).when(s.endswith("m"), 1e6).when(s.endswith("b"), 1e9).otherwise(1.0)
     sign = F.when(s.startswith("("), -1.0).otherwise(1.0)
-    return F.expr("try_cast(null as double)") if c is None else plain.try_cast("double") * scale * sign
+    return plain.try_cast("double") * scale * sign
 
 
 def parse_date(c: Column | str) -> Column:

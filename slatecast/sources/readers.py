@@ -82,7 +82,7 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def html_records(cells: DataFrame, key: str, columns: dict[str, int], least: int) -> DataFrame:
     """One row for each table row of at least ``least`` cells below the first, with the named cells."""
-    rows = cells.where("row_no > 0").groupBy(key, "table_no", "row_no").agg(F.count("*").alias("n_"), *(F.max(F.when(F.col("cell_no") == k, F.col("text"))).alias(c) for c, k in columns.items()), F.min_by("link", "cell_no").alias("link"))
+    rows = cells.where("row_no > 0").groupBy(key, "table_no", "row_no").agg(F.count("*").alias("n_"), *(F.max(F.when(F.col("cell_no") == k, F.col("text"))).alias(c) for c, k in columns.items()), F.min_by("link", F.when(F.col("link").isNotNull(), F.col("cell_no"))).alias("link"))
     return rows.where(F.col("n_") >= least).drop("n_")
 
 
