@@ -9,9 +9,9 @@ consecutive coordinates then give candidates, and every link is confirmed on ful
 1. Equal sets are one class, of which only the representative (smallest id) goes on.
 2. Representatives that agree in a band share a bucket. No pairs are made within a bucket: each
    member is first verified against one bucket leader, and verified links give components.
-3. Buckets that still hold several components are searched in blocks: members of other components than the
-   leader's are compared, as sketches, with every member, and the closest few of each other component are
-   verified. This is repeated, with more at a time, until no untested pair within reach is left.
+3. Buckets that still hold several components are searched in blocks: members outside the largest component
+   are compared, as sketches, with every member, and pairs within reach are verified in the block, closest
+   first, until their components are one. Only links leave the block, and one pass covers every pair.
 
 With the default 48 bands of 5, a pair at similarity 0.75 shares no bucket with a chance of 2e-6, and
 the sketch estimate of 240 coordinates falls below ``_REACH`` for such a pair with a chance of 1e-5.
@@ -39,7 +39,9 @@ BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
 _REACH = 0.62
 _BLOCK = 256  # members verified against a leader in one group
-_SEARCH = 2048  # members of a bucket compared in one block
+_SEARCH = 2048  # members of a bucket held in one block
+_STREAM = 8192  # queries that one task sends past a block
+_HELD = 64 << 20  # bytes of full sets kept for a block
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -138,93 +140,127 @@ def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _cross(members: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """Close pairs of different components within buckets (bucket, id, component, home, n).
+def _cross(members: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between different components within buckets (bucket, band, id, component).
 
-    Members outside a bucket's home component are queries. A bucket's members are dealt into blocks and its
-    queries sent to every block; a block is held as a matrix while queries stream past. For each query
-    and other component the ``most`` closest members come out, and ``cut`` tells where there were more.
+    The largest component of a bucket is its home; members of others are queries. Members are dealt into
+    blocks and queries into chunks, and each block meets each chunk: the block is held, the chunk streams
+    past. A pair is looked at only in the first band that it shares, where sizes and sketches allow a link, and
+    while no link of this block has joined its components. It is verified there on full sets, so only links
+    leave the task.
     """
-    n_blocks = F.ceil(F.col("n") / _SEARCH).cast("int")
-    held = members.select("bucket", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), F.lit(0).alias("query"), "id", "component")
-    asked = members.where("component <> home").select("bucket", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.lit(1).alias("query"), "id", "component")
-    rows = held.union(asked).join(sketches.withColumnRenamed("id", "own"), F.col("id") == F.col("own"))
-    rows = rows.select("bucket", "block", "query", "id", "component", "sketch")
-    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "query")
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    homes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("home"), F.sum("size").alias("n")).where("n > home.size")
+    blocks, chunks = F.ceil(F.col("n") / _SEARCH).cast("int"), F.ceil((F.col("n") - F.col("home.size")) / _STREAM).cast("int")
+    homes = materialise(homes.select(F.col("bucket").alias("at"), F.col("home.component").alias("home"), blocks.alias("blocks"), chunks.alias("chunks")), "homes")
+    rows = members.join(homes, F.col("bucket") == F.col("at"))
+    dealt, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    common = ["bucket", "band", "id", "component", (F.col("component") == F.col("home")).alias("inside")]
+    held = rows.select(*common, dealt("blocks").alias("block"), F.explode(every("chunks")).alias("chunk"), F.lit(0).alias("query"))
+    asked = rows.where("component <> home").select(*common, F.explode(every("blocks")).alias("block"), dealt("chunks").alias("chunk"), F.lit(1).alias("query"))
+    rows = held.union(asked).join(sketches.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).drop("own")
+    rows = rows.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", "query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts, rows, table, group = None, [], [], [], None, None
+        now, block = None, _Block(k, percent)
         for batch in batches:
-            bucket, block, query, own, component, sketches = (x.to_pylist() for x in columns(batch, "bucket", "block", "query", "id", "component", "sketch"))
-            out: dict[tuple[int, int], bool] = {}
-            for i in range(batch.num_rows):
-                if (bucket[i], block[i]) != now:
-                    now, ids, parts, rows, table = (bucket[i], block[i]), [], [], [], None
-                row = np.frombuffer(sketches[i], np.uint8)
-                if not query[i]:
-                    ids.append(own[i])
-                    parts.append(component[i])
-                    rows.append(row)
-                    continue
-                if not ids:
-                    continue
-                if table is None:
-                    table, group = np.stack(rows), np.array(parts)
-                near = (table == row).mean(axis=1)
-                found = np.flatnonzero((near >= _REACH) & (group != component[i]))
-                seen: dict[int, int] = {}
-                for j in found[np.argsort(-near[found], kind="stable")].tolist():
-                    seen[parts[j]] = seen.get(parts[j], 0) + 1
-                    pair = (min(own[i], ids[j]), max(own[i], ids[j]))
-                    if seen[parts[j]] <= most:
-                        out.setdefault(pair, False)
-                    elif seen[parts[j]] == most + 1:
-                        out[pair] = True
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64()), "cut": pa.array(list(out.values()), pa.bool_())})
-
-    return rows.mapInArrow(run, "a bigint, b bigint, cut boolean")
+            out: list[tuple[int, int]] = []
+            for bucket, part, chunk, query, *row in zip(*(x.to_pylist() for x in columns(batch, "bucket", "block", "chunk", "query", "band", "id", "component", "inside", "n_shingles", "sketch", "body")), strict=True):
+                if (bucket, part, chunk) != now:
+                    now, block = (bucket, part, chunk), _Block(k, percent)
+                if query:
+                    out.extend(block.links(*row))
+                else:
+                    block.hold(*row)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+class _Block:
+    """Some members of a bucket, against which queries are verified."""
+
+    def __init__(self, k: int, percent: int) -> None:
+        self.k, self.percent = k, percent
+        self.rows: list[tuple] = []
+        self.sets: dict[int, np.ndarray] = {}
+        self.kept = 0
+        self.parent: dict[int, int] = {}
+        self.table: np.ndarray | None = None
+
+    def hold(self, band: int, own: int, component: int, inside: bool, n: int, sketched: bytes, body: bytes) -> None:
+        self.rows.append((own, component, inside, n, sketched, body))
+
+    def root(self, component: int) -> int:
+        while (up := self.parent.get(component, component)) != component:
+            component = up
+        return component
+
+    def full(self, body: bytes) -> np.ndarray:
+        return shingle_sets([zstandard.ZstdDecompressor().decompress(body)], self.k)[0]
+
+    def member(self, i: int) -> np.ndarray:
+        """The set of member ``i``; those at hand take ``_HELD`` bytes at most."""
+        if i not in self.sets:
+            found = self.full(self.rows[i][5])
+            if self.kept + found.nbytes > _HELD:
+                self.sets, self.kept = {}, 0
+            self.sets[i] = found
+            self.kept += found.nbytes
+        return self.sets[i]
+
+    def links(self, band: int, own: int, component: int, inside: bool, n: int, sketched: bytes, body: bytes) -> Iterator[tuple[int, int]]:
+        if not self.rows:
+            return
+        if self.table is None:
+            ids, parts, home, sizes, rows, _ = zip(*self.rows, strict=True)
+            self.ids, self.parts, self.home, self.sizes = np.array(ids), np.array(parts), np.array(home), np.array(sizes)
+            self.table = np.stack([np.frombuffer(x, np.uint8) for x in rows])
+        row = np.frombuffer(sketched, np.uint8)
+        least, most = np.minimum(self.sizes, n), np.maximum(self.sizes, n)
+        fit = np.flatnonzero((100 * least >= self.percent * most) & (self.parts != component) & (self.home | (self.ids > own)))
+        same = self.table[fit] == row
+        near = same.mean(axis=1)
+        fit, same, near = fit[near >= _REACH], same[near >= _REACH], near[near >= _REACH]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        fit, near = fit[first], near[first]
+        mine = None
+        for i in fit[np.argsort(-near, kind="stable")].tolist():
+            a, b = self.root(component), self.root(int(self.parts[i]))
+            if a == b:
+                continue
+            mine = self.full(body) if mine is None else mine
+            other = self.member(i)
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            if 100 * both >= self.percent * (len(mine) + len(other) - both):
+                self.parent[max(a, b)] = min(a, b)
+                yield min(own, int(self.ids[i])), max(own, int(self.ids[i]))
 
 
 def _links(table: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Components of class representatives that have a link."""
-    lone = classes.select(F.col("first").alias("rep"))
-    chosen = table.join(lone, F.col("id") == F.col("rep"), "left_semi")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i))
-    placed = chosen.select("id", F.explode(bands).alias("bucket"))
-    lead = placed.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    lead = materialise(lead, "leaders")
-    members = materialise(placed.join(lead, "bucket").select("bucket", "id", "leader", "n"), "members")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i).alias("bucket")))
+    placed = classes.select(F.col("first").alias("id"), F.inline(bands))
+    lead = placed.groupBy("bucket", "band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    lead = materialise(lead.select(F.col("bucket").alias("at"), "leader"), "leaders")
+    members = materialise(placed.join(lead, F.col("bucket") == F.col("at")).select("bucket", "band", "id", "leader"), "members")
+    inside = members.select(F.col("id").alias("own")).distinct()
+    table = materialise(table.join(inside, F.col("id") == F.col("own"), "left_semi").dropDuplicates(["id", "set_a", "set_b"]), "placed")
     stars = members.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("bands"))
     best = stars.groupBy("id").agg(F.max(F.struct("bands", -F.col("leader"))).alias("best"))
     pairs = best.select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
-    bodies, sketches = table.select("id", "body"), table.select("id", "sketch")
-    tested = materialise(pairs, "tested")
-    links = materialise(_verified(tested, bodies, k, percent), "links")
-    most = 4
-    while True:
-        found = components(links)
-        known = found.withColumnsRenamed({"id": "node"})
-        now = members.join(known, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        now = materialise(now, "grouped")
-        open_ = now.groupBy("bucket").agg(F.min("component").alias("home"), F.max("component").alias("other")).where("home <> other")
-        open_ = materialise(open_.select("bucket", "home"), "open")
-        near = materialise(_cross(now.join(open_, "bucket"), sketches, most).groupBy("a", "b").agg(F.min("cut").alias("cut")), "near")
-        fresh = materialise(near.where("not cut").join(tested, ["a", "b"], "left_anti").select("a", "b"), "fresh")
-        if fresh.isEmpty():
-            if near.where("cut").isEmpty():
-                return found
-            most *= 8
-            continue
-        more = materialise(_verified(fresh, bodies, k, percent), "links")
-        tested, links = materialise(tested.union(fresh), "tested"), materialise(links.union(more), "links")
-        most *= 8
+    links = materialise(_verified(pairs, table.select("id", "body"), k, percent), "links")
+    known = components(links).withColumnRenamed("id", "node")
+    members = members.join(known, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
+    more = _cross(materialise(members, "grouped"), table, k, percent)
+    return components(links.union(materialise(more, "links")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that the row's document reaches by links) and kept."""
     table = materialise(_sketched(docs, id_col, text_col, k), "sketches")
     classes = table.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
-    classes = materialise(classes.agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
+    classes = materialise(classes.agg(F.min("id").alias("first"), F.min_by("sketch", "id").alias("sketch"), F.count("*").alias("copies")), "classes")
     found = _links(table, classes, k, percent)
     several = classes.where("copies > 1").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.col("n_shingles").alias("n"), "first")
     rows = table.select("id", "n_shingles", "set_a", "set_b")
