@@ -67,6 +67,50 @@ def ols(df: DataFrame, terms: Sequence[str], target: str, ridge: float = 0.0) ->
     return Fit(["intercept", *terms], beta, np.sqrt(np.maximum(sigma2 * np.diag(inverse), 0)), 1 - rss / tss if tss > 0 else 0.0, n)
 
 
+def two_stage(df: DataFrame, endogenous: Sequence[str], instruments: Sequence[str], controls: Sequence[str], target: str) -> Fit:
+    """Two-stage least squares of ``target`` on ``endogenous`` and ``controls``, from one pass of moments.
+
+    The first stage regresses all regressors on instruments and controls; both stages are products of one
+    matrix of sums, so the data is read once. Errors use the residuals of the second stage at the observed
+    regressors. There must be as many instruments as endogenous terms, at least.
+    """
+    if len(instruments) < len(endogenous):
+        raise ValueError("fewer instruments than endogenous terms")
+    names = [*endogenous, *controls, *instruments]
+    all_, sums, yy, n = moments(df, names, target)
+    k, last = 1 + len(endogenous), 1 + len(endogenous) + len(controls)
+    x = list(range(last))
+    z = [0, *range(k, len(names) + 1)]
+    zx, zy = all_[np.ix_(z, x)], sums[z]
+    first, _ = solve(all_[np.ix_(z, z)], zx)
+    beta, inverse = solve(first.T @ zx, first.T @ zy)
+    rss = max(0.0, yy - 2 * beta @ sums[x] + beta @ all_[np.ix_(x, x)] @ beta)
+    tss = yy - sums[0] ** 2 / n if n else 0.0
+    sigma2 = rss / (n - len(beta)) if n > len(beta) else 0.0
+    return Fit(["intercept", *endogenous, *controls], beta, np.sqrt(np.maximum(sigma2 * np.diag(inverse), 0)), 1 - rss / tss if tss > 0 else 0.0, n)
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, x: str, y: str, repetitions: int = 80, seed: int = 1729) -> DataFrame:
+    """(repetition, n, slope) of ``y`` on ``x`` with whole clusters redrawn.
+
+    Each cluster is first reduced to its sums. A repetition weighs it by a Poisson(1) draw hashed from seed,
+    repetition and cluster, so draws need no exchange and a lost task makes the same ones again. Rows with
+    a null are passed over; a repetition in which ``x`` doesn't vary has a null slope.
+    """
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = df.dropna(subset=[cluster, x, y]).groupBy(F.col(cluster).alias("cluster_"))
+    sums = sums.agg(F.count("*").alias("n_"), F.sum(a).alias("x_"), F.sum(b).alias("y_"), F.sum(a * a).alias("xx_"), F.sum(a * b).alias("xy_"))
+    draws = sums.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
+    uniform = F.pmod(F.xxhash64(F.lit(seed), "repetition", "cluster_"), F.lit(1 << 53)) / float(1 << 53)
+    upto = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+    weight = sum(((F.col("u_") >= float(c)).cast("int") for c in upto), F.lit(0))
+    draws = draws.withColumn("u_", uniform).withColumn("w_", weight).where("w_ > 0")
+    got = draws.groupBy("repetition").agg(*(F.sum(F.col("w_") * F.col(c)).alias(c) for c in ("n_", "x_", "y_", "xx_", "xy_")))
+    spread = F.col("n_") * F.col("xx_") - F.col("x_") * F.col("x_")
+    slope = F.when(spread > 1e-12 * F.col("n_") * F.col("xx_"), (F.col("n_") * F.col("xy_") - F.col("x_") * F.col("y_")) / spread)
+    return got.select("repetition", F.col("n_").alias("n"), slope.alias("slope"))
+
+
 def demeaned(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Columns less their means by group, through a join of grouped means; for one-way fixed effects."""
     means = df.groupBy(*by).agg(*(F.avg(c).alias(f"{c}_mean_") for c in columns))

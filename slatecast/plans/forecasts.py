@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cents, day, money_sum, safe_divide
-from ..models.linear import intervals, ols
+from ..models.linear import cluster_bootstrap, intervals, ols, two_stage
 from ..operators.aggregates import accuracy, checks, correlation, descriptives
 from ..operators.joins import as_of_best, interval_join
 from ..operators.windows import threshold_bucket, value_quartiles
@@ -129,6 +129,26 @@ def ols_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ols(rows, ["predicted"], "actual").table(spark).select("term", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
 
 
+@query("""
+WITH q AS (SELECT l_orderkey, CAST(SUM(l_quantity) AS DOUBLE) AS x, CAST(COUNT(*) AS DOUBLE) AS z FROM lineitem GROUP BY 1),
+r AS (SELECT x, z, o_totalprice / 1e5 AS y FROM orders JOIN q ON l_orderkey = o_orderkey),
+b AS (SELECT covar_samp(z, y) / covar_samp(z, x) AS b, avg(x) AS mx, avg(y) AS my FROM r)
+SELECT 'x' AS term, round(b, 5) AS beta FROM b UNION ALL SELECT 'intercept', round(my - b * mx, 5) FROM b""")
+def two_stage_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-stage least squares of an order's price on its quantity, with its count of lines as instrument."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    lines = lines.agg(F.sum("l_quantity").cast("double").alias("x"), F.count("*").cast("double").alias("z"))
+    rows = table(spark, sf_dir, "orders").join(lines, "o_orderkey").select("x", "z", (F.col("o_totalprice") / 1e5).alias("y"))
+    return two_stage(rows, ["x"], ["z"], [], "y").table(spark).select("term", F.round("beta", 5).alias("beta"))
+
+
+@query()
+def bootstrap_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of the slope of outcome on forecast when customers are redrawn."""
+    slopes = cluster_bootstrap(pairs(spark, sf_dir), "o_custkey", "predicted", "actual")
+    return slopes.agg(F.count("slope").alias("repetitions"), F.avg("slope").alias("mean"), F.stddev_samp("slope").alias("se"), F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
+
+
 @query()
 def ridge_with_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge of log outcome on standardised log forecast and weekday, with the held-out years' errors."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from slatecast.functions.scalars import business_minute, canonical_url, day_block, decayed_loss, parse_date, parse_number, season, title_key, title_variants
-from slatecast.models.linear import decay_fit, intervals, ols
+from slatecast.models.linear import cluster_bootstrap, decay_fit, intervals, ols, two_stage
 from slatecast.operators.aggregates import concentration_without_self, correlation
 from slatecast.operators.joins import as_of_join, interval_join
 from slatecast.operators.sampling import stratified, with_certainty
@@ -120,3 +120,30 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(tuple, spark.table("tumbled").collect())) == sorted(map(tuple, want.collect()))
     run_once(snapshots(stream(spark, sf, "events.parquet"), "ts", ["user_id"], "90 days"), str(tmp_path / "c2"), lambda df, n: out.update({n: df.count()}))
     assert sum(out.values()) == events.select("user_id").distinct().count()
+
+
+def test_two_stage(spark):
+    rng = np.random.default_rng(3)
+    z, w, u = rng.normal(size=(3, 400))
+    x = z + 0.5 * w + u
+    y = 2 * x - w + 3 * u + 1
+    df = spark.createDataFrame([*zip(*(v.tolist() for v in (x, z, w, y)), strict=True), (None, 1.0, 1.0, 1.0)], "x double, z double, w double, y double")
+    fit = two_stage(df, ["x"], ["z"], ["w"], "y")
+    both, have = np.column_stack([np.ones(400), x, w]), np.column_stack([np.ones(400), z, w])
+    assert fit.terms == ["intercept", "x", "w"] and fit.n == 400
+    assert np.allclose(fit.beta, np.linalg.solve(have.T @ both, have.T @ y))
+    with pytest.raises(ValueError):
+        two_stage(df, ["x"], [], ["w"], "y")
+
+
+def test_cluster_bootstrap(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, float(v), float(2.0 * v + rng.normal())) for c in range(60) for v in rng.normal(size=5)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0), (1, None, 1.0)], "c int, x double, y double")
+    got = cluster_bootstrap(df, "c", "x", "y").collect()
+    assert sorted(r.repetition for r in got) == list(range(1, 81))
+    slopes = np.array([r.slope for r in got])
+    assert abs(slopes.mean() - 2) < 0.2 and 0.01 < slopes.std() < 0.3
+    assert 240 < np.mean([r.n for r in got]) < 360
+    assert cluster_bootstrap(df.where("c < 0"), "c", "x", "y").count() == 0
+    assert {r.slope for r in cluster_bootstrap(df.withColumn("x", F.lit(1.0)), "c", "x", "y").collect()} == {None}
