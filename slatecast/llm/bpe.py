@@ -33,7 +33,7 @@ OUTPUTS = {
     "decoded": "binary",
 }
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
-_KEEP = 300_000  # pieces that a task remembers; a full memory is dropped and built anew
+_KEEP = 150_000  # pieces that a task remembers; a full memory is dropped and built anew
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,7 +103,6 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, list[int]] = {}
         self.new: list[str] = []
         self.count = 0
         self.spaced, self.plain = _Numbered(self, " "), _Numbered(self, "")
@@ -121,10 +120,10 @@ class Codec:
     def _learn(self) -> None:
         """Encode the pieces that are new, each pre-token separately."""
         split = [self.find(p) for p in self.new]
-        tokens = list(set(chain.from_iterable(split)).difference(self.known))
+        tokens = list(set(chain.from_iterable(split)))
         spelt = [t.encode().decode("latin-1").translate(self.letters) for t in tokens]
-        self.known.update(zip(tokens, self.model.encode(spelt, num_threads=1), strict=True))
-        made = [list(chain.from_iterable(map(self.known.__getitem__, s))) for s in split]
+        known = dict(zip(tokens, self.model.encode(spelt, num_threads=1), strict=True))
+        made = [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
         start = self.count - len(self.new)
         flat = np.fromiter(chain.from_iterable(made), np.int32)
         ends = int(self.bounds[start]) + np.cumsum([len(m) for m in made])

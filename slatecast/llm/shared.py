@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but a space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, wherever the driver found it; once for each application."""
+    """Let executors import this package, wherever the driver found it, once for each application; bound Arrow batches by bytes.
+
+    Spark's own bound is far above what ``pieces`` takes at a time, and a batch is held by both the executor and
+    its Python worker.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, "8m")
     context = spark.sparkContext
     if getattr(context, "_slatecast_shipped", False):
         return
