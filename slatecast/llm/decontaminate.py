@@ -7,10 +7,11 @@ even pieces of at most ``_PIECE`` words, and pieces go into blocks of at most ``
    that hold each gram, and where two or more grams of a piece lie close together, it keeps that region of
    the document, as word hashes.
 2. The seeds of a piece are the grams that are the rarest, by those counts, among some ``_SPREAD``
-   consecutive ones; so a run of ``_SPREAD + 2`` unchanged words always holds a seed, however frequent a leaked
-   passage has become, and frequent phrases are passed over where anything rarer is near.
+   consecutive ones; grams that no document holds are passed over, so edits can't draw the seeds to themselves.
 3. Regions with two seeds (one, if the piece has no more) are aligned with the piece by Smith-Waterman over
-   words: 2 for a match, -1 for a mismatch or a gap. The score is the share of the piece's perfect score.
+   words: 2 for a match, -1 for a mismatch or a gap. The other regions with two grams of the piece get a second
+   chance: they are aligned too, unless the words they share with the piece can't add up to the least score.
+   The score is the share of the piece's perfect score. Edits that leave fewer than two grams hide a copy.
 
 Cases: null or empty texts match nothing, and neither do items of fewer than three words. Rows with a null id are
 reported with a null id; ``version`` (a hash of the text) tells rows apart that share an id. Repeated rows give
@@ -139,29 +140,44 @@ def _scan(docs: DataFrame, grams) -> DataFrame:
 
 
 def _seeds(g: _Grams, counts: dict[int, int]) -> list[np.ndarray]:
-    """For each piece the places of its rare grams."""
+    """For each piece the places of its rare grams, among those that some document holds."""
+    never = np.iinfo(np.int64).max
     first = np.searchsorted(g.h, g.h)
-    often = np.array([counts.get(x, 0) for x in first.tolist()])
+    often = np.array([counts.get(x) or never for x in first.tolist()], dtype=np.int64)
     out = []
     for order in np.split(np.lexsort((g.place, g.piece)), np.cumsum(np.bincount(g.piece, minlength=len(g.size)))[:-1]):
         n = often[order]
         runs = np.lib.stride_tricks.sliding_window_view(n, min(_SPREAD, len(n)))
-        out.append(np.unique(np.arange(len(runs)) + runs.argmin(axis=1)))
+        rare = np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
+        out.append(rare[n[rare] < never])
     return out
 
 
+def shared_words(words_of_item: tuple[np.ndarray, np.ndarray], region: np.ndarray) -> int:
+    """How many of an item's words (sorted, with their counts) the region holds, repeats by the smaller count."""
+    item, n = words_of_item
+    at = np.searchsorted(item, region)
+    at[at == len(item)] = 0
+    return int(np.minimum(np.bincount(at[item[at] == region], minlength=len(item)), n).sum())
+
+
 def _aligned(found: DataFrame, block, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_ids, texts, seeds = block.value
+        vocabulary: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out = []
             for i, version, p, start, places, region in zip(*(x.to_pylist() for x in columns(batch, "id", "version", "piece", "start", "places", "region")), strict=True):
                 n = len(np.intersect1d(places, seeds[p]))
-                if n < min(2, len(seeds[p])):
-                    continue
                 item, near = np.frombuffer(texts[p], np.uint64), unpack(region, np.uint64)
+                enough = max(least * 2 * len(item), 2 * min(len(item), 8))
+                if n < min(2, len(seeds[p])):
+                    if p not in vocabulary:
+                        vocabulary[p] = np.unique(item, return_counts=True)
+                    if 2 * shared_words(vocabulary[p], near) < enough:
+                        continue
                 score, end = align(item, near)
-                if score >= max(least * 2 * len(item), 2 * min(len(item), 8)):
+                if score >= enough:
                     back, size = align(item[::-1], near[:end][::-1])
                     out.append((i, version, item_ids[p], score / (2 * len(item)), n, start + end - size, start + end))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())

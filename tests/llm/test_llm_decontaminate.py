@@ -57,3 +57,23 @@ def test_awkward_rows(llm, awkward, no_documents):
     assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 4
     assert contaminated(no_documents, bench).count() == 0
     assert drop_contaminated(awkward, llm.createDataFrame([], "item_id bigint, text string")).count() == len(AWKWARD)
+
+
+def test_edits_every_fourth_and_fifth_word_and_in_short_items(llm):
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"w{rng.integers(0, 3000)}" for _ in range(n)]
+    items = [(i, prose(14 if i < 10 else 40)) for i in range(20)]
+    docs, want = [], set()
+    for i, words in items:
+        for every in (4, 5):
+            edited = [f"edit{i}x{k}" if k % every == every - 1 else w for k, w in enumerate(words)]
+            if i < 10:
+                edited = [f"edit{i}x{k}" if k in (5, 10) else w for k, w in enumerate(words)]
+            docs.append((len(docs), prose(80) + edited + prose(80)))
+            want.add((docs[-1][0], i))
+    docs += [(1000 + k, [w for j in range(0, 12, 3) for w in items[k][1][j : j + 2]] + prose(150)) for k in range(20)]  # pairs of words only
+    docs += [(2000 + i, words) for i, words in items[::2]]  # verbatim elsewhere, so that broken grams have counts
+    want |= {(2000 + i, i) for i, _ in items[::2]}
+    made = [(i, " ".join(words)) for i, words in docs], [(i, " ".join(words)) for i, words in items]
+    found = contaminated(llm.createDataFrame(made[0], "doc_id bigint, text string"), llm.createDataFrame(made[1], "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
