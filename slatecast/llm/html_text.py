@@ -5,7 +5,9 @@ option and table parts; rows around lone cells) and emits the tree as events. A
 out: paragraphs, headings, lists, quotes and tables are set apart by an empty line, other blocks by a new
 line; list items are marked and indented; ``pre`` keeps its spaces; a table's cells are aligned in columns, with
 spans. Hidden are head, script, style, templates, embedded fallbacks, comments, the ``hidden`` attribute,
-``display: none`` and ``visibility: hidden`` in a style attribute or in simple rules of a style sheet.
+``display: none`` and ``visibility: hidden`` in a style attribute or in simple rules of a style sheet. Rules and
+sheets for a medium count if they hold for every screen; under any other condition their text stays. Of svg its
+texts show, of math all but annotations.
 
 Cases: null or empty pages give an empty text. A tag that never ends is dropped with what follows it, as
 browsers do. Nesting may have any depth. A column is padded to at most ``_COLUMN`` characters; longer cells run on.
@@ -30,15 +32,24 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|[{};]|[^{};"'/]+|/""", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NONE, _HIDE, _SHOW = (re.compile(p, re.I) for p in (r"display\s*:\s*none", r"visibility\s*:\s*(?:hidden|collapse)", r"visibility\s*:\s*visible"))
 _HINT = re.compile(r"hidden|style|class|id|span|value|type|start", re.I)
+_AT = re.compile(r"@([\w-]+)(.*)", re.S)
+_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template iframe noembed noframes noscript object video audio canvas svg math datalist".split())
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl pre table blockquote figure fieldset".split())
+UNSEEN = frozenset("head script style title template iframe noembed noframes noscript object video audio canvas datalist".split())
+#: Parts of svg and math that aren't drawn, the parts that hold HTML again, and the tags that end both.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+INNER = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+OUTER = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+STACKED = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl pre xmp table blockquote figure fieldset".split())
 BLOCK = APART | frozenset("html body div section article aside header footer main nav address li dt dd form figcaption details summary hr legend caption option center hgroup search dialog".split())
 ENDS_P = BLOCK - frozenset("html body option caption legend".split())
 #: A start tag ends the open elements named, unless one of the fences is nearer.
@@ -57,6 +68,11 @@ CELLS = frozenset(("td", "th"))
 FENCES = frozenset("td th caption table button".split())
 
 
+def _for_screens(media: str) -> bool:
+    """Whether a list of media queries holds for every screen."""
+    return not media.strip() or any(_SCREEN.fullmatch(q.strip()) for q in media.split(","))
+
+
 class _Table:
     """Rows of cells, each the lines of its text and its spans."""
 
@@ -170,15 +186,42 @@ class _Page:
         self.hidden_by: set[str] = set()
         self.open: Counter[str] = Counter()  # tags on the stack
 
-    def text(self, s: str) -> None:
+    def text(self, s: str, raw: bool = False) -> None:
         shown, kept = (self.stack[-1][1] is True, self.stack[-1][2]) if self.stack else (True, False)
+        if self.open["svg"] and not (self.open["text"] or self.open["foreignobject"]):
+            return
         if shown and s:
-            self.flows[-1].text(unescape(s) if "&" in s else s, kept)
+            self.flows[-1].text(unescape(s) if "&" in s and not raw else s, kept)
 
     def rules(self, sheet: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _NONE.search(body) or _HIDE.search(body):
-                self.hidden_by.update(s.strip().lower() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
+        """Note what the sheet's rules hide; rules within rules and blocks that some screens don't take are passed over."""
+        over: list[tuple[str, str]] = []  # the open blocks: kind and what stands before them
+        bodies, said = [""], ""  # the declarations of each open block, and what came since the last of them
+        for token in (*_CSS.findall(sheet), *"}" * sheet.count("{")):  # blocks that never end end with the sheet
+            if token == "{":
+                head, kind = said.strip(), "shut"
+                if not over or over[-1][0] == "open":
+                    at = _AT.match(head)
+                    kind = "rule" if not at else "open" if at[1].lower() == "layer" or at[1].lower() == "media" and _for_screens(at[2]) else "shut"
+                over.append((kind, head))
+                bodies.append("")
+                said = ""
+            elif token == "}":
+                if over:
+                    kind, head = over.pop()
+                    body = bodies.pop() + said
+                    if kind == "rule":
+                        self._rule(head, body)
+                said = ""
+            elif token == ";":
+                bodies[-1] += said + ";"
+                said = ""
+            elif not token.startswith("/*"):
+                said += token
+
+    def _rule(self, selectors: str, body: str) -> None:
+        if _NONE.search(body) or _HIDE.search(body):
+            self.hidden_by.update(s.strip().lower() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
 
     def _near(self, tags: tuple[str, ...], fences) -> int | None:
         if not any(self.open[t] for t in tags):
@@ -194,7 +237,10 @@ class _Page:
         while len(self.stack) > k:
             self._close()
 
-    def start(self, tag: str, source: str) -> None:
+    def start(self, tag: str, source: str) -> bool:
+        """Open an element; whether it is open then."""
+        if tag in OUTER and (k := self._near(("svg", "math"), INNER)) is not None:
+            self._close_to(k)
         if tag in ENDS_P and (k := self._near(("p",), FENCES)) is not None:
             self._close_to(k)
         if tag in IMPLIED:
@@ -203,10 +249,13 @@ class _Page:
                 self._close_to(k)
             if tag in CELLS and self._near(("table",), CELLS) is not None and self._near(("tr",), ("table",)) is None:
                 self._open("tr", {})
+        alone = source.endswith("/") and (tag in ("svg", "math") or self._near(("svg", "math"), INNER) is not None)
         found = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(source)} if source and _HINT.search(source) else {}
         self._open(tag, found)
-        if tag in VOID:
+        if tag in VOID or alone:
             self._close()
+            return False
+        return True
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -227,6 +276,8 @@ class _Page:
         over = self.stack[-1][1] if self.stack else True
         if over is None or tag in UNSEEN or ("hidden" in found and found["hidden"].lower() != "until-found"):
             return None
+        if tag in UNDRAWN and self._near(("svg", "math"), INNER) is not None:
+            return None
         style = found.get("style", "")
         names = {tag, *(f".{c}" for c in found.get("class", "").lower().split()), f"#{found.get('id', '').lower()}"}
         if _NONE.search(style) or names & self.hidden_by:
@@ -241,8 +292,12 @@ class _Page:
         if shows is None:
             return
         flow = self.flows[-1]
+        if self.open["math"] and len(self.stack) > 1 and self.stack[-2][0] in STACKED:
+            flow.text(" ", False)
         if tag == "br":
             flow.end_line(True)
+        elif tag == "text" and self.open["svg"]:
+            flow.block(False)
         elif tag == "input":
             if found.get("type", "").lower() in ("submit", "button", "reset"):
                 self.text(found.get("value", ""))
@@ -273,7 +328,9 @@ class _Page:
         if shows is None or tag in VOID and tag != "hr":
             return
         flow = self.flows[-1]
-        if tag == "table" and self.tables:
+        if tag == "text" and self.open["svg"]:
+            flow.block(False)
+        elif tag == "table" and self.tables:
             self.flows[-1].lay(self.tables.pop().lines())
         elif self.tables and tag in ("td", "th", "caption"):
             if tag == "caption":
@@ -303,15 +360,16 @@ def render(html: str | None) -> str:
             page.end(m[1].lower())
         elif m[2]:
             tag = m[2].lower()
-            page.start(tag, m[3])
-            if tag in RAW:
+            if page.start(tag, m[3]) and tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(html, pos)
                 body = html[pos : end.start() if end else len(html)]
                 pos = end.end() if end else len(html)
                 if tag == "style":
-                    page.rules(body)
-                elif tag == "textarea":
-                    page.text(body)
+                    medium = next((b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3]) if a.lower() == "media"), "")
+                    if _for_screens(medium):
+                        page.rules(body)
+                elif tag in ("textarea", "xmp"):
+                    page.text(body, raw=tag == "xmp")
                 page.end(tag)
     page.text(html[pos:])
     page._close_to(0)

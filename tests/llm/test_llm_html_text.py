@@ -29,6 +29,25 @@ def test_layout(html):
     assert render(html) == CASES[html]
 
 
+SHOWN = {
+    "<style>@media print{nav{display:none}} @media (max-width:600px){.side{display:none}}</style><nav>n</nav><p class=side>s": "n\n\ns",
+    "<style>@supports not (display:grid){#z{display:none}}</style><p id=z>s": "s",
+    "<style>@charset 'utf-8';@media screen{@layer a{.ad{display:none}}}/*}*/.q::after{content:'}'}.x{display:none}</style><p class=ad>no<p class=x>no<p>s": "s",
+    "<style>.a{color:red;@media print{display:none}.b{display:none}}</style><p class=a>s<p class=b>t": "s\n\nt",
+    "<style media=print>p{display:none}</style><style media='screen, tv'>.x{display:none}</style><p>s<p class=x>no": "s",
+    "<style>@media print{.x{display:none}</style><p class=x>s": "s",
+    "a <svg><title/><title>no</title><desc>no</desc>no<defs><text>no</text></defs><path d='M0'/><text>one</text><text>two</text><foreignObject><p>html</p></foreignObject></svg> b": "a\none\ntwo\n\nhtml\n\nb",
+    "<svg><path><p>after": "after",
+    "<svg/>a<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math>": "ax= 1 2",
+    "<p>a<xmp><b>x</b> &amp;</xmp>b": "a\n\n<b>x</b> &amp;\n\nb",
+}
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_text_that_a_screen_shows(html):
+    assert render(html) == SHOWN[html]
+
+
 class Words(HTMLParser):
     def __init__(self):
         super().__init__()
