@@ -1,16 +1,18 @@
 """Secret scans (operator 7): base rules, and a character convolutional network over every other candidate.
 
 Base findings are those of three patterns: assignments to names like ``password``, access key ids, and long runs
-of lower-case hex. They always stay. A candidate is a run of 12 or more of ``A-Za-z0-9+/_.=-`` with a letter and a
-digit that no base finding touches. The network sees the candidate (its first and last characters, if it is
-longer than its field) and the characters around it; those it scores at or over the threshold are added, as
-kind ``model``.
+of lower-case hex. They always stay. A candidate is a run of 12 or more of ``A-Za-z0-9+/_.=-`` that no base finding
+touches, with a letter and a digit, or with letters of both cases, or with a letter and ``_LONG`` characters. The
+network sees the candidate and the characters around it; a candidate longer than its field it sees in overlapping
+windows, of which the highest score counts. Candidates scored at or over the threshold are added, as kind ``model``.
 
 The network is trained on the driver, in numpy, on labelled findings: at most ``most`` candidates from the
 corpus, labelled by the base rules and shown half the time without the words around them, and as many made
-ones, drawn from fixed seeds: random keys in various spellings against addresses, numbers, versions, paths and
-compound words. A third of them calibrates: scores are scaled to probabilities, and the threshold is
-the highest that keeps a recall of ``recall`` on the made keys and on the corpus's findings, both.
+ones and half as many of long or digitless ones, drawn from fixed seeds: random keys in various spellings, alone and
+inside paths, against addresses, numbers, versions, paths and compound words. It trains on windows (``_SHOWN`` at
+most of a candidate, spread over it), each labelled by whether it holds what makes the candidate a finding. A third
+of the candidates calibrates, by their highest windows: scores are scaled to probabilities, and the threshold is
+the highest that keeps a recall of ``recall`` on each sort of made keys and on the corpus's findings.
 
 Cases: null text counts as empty and has no findings. Offsets count code points, ends are exclusive. Spans of
 one start are in the order of the kinds. Repeated rows are scanned alike. Extra columns are ignored. An empty table
@@ -23,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,11 @@ KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+_LETTER, _LOW, _HIGH, _DIGIT = (re.compile(p) for p in ("[A-Za-z]", "[a-z]", "[A-Z]", "[0-9]"))
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _LEFT, _FIELD, _RIGHT = 20, 40, 8
+_STEP, _LONG, _SHOWN = 20, 20, 8
 _WIDTH = _LEFT + _FIELD + _RIGHT
 _CODES = 98  # 0 pads, 1 to 95 printable ASCII, 96 other letters, 97 the rest
 
@@ -58,11 +63,18 @@ def candidates(text: str) -> list[tuple[int, int]]:
     found = []
     for m in _CANDIDATE.finditer(text):
         run = m.group()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+        if _LETTER.search(run) and (len(run) >= _LONG or _DIGIT.search(run) or _LOW.search(run) and _HIGH.search(run)):
             found.append((m.start(), m.end()))
     return found
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Windows of the field's width over a candidate, ``_STEP`` apart; the last ends with it."""
+    if end - start <= _FIELD:
+        return [(start, end)]
+    return [(a, a + _FIELD) for a in (*range(start, end - _FIELD, _STEP), end - _FIELD)]
+
+
 def _free(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[bool]:
     """Whether no base finding overlaps each span."""
     out, k, reach = [], 0, -1
@@ -79,14 +91,14 @@ def _codes(s: str) -> list[int]:
 
 
 def view(text: str, start: int, end: int, bare: bool = False) -> np.ndarray:
-    """What the network sees of a candidate: characters before it, its own, and characters after it."""
+    """What the network sees of a window (the first, of a longer span): characters before it, its own, and characters after it."""
+    end = min(end, start + _FIELD)
     out = np.zeros(_WIDTH, dtype=np.int64)
     if not bare:
         left, right = _codes(text[max(0, start - _LEFT) : start]), _codes(text[end : end + _RIGHT])
         out[_LEFT - len(left) : _LEFT] = left
         out[_LEFT + _FIELD : _LEFT + _FIELD + len(right)] = right
-    run = text[start:end] if end - start <= _FIELD else text[start : start + _FIELD - 12] + text[end - 12 : end]
-    out[_LEFT : _LEFT + len(run)] = _codes(run)
+    out[_LEFT : _LEFT + end - start] = _codes(text[start:end])
     return out
 
 
@@ -124,7 +136,10 @@ class Network:
         return np.concatenate([self._forward(x[i : i + 512])[4] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(x) + self.scale[1], -500, 500)))
+        return self.scaled(self.logits(x))
+
+    def scaled(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * z + self.scale[1], -500, 500)))
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, size: int = 64, rate: float = 3e-3) -> None:
         """Adam on the logistic loss."""
@@ -152,15 +167,14 @@ class Network:
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                     self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, groups: np.ndarray, recall: float) -> None:
+    def calibrate(self, z: np.ndarray, y: np.ndarray, groups: np.ndarray, recall: float) -> None:
         """Scale logits to probabilities, then set the threshold that keeps the recall in every group of positives."""
-        z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
             a, b = a - 0.05 * float(((p - y) * z).mean() / (1 + (z * z).mean())), b - 0.5 * float((p - y).mean())
         self.scale = (max(a, 1e-3), b)
-        p = self.probability(x)
+        p = self.scaled(z)
         lows = [np.sort(p[(y == 1) & (groups == g)]) for g in np.unique(groups[y == 1])]
         self.threshold = float(min((s[int((1 - recall) * len(s))] for s in lows if len(s)), default=1.0))
 
@@ -216,26 +230,75 @@ def made_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def made_runs(n: int, seed: int = 13) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, start and end of the key) of ``n`` made runs that are long or have no digit; an empty key for half of them."""
+    rng = np.random.default_rng(seed)
+    low, high, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    parts = "ser vic es ho ok con fig ur ation de li ver e vent s now re port ing data ba se ac count man age ment user im port ant col lec tion schul ver wal tung ent wick lung in for ma cion de sar rol lo pro gram me".split()
+    draw = lambda letters, least, most: "".join(letters[k] for k in rng.integers(0, len(letters), int(rng.integers(least, most + 1))))
+    word = lambda least=1, most=4: "".join(parts[k] for k in rng.integers(0, len(parts), int(rng.integers(least, most + 1))))
+    place = lambda: word() if rng.random() < 0.7 else draw(high + digit, 1, 1) + draw(digit, 1, 4)
+    path = lambda least, most: "".join(place() + "/-_."[k] for k in rng.choice(4, int(rng.integers(least, most + 1)), p=(0.5, 0.3, 0.1, 0.1)))
+    out = []
+    while len(out) < n:
+        kind, label = len(out) // 2 % 3, len(out) % 2
+        before = after = key = ""
+        if label:
+            letters = (low + high, low + high + digit, low + digit)[int(rng.integers(0, 3))] if kind else (low + high, low)[int(rng.random() < 0.3)]
+            key = draw(letters, 20, 44)
+            if kind:
+                before, after = ("//" if rng.random() < 0.5 else "") + path(1, 6), "/" + path(0, 5) + word()
+        elif kind:
+            before = ("//" if rng.random() < 0.5 else "") + path(3, 9) + word(1, 8) + (str(rng.integers(1, 2030)) if rng.random() < 0.5 else "")
+        else:
+            shape = int(rng.integers(0, 4))
+            before = (word(4, 7).capitalize(), word(6, 10), "".join(word(1, 2).capitalize() for _ in range(4)), "_".join(word(1, 2).upper() for _ in range(4)))[shape]
+        run = before + key + after
+        if len(run) < 12 or not candidates(run):
+            continue
+        lead = f"{word()} {word()}" + str(rng.choice((" ", ": ", " https:", " (", "=", ' "')))
+        a = len(lead)
+        out.append((lead + run + f" {word()} {word()}", a, a + len(run), a + len(before), a + len(before) + len(key)))
+    return out
+
+
 def fit(texts: list[str], most: int = 4000, recall: float = 0.95, seed: int = 5) -> Network:
     """Train and calibrate on the candidates of the texts and on made ones."""
     rng = np.random.default_rng(seed)
-    x, y, group = [], [], []
+    x, told, owner, y, group = [], [], [], [], []
+
+    def add(text: str, a: int, b: int, kind: int, bare: bool, found: list[tuple[int, int]]) -> None:
+        """Windows of a candidate; ``found`` are the spans that make it a finding. Windows with a scrap of one don't train."""
+        spans = windows(a, b)
+        if len(spans) > _SHOWN:
+            spans = [spans[k] for k in np.linspace(0, len(spans) - 1, _SHOWN).astype(int)]
+        for lo, hi in spans:
+            held = max((min(hi, d) - max(lo, c) for c, d in found), default=0)
+            x.append(view(text, lo, hi, bare))
+            told.append(1 if held >= min(12, max((d - c for c, d in found), default=1)) else 0 if held <= 0 else -1)
+            owner.append(len(y))
+        y.append(1 if found else 0)
+        group.append(kind)
+
     for text in texts:
         base, spans = base_findings(text), candidates(text)
         for (a, b), free in zip(spans, _free(spans, base), strict=True):
-            if len(x) < most:
-                x.append(view(text, a, b, bare=bool(rng.random() < 0.5)))
-                y.append(0 if free else 1)
-                group.append(0)
+            if len(y) < most:
+                add(text, a, b, 0, bool(rng.random() < 0.5), [] if free else [(a, b)])
     for text, a, b, label in made_findings(most):
-        x.append(view(text, a, b, bare=bool(rng.random() < 0.2)))
-        y.append(label)
-        group.append(1)
-    x, y, group = np.array(x), np.array(y, dtype=float), np.array(group)
-    held = rng.random(len(x)) < 1 / 3
+        add(text, a, b, 1, bool(rng.random() < 0.2), [(a, b)] if label else [])
+    for text, a, b, c, d in made_runs(most // 2):
+        add(text, a, b, 2, bool(rng.random() < 0.2), [(c, d)] if c < d else [])
+    x, told, owner = np.array(x), np.array(told, dtype=float), np.array(owner, dtype=np.int64)
+    y, group = np.array(y, dtype=float), np.array(group)
+    held = rng.random(len(y)) < 1 / 3
+    learn = ~held[owner] & (told >= 0)
     net = Network()
-    net.train(x[~held], y[~held])
-    net.calibrate(x[held], y[held], group[held], recall)
+    net.train(x[learn], told[learn])
+    judged = held[owner]
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, owner[judged], net.logits(x[judged]))
+    net.calibrate(best[held], y[held], group[held], recall)
     return net
 
 
@@ -269,12 +332,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
                 base = [base_findings(t) for t in texts]
                 asked = [(i, a, b) for i, t in enumerate(texts) for spans in (candidates(t),) for (a, b), free in zip(spans, _free(spans, base[i]), strict=True) if free]
                 added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                for k in range(0, len(asked), 4096):
-                    part = asked[k : k + 4096]
-                    p = net.value.probability(np.array([view(texts[i], a, b) for i, a, b in part]))
-                    for (i, a, b), keep in zip(part, (p >= net.value.threshold).tolist(), strict=True):
-                        if keep:
-                            added[i].append((a, 3, b))
+                best = np.zeros(len(asked))
+                shown = ((k, i, lo, hi) for k, (i, a, b) in enumerate(asked) for lo, hi in windows(a, b))
+                while part := list(islice(shown, 4096)):
+                    p = net.value.probability(np.array([view(texts[i], lo, hi) for _, i, lo, hi in part]))
+                    np.maximum.at(best, [k for k, *_ in part], p)
+                for (i, a, b), keep in zip(asked, (best >= net.value.threshold).tolist(), strict=True):
+                    if keep:
+                        added[i].append((a, 3, b))
                 out = [[sum(k == n for _, k, _ in b) for b in base] for n in range(3)]
                 out += [[len(a) for a in added], [hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], [_joined(sorted(a + b)) for a, b in zip(base, added, strict=True)]]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names)

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 from plain import AWKWARD
-from slatecast.llm.secrets import base_findings, candidates, fit, made_findings, scan, view
+from slatecast.llm.secrets import base_findings, candidates, fit, made_findings, made_runs, scan, view, windows
 
 PATTERNS = (
     (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -64,3 +64,20 @@ def test_network_finds_unseen_keys(rows):
     assert (p[y == 1] >= net.threshold).mean() >= 0.85
     assert (p[y == 0] >= net.threshold).mean() <= 0.05
     assert candidates("x 12-34-56-78-90 abcdefghijkl abc1defghijkl") == [(30, 43)]
+
+
+def test_keys_inside_long_runs_and_keys_without_digits(rows):
+    net = fit([r["text"] for r in rows])
+    best = lambda t, a, b: max(net.probability(np.array([view(t, lo, hi) for lo, hi in windows(a, b)])))
+    assert candidates("qWeRtYuIoPaS abcdefghijklmnopqrst abcdefghijkl --------------------") == [(0, 12), (13, 33)]
+    for n in (12, 40, 41, 60, 61, 500):
+        seen = windows(3, 3 + n)
+        assert seen[0][0] == 3 and seen[-1][1] == 3 + n and all(b - a <= 40 for a, b in seen)
+        assert all(c - a <= 20 for (a, _), (c, _) in zip(seen, seen[1:]))
+    made = [(best(t, a, b) >= net.threshold, c < d) for t, a, b, c, d in made_runs(600, seed=78)]
+    assert np.mean([p for p, key in made if key]) >= 0.85
+    assert np.mean([p for p, key in made if not key]) <= 0.05
+    lead, tail = "post to https:", "/deliver-events-now ok"
+    paths = [f"//hooks.example.com/services/T01/B02/{k}" for k in ("k9XvQ2mZr7LpW4tYb8NcHs3D", "everydaymanagementreports")]
+    scores = [best(lead + p + tail, len(lead), len(lead) + len(p) + len(tail) - 3) for p in paths]
+    assert scores[0] >= net.threshold > scores[1]
