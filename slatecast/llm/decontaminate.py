@@ -1,7 +1,7 @@
 """Benchmark decontamination (operator 1): rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are runs of letters and digits, in lower case. Benchmark items are the stated query set: they are cut into
-even pieces of at most ``_PIECE`` words, and pieces go into blocks of at most ``_BLOCK`` bytes. For each block:
+even pieces of at most ``_PIECE`` words, each followed by the next ``_RUN - 1`` words of its item, and pieces go into blocks of at most ``_BLOCK`` bytes. For each block:
 
 1. One scan of the documents looks up every three-word gram among the block's grams. It counts the documents
    that hold each gram, and where two or more grams of a piece lie close together, it keeps that region of
@@ -11,7 +11,8 @@ even pieces of at most ``_PIECE`` words, and pieces go into blocks of at most ``
 3. Regions with two seeds (one, if the piece has no more) are aligned with the piece by Smith-Waterman over
    words: 2 for a match, -1 for a mismatch or a gap. The other regions with two grams of the piece get a second
    chance: they are aligned too, unless the words they share with the piece can't add up to the least score.
-   The score is the share of the piece's perfect score. Edits that leave fewer than two grams hide a copy.
+   The score is the share of the piece's perfect score; a leak has at least ``least``, or, however long the piece,
+   as much as ``_RUN`` words in a row. Edits that leave fewer than two grams hide a copy.
 
 Cases: null or empty texts match nothing, and neither do items of fewer than three words. Rows with a null id are
 reported with a null id; ``version`` (a hash of the text) tells rows apart that share an id. Repeated rows give
@@ -33,7 +34,7 @@ from .packing import pack, unpack
 from .shared import columns, materialise, pieces
 
 GRAM = 3
-_PIECE, _BLOCK, _SPREAD, _SLACK = 512, 16 << 20, 3, 8
+_PIECE, _BLOCK, _SPREAD, _SLACK, _RUN = 512, 16 << 20, 3, 8, 40
 _NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -64,8 +65,8 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 out = []
                 for i, text in zip(*(x.to_pylist() for x in columns(batch, "item_id", "text")), strict=True):
                     h = words.word_hashes(normal(text)) if text else np.zeros(0, np.uint64)
-                    parts = np.array_split(h, -(-len(h) // _PIECE)) if len(h) >= GRAM else []
-                    out += [(i, k, p.tobytes()) for k, p in enumerate(parts)]
+                    parts = np.array_split(np.arange(len(h)), -(-len(h) // _PIECE)) if len(h) >= GRAM else []
+                    out += [(i, k, h[p[0] : p[-1] + _RUN].tobytes()) for k, p in enumerate(parts)]
                 yield pa.RecordBatch.from_pydict({"item_id": pa.array([x[0] for x in out], pa.int64()), "piece": pa.array([x[1] for x in out], pa.int64()), "words": pa.array([x[2] for x in out], pa.binary())})
 
     return picked.mapInArrow(run, "item_id bigint, piece bigint, words binary")
@@ -170,7 +171,7 @@ def _aligned(found: DataFrame, block, least: float) -> DataFrame:
             for i, version, p, start, places, region in zip(*(x.to_pylist() for x in columns(batch, "id", "version", "piece", "start", "places", "region")), strict=True):
                 n = len(np.intersect1d(places, seeds[p]))
                 item, near = np.frombuffer(texts[p], np.uint64), unpack(region, np.uint64)
-                enough = max(least * 2 * len(item), 2 * min(len(item), 8))
+                enough = min(max(least * 2 * len(item), 2 * min(len(item), 8)), 2 * _RUN)
                 if n < min(2, len(seeds[p])):
                     if p not in vocabulary:
                         vocabulary[p] = np.unique(item, return_counts=True)

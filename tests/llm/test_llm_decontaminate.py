@@ -77,3 +77,14 @@ def test_edits_every_fourth_and_fifth_word_and_in_short_items(llm):
     made = [(i, " ".join(words)) for i, words in docs], [(i, " ".join(words)) for i, words in items]
     found = contaminated(llm.createDataFrame(made[0], "doc_id bigint, text string"), llm.createDataFrame(made[1], "item_id bigint, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_excerpts_of_long_items(llm):
+    prose = lambda name, n: [f"{name}{k}" for k in range(n)]
+    items = [(0, prose("a", 500)), (1, prose("b", 1000))]
+    cuts = [(0, 200, 260), (0, 0, 40), (1, 480, 520), (1, 490, 535), (1, 960, 1000), (0, 100, 139)]
+    docs = [(d, prose(f"x{d}y", 90) + items[i][1][a:b] + prose(f"z{d}y", 90)) for d, (i, a, b) in enumerate(cuts)]
+    made = [(i, " ".join(words)) for i, words in docs], [(i, " ".join(words)) for i, words in items]
+    found = contaminated(llm.createDataFrame(made[0], "doc_id bigint, text string"), llm.createDataFrame(made[1], "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, i) for d, (i, a, b) in enumerate(cuts) if b - a >= 40}
+    assert all((r["first_word"], r["end_word"]) == (90, 90 + cuts[r["doc_id"]][2] - cuts[r["doc_id"]][1]) for r in found)
