@@ -9,8 +9,12 @@ spans. Hidden are head, script, style, templates, embedded fallbacks, comments,
 sheets for a medium count if they hold for every screen; under any other condition their text stays. Of svg its
 texts show, of math all but annotations.
 
-Cases: null or empty pages give an empty text. A tag that never ends is dropped with what follows it, as
-browsers do. Nesting may have any depth. A column is padded to at most ``_COLUMN`` characters; longer cells run on.
+Attributes are read by the states of HTML: a quote opens a value only right after ``=``. Where a quoted value
+never ends, this and later tags end at their next ``>``, so that the text after them stays; browsers would drop it.
+
+Cases: null or empty pages give an empty text. A tag without any ``>`` after it is dropped with what follows it.
+Nesting may have any depth. Columns are as wide as their widest cell, unless ``column`` bounds them; cells over it
+run on. So do cells of a table whose padding would come to more than ``_PADDING`` times its text.
 Repeated rows give repeated results. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -26,12 +30,14 @@ from pyspark.sql import DataFrame
 
 from .shared import columns, pieces
 
-_COLUMN, _SPAN = 60, 1000
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z].*""",
-    re.S,
+_SPAN, _PADDING = 1000, 16
+_VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+{_VALUE}?+)?+")
+_STATES = r"(?:[\s/]++|" + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE.pattern) + r")*+"
+_TOKEN, _PLAIN = (
+    re.compile(rf"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*+)({inner})>|<[!?/][^>]*>|<[a-zA-Z]([^>]*+)(>?)", re.S)
+    for inner in (_STATES, "[^>]*+")
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|[{};]|[^{};"'/]+|/""", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NONE, _HIDE, _SHOW = (re.compile(p, re.I) for p in (r"display\s*:\s*none", r"visibility\s*:\s*(?:hidden|collapse)", r"visibility\s*:\s*visible"))
@@ -80,7 +86,7 @@ class _Table:
         self.rows: list[list[tuple[list[str], int, int]]] = []
         self.captions: list[str] = []
 
-    def lines(self) -> list[str]:
+    def lines(self, most: int | None = None) -> list[str]:
         placed: list[list[tuple[int, int, list[str]]]] = []
         taken: dict[int, int] = {}  # rows that a column is still taken for
         widths: dict[int, int] = {}
@@ -91,20 +97,24 @@ class _Table:
                     at += 1
                 out.append((at, across, text))
                 if across == 1:
-                    widths[at] = max(widths.get(at, 0), min(_COLUMN, max(map(len, text), default=0)))
+                    widths[at] = max(widths.get(at, 0), min(most or _SPAN**3, max(map(len, text), default=0)))
                 if down > 1:
                     new.update(dict.fromkeys(range(at, at + across), down))
                 at += across
             taken = {c: n - 1 for c, n in (taken | new).items() if n > 1}
             placed.append(out)
         used = sorted({c for row in placed for c, _, text in row if text})
+        heights = [max((len(text) for _, _, text in row), default=0) for row in placed]
+        size = sum(len(line) for row in placed for _, _, text in row for line in text)
+        while (widest := max(widths.values(), default=0)) > 8 and sum(heights) * sum(widths.values()) > _PADDING * (size + 4096):
+            widths = {c: min(w, widest // 2) for c, w in widths.items()}
         left, x = {}, 0
         for c in used:
             left[c] = x
             x += widths.get(c, 0) + 2
         lines = list(self.captions)
-        for row in placed:
-            for k in range(max((len(text) for _, _, text in row), default=0)):
+        for row, height in zip(placed, heights, strict=True):
+            for k in range(height):
                 line = ""
                 for c, _, text in row:
                     if k < len(text) and text[k]:
@@ -179,7 +189,8 @@ class _Flow:
 class _Page:
     """Builds the tree of one page as a stack of open elements, and lays it out on the way."""
 
-    def __init__(self) -> None:
+    def __init__(self, column: int | None = None) -> None:
+        self.column = column
         self.stack: list[tuple[str, bool, bool]] = []  # tag, whether it shows, whether its spaces are kept
         self.flows, self.tables, self.spans = [_Flow()], [], []
         self.lists: list[list] = []
@@ -250,7 +261,7 @@ class _Page:
             if tag in CELLS and self._near(("table",), CELLS) is not None and self._near(("tr",), ("table",)) is None:
                 self._open("tr", {})
         alone = source.endswith("/") and (tag in ("svg", "math") or self._near(("svg", "math"), INNER) is not None)
-        found = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(source)} if source and _HINT.search(source) else {}
+        found = {a.lower(): unescape(b or c or d) for a, b, c, d in reversed(_ATTRIBUTE.findall(source))} if source and _HINT.search(source) else {}
         self._open(tag, found)
         if tag in VOID or alone:
             self._close()
@@ -331,7 +342,7 @@ class _Page:
         if tag == "text" and self.open["svg"]:
             flow.block(False)
         elif tag == "table" and self.tables:
-            self.flows[-1].lay(self.tables.pop().lines())
+            self.flows[-1].lay(self.tables.pop().lines(self.column))
         elif self.tables and tag in ("td", "th", "caption"):
             if tag == "caption":
                 self.tables[-1].captions += self.flows.pop().done()
@@ -349,12 +360,15 @@ class _Page:
                 flow.mark = "" if tag == "li" else flow.mark
 
 
-def render(html: str | None) -> str:
-    """All visible text of a page, laid out."""
-    page, pos, html = _Page(), 0, html or ""
-    while m := _TOKEN.search(html, pos):
+def render(html: str | None, column: int | None = None) -> str:
+    """All visible text of a page, laid out; ``column`` bounds the width of table columns."""
+    page, pos, html, token = _Page(column), 0, html or "", _TOKEN
+    while m := token.search(html, pos):
         if m.start() > pos:
             page.text(html[pos : m.start()])
+        if m[5] and token is _TOKEN:  # attributes that run to the end of the page
+            token, pos = _PLAIN, m.start()
+            continue
         pos = m.end()
         if m[1]:
             page.end(m[1].lower())
@@ -376,7 +390,7 @@ def render(html: str | None) -> str:
     return "\n".join(page.flows[0].done())
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", column: int | None = None) -> DataFrame:
     """The id column, and the page's text as ``text``."""
     picked = pages.select(pages[id_col], pages[html_col])
     kind = picked.schema[id_col].dataType.simpleString()
@@ -385,7 +399,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         for whole in batches:
             for batch in pieces(whole, html_col):
                 ids, html = columns(batch, id_col, html_col)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([render(x) for x in html.to_pylist()], pa.string())], [id_col, "text"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([render(x, column) for x in html.to_pylist()], pa.string())], [id_col, "text"])
 
     return picked.mapInArrow(run, f"`{id_col}` {kind}, text string")
 

@@ -81,3 +81,24 @@ def test_awkward_pages(llm):
     out = extract_text(llm.createDataFrame(rows, "page_id bigint, html string, text string")).collect()
     assert sorted((str(r["page_id"]), r["text"].split()) for r in out) == [("1", []), ("2", []), ("3", []), ("3", ["plain"]), ("None", ["x", "y"])]
     assert extract_text(llm.createDataFrame([], "page_id bigint, html string")).count() == 0
+
+
+def test_stray_quotes_lose_no_text():
+    words = lambda h: render(h).split()
+    assert words('<p>a</p><p class="x"">b</p><p>c</p>') == ["a", "b", "c"]
+    assert words("<p>a</p><a title=it's>b</a><p>c</p>") == ["a", "b", "c"]
+    assert words('<p>a <a href="x>b</a><p>c</p>') == ["a", "b", "c"]
+    assert words('<p>x<a href="u"class="y">b</a> <b id = "q>r">s</b> <i =v>t</i>') == ["xb", "s", "t"]
+    assert words('<p title="a>b>c</p><p id="e>f</p>') == ["f"]  # the quote closes at the next one, as in browsers
+    assert words("<p>a<b") == ["a"] and words('a<p x="b>c<p y=\'d>e') == ["a", "c", "e"]
+
+
+def test_long_cells_keep_columns_aligned():
+    long = "word " * 40
+    page = f"<table><tr><td>{long}<td>b<tr><td>x<td>y</table>"
+    first, second = render(page).split("\n")
+    assert first.index("b") == second.index("y") == len(long) + 1
+    assert render(page, column=30).split("\n")[1].index("y") == 32
+    huge = "<table><tr><td>" + "w" * 300_000 + "<td>b" + "<tr><td>x<td>y" * 5000 + "</table>"
+    out = render(huge)
+    assert out.count("y") == 5000 and len(out) < 20 * len(huge)
