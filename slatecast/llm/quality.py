@@ -2,8 +2,9 @@
 
 Each rule votes good (1) or bad (-1) on a document or abstains (0). Votes of all documents are counted by
 pattern (at most three to the power of the rules), and expectation-maximisation over these counts estimates
-how often each rule votes each way on good and on bad documents, and the share of good ones. A document
-is kept if its posterior probability of being good is at least one half and the base rules pass.
+the rules' accuracies and how common good documents and each kind of bad ones are: bad documents share no
+one defect, so there is a kind for each rule. No rule may be worse than chance, see ``fit``. A document is kept if
+its posterior probability of being good is at least one half and the base rules pass.
 
 Cases: null text counts as empty; documents without words fail the base rules. Repeated rows are judged alike.
 Extra columns are ignored. An empty table gives an empty result.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,31 +105,75 @@ RULES = (
 )
 
 
-def fit(counts: Iterable[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Expectation-maximisation over counted vote patterns.
+@dataclass
+class Fit:
+    """What is believed of the rules: how common good documents and each kind of bad ones are, and how rules vote on them."""
 
-    Returns the log odds of good, and for each rule and vote the log of how likely it is on good and on bad
-    documents. It starts from rules that are right four times in five on four good documents in five.
+    good: float
+    kinds: list[float]  # share of each kind of bad documents: kind k is what rule k is to find, the last has many defects
+    alarm: list[float]  # how often a vote of each rule on good documents is bad, and so wrong
+    found: list[list[float]]  # found[k][r]: how often a vote of rule r on kind k is bad, and so right
+    abstains: list[float]
+
+    def accuracy(self) -> list[float]:
+        """How often a vote of each rule is right, over all documents."""
+        n = self.good + sum(self.kinds)
+        return [(self.good * (1 - self.alarm[r]) + sum(p * f[r] for p, f in zip(self.kinds, self.found, strict=True))) / n for r in range(len(self.alarm))]
+
+    def caught(self) -> list[float]:
+        """How often a vote of each rule on bad documents of any kind is bad."""
+        return [sum(p * f[r] for p, f in zip(self.kinds, self.found, strict=True)) / sum(self.kinds) for r in range(len(self.alarm))]
+
+    def weights(self) -> list[tuple[float, list[tuple[float, float]]]]:
+        """For each kind its log odds against good, and for each rule what a bad and a good vote add to them."""
+        return [
+            (math.log(p / self.good), [(math.log(f / a), math.log((1 - f) / (1 - a))) for f, a in zip(found, self.alarm, strict=True)])
+            for p, found in zip(self.kinds, self.found, strict=True)
+        ]
+
+    def posterior(self, votes: Iterable[int]) -> float:
+        """The probability that a document with these votes is good."""
+        votes = list(votes)
+        return 1 / (1 + sum(math.exp(odds + sum(w[0] if v < 0 else w[1] for v, w in zip(votes, adds, strict=True) if v)) for odds, adds in self.weights()))
+
+
+def fit(counts: Iterable[tuple[tuple[int, ...], int]], rounds: int = 60, doubt: float = 0.002, most: float = 0.05, least: float = 0.6, apart: bool = True) -> Fit:
+    """Expectation-maximisation over counted vote patterns, for one class of good documents, a kind of bad ones for each rule, and one of many defects.
+
+    A rule's accuracy is held on its side: a vote on good documents is bad in ``doubt`` of cases before any is seen,
+    with the weight of a fifth of all documents, and in ``most`` at most; a rule finds at least ``least`` of its kind,
+    and raises no fewer bad votes on other kinds than on good documents. Abstentions are as frequent in every class,
+    so they weigh nothing in the posterior. Where rules are noisy and all look at the same defects, bad documents
+    are one class: ``apart`` is False then, and ``most`` and ``doubt`` are higher.
     """
     counts = sorted(counts)
-    n = sum(c for _, c in counts)
-    n_rules = len(RULES)
-    prior = 0.8
-    table = [{1: (0.6, 0.1), 0: (0.3, 0.3), -1: (0.1, 0.6)} for _ in range(n_rules)]
+    n, n_rules = sum(c for _, c in counts), len(RULES)
+    start = [[0.9 if r == k else doubt for r in range(n_rules)] for k in range(n_rules) if apart] + [[0.7] * n_rules]
+    n_kinds = len(start)
+    abstains = [sum(c for v, c in counts if not v[r]) / max(n, 1) for r in range(n_rules)]
+    now = Fit(0.9, [0.05 / n_rules if apart else 0.1] * n_kinds, [doubt] * n_rules, start, abstains)
     for _ in range(rounds if n else 0):
-        mass = [0.0, 0.0]
-        sums = [{v: [1.0, 1.0] for v in (1, 0, -1)} for _ in range(n_rules)]
+        mass, weights = [0.0] * (n_kinds + 1), now.weights()
+        bad_votes, all_votes = ([[0.0] * n_rules for _ in range(n_kinds + 1)] for _ in range(2))
         for votes, c in counts:
-            log = math.log(prior / (1 - prior)) + sum(math.log(table[k][v][0] / table[k][v][1]) for k, v in enumerate(votes))
-            good = 1 / (1 + math.exp(-max(-700.0, min(700.0, log))))
-            mass[0] += c * good
-            mass[1] += c * (1 - good)
-            for k, v in enumerate(votes):
-                sums[k][v][0] += c * good
-                sums[k][v][1] += c * (1 - good)
-        prior = (mass[0] + 4) / (n + 5)
-        table = [{v: (s[v][0] / (mass[0] + 3), s[v][1] / (mass[1] + 3)) for v in s} for s in sums]
-    return math.log(prior / (1 - prior)), [{v: (math.log(a), math.log(b)) for v, (a, b) in t.items()} for t in table]
+            logs = [0.0, *(odds + sum(w[0] if v < 0 else w[1] for v, w in zip(votes, adds, strict=True) if v) for odds, adds in weights)]
+            top = max(logs)
+            share = [math.exp(x - top) for x in logs]
+            total = sum(share)
+            for k, s in enumerate(share):
+                w = c * s / total
+                mass[k] += w
+                for r, v in enumerate(votes):
+                    if v:
+                        all_votes[k][r] += w
+                        bad_votes[k][r] += w * (v < 0)
+        alarm = [min(most, (bad_votes[0][r] + 0.2 * n * doubt) / (all_votes[0][r] + 0.2 * n)) for r in range(n_rules)]
+        found = [
+            [min(0.99, max(least if apart and r == k else alarm[r], (bad_votes[k + 1][r] + start[k][r]) / (all_votes[k + 1][r] + 1))) for r in range(n_rules)]
+            for k in range(n_kinds)
+        ]
+        now = Fit((mass[0] + 1) / (n + 2), [(m + 1 / n_kinds) / (n + 2) for m in mass[1:]], alarm, found, abstains)
+    return now
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,13 +183,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = materialise(found, "quality-features")
     votes = [f"vote_{name}" for name, _, _ in RULES]
     counted = found.where("n_words > 0").groupBy(*votes).count().collect()
-    odds, table = fit(((tuple(r[v] for v in votes), r["count"]) for r in counted))
-    score = F.lit(odds)
-    for v, t in zip(votes, table, strict=True):
-        weight = {k: a - b for k, (a, b) in t.items()}
-        score = score + F.when(F.col(v) == 1, weight[1]).when(F.col(v) == -1, weight[-1]).otherwise(weight[0])
-    quality = 1 / (1 + F.exp(-score))
-    failed = F.expr(f"n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
+    fitted = fit((tuple(r[v] for v in votes), r["count"]) for r in counted)
+    against = F.lit(0.0)
+    for odds, adds in fitted.weights():
+        said = (F.when(F.col(v) < 0, bad).when(F.col(v) > 0, good).otherwise(0.0) for v, (bad, good) in zip(votes, adds, strict=True))
+        against = against + F.exp(sum(said, F.lit(odds)))
+    quality = 1 / (1 + against)
+    failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     return found.withColumns({"base_failed": failed, "quality": quality}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 

@@ -41,9 +41,42 @@ def test_fit_recovers_rules():
     votes = np.where(rng.random((20_000, len(RULES))) < right, np.where(good, 1, -1)[:, None], np.where(good, -1, 1)[:, None])
     votes[rng.random(votes.shape) < 0.3] = 0
     counts = Counter(map(tuple, votes.tolist()))
-    odds, table = fit(counts.items())
-    score = odds + sum(np.vectorize(lambda v, t=t: t[v][0] - t[v][1])(votes[:, k]) for k, t in enumerate(table))
-    assert ((score > 0) == good).mean() > 0.97
+    fitted = fit(counts.items(), most=0.45, doubt=0.2, apart=False)  # rules that raise many false alarms over one defect
+    believed = {v: fitted.posterior(v) >= 0.5 for v in counts}
+    assert np.mean([believed[tuple(v)] == g for v, g in zip(votes.tolist(), good.tolist())]) > 0.97
+    accuracy = fitted.accuracy()
+    assert all(accuracy[k] > 0.5 for k in range(len(RULES))) and accuracy[-1] > accuracy[0]
+
+
+def test_no_rule_is_reversed_and_each_kind_of_defect_is_caught():
+    """Most documents are clean; bad ones break one rule each, some of them two, and one defect is rare."""
+    rng = np.random.default_rng(1)
+    votes = np.where(rng.random((20_000, len(RULES))) < 0.03, 0, 1)
+    kind = np.where(rng.random(20_000) < 0.1, rng.integers(0, 4, 20_000), -1)
+    for k in range(4):
+        votes[kind == k, k] = -1
+    votes[(kind == 0) & (rng.random(20_000) < 0.5), 1] = -1
+    noise = rng.random(votes.shape) < 0.0003
+    votes[noise] = -1
+    fitted = fit(Counter(map(tuple, votes.tolist())).items())
+    assert all(bad > alarm for bad, alarm in zip(fitted.caught(), fitted.alarm))
+    assert all(fitted.found[k][r] >= fitted.alarm[r] for k in range(len(RULES)) for r in range(len(RULES)))
+    quality = {v: fitted.posterior(v) for v in set(map(tuple, votes.tolist()))}
+    rejected = np.array([quality[tuple(v)] < 0.5 for v in votes.tolist()])
+    assert rejected[kind >= 0].mean() > 0.99 and rejected[(kind < 0) & ~noise.any(axis=1)].mean() == 0
+    assert fit([]).posterior([1] * len(RULES)) > 0.5
+
+
+def test_posterior_finds_the_junk_that_the_base_rules_pass(llm):
+    """On labelled documents that pass the base rules: recall of bad ones and precision of the verdict."""
+    sf = "/root/testdata/sf0.1"
+    judged = judge(llm.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").select("doc_id", "kept", "quality")
+    got = judged.join(llm.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "label"), "doc_id").collect()
+    bad = [r for r in got if r["label"] == 0]
+    caught = [r for r in bad if not r["kept"]]
+    rejected = [r for r in got if not r["kept"]]
+    assert len(bad) >= 250 and len(caught) >= 0.9 * len(bad)
+    assert len(caught) >= 0.95 * len(rejected)
 
 
 def test_clean_documents_stay(documents, rows):
