@@ -3,26 +3,30 @@
 Words are runs of letters and digits, in lower case. Benchmark items are the stated query set: they are cut into
 even pieces of at most ``_PIECE`` words, each followed by the next ``_RUN - 1`` words of its item, and pieces go into blocks of at most ``_BLOCK`` bytes. For each block:
 
-1. One scan of the documents looks up every three-word gram among the block's grams. It counts the documents
-   that hold each gram, and where two or more grams of a piece lie close together, it keeps that region of
-   the document, as word hashes.
-2. The seeds of a piece are the grams that are the rarest, by those counts, among some ``_SPREAD``
-   consecutive ones; grams that no document holds are passed over, so edits can't draw the seeds to themselves.
-3. Regions with two seeds (one, if the piece has no more) are aligned with the piece by Smith-Waterman over
-   words: 2 for a match, -1 for a mismatch or a gap. The other regions with two grams of the piece get a second
-   chance: they are aligned too, unless the words they share with the piece can't add up to the least score.
-   The score is the share of the piece's perfect score; a leak has at least ``least``, or, however long the piece,
+1. A scan of the documents counts, for every three-word gram of the block, the documents that hold it.
+2. Seeds are the rare grams: those that at most ``_FEW`` documents or one in ``_PART`` hold, and the rarest of each
+   ``_SPREAD`` consecutive ones of a piece. Grams that no document holds can't be seeds.
+3. A second scan joins documents to pieces on their seeds. Where two seeds of a piece (one, if it has no more) lie close
+   together in a document, that region is aligned with the piece by Smith-Waterman over words: 2 for a match,
+   -1 for a mismatch or a gap. Two common grams in place of seeds give a region a second chance, so that
+   edits can't hide a passage copied so often that its grams aren't rare: it is aligned, too, if
+   the words it shares with the piece can add up to the least score. Only leaks leave the task.
+4. The score is the share of the piece's perfect score; a leak has at least ``least``, or, however long the piece,
    as much as ``_RUN`` words in a row. Edits that leave fewer than two grams hide a copy.
 
-Cases: null or empty texts match nothing, and neither do items of fewer than three words. Rows with a null id are
-reported with a null id; ``version`` (a hash of the text) tells rows apart that share an id. Repeated rows give
-one row. Items that share text are all reported. Extra columns are ignored. Empty tables give an empty result.
+Benchmarks of over ``_BLOCK`` bytes of word hashes, some two million words, take two scans for each such block.
+
+Cases: null or empty texts match nothing, and neither do items of fewer than three words. Ids are integers. Rows with a
+null id are reported with a null id; ``version`` (a hash of the text) tells rows apart that share an id. Repeated rows
+of documents give one row, and those of the benchmark count once. Items that share text are all reported. Extra
+columns are ignored, and kept by ``drop_contaminated``, whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .packing import pack, unpack
-from .shared import columns, materialise, pieces
+from .shared import columns, fresh, materialise, pieces
 
 GRAM = 3
 _PIECE, _BLOCK, _SPREAD, _SLACK, _RUN = 512, 16 << 20, 3, 8, 40
+_FEW, _PART = 50, 10_000
 _NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -95,63 +99,38 @@ class _Grams:
         return np.repeat(near, n), np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _scan(docs: DataFrame, grams) -> DataFrame:
-    """Rows of gram counts (gram, n) and of regions (id, version, piece, start, places hit, word hashes)."""
-
-    def regions(doc: words.Words, at: np.ndarray, gram: np.ndarray, g: _Grams, ids: list, versions: list) -> list:
-        owner, piece = doc.owner[at], g.piece[gram]
-        order = np.lexsort((at, piece, owner))
-        at, gram, owner, piece = at[order], gram[order], owner[order], piece[order]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1]) | (np.diff(at) > g.size[piece[1:]])
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(at))
-        out = []
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            places = np.unique(g.place[gram[a:b]])
-            p, d = int(piece[a]), int(owner[a])
-            if len(places) < min(2, g.size[p] - GRAM + 1):
-                continue
-            first, last = int(doc.first[d]), int(doc.first[d] + doc.count[d])
-            shift = at[a:b] - g.place[gram[a:b]]
-            lo, hi = max(first, int(shift.min()) - _SLACK), min(last, int(shift.max() + g.size[p]) + _SLACK)
-            out.append((ids[d], versions[d], p, lo - first, places.tolist(), pack(doc.hashes[lo:hi])))
-        return out
+def _counts(docs: DataFrame, texts) -> DataFrame:
+    """(gram, n): in how many documents each gram occurs, by the place of its first entry in ``_Grams``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _Grams([np.frombuffer(x, np.uint64) for x in grams.value])
+        g = _Grams(texts.value)
+        first = np.searchsorted(g.h, g.h)
+        total = np.zeros(len(g.h), dtype=np.int64)
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
-                ids, versions, text = (x.to_pylist() for x in columns(batch, "id", "version", "text"))
-                doc = words.split([normal(t) for t in text])
+                doc = words.split([normal(t) for t in columns(batch, "text")[0].to_pylist()])
                 h, at = doc.windows(GRAM)
                 where, gram = g.find(h)
-                once = np.unique(np.stack((doc.owner[at[where]], np.searchsorted(g.h, g.h[gram]))), axis=1)[1] if len(where) else np.zeros(0, np.int64)
-                seen, n = np.unique(once, return_counts=True)
-                found = regions(doc, at[where], gram, g, ids, versions) if len(where) else []
-                lone, none = len(seen), [None] * len(seen)
-                cols = [[*none, *c] for c in zip(*found, strict=True)] or [none] * 6
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_pydict(
-                    {"gram": pa.array([*seen.tolist(), *[None] * (len(cols[0]) - lone)], pa.int64()), "n": pa.array([*n.tolist(), *[None] * (len(cols[0]) - lone)], pa.int64())}
-                    | {c: pa.array(v, t) for c, v, t in zip(("id", "version", "piece", "start", "places", "region"), cols, types, strict=True)}
-                )
-
-    return docs.mapInArrow(run, "gram bigint, n bigint, id bigint, version bigint, piece bigint, start bigint, places array<bigint>, region binary")
-
-
-def _seeds(g: _Grams, counts: dict[int, int]) -> list[np.ndarray]:
-    """For each piece the places of its rare grams, among those that some document holds."""
-    never = np.iinfo(np.int64).max
-    first = np.searchsorted(g.h, g.h)
-    often = np.array([counts.get(x) or never for x in first.tolist()], dtype=np.int64)
-    out = []
-    for order in np.split(np.lexsort((g.place, g.piece)), np.cumsum(np.bincount(g.piece, minlength=len(g.size)))[:-1]):
-        n = often[order]
-        runs = np.lib.stride_tricks.sliding_window_view(n, min(_SPREAD, len(n)))
-        rare = np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
-        out.append(rare[n[rare] < never])
-    return out
+                if len(where):
+                    held = np.unique(np.stack((doc.owner[at[where]], first[gram])), axis=1)[1]
+                    total += np.bincount(held, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(seen), "n": pa.array(total[seen])})
+
+    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def rare(g: _Grams, counts: np.ndarray, n_docs: int) -> np.ndarray:
+    """Which grams are seeds, given in how many documents each occurs."""
+    often = np.where(counts > 0, counts, np.iinfo(np.int64).max)
+    seed = (counts > 0) & (counts <= max(_FEW, n_docs // _PART))
+    ends = np.cumsum(np.bincount(g.piece, minlength=len(g.size)))[:-1]
+    for order in np.split(np.lexsort((g.place, g.piece)), ends):
+        if len(order):
+            runs = np.lib.stride_tricks.sliding_window_view(often[order], min(_SPREAD, len(order)))
+            least = order[np.arange(len(runs)) + runs.argmin(axis=1)]
+            seed[least[counts[least] > 0]] = True
+    return seed
 
 
 def shared_words(words_of_item: tuple[np.ndarray, np.ndarray], region: np.ndarray) -> int:
@@ -162,65 +141,105 @@ def shared_words(words_of_item: tuple[np.ndarray, np.ndarray], region: np.ndarra
     return int(np.minimum(np.bincount(at[item[at] == region], minlength=len(item)), n).sum())
 
 
-def _aligned(found: DataFrame, block, least: float) -> DataFrame:
+class _Judge:
+    """Regions of documents that meet a piece in its seeds, and their alignments."""
+
+    def __init__(self, texts: list[np.ndarray], seed: np.ndarray, least: float):
+        self.texts, self.seed, self.least = texts, seed, least
+        self.grams = _Grams(texts)
+        self.n_grams = np.maximum(self.grams.size - GRAM + 1, 0)
+        self.n_seeds = np.bincount(self.grams.piece[seed], minlength=len(texts))
+        self.vocabulary: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def leaks(self, doc: words.Words) -> Iterator[tuple[int, int, float, int, int, int]]:
+        """(document, piece, score, seeds hit, first word, end word) of each leak."""
+        g = self.grams
+        h, at = doc.windows(GRAM)
+        where, gram = g.find(h)
+        if not len(where):
+            return
+        at = at[where]
+        owner, piece = doc.owner[at], g.piece[gram]
+        order = np.lexsort((at, piece, owner))
+        at, gram, owner, piece = at[order], gram[order], owner[order], piece[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1]) | (np.diff(at) > g.size[piece[1:]])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(at)))
+        enough = sizes >= np.minimum(2, self.n_grams[piece[starts]])
+        for a, n in zip(starts[enough].tolist(), sizes[enough].tolist(), strict=True):
+            hit, p, d = gram[a : a + n], int(piece[a]), int(owner[a])
+            if len(np.unique(g.place[hit])) < min(2, self.n_grams[p]):
+                continue
+            first, last = int(doc.first[d]), int(doc.first[d] + doc.count[d])
+            shift = at[a : a + n] - g.place[hit]
+            lo, hi = max(first, int(shift.min()) - _SLACK), min(last, int(shift.max() + g.size[p]) + _SLACK)
+            item, near = self.texts[p], doc.hashes[lo:hi]
+            wanted = min(max(self.least * 2 * len(item), 2 * min(len(item), 8)), 2 * _RUN)
+            seeds = len(np.unique(g.place[hit[self.seed[hit]]]))
+            if seeds < min(2, self.n_seeds[p]) or not seeds:
+                if p not in self.vocabulary:
+                    self.vocabulary[p] = np.unique(item, return_counts=True)
+                if 2 * shared_words(self.vocabulary[p], near) < wanted:
+                    continue
+            score, end = align(item, near)
+            if score >= wanted:
+                _, size = align(item[::-1], near[:end][::-1])
+                yield d, p, score / (2 * len(item)), seeds, lo - first + end - size, lo - first + end
+
+
+def _scan(docs: DataFrame, block, least: float) -> DataFrame:
+    kinds = {"id": pa.int64(), "version": pa.int64(), "piece": pa.int64(), "score": pa.float64(), "n_seeds": pa.int64(), "first_word": pa.int64(), "end_word": pa.int64()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_ids, texts, seeds = block.value
-        vocabulary: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            out = []
-            for i, version, p, start, places, region in zip(*(x.to_pylist() for x in columns(batch, "id", "version", "piece", "start", "places", "region")), strict=True):
-                n = len(np.intersect1d(places, seeds[p]))
-                item, near = np.frombuffer(texts[p], np.uint64), unpack(region, np.uint64)
-                enough = min(max(least * 2 * len(item), 2 * min(len(item), 8)), 2 * _RUN)
-                if n < min(2, len(seeds[p])):
-                    if p not in vocabulary:
-                        vocabulary[p] = np.unique(item, return_counts=True)
-                    if 2 * shared_words(vocabulary[p], near) < enough:
-                        continue
-                score, end = align(item, near)
-                if score >= enough:
-                    back, size = align(item[::-1], near[:end][::-1])
-                    out.append((i, version, item_ids[p], score / (2 * len(item)), n, start + end - size, start + end))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            made = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(("id", "version", "item_id", "score", "n_seeds", "first_word", "end_word"), made, types, strict=True)})
-
-    return found.mapInArrow(run, "id bigint, version bigint, item_id bigint, score double, n_seeds bigint, first_word bigint, end_word bigint")
+        judge = _Judge(*block.value, least)
+        for whole in batches:
+            for batch in pieces(whole, "text", 4 << 20):
+                ids, versions, text = (x.to_pylist() for x in columns(batch, "id", "version", "text"))
+                out = [(ids[d], versions[d], *rest) for d, *rest in judge.leaks(words.split([normal(t) for t in text]))]
+                made = list(zip(*out, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, t), v in zip(kinds.items(), made, strict=True)})
+
+    return docs.mapInArrow(run, "id bigint, version bigint, piece bigint, score double, n_seeds bigint, first_word bigint, end_word bigint")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.5) -> DataFrame:
     """doc_id, version, item_id, score, n_seeds, first_word and end_word of the best alignment of each leak."""
     spark = docs.sparkSession
-    items = materialise(_items(benchmark, item_col, item_text_col), "benchmark-pieces")
-    n_blocks, most = 1, items.agg(F.sum(F.length("words"))).first()[0] or 0
-    while most > _BLOCK:
-        n_blocks *= 2
-        sizes = items.groupBy(F.pmod(F.xxhash64("item_id", "piece", "words"), F.lit(n_blocks))).agg(F.sum(F.length("words")).alias("n"))
-        most = sizes.agg(F.max("n")).first()[0]
+    # equal pieces are one, whichever items hold them
+    items = materialise(_items(benchmark, item_col, item_text_col), "benchmark-items")
+    texts = materialise(items.select("words").distinct(), "benchmark-pieces")
+    n_blocks = max(1, -(-(texts.agg(F.sum(F.length("words"))).first()[0] or 0) // _BLOCK))
     picked = docs.select(docs[id_col].cast("bigint").alias("id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
-    out = None
+    n_docs, found = picked.count(), []
     for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "piece", "words"), F.lit(n_blocks)) == k).collect()
+        block = texts.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == k).collect()
         if not block:
             continue
-        texts = [bytes(r["words"]) for r in block]
-        found = materialise(_scan(picked, spark.sparkContext.broadcast(texts)), "benchmark-hits")
-        counts = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        seeds = _seeds(_Grams([np.frombuffer(t, np.uint64) for t in texts]), {r["gram"]: r["n"] for r in counts})
-        told = spark.sparkContext.broadcast(([r["item_id"] for r in block], texts, seeds))
-        part = _aligned(found.where("region is not null"), told, least)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = _aligned(spark.createDataFrame([], "id bigint, version bigint, piece bigint, start bigint, places array<bigint>, region binary"), None, least).limit(0)
-    best = out.groupBy("id", "version", "item_id").agg(F.max(F.struct("score", "n_seeds", -F.col("first_word"), "end_word")).alias("best"))
+        made = [np.frombuffer(bytes(r["words"]), np.uint64) for r in block]
+        told = spark.sparkContext.broadcast(made)
+        grams = _Grams(made)
+        counts = np.zeros(len(grams.h), dtype=np.int64)
+        seen = _counts(picked, told).toArrow()
+        counts[seen.column("gram").to_numpy()] = seen.column("n").to_numpy()
+        told.destroy()
+        judged = spark.sparkContext.broadcast((made, rare(grams, counts[np.searchsorted(grams.h, grams.h)], n_docs)))
+        part = materialise(_scan(picked, judged, least), "benchmark-leaks")
+        judged.destroy()
+        pieces_ = spark.createDataFrame(pa.table({"piece": pa.array(range(len(block)), pa.int64()), "words": pa.array([bytes(r["words"]) for r in block], pa.binary())}))
+        found.append(part.join(pieces_, "piece").join(items.select("item_id", "words"), "words").drop("words", "piece"))
+    if not found:
+        found = [spark.createDataFrame([], "id bigint, version bigint, score double, n_seeds bigint, first_word bigint, end_word bigint, item_id bigint")]
+    best = reduce(DataFrame.unionByName, found).groupBy("id", "version", "item_id").agg(F.max(F.struct("score", "n_seeds", -F.col("first_word"), "end_word")).alias("best"))
     return best.select(F.col("id").alias("doc_id"), "version", "item_id", F.round("best.score", 6).alias("score"), "best.n_seeds", (-F.col("best.col3")).alias("first_word"), "best.end_word")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, in their columns."""
+    leak, version = fresh(docs, "leak_id_", "leak_version_")
     found = materialise(contaminated(docs, benchmark, id_col, text_col).select("doc_id", "version").distinct(), "contaminated")
-    found = found.select(F.col("doc_id").alias("leak_id_"), F.col("version").alias("leak_version_"))
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("leak_id_")) & (F.xxhash64(docs[text_col]) == F.col("leak_version_"))
+    found = found.select(F.col("doc_id").alias(leak), F.col("version").alias(version))
+    same = docs[id_col].cast("bigint").eqNullSafe(found[leak]) & (F.xxhash64(docs[text_col]) == found[version])
     return docs.join(found, same, "left_anti")
 
 

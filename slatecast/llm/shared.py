@@ -42,14 +42,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``, with a part for each application.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder.
+    A session on one machine (master ``local``) without that setting gets a temporary folder; on a cluster the
+    setting is required, since a machine's own folders are no place for tables.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = os.path.join(tempfile.gettempdir(), "checkpoints", "slatecast")
-    return at.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{at.rstrip('/')}/slatecast-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that this application's operators wrote; frames that read them are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

@@ -88,3 +88,54 @@ def test_excerpts_of_long_items(llm):
     found = contaminated(llm.createDataFrame(made[0], "doc_id bigint, text string"), llm.createDataFrame(made[1], "item_id bigint, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, i) for d, (i, a, b) in enumerate(cuts) if b - a >= 40}
     assert all((r["first_word"], r["end_word"]) == (90, 90 + cuts[r["doc_id"]][2] - cuts[r["doc_id"]][1]) for r in found)
+
+
+def test_every_pair_against_plain_alignments(llm, documents, rows):
+    """All documents against all items, aligned whole by the plain table."""
+    import re
+
+    bench = llm.read.parquet(f"{SMALL}/benchmark.parquet")
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(documents, bench).collect()}
+    split = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    codes: dict[str, int] = {}
+    code = lambda t: np.array([codes.setdefault(w, len(codes)) for w in split(t)], dtype=np.uint64)
+    docs, items = {r["doc_id"]: code(r["text"]) for r in rows}, {r["item_id"]: code(r["text"]) for r in bench.collect()}
+    trigrams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    of_docs, want = {d: trigrams(w.tolist()) for d, w in docs.items()}, set()
+    for i, item in items.items():
+        grams = trigrams(item.tolist())
+        least = min(max(len(item), 2 * min(len(item), 8)), 80)
+        for d, w in docs.items():
+            if len(grams & of_docs[d]) >= min(2, len(grams)) and align(item, w)[0] >= least:
+                want.add((d, i))
+    assert want and found == want
+
+
+def test_excerpts_of_long_items_and_repeated_rows(llm):
+    rng = np.random.default_rng(11)
+    prose = lambda n: [f"w{rng.integers(0, 5000)}" for _ in range(n)]
+    items = {0: prose(300), 1: prose(600), 2: prose(512)}
+    docs = [(0, prose(60) + items[0][90:230] + prose(60)), (1, prose(60) + items[1][200:380] + prose(60)), (2, prose(400)), (3, items[2][:20] + prose(50))]
+    docs.append((4, prose(30) + [w if k % 5 else f"x{k}" for k, w in enumerate(items[1][300:480])]))
+    bench = llm.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    bench = bench.unionAll(llm.range(4400).selectExpr("2L AS item_id", f"'{' '.join(items[2])}' AS text"))
+    found = contaminated(llm.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string"), bench)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(0, 0), (1, 1), (4, 1)]
+
+
+def test_edited_copies_of_a_passage_that_many_documents_hold(llm):
+    """Rarity must not hide edited copies that outnumber the verbatim one."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: [f"w{rng.integers(0, 3000)}" for _ in range(n)]
+    item = prose(40)
+    edited = [f"edit{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    docs = [(k, prose(30) + edited + prose(30)) for k in range(120)] + [(500, prose(30) + item)] + [(600 + k, prose(90)) for k in range(20)]
+    found = contaminated(llm.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string"), llm.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert {r["doc_id"] for r in found.collect()} == {*range(120), 500}
+
+
+def test_clashing_columns(llm, awkward):
+    bench = llm.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    docs = awkward.withColumnsRenamed({"id": "leak_id_", "place": "LEAK_VERSION_", "component": "version"})
+    kept = drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == len(AWKWARD) - 3
