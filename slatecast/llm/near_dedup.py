@@ -16,9 +16,11 @@ consecutive coordinates then give candidates, and every link is confirmed on ful
 With the default 48 bands of 5, a pair at similarity 0.75 shares no bucket with a chance of 2e-6, and
 the sketch estimate of 240 coordinates falls below ``_REACH`` for such a pair with a chance of 1e-5.
 
-Cases: null or empty text has an empty set, linked with nothing. Rows with a null id are returned with a null
-component and kept. Rows that share an id share its component. Extra columns are ignored. An empty table
-gives an empty result.
+Cases: ids are integers. Null or empty text has an empty set, linked with nothing. Rows with a null id are returned
+with a null component and kept. Rows that share an id but not their text are grouped each by its own text; where
+such an id stands for several classes of equal sets, a link of any of them joins them all, and rows that share id
+and text stay or go together. ``version`` (a hash of the text) tells rows apart that share an id. Extra
+columns are ignored, and kept by ``drop_near_duplicates``, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .graph import components
-from .shared import columns, materialise, pieces, texts_of
+from .shared import columns, fresh, materialise, pieces, texts_of
 
 BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
@@ -41,6 +43,7 @@ _REACH = 0.62
 _BLOCK = 256  # members verified against a leader in one group
 _SEARCH = 2048  # members of a bucket held in one block
 _STREAM = 8192  # queries that one task sends past a block
+_BODIES = 32 << 20  # bytes of compressed texts of a block
 _HELD = 64 << 20  # bytes of full sets kept for a block
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -84,8 +87,8 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
-            for batch in pieces(whole, text_col, 2 << 20):
-                ids, text = columns(batch, id_col, text_col)
+            for batch in pieces(whole, "text", 2 << 20):
+                ids, text, version = columns(batch, "id", "text", "version")
                 texts = texts_of(text)
                 sets = shingle_sets(texts, k)
                 rows = sketch(sets)
@@ -93,6 +96,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": ids,
+                        "version": version,
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                         "set_a": pa.array(np.array([x.sum(dtype=np.uint64) for x in key], dtype=np.uint64).view(np.int64)),
                         "set_b": pa.array(np.array([np.bitwise_xor.reduce(words.mix(x + np.uint64(7))) if len(x) else 0 for x in key], dtype=np.uint64).view(np.int64)),
@@ -101,8 +105,8 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     }
                 )
 
-    picked = docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col])
-    return picked.mapInArrow(run, "id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, body binary")
+    picked = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("version"))
+    return picked.mapInArrow(run, "id bigint, version bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, body binary")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
@@ -122,19 +126,22 @@ def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        now, leader = None, np.zeros(0, np.uint64)
+        now, leaders = None, []  # an id has several sets where its rows differ in text
         for whole in batches:
             for batch in pieces(whole, "body", 1 << 20):
                 a, part, member, at, body = (x.to_pylist() for x in columns(batch, "a", "part", "member", "at", "body"))
                 out = []
                 for i, s in enumerate(shingle_sets([expand(x) for x in body], k)):
                     if not member[i]:
-                        now, leader = (a[i], part[i]), s
+                        leaders = [*leaders, s] if now == (a[i], part[i]) else [s]
+                        now = (a[i], part[i])
                         continue
                     assert now == (a[i], part[i])
-                    both = len(np.intersect1d(leader, s, assume_unique=True))
-                    if both and 100 * both >= percent * (len(leader) + len(s) - both):
-                        out.append((a[i], at[i]))
+                    for leader in leaders:
+                        both = len(np.intersect1d(leader, s, assume_unique=True))
+                        if both and 100 * both >= percent * (len(leader) + len(s) - both):
+                            out.append((a[i], at[i]))
+                            break
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -149,9 +156,9 @@ def _cross(members: DataFrame, sketches: DataFrame, k: int, percent: int) -> Dat
     while no link of this block has joined its components. It is verified there on full sets, so only links
     leave the task.
     """
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    homes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("home"), F.sum("size").alias("n")).where("n > home.size")
-    blocks, chunks = F.ceil(F.col("n") / _SEARCH).cast("int"), F.ceil((F.col("n") - F.col("home.size")) / _STREAM).cast("int")
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    homes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("home"), F.sum("size").alias("n"), F.sum("bytes").alias("bytes")).where("n > home.size")
+    blocks, chunks = F.ceil(F.greatest(F.col("n") / _SEARCH, F.col("bytes") / _BODIES)).cast("int"), F.ceil((F.col("n") - F.col("home.size")) / _STREAM).cast("int")
     homes = materialise(homes.select(F.col("bucket").alias("at"), F.col("home.component").alias("home"), blocks.alias("blocks"), chunks.alias("chunks")), "homes")
     rows = members.join(homes, F.col("bucket") == F.col("at"))
     dealt, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -240,10 +247,10 @@ class _Block:
 def _links(table: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Components of class representatives that have a link."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i).alias("bucket")))
-    placed = classes.select(F.col("first").alias("id"), F.inline(bands))
+    placed = classes.select(F.col("first").alias("id"), "bytes", F.inline(bands))
     lead = placed.groupBy("bucket", "band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     lead = materialise(lead.select(F.col("bucket").alias("at"), "leader"), "leaders")
-    members = materialise(placed.join(lead, F.col("bucket") == F.col("at")).select("bucket", "band", "id", "leader"), "members")
+    members = materialise(placed.join(lead, F.col("bucket") == F.col("at")).select("bucket", "band", "id", "bytes", "leader"), "members")
     inside = members.select(F.col("id").alias("own")).distinct()
     table = materialise(table.join(inside, F.col("id") == F.col("own"), "left_semi").dropDuplicates(["id", "set_a", "set_b"]), "placed")
     stars = members.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("bands"))
@@ -251,38 +258,40 @@ def _links(table: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     pairs = best.select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
     links = materialise(_verified(pairs, table.select("id", "body"), k, percent), "links")
     known = components(links).withColumnRenamed("id", "node")
-    members = members.join(known, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
+    members = members.join(known, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "bytes", F.coalesce("component", "id").alias("component"))
     more = _cross(materialise(members, "grouped"), table, k, percent)
     return components(links.union(materialise(more, "links")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that the row's document reaches by links) and kept."""
+    """doc_id, version, n_shingles, component_id (smallest id that the row's document reaches by links) and kept."""
     table = materialise(_sketched(docs, id_col, text_col, k), "sketches")
     classes = table.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b", "n_shingles")
-    classes = materialise(classes.agg(F.min("id").alias("first"), F.min_by("sketch", "id").alias("sketch"), F.count("*").alias("copies")), "classes")
+    classes = materialise(classes.agg(F.min("id").alias("first"), F.min_by("sketch", "id").alias("sketch"), F.max(F.length("body")).alias("bytes"), F.count("*").alias("copies")), "classes")
     found = _links(table, classes, k, percent)
     several = classes.where("copies > 1").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.col("n_shingles").alias("n"), "first")
-    rows = table.select("id", "n_shingles", "set_a", "set_b")
+    rows = table.select("id", "version", "n_shingles", "set_a", "set_b")
     rows = rows.join(several, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")) & (F.col("n_shingles") == F.col("n")), "left")
-    rows = rows.select("id", "n_shingles", F.coalesce("first", "id").alias("node"))
+    rows = rows.select("id", "version", rows["n_shingles"], F.coalesce("first", "id").alias("node"))
     rows = materialise(rows, "nodes").join(found.withColumnRenamed("id", "own"), F.col("node") == F.col("own"), "left")
     component = F.coalesce("component", "node")
-    return rows.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return rows.select(F.col("id").alias("doc_id"), "version", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """The documents, in their columns, without those that a document with a smaller id stands for.
 
-    Rows with a null id stay. Rows that share an id stay or go together.
+    Rows with a null id stay. Rows that share id and text stay or go together.
     """
+    gone_id, gone_version = fresh(docs, "gone_id_", "gone_version_")
     found = near_duplicates(docs, id_col, text_col, k, percent).where("not kept")
-    gone = materialise(found.select(F.col("doc_id").alias("gone_id_")).distinct(), "near-duplicates")
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("gone_id_"), "left_anti")
+    gone = materialise(found.select(F.col("doc_id").alias(gone_id), F.col("version").alias(gone_version)).distinct(), "near-duplicates")
+    same = (docs[id_col].cast("bigint") == gone[gone_id]) & (F.xxhash64(docs[text_col]) == gone[gone_version])
+    return docs.join(gone, same, "left_anti")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at similarity 0.75 of five-word shingles."""
     from .shared import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("version")

@@ -1,7 +1,8 @@
 """MinHash near-dedup against all pairs of full sets."""
 
 import numpy as np
-from slatecast.llm.near_dedup import COORDINATES, near_duplicates, shingle_sets, sketch
+from slatecast.llm.graph import components
+from slatecast.llm.near_dedup import COORDINATES, drop_near_duplicates, near_duplicates, shingle_sets, sketch
 
 from plain import AWKWARD, WORDS
 
@@ -70,3 +71,41 @@ def test_sketches_estimate_similarity():
         true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
         x, y = sketch(sets)
         assert abs((x == y).mean() - true) < 5 / COORDINATES**0.5 * 0.5 + 1 / 128
+
+
+def test_long_chains_take_few_rounds(llm):
+    """Rising chains, where every node but the first points one step back, in one round of log n passes."""
+    n = 1000
+    edges = llm.range(1, n).selectExpr("id AS a", "id + 1 AS b").union(llm.createDataFrame([(5000, 5001), (5001, 4999), (7, 7), (None, 3)], "a bigint, b bigint"))
+    rounds: list[int] = []
+    got = {r["id"]: r["component"] for r in components(edges, rounds).collect()}
+    assert got == {**{k: 1 for k in range(1, n + 1)}, **{k: 4999 for k in (4999, 5000, 5001)}}
+    assert sum(rounds) <= 12
+
+
+def test_random_graphs(llm):
+    rng = np.random.default_rng(4)
+    for n, m in ((60, 40), (60, 90)):
+        pairs = [tuple(map(int, p)) for p in rng.integers(0, n, (m, 2))]
+        parent = list(range(n))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        got = {r["id"]: r["component"] for r in components(llm.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+        assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
+
+
+def test_rows_that_share_an_id_and_clashing_columns(llm):
+    words_ = lambda seed: " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 4000, 40))
+    a, b, c = words_(1), words_(2), words_(3)
+    rows = [(3, a), (5, a), (5, b), (7, b + " tail"), (9, c), (9, c)]
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS gone_id_", "2 AS GONE_VERSION_", "3 AS version")
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(3, a), (5, b), (9, c), (9, c)])
