@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialise
+from .shared import fresh, let, materialise
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -53,12 +53,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The documents, in their columns, without repeated lines; with ``counts`` also n_lines and n_removed."""
     gone = repeated_windows(docs, id_col, text_col)
-    gone = gone.select(*(F.col(c).alias(f"gone_{c}_") for c in ("id", "version", "starts")))
+    gone_id, gone_version, starts = fresh(docs, "gone_id_", "gone_version_", "gone_starts_")
+    gone = gone.select(F.col("id").alias(gone_id), F.col("version").alias(gone_version), F.col("starts").alias(starts))
     text = docs[text_col]
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id_")) & (F.xxhash64(text) == F.col("gone_version_")), "left")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]) & (F.xxhash64(text) == gone[gone_version]), "left")
 
     def places(counted: Column) -> Column:
-        covered = F.flatten(F.transform(F.col("gone_starts_"), lambda s: F.array(*(F.get(counted, s + k)["at"] for k in range(3)))))
+        covered = F.flatten(F.transform(gone[starts], lambda s: F.array(*(F.get(counted, s + k)["at"] for k in range(3)))))
         return F.array_distinct(covered)
 
     def without(lines: Column) -> Column:
@@ -66,13 +67,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
         return F.struct(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n").alias("text"), F.size(covered).alias("n"))
 
-    done = F.when(F.col("gone_starts_").isNotNull(), let(_lines(text), without))
-    out = joined.withColumn("gone_done_", done)
-    kept_text = F.when(F.col("gone_done_").isNull(), text).otherwise(F.col("gone_done_.text"))
+    (made,) = fresh(docs, "gone_done_")
+    done = F.when(gone[starts].isNotNull(), let(_lines(text), without))
+    out = joined.withColumn(made, done)
+    kept_text = F.when(F.col(made).isNull(), text).otherwise(F.col(f"{made}.text"))
     cols = [kept_text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
         n_lines = F.size(F.filter(_lines(text), lambda x: x.rlike(HAS_WORD)))
-        cols += [n_lines.cast("bigint").alias("n_lines"), F.coalesce("gone_done_.n", F.lit(0)).cast("bigint").alias("n_removed")]
+        cols += [n_lines.cast("bigint").alias("n_lines"), F.coalesce(f"{made}.n", F.lit(0)).cast("bigint").alias("n_removed")]
     return out.select(*cols)
 
 

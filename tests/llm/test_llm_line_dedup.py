@@ -34,3 +34,10 @@ def test_awkward_rows(awkward, no_documents):
     assert got(awkward) == expected([(r[0], r[1]) for r in AWKWARD])
     assert drop_repeated_lines(awkward).columns == awkward.columns
     assert got(no_documents) == []
+
+
+def test_clashing_columns(llm):
+    docs = llm.createDataFrame([(1, "a\nb\nc", 1, 2, 3), (2, "x\na\nb\nc", 4, 5, 6)], "doc_id bigint, text string, gone_id_ int, GONE_STARTS_ int, gone_done_ int")
+    got = drop_repeated_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb\nc", 1, 2, 3), (2, "x", 4, 5, 6)]
