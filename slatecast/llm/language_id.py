@@ -6,7 +6,7 @@ stochastic gradient descent, in numpy, on the driver, from a sample of at most `
 of each of at most ``languages`` languages. The average of the subwords' embeddings goes through the softmax,
 so a bucket's share of every logit is one row of a small table, and a text is scored by summing rows.
 
-A fifth of the sample calibrates: a temperature that makes the scores of short passages probabilities, and the score under which a
+A fifth of the sample calibrates, with at most ``passages`` passages drawn from each document: a temperature that makes the scores of short passages probabilities, and the score under which a
 prediction is rejected, the highest that rejects at most ``false_reject`` of right predictions.
 
 Cases: text that is null or has no letter is ``und`` with score 0, and rejected; so is everything if no
@@ -16,26 +16,29 @@ whole, in segments. Repeated rows are judged alike. Extra columns are ignored; a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import columns, pieces
 
 BUCKETS, WIDTH, SIZES = 1 << 16, 12, (2, 3, 4)
-_NO_LETTER = re.compile(r"[\W\d_]+")
+_LETTER, _NO_LETTER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")  # marks belong to the letters before them
 _SEGMENT = 1 << 20
 _SNIPPET = 160
 
 
 def letters(text: str | None) -> bytes:
-    """The words of letters of a text, lower-cased, each with a space on either side."""
-    kept = _NO_LETTER.sub(" ", (text or "").lower()).strip().encode()
+    """The words of letters of a text, lower-cased, each with a space on either side; nothing, if it has no letter."""
+    if not text or not _LETTER.search(text):
+        return b""
+    kept = _NO_LETTER.sub(" ", text.lower()).strip().encode()
     return b" " + kept + b" " if kept else b""
 
 
@@ -104,8 +107,8 @@ def _snippets(text: bytes) -> list[bytes]:
     return out
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 3, most: int = 3000, false_reject: float = 0.002, seed: int = 1) -> Model | None:
-    """Fit the model; ``most`` snippets of each language are seen in each epoch."""
+def train(texts: list[str], langs: list[str], epochs: int = 3, most: int = 3000, false_reject: float = 0.002, seed: int = 1, size: int = 16, passages: int = 8) -> Model | None:
+    """Fit the model; ``most`` snippets of each language are seen in each epoch, ``size`` in a step."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     rows = [(letters(t), names.index(y)) for t, y in zip(texts, langs, strict=True)]
@@ -120,27 +123,33 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, most: int = 3000,
             pool[y] += _snippets(text)
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     soft, bias = np.zeros((WIDTH, len(names)), np.float32), np.zeros(len(names), np.float32)
-    turns = sum(min(len(p), most) for p in pool) * epochs
+    turns = max(1, sum(-(-min(len(p), most) // size) for p in pool)) * epochs
     turn = 0
     for _ in range(epochs):
-        batch = [(s, y) for y, p in enumerate(pool) for s in (p if len(p) <= most else [p[k] for k in rng.choice(len(p), most, replace=False)])]
-        for k in rng.permutation(len(batch)).tolist():
-            text, y = batch[k]
-            found = subwords(text)
-            rate = 0.5 * (1 - turn / turns)
+        seen = [(s, y) for y, p in enumerate(pool) for s in (p if len(p) <= most else [p[k] for k in rng.choice(len(p), most, replace=False)])]
+        order = rng.permutation(len(seen))
+        for part in (order[i : i + size].tolist() for i in range(0, len(order), size)):
+            rate = 0.5 * max(0.0, 1 - turn / turns)
             turn += 1
-            if not len(found):
+            step = [(f, seen[k][1]) for k in part for f in (subwords(seen[k][0]),) if len(f)]
+            if not step:
                 continue
-            mean = embed[found].mean(axis=0)
+            found, of = zip(*step, strict=True)
+            n = np.array([len(f) for f in found])
+            every = np.concatenate(found)
+            mean = np.add.reduceat(embed[every], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0) / n[:, None]
             error = -_softmax(mean @ soft + bias)
-            error[y] += 1
-            back = soft @ error
-            soft += rate * np.outer(mean, error)
-            bias += rate * 0.1 * error
-            np.add.at(embed, found, (rate * 8 / len(found)) * back)
+            error[np.arange(len(of)), of] += 1
+            back = error @ soft.T * (rate * 8 / n)[:, None]
+            soft += (rate * mean.T @ error).astype(np.float32)
+            bias += (rate * 0.1 * error.sum(axis=0)).astype(np.float32)
+            np.add.at(embed, every, np.repeat(back, n, axis=0).astype(np.float32))
     model = Model(names, embed @ soft, bias, 0.0)
     checked = [rows[i] for i in sorted(held)] or rows
-    short = [(part, y) for text, y in checked for part in _snippets(text)[:8]]
+    short = []
+    for text, y in checked:
+        parts = _snippets(text)
+        short += [(parts[k], y) for k in sorted(rng.permutation(len(parts))[:passages].tolist())]
 
     def judged(pairs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.log(np.maximum(model.scores([t for t, _ in pairs]), 1e-30)), np.array([y for _, y in pairs])
@@ -176,17 +185,17 @@ def _sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_co
 def identify(docs: DataFrame, labelled: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, languages: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, lang_pred, score and rejected for every row of ``docs``.
 
-    The model learns from rows of ``labelled`` where ``usable`` holds; their id only spreads the sample.
+    The model learns from rows of ``labelled`` where ``usable`` holds; their id only spreads the sample. It
+    knows the ``languages`` most frequent languages of the labels, and no others.
     """
     rows = _sample(labelled, usable, id_col, text_col, lang_col, per_language, languages).collect()
     rows = sorted((r["lang"], r["text"]) for r in rows)
     model = train([t for _, t in rows], [y for y, _ in rows])
     told = docs.sparkSession.sparkContext.broadcast(model)
-    fields = {f.name: f for f in docs.schema.fields}
     names = list(dict.fromkeys((id_col, *keep, text_col)))
     picked = docs.select(*(docs[c] for c in names))
     kept = [c for c in names if c in (id_col, *keep)]
-    schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double, rejected boolean"])
+    schema = StructType([*picked.select(*(picked[c] for c in kept)).schema.fields, *StructType.fromDDL("lang_pred string, score double, rejected boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value
@@ -211,9 +220,12 @@ def fold(id_col: Column) -> Column:
 
 def known_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is not rejected, in their columns."""
-    usable = fold(labelled[id_col]) != 1
-    found = identify(docs, labelled, usable, id_col, text_col, lang_col, keep=tuple(docs.columns))
-    return found.where("not rejected").select(*docs.columns)
+    # own columns go by place, so that columns called score or rejected don't clash
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    called = dict(zip(docs.columns, names, strict=True))
+    learned = labelled.select(*(labelled[c].alias(called[c]) for c in (id_col, text_col, lang_col)))
+    found = identify(docs.toDF(*names), learned, fold(learned[called[id_col]]) != 1, called[id_col], called[text_col], called[lang_col], keep=tuple(names))
+    return found.where("not rejected").select(*(F.col(n).alias(c) for c, n in called.items()))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -37,3 +37,17 @@ def test_subwords_stay_within_words():
     assert text == " ab çd ".encode()
     parts = [subwords(letters(w)) for w in ("ab", "çd")]
     assert sorted(subwords(text).tolist()) == sorted(x for p in parts for x in p.tolist())
+
+
+def test_letters_are_unicode_letters():
+    assert letters("½ ² Ⅷ 12 _ — ́") == b"" and letters(None) == b""
+    assert letters("Hí, ½ नमस्ते") == " hí नमस्ते ".encode()
+
+
+def test_clashing_columns(llm, documents):
+    docs = documents.selectExpr("*", "1 AS score", "2 AS rejected", "3 AS lang_pred", "4 AS c0")
+    kept = known_languages(docs, docs)
+    plain = known_languages(documents, documents)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in plain.select("doc_id").collect()}
+    assert kept.where("score <> 1 or rejected <> 2 or lang_pred <> 3 or c0 <> 4").count() == 0
