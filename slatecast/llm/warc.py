@@ -7,12 +7,13 @@ least ``LEAST`` bytes the page with the smallest id is a response and the others
 ``read_archives`` parses the files back into one entry for each record, with the digest of the payload as read.
 
 ``merge_index`` orders entries by URL key and time as an external merge: each task sorts runs of at most ``_RUN``
-entries and cuts them at range bounds, which come from a sample of at most ``_PER_RANGE`` keys a range. A
-range's task then merges its runs with a loser tree. Run pieces come to it ordered by their first entry, and one is
+entries and cuts them at range bounds, which come from a sample of at most ``_PER_RANGE`` keys a range; there are as
+many ranges as shuffle partitions, ``_RANGES`` at most, so that what the driver holds doesn't grow with the entries. A
+range's task then merges its runs with a loser tree, row by row, however many they are. Run pieces come to it ordered by their first entry, and one is
 opened only when the merge gets there. Bounds hold time and id beside the key, so the captures of one URL may
 fill many ranges.
 
-Cases: null html is an empty payload; null URLs are written and sorted as empty. A null id sorts first; it is never
+Cases: ids are integers. Null html is an empty payload; null URLs are written and sorted as empty. A null id sorts first; it is never
 referred to, and is a revisit where an equal payload has an id. Rows that repeat the id and payload of a
 response are responses, too. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import columns, materialise, pieces, shared_dir
 
 LEAST = 100
-_ARCHIVE, _RUN, _CHUNK, _PER_RANGE = 16 << 20, 50_000, 2_000, 40
+_ARCHIVE, _RUN, _CHUNK, _PER_RANGE, _RANGES = 16 << 20, 50_000, 2_000, 40, 2_048
 _END = "\r\n\r\n"
 _EPOCH = 1_577_836_800
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -221,7 +222,7 @@ def merge_index(entries: DataFrame, n_ranges: int | None = None) -> DataFrame:
     spark = entries.sparkSession
     entries = materialise(entries, "warc-entries")
     n = entries.count()
-    n_ranges = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 200_000))
+    n_ranges = min(n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 200_000)), _RANGES)
     share = min(1.0, n_ranges * _PER_RANGE / max(n, 1))
     spread = F.xxhash64(*_KEY, "archive", "offset").cast("double") / 2.0**64 + 0.5
     drawn = entries.where(spread < share).select(*_KEY, "archive", "offset").limit(2 * n_ranges * _PER_RANGE).collect()
