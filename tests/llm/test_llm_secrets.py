@@ -1,11 +1,15 @@
 """Secret scans: base rules against the plain patterns, the network against made and corpus findings."""
 
+import base64
 import hashlib
+import random
 import re
+import uuid
 
 import numpy as np
+import pytest
 from plain import AWKWARD
-from slatecast.llm.secrets import base_findings, candidates, fit, made_findings, made_runs, scan, view, windows
+from slatecast.llm.secrets import _free, base_findings, candidates, fit, made_findings, scan, view, windows
 
 PATTERNS = (
     (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -56,28 +60,87 @@ def test_base_rules_on_odd_strings():
         assert base_findings(text) == plain(text)
 
 
-def test_network_finds_unseen_keys(rows):
-    net = fit([r["text"] for r in rows])
+_LOW, _UP, _NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def families(seed):
+    """Keys and harmless runs drawn here, apart from what the network learns from."""
+    rng = random.Random(seed)
+    r = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    keys = {
+        "two prefixes": lambda: "sk_live_" + r(_LOW + _UP + _NUM, 24),
+        "one prefix": lambda: "ghp_" + r(_LOW + _UP + _NUM, 36),
+        "numbers and letters": lambda: f"xoxb-{r(_NUM, 12)}-{r(_NUM, 12)}-{r(_LOW + _UP + _NUM, 24)}",
+        "joined": lambda: "AIza" + r(_LOW + _UP + _NUM + "_-", 35),
+        "in three parts": lambda: f"eyJ{r(_LOW + _UP + _NUM, 30)}.eyJ{r(_LOW + _UP + _NUM, 60)}.{r(_LOW + _UP + _NUM + '_-', 43)}",
+        "url-safe base64": lambda: base64.urlsafe_b64encode(rng.randbytes(32)).decode(),
+        "forty": lambda: r(_LOW + _UP + _NUM + "+/", 40),
+        "in a hook's path": lambda: f"//hooks.example.com/services/T{r(_UP + _NUM, 8)}/B{r(_UP + _NUM, 8)}/{r(_LOW + _UP + _NUM, 24)}",
+        "letters of both cases": lambda: r(_LOW + _UP, 32),
+    }
+    harmless = {
+        "uuid": lambda: str(uuid.UUID(bytes=rng.randbytes(16), version=4)),
+        "address": lambda: f"john.smith{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com",
+        "version": lambda: f"linux-{rng.randint(2, 6)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}-generic-x86",
+        "file": lambda: rng.choice(["docs/getting-started/installation-guide.html", "src/main/java/com/example/App.java", "usr/local/lib/site-packages/numpy"]),
+        "word": lambda: rng.choice(["Rechtsschutzversicherungsgesellschaften", "Donaudampfschifffahrtsgesellschaft", "internationalization", "Geschwindigkeitsbegrenzung"]),
+        "number": lambda: f"978-3-16-{r(_NUM, 6)}-{r(_NUM, 1)}A",
+    }
+    return keys, harmless
+
+
+def shown(run, rng):
+    text = rng.choice(["see ", "key: ", "the value is ", "and then "]) + run + " and so on"
+    spans = candidates(text)
+    return text, [s for s, free in zip(spans, _free(spans, base_findings(text)), strict=True) if free]
+
+
+@pytest.fixture(scope="module")
+def net(rows):
+    return fit([r["text"] for r in rows if base_findings(r["text"] or "")])
+
+
+def flagged(net, text, spans):
+    return any(net.probability(np.array([view(text, lo, hi) for lo, hi in windows(a, b)])).max() >= net.threshold for a, b in spans)
+
+
+def test_network_on_families_that_it_never_saw(net):
+    keys, harmless = families(77)
+    rng = random.Random(1)
+    recall = {k: np.mean([flagged(net, *shown(make(), rng)) for _ in range(150)]) for k, make in keys.items()}
+    assert np.mean(list(recall.values())) >= 0.93 and min(recall.values()) >= 0.8, recall
+    false = {k: np.mean([flagged(net, *shown(make(), rng)) for _ in range(150)]) for k, make in harmless.items()}
+    assert max(false.values()) <= 0.05, false
+
+
+def test_network_alone_on_made_runs(net):
     made = made_findings(600, seed=77)
-    p = net.probability(np.array([view(t, a, b) for t, a, b, _ in made]))
-    y = np.array([label for *_, label in made])
-    assert (p[y == 1] >= net.threshold).mean() >= 0.85
-    assert (p[y == 0] >= net.threshold).mean() <= 0.05
-    assert candidates("x 12-34-56-78-90 abcdefghijkl abc1defghijkl") == [(30, 43)]
+    hit = np.array([flagged(net, t, [(a, b)]) for t, a, b, *_ in made])
+    y = np.array([c < d for _, _, _, c, d, _ in made])
+    assert hit[y].mean() >= 0.93 and hit[~y].mean() <= 0.05
 
 
-def test_keys_inside_long_runs_and_keys_without_digits(rows):
-    net = fit([r["text"] for r in rows])
-    best = lambda t, a, b: max(net.probability(np.array([view(t, lo, hi) for lo, hi in windows(a, b)])))
+def test_whole_candidates_are_read(net):
     assert candidates("qWeRtYuIoPaS abcdefghijklmnopqrst abcdefghijkl --------------------") == [(0, 12), (13, 33)]
+    assert candidates("x 12-34-56-78-90 abcdefghijkl abc1defghijkl") == [(30, 43)]
     for n in (12, 40, 41, 60, 61, 500):
         seen = windows(3, 3 + n)
         assert seen[0][0] == 3 and seen[-1][1] == 3 + n and all(b - a <= 40 for a, b in seen)
         assert all(c - a <= 20 for (a, _), (c, _) in zip(seen, seen[1:]))
-    made = [(best(t, a, b) >= net.threshold, c < d) for t, a, b, c, d in made_runs(600, seed=78)]
-    assert np.mean([p for p, key in made if key]) >= 0.85
-    assert np.mean([p for p, key in made if not key]) <= 0.05
-    lead, tail = "post to https:", "/deliver-events-now ok"
-    paths = [f"//hooks.example.com/services/T01/B02/{k}" for k in ("k9XvQ2mZr7LpW4tYb8NcHs3D", "everydaymanagementreports")]
-    scores = [best(lead + p + tail, len(lead), len(lead) + len(p) + len(tail) - 3) for p in paths]
-    assert scores[0] >= net.threshold > scores[1]
+    for key in ("k9XvQ2mZr7LpW4tYb8NcHs3D", "everydaymanagementreports"):
+        text = f"post to https://services.example.com/main/area/{key}/deliver-events-now-and-later ok"
+        assert flagged(net, text, candidates(text)) == (key[0] == "k")
+
+
+def test_table_with_secrets_that_no_base_rule_finds(llm, documents, rows):
+    """Planted keys are added as spans of the model, and clean documents get none."""
+    keys, _ = families(5)
+    rng = random.Random(2)
+    planted = [(1_000_000 + k, f"{r['text'] or ''}\nconnect with {make()} please") for k, (r, make) in enumerate((rows[k], make) for k, make in enumerate(list(keys.values()) * 4))]
+    rng.shuffle(planted)
+    both = documents.select("doc_id", "text").union(llm.createDataFrame(planted, "doc_id bigint, text string"))
+    out = {r["doc_id"]: r for r in scan(both).collect()}
+    texts = dict(planted)
+    found = [out[i]["n_model"] >= 1 and any(s.startswith("model") and int(s.split(":")[1]) >= len(t) - 200 for s in out[i]["spans"].split(",")) for i, t in texts.items()]
+    assert np.mean(found) >= 0.85
+    assert sum(out[r["doc_id"]]["n_model"] > 0 for r in rows) <= 0.02 * len(rows)
