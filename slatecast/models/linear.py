@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import quantiles
+
 
 @dataclass
 class Fit:
@@ -127,9 +129,11 @@ def decay_fit(df: DataFrame, keys: Sequence[str], week: str, amount: str) -> Dat
 
 def intervals(train: DataFrame, residual: str, bucket: str, levels: Sequence[float] = (0.5, 0.8, 0.9), least: int = 5) -> DataFrame:
     """For each bucket the quantiles of absolute residuals; buckets of fewer than ``least`` rows take the global ones."""
-    q = F.percentile(F.abs(F.col(residual)), F.array(*(F.lit(x) for x in levels)))
-    own = train.groupBy(bucket).agg(F.count("*").alias("n"), q.alias("own_"))
-    all_ = train.agg(q.alias("all_"))
+    sizes = train.withColumn("abs_", F.abs(F.col(residual)))
+    names = [f"q{k}" for k in range(len(levels))]
+    own = quantiles(sizes, "abs_", levels, [bucket]).select(bucket, F.array(*names).alias("own_"))
+    own = train.groupBy(bucket).agg(F.count("*").alias("n")).join(own, bucket)
+    all_ = quantiles(sizes, "abs_", levels).select(F.array(*names).alias("all_"))
     chosen = F.when(F.col("n") >= least, F.col("own_")).otherwise(F.col("all_"))
     source = F.when(F.col("n") >= least, "bucket").otherwise("global")
     return own.crossJoin(F.broadcast(all_)).select(bucket, "n", source.alias("source"), *(F.get(chosen, F.lit(k)).alias(f"q{int(100 * x)}") for k, x in enumerate(levels)))

@@ -4,33 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_divide
+from .ranks import quantiles
+
+
+def group_concentration(df: DataFrame, group: Sequence[str], entity: str, amount: str, top: int = 6) -> DataFrame:
+    """For each group: s_ (sum), q_ (sum of squares), n_ (count) and top_ (its ``top`` largest, largest first).
+
+    Amounts that aren't positive are dropped. Ranks above ``top`` are cut before rows are shuffled, so a
+    group of any size adds up to ``top`` rows a task.
+    """
+    rows = df.where(F.col(amount) > 0).select(*group, entity, amount)
+    order = Window.partitionBy(*group).orderBy(F.desc(amount), F.desc(entity))
+    best = rows.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= top)
+    best = best.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(amount), F.col(entity))), asc=False).alias("top_"))
+    total = rows.groupBy(*group).agg(F.sum(amount).alias("s_"), F.sum(F.col(amount).cast("double") ** 2).alias("q_"), F.count("*").alias("n_"))
+    return total.join(best, list(group))
+
+
+def without_self(entity: str, amount: str, own: Column) -> dict[str, Column]:
+    """What the others of a group come to, from the columns of ``group_concentration``.
+
+    ``own`` is the entity's amount there, null or not positive where it isn't in the group.
+    """
+    mine = F.when(own > 0, own)
+    exact = F.coalesce(F.col("s_") - F.coalesce(mine, F.lit(0)), F.lit(0))
+    total, part = exact.cast("double"), F.coalesce(mine.cast("double"), F.lit(0.0))
+    others = F.transform(F.slice(F.filter("top_", lambda x: x[entity] != F.col(entity)), 1, 5), lambda x: x[amount].cast("double"))
+    top = lambda n: F.coalesce(F.aggregate(F.slice(others, 1, n), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    return {
+        "others_total": total,
+        "others_top1": top(1),
+        "others_top3": top(3),
+        "others_top5": top(5),
+        "others_count": F.coalesce(F.col("n_"), F.lit(0)) - mine.isNotNull().cast("long"),
+        "others_hhi": F.when(exact > 0, F.greatest((F.col("q_") - part * part) / (total * total), F.lit(0.0))).otherwise(0.0),
+        "own_share": safe_divide(part, total + part),
+    }
 
 
 def concentration_without_self(df: DataFrame, group: Sequence[str], entity: str, amount: str) -> DataFrame:
-    """For each entity of a group, what the others come to: total, top1, top3, count, hhi and its own share.
+    """For each entity of a group, what the others come to: total, top1, top3, top5, count, hhi and its own share.
 
-    Amounts that aren't positive are dropped. A group is summed once, with its four largest entities: each member then
-    takes itself away, so no pair of entities is ever made.
+    A group is summed once: each member then takes itself away, so no pair of entities is ever made.
     """
-    rows = df.where(F.col(amount) > 0)
-    top = F.slice(F.sort_array(F.collect_list(F.struct(F.col(amount), F.col(entity))), asc=False), 1, 4)
-    total = rows.groupBy(*group).agg(F.sum(amount).alias("s_"), F.sum(F.col(amount).cast("double") ** 2).alias("q_"), F.count("*").alias("n_"), top.alias("top_"))
-    joined = rows.join(total, list(group))
-    rest, own = F.col("s_") - F.col(amount), F.col(amount).cast("double")
-    others = F.transform(F.slice(F.filter("top_", lambda x: x[entity] != F.col(entity)), 1, 3), lambda x: x[amount].cast("double"))
-    return joined.select(
-        *group, entity, amount,
-        rest.cast("double").alias("others_total"),
-        F.coalesce(F.get(others, F.lit(0)), F.lit(0.0)).alias("others_top1"),
-        F.aggregate(others, F.lit(0.0), lambda a, x: a + x).alias("others_top3"),
-        (F.col("n_") - 1).alias("others_count"),
-        F.when(rest > 0, (F.col("q_") - own * own) / (rest.cast("double") * rest.cast("double"))).otherwise(0.0).alias("others_hhi"),
-        safe_divide(own, F.col("s_")).alias("own_share"),
-    )
+    joined = df.where(F.col(amount) > 0).join(group_concentration(df, group, entity, amount), list(group))
+    return joined.select(*group, entity, amount, *(v.alias(c) for c, v in without_self(entity, amount, F.col(amount)).items()))
 
 
 def accuracy(df: DataFrame, sets: Sequence[Sequence[str]], actual: str, predicted: str, low: str | None = None, high: str | None = None) -> DataFrame:
@@ -61,7 +83,8 @@ def block_pivot(df: DataFrame, keys: Sequence[str], block: str, blocks: Sequence
 def descriptives(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """For each column: n, mean, sample sd (0 if n is below 2), median, min and max."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select("v.*").where("x IS NOT NULL")
-    return long.groupBy("variable").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = long.groupBy("variable").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return out.join(quantiles(long, "x", [0.5], ["variable"]).withColumnRenamed("q0", "median"), "variable")
 
 
 def checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

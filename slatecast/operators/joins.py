@@ -71,16 +71,19 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, checks: Sequence[tuple[str,
     return joined.select(key, F.explode(F.array_compact(F.array(*rows))).alias("i_")).select(key, "i_.*")
 
 
-def resolve(items: DataFrame, candidates: Sequence[DataFrame], item_key: str, entity: str, methods: Sequence[str]) -> DataFrame:
+def resolve(items: DataFrame, methods: Sequence[tuple[str, DataFrame, Sequence[str]]], item_key: str, entity: str) -> DataFrame:
     """Entity matching by a cascade: the first method with candidates decides, and one candidate only is a match.
 
-    ``candidates`` are (item_key, entity) tables in order of trust. Gives item_key, status, method and the entity.
+    ``methods`` are (name, table of candidates, columns that it shares with the items) in order of trust. Candidates are
+    counted by their columns first, so that a method adds one row at most to an item, however many it has. Gives
+    item_key, status, method and the entity.
     """
-    found = None
-    for rank, (part, name) in enumerate(zip(candidates, methods, strict=True)):
-        step = part.select(item_key, entity, F.lit(rank).alias("rank_"), F.lit(name).alias("method_"))
-        found = step if found is None else found.unionByName(step)
-    best = found.distinct().groupBy(item_key, "rank_", "method_").agg(F.count("*").alias("n_"), F.min(entity).alias(entity))
-    best = best.groupBy(item_key).agg(F.min_by(F.struct("method_", "n_", entity), "rank_").alias("b_"))
+    out, chosen = items, F.lit(None).cast("struct<method_:string,n_:bigint,entity_:bigint>")
+    for k, (name, table, keys) in enumerate(methods):
+        found = table.groupBy(*(F.col(c).alias(f"{c}_{k}_") for c in keys)).agg(F.count_distinct(entity).alias(f"n{k}_"), F.min(entity).cast("bigint").alias(f"entity{k}_"))
+        out = out.join(found, [F.col(c) == F.col(f"{c}_{k}_") for c in keys], "left")
+        step = F.when(F.col(f"n{k}_") > 0, F.struct(F.lit(name).alias("method_"), F.col(f"n{k}_").alias("n_"), F.col(f"entity{k}_").alias("entity_")))
+        chosen = F.coalesce(chosen, step)
+    out = out.select(item_key, chosen.alias("b_"))
     status = F.when(F.col("b_").isNull(), "unmatched").when(F.col("b_.n_") == 1, "matched").otherwise("ambiguous")
-    return items.select(item_key).join(best, item_key, "left").select(item_key, status.alias("status"), F.col("b_.method_").alias("method"), F.when(F.col("b_.n_") == 1, F.col(f"b_.{entity}")).alias(entity))
+    return out.select(item_key, status.alias("status"), F.col("b_.method_").alias("method"), F.when(F.col("b_.n_") == 1, F.col("b_.entity_")).alias(entity))

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_rank
 
 
+def first_by_hash(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: str) -> DataFrame:
+    """The ``quota_`` rows of each stratum (of ``n_`` rows) that come first by hash, with place_ from 1.
+
+    Only rows with a hash below twice the quota's share and some are ranked, so a stratum of any size sends a few rows
+    to its task; strata that are left short that way, if any, are ranked whole.
+    """
+    ranked = df.withColumn("hash_", hash_rank(seed, key)).join(quotas, stratum)
+    share = F.conv(F.substring("hash_", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    near = ranked.where(share < (2 * F.col("quota_") + 50) / F.col("n_"))
+    short = near.groupBy(stratum).agg(F.count("*").alias("got_"))
+    short = quotas.join(short, stratum, "left").where(F.coalesce("got_", F.lit(0)) < F.least("quota_", "n_")).select(stratum)
+    rows = near.join(short, stratum, "left_anti").unionByName(ranked.join(short, stratum, "left_semi"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("hash_", key))
+    return rows.withColumn("place_", place).where(F.col("place_") <= F.col("quota_")).drop("hash_")
+
+
 def stratified(df: DataFrame, key: str, stratum: str, size: int, seed: str) -> DataFrame:
     """About ``size`` rows, dealt to strata in proportion; adds probability and weight.
 
@@ -21,8 +37,7 @@ def stratified(df: DataFrame, key: str, stratum: str, size: int, seed: str) -> D
     exact = exact.withColumn("f_", F.floor("e_")).withColumn("left_", F.least(F.lit(size), F.col("all_")) - F.sum("f_").over(Window.partitionBy(F.lit(0))))
     order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("e_") - F.col("f_"), 9)), stratum))
     quotas = exact.select(stratum, "n_", (F.col("f_") + (order <= F.col("left_")).cast("long")).alias("quota_"))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_rank(seed, key)))
-    picked = df.withColumn("place_", place).join(quotas, stratum).where(F.col("place_") <= F.col("quota_"))
+    picked = first_by_hash(df, key, stratum, quotas, seed)
     return picked.select(*df.columns, (F.col("quota_") / F.col("n_")).alias("probability"), (F.col("n_") / F.col("quota_")).alias("weight"))
 
 

@@ -34,29 +34,6 @@ def trailing(df: DataFrame, keys: Sequence[str], day_number: str, value: Column,
     return df.withColumns({f"{prefix}{n}": F.coalesce(F.sum(value).over(w.rangeBetween(-n, -1)), F.lit(0)) for n in spans})
 
 
-def quartile(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "quartile") -> DataFrame:
-    """floor(midrank * 4 / n) + 1, with equal values together: the midrank is the mean of their ranks from 0."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    mid = F.rank().over(w.orderBy(value)) - 1 + (F.count("*").over(w.partitionBy(*(keys or [F.lit(0)]), value)) - 1) / 2
-    return df.withColumn(name, F.least(F.floor(mid * 4 / F.count("*").over(w)) + 1, F.lit(4)).cast("int"))
-
-
-def value_quartiles(df: DataFrame, value: str, name: str = "quartile") -> DataFrame:
-    """``quartile`` over the whole table without one task for all rows: ranks come from a table of counts by value.
-
-    Counts are summed by value range first, so no step gathers all values.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c_"))
-    parts = counts.repartitionByRange(F.col(value)).withColumn("p_", F.spark_partition_id())
-    totals = parts.groupBy("p_").agg(F.sum("c_").alias("t_"))
-    before = totals.withColumn("b_", F.coalesce(F.sum("t_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = totals.agg(F.sum("t_").alias("n_"))
-    below = F.coalesce(F.sum("c_").over(Window.partitionBy("p_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = parts.join(F.broadcast(before.select("p_", "b_")), "p_").crossJoin(F.broadcast(n))
-    ranked = ranked.select(value, (F.floor((F.col("b_") + below + (F.col("c_") - 1) / 2) * 4 / F.col("n_")) + 1).cast("int").alias(name))
-    return df.join(ranked, value, "left")
-
-
 def threshold_bucket(value: Column, cuts: Sequence[Column]) -> Column:
     """1 up to the first cut (included), 2 up to the second, and so on; from the last cut on, one more."""
     out = F.lit(len(cuts) + 1)

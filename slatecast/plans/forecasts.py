@@ -9,7 +9,8 @@ from ..functions.scalars import cents, day, money_sum, safe_divide
 from ..models.linear import cluster_bootstrap, intervals, ols, two_stage
 from ..operators.aggregates import accuracy, checks, correlation, descriptives
 from ..operators.joins import as_of_best, interval_join
-from ..operators.windows import threshold_bucket, value_quartiles
+from ..operators.ranks import quantiles, value_quartiles
+from ..operators.windows import threshold_bucket
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -99,7 +100,7 @@ FROM pairs, q WHERE year(day) >= 2000 GROUP BY 1""")
 def train_threshold_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout rows by the quartile cuts of the training years."""
     rows = pairs(spark, sf_dir)
-    cuts = rows.where(F.year("day") < 2000).agg(F.percentile("predicted", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("cuts"))
+    cuts = quantiles(rows.where(F.year("day") < 2000), "predicted", (0.25, 0.5, 0.75)).select(F.array("q0", "q1", "q2").alias("cuts"))
     held = rows.where(F.year("day") >= 2000).crossJoin(F.broadcast(cuts))
     bucket = threshold_bucket(F.col("predicted"), [F.get("cuts", F.lit(k)) for k in range(3)])
     return held.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("actual"), 2).alias("mean_actual"))
@@ -172,12 +173,12 @@ def descriptive_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_PAIRS}, b AS (SELECT round(round(predicted / 50000) * 50000, 2) AS bin, actual FROM pairs WHERE predicted % 50000 <> 25000)
+WITH {_PAIRS}, b AS (SELECT round_even(predicted / 50000, 0) * 50000 AS bin, actual FROM pairs)
 SELECT bin, COUNT(*) AS n, round(avg(actual), 2) AS mean_actual FROM b GROUP BY 1""")
 def binned_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean outcome by forecast, in bins whose edges round half to even."""
-    rows = pairs(spark, sf_dir).where("predicted % 50000 <> 25000")
-    bin_ = F.bround(F.bround(F.col("predicted") / 50000) * 50000, 2)
+    rows = pairs(spark, sf_dir)
+    bin_ = F.bround(F.col("predicted") / 50000) * 50000
     return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("actual"), 2).alias("mean_actual"))
 
 

@@ -12,6 +12,7 @@ from ..functions.scalars import age_bucket, business_minute, cents, day, day_blo
 from ..models.linear import decay_fit
 from ..operators.aggregates import block_pivot, concentration_without_self
 from ..operators.joins import as_of_join, date_range, shifted, spine
+from ..operators.ranks import quantiles
 from ..operators.windows import change_flag, gap_episodes, running_distinct, trailing
 from .registry import registry, table
 
@@ -55,16 +56,15 @@ WITH {_BRAND_DAY},
 j AS (SELECT a.brand, a.day, b.gross, row_number() OVER (PARTITION BY a.brand, a.day ORDER BY b.gross DESC NULLS LAST, b.brand DESC) AS rn
       FROM brand_day a LEFT JOIN brand_day b ON b.day = a.day AND b.brand <> a.brand AND b.gross > 0 WHERE a.gross > 0),
 o AS (SELECT brand, day, CAST(SUM(gross) AS DOUBLE) AS others_total, CAST(MAX(gross) AS DOUBLE) AS top1, COUNT(gross) AS n,
-             CAST(SUM(CASE WHEN rn <= 3 THEN gross END) AS DOUBLE) AS top3, SUM(CAST(gross AS DOUBLE) * CAST(gross AS DOUBLE)) AS q FROM j GROUP BY 1, 2)
-SELECT o.brand, o.day, coalesce(others_total, 0) AS others_total, coalesce(top1, 0) AS others_top1, coalesce(top3, 0) AS others_top3, n AS others_count,
+             CAST(SUM(CASE WHEN rn <= 3 THEN gross END) AS DOUBLE) AS top3, CAST(SUM(CASE WHEN rn <= 5 THEN gross END) AS DOUBLE) AS top5, SUM(CAST(gross AS DOUBLE) * CAST(gross AS DOUBLE)) AS q FROM j GROUP BY 1, 2)
+SELECT o.brand, o.day, coalesce(others_total, 0) AS others_total, coalesce(top1, 0) AS others_top1, coalesce(top3, 0) AS others_top3, coalesce(top5, 0) AS others_top5, n AS others_count,
        round(coalesce(q / (others_total * others_total), 0), 6) AS others_hhi,
        round(CAST(d.gross AS DOUBLE) / (coalesce(others_total, 0) + CAST(d.gross AS DOUBLE)), 6) AS own_share
 FROM o JOIN brand_day d ON o.brand = d.brand AND o.day = d.day""")
 def competitor_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the other brands of a day come to for each brand: total, largest, three largest, count, HHI, share."""
+    """What the other brands of a day come to for each brand: total, largest, three and five largest, count, HHI, share."""
     out = concentration_without_self(brand_days(spark, sf_dir), ["day"], "brand", "gross").drop("gross")
-    top3 = F.round("others_top3", 2)
-    return out.withColumns({"others_hhi": F.round("others_hhi", 6), "own_share": F.round("own_share", 6), "others_top3": top3})
+    return out.withColumns({c: F.round(c, d) for c, d in (("others_hhi", 6), ("own_share", 6), ("others_top3", 2), ("others_top5", 2))})
 
 
 @query(f"""
@@ -270,4 +270,6 @@ def age_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, parts, gross and median gross by age since the part's first day."""
     daily = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), day("l_shipdate").alias("day")).agg(F.sum(cents("l_extendedprice")).alias("gross"))
     aged = daily.withColumn("age", F.datediff("day", F.min("day").over(Window.partitionBy("part"))))
-    return aged.groupBy(age_bucket(F.col("age")).alias("age_bucket")).agg(F.count("*").alias("n_rows"), F.count_distinct("part").alias("n_parts"), money_sum("gross").alias("gross"), F.round(F.median(F.col("gross").cast("double")), 2).alias("median_gross"))
+    aged = aged.select("part", "gross", age_bucket(F.col("age")).alias("age_bucket"))
+    out = aged.groupBy("age_bucket").agg(F.count("*").alias("n_rows"), F.count_distinct("part").alias("n_parts"), money_sum("gross").alias("gross"))
+    return out.join(quantiles(aged, "gross", [0.5], ["age_bucket"]), "age_bucket").select("age_bucket", "n_rows", "n_parts", "gross", F.round("q0", 2).alias("median_gross"))

@@ -17,25 +17,28 @@ QUERIES, SQL, query = registry()
 
 
 @query("""
-SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment, CASE WHEN o_custkey % 3 = 0 THEN coalesce(acctbal, c_acctbal) ELSE c_acctbal END AS balance
-FROM (SELECT c_custkey AS o_custkey, c_mktsegment, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 1.5 END AS acctbal FROM customer WHERE c_custkey % 10 <> 0
-      UNION ALL SELECT c_custkey, NULL, NULL, CASE WHEN c_custkey % 2 = 0 THEN 1.5 END FROM customer WHERE c_custkey % 30 = 0)""")
+WITH u AS (SELECT o_custkey, max(o_orderstatus) AS segment, max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS balance FROM orders GROUP BY 1)
+SELECT coalesce(u.o_custkey, c_custkey) AS o_custkey, CASE WHEN u.o_custkey IS NULL THEN c_mktsegment ELSE segment END AS segment, coalesce(u.balance, c_acctbal) AS balance,
+       CASE WHEN c_acctbal >= 0 THEN c_acctbal ELSE u.balance END AS first_balance
+FROM customer FULL JOIN u ON u.o_custkey = c_custkey""")
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows written over by key; a balance stays where the update has none."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
-    updates = c.where("o_custkey % 3 = 0").select("o_custkey", F.lit("new").alias("segment"), F.when(F.col("o_custkey") % 2 == 0, 1.5).alias("balance"))
-    return upsert(c.where("o_custkey % 10 <> 0"), updates, ["o_custkey"], keep_new=["balance"])
+    """Customers written over by what their orders say; a balance stays where the update has none, a first balance where there was one."""
+    b = F.col("c_acctbal")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), b.alias("balance"), F.when(b >= 0, b).alias("first_balance"))
+    price = F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")))
+    updates = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("segment"), price.alias("balance"), price.alias("first_balance"))
+    return upsert(c, updates, ["o_custkey"], keep_new=["balance"], keep_old=["first_balance"])
 
 
 @query("""
-SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 4 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
-UNION ALL SELECT o_orderkey, 'X' FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 8 = 0""")
+WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))
+SELECT k, s FROM b UNION ALL SELECT DISTINCT l_orderkey, 'X' FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM b)""")
 def insert_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows deleted by a join, then rows inserted whose keys are new."""
     o = table(spark, sf_dir, "orders")
     gone = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    base = delete_by(o.where("o_orderkey % 4 <> 0"), gone, ["o_custkey"]).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
-    return insert_ignore(base, o.where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("k"), F.lit("X").alias("s")), ["k"])
+    base = delete_by(o, gone, ["o_custkey"]).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    return insert_ignore(base, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("X").alias("s")), ["k"])
 
 
 @query("""
@@ -122,9 +125,9 @@ SELECT i.s_suppkey, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matche
 def entity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers matched to customers: by key and nation, else by nation within a segment."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    exact = s.join(c, (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
-    loose = s.join(c.where("c_mktsegment = 'BUILDING'"), F.col("s_nationkey") == F.col("c_nationkey"))
-    return resolve(s, [exact, loose], "s_suppkey", "c_custkey", ["same_key", "nation_segment"])
+    c = c.select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), "c_custkey", "c_mktsegment")
+    methods = [("same_key", c, ["s_suppkey", "s_nationkey"]), ("nation_segment", c.where("c_mktsegment = 'BUILDING'"), ["s_nationkey"])]
+    return resolve(s, methods, "s_suppkey", "c_custkey")
 
 
 @query("""

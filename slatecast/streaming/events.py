@@ -59,7 +59,7 @@ def due_tasks(queue: DataFrame, now: str, limit: int) -> DataFrame:
 
 def after_failure(queue: DataFrame, failed: DataFrame, most: int, backoff_seconds: int = 60) -> DataFrame:
     """The queue after the tasks in ``failed`` (task_id) failed: queued again after a pause, or failed for good."""
-    hit = queue.join(F.broadcast(failed.select("task_id").distinct().withColumn("hit_", F.lit(True))), "task_id", "left")
+    hit = queue.join(failed.select("task_id").distinct().withColumn("hit_", F.lit(True)), "task_id", "left")
     attempts = F.col("attempts") + F.col("hit_").isNotNull().cast("int")
     status = F.when(F.col("hit_").isNull(), F.col("status")).when(attempts >= most, "failed").otherwise("queued")
     later = F.when(F.col("hit_").isNotNull() & (attempts < most), F.col("scheduled_for") + F.expr(f"INTERVAL {backoff_seconds} SECONDS")).otherwise(F.col("scheduled_for"))

@@ -1,5 +1,6 @@
 """Operators on small inputs whose results are known."""
 
+import hashlib
 from datetime import date
 
 import numpy as np
@@ -9,9 +10,10 @@ from slatecast.functions.scalars import business_minute, canonical_url, day_bloc
 from slatecast.models.linear import cluster_bootstrap, decay_fit, intervals, ols, two_stage
 from slatecast.operators.aggregates import concentration_without_self, correlation
 from slatecast.operators.joins import as_of_join, interval_join
-from slatecast.operators.sampling import stratified, with_certainty
+from slatecast.operators.sampling import first_by_hash, stratified, with_certainty
 from slatecast.operators.tables import insert_ignore, upsert
-from slatecast.operators.windows import gap_episodes, quartile, value_quartiles
+from slatecast.operators.ranks import midranks, quantiles, slices, value_quartiles
+from slatecast.operators.windows import gap_episodes
 from slatecast.sources.readers import html_cells, html_records, read_tsv, with_names
 from slatecast.streaming.events import run_once, snapshots, stream, tumbling
 
@@ -62,9 +64,26 @@ def test_episodes_and_decay(spark):
 def test_quartiles_keep_ties_together(spark):
     values = [1, 1, 1, 2, 3, 4, 4, 9, 10, 11, None]
     df = spark.createDataFrame([(v,) for v in values], "v int")
-    a = sorted((r["v"], r["quartile"]) for r in quartile(df.dropna(), "v").collect())
-    b = sorted((r["v"], r["quartile"]) for r in value_quartiles(df, "v").collect() if r["v"] is not None)
-    assert a == b and dict(a)[1] == 1 and dict(a)[11] == 4
+    have = sorted(v for v in values if v is not None)
+    mid = {v: np.mean([k for k, x in enumerate(have) if x == v]) for v in have}
+    got = sorted((r["v"], r["quartile"]) for r in value_quartiles(df, "v").collect() if r["v"] is not None)
+    assert got == [(v, int(mid[v] * 4 // len(have)) + 1) for v in have]
+
+
+def test_ranks_over_many_values(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), int(g), float(v)) for k, (g, v) in enumerate(zip(rng.integers(0, 3, 5000), np.round(rng.normal(size=5000), 2), strict=True))]
+    df = spark.createDataFrame([*rows, (9999, 0, None)], "k int, g int, v double").repartition(7)
+    by = {g: np.array([v for _, h, v in rows if h == g]) for g in range(3)}
+    for r in quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0], ["g"]).collect():
+        assert [r[f"q{k}"] for k in range(5)] == pytest.approx(np.quantile(by[r["g"]], [0, 0.25, 0.5, 0.9, 1.0]))
+    for r in midranks(df, "v", "mid", ["g"]).where("v is not null").collect():
+        assert r["mid"] == pytest.approx((by[r["g"]] < r["v"]).sum() + ((by[r["g"]] == r["v"]).sum() - 1) / 2)
+    order = sorted(rows, key=lambda x: (x[2], x[0]))
+    want = {row[0]: k + 1 for k in range(10) for row in order[k * 5000 // 10 : (k + 1) * 5000 // 10]}
+    assert {r["k"]: r["d"] for r in slices(df, "v", "k", 10, "d").collect()} == want
+    seven = {row[0]: k + 1 for k in range(7) for row in order[:100][k * 100 // 7 : (k + 1) * 100 // 7]}
+    assert {r["k"]: r["d"] for r in slices(df.where(F.col("k").isin(*seven)), "v", "k", 7, "d").collect()} == seven
 
 
 def test_tables(spark):
@@ -79,6 +98,11 @@ def test_samples(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 1.0).alias("v"))
     out = stratified(df, "id", "g", 10, "seed")
     assert out.count() == 10 and out.agg(F.sum("weight")).first()[0] == pytest.approx(100)
+    skewed = spark.range(30_000).select("id", F.when(F.col("id") < 20, 1).otherwise(0).alias("g"))
+    quotas = spark.createDataFrame([(0, 29_980, 40), (1, 20, 30)], "g int, n_ long, quota_ long")
+    picked = first_by_hash(skewed, "id", "g", quotas, "s").collect()
+    digest = lambda k: hashlib.sha256(f"s:{k}".encode()).hexdigest()
+    assert {r["id"] for r in picked} == {*sorted(range(20, 30_000), key=digest)[:40], *range(20)}
     both = with_certainty(df, "id", "g", "v", 12, 4, "seed")
     assert {r["id"] for r in both.where("is_certain").collect()} == {96, 97, 98, 99} and both.count() == 12
 
