@@ -128,3 +128,23 @@ def decayed_loss(tau: Column, rho: Column, decay: Column, weeks: int = 12) -> Co
     step = lambda f: F.aggregate(F.sequence(F.lit(1), F.lit(weeks)), F.lit(0.0), lambda a, w: a + f(w.cast("double")))
     base = step(lambda w: F.exp(-decay * w))
     return safe_divide(base - step(lambda w: F.exp(-decay * w + tau * F.exp(rho * (w - 1)))), base)
+
+
+def log1p_floor(c: Column | str) -> Column:
+    """ln(1 + x), with x below zero and missing x as 0."""
+    return F.log1p(F.greatest(F.coalesce(col(c).cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+
+def near_holiday(d: Column | str) -> Column:
+    """A holiday, or a day next to one."""
+    around = [is_holiday(F.date_add(col(d), k)) for k in (-1, 0, 1)]
+    return around[0] | around[1] | around[2]
+
+
+def estimate_bucket(usd: Column) -> Column:
+    """Size of an estimate in millions: under_15, 15_30, 30_60, 60_100 or over_100."""
+    cuts = ((15e6, "under_15"), (30e6, "15_30"), (60e6, "30_60"), (100e6, "60_100"))
+    out = F.when(usd.isNull(), F.lit(None).cast("string"))
+    for most, name in cuts:
+        out = out.when(usd < most, name)
+    return out.otherwise("over_100")
