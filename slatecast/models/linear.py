@@ -113,12 +113,6 @@ def cluster_bootstrap(df: DataFrame, cluster: str, x: str, y: str, repetitions:
     return got.select("repetition", F.col("n_").alias("n"), slope.alias("slope"))
 
 
-def demeaned(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Columns less their means by group, through a join of grouped means; for one-way fixed effects."""
-    means = df.groupBy(*by).agg(*(F.avg(c).alias(f"{c}_mean_") for c in columns))
-    return df.join(means, list(by)).select(*[c for c in df.columns if c not in columns], *((F.col(c) - F.col(f"{c}_mean_")).alias(c) for c in columns))
-
-
 def decay_fit(df: DataFrame, keys: Sequence[str], week: str, amount: str) -> DataFrame:
     """For each key the log-linear decay: beta, r2 and half_life = ln 2 / beta, null unless the amount falls."""
     rows = df.where(F.col(amount) > 0).select(*keys, F.col(week).cast("double").alias("w_"), F.ln(F.col(amount).cast("double")).alias("y_"))

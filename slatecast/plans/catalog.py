@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forecasts, panels, relational
+from . import competition, evaluation, forecasts, panels, relational, rules
 
-QUERIES: dict = panels.QUERIES | forecasts.QUERIES | relational.QUERIES
-SQL: dict = panels.SQL | forecasts.SQL | relational.SQL
+QUERIES: dict = panels.QUERIES | competition.QUERIES | forecasts.QUERIES | evaluation.QUERIES | relational.QUERIES | rules.QUERIES
+SQL: dict = panels.SQL | competition.SQL | forecasts.SQL | evaluation.SQL | relational.SQL | rules.SQL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,28 @@ def after_failure(queue: DataFrame, failed: DataFrame, most: int, backoff_second
     return hit.select(*(status.alias(c) if c == "status" else attempts.alias(c) if c == "attempts" else later.alias(c) if c == "scheduled_for" else F.col(c) for c in queue.columns))
 
 
+def claimed(queue: DataFrame, now: str, limit: int) -> DataFrame:
+    """The queue after its next due tasks were claimed: running from ``now``, with one attempt more. One writer is assumed."""
+    taken = due_tasks(queue, now, limit).select(F.col("task_id").alias("taken_"))
+    hit = queue.join(F.broadcast(taken), F.col("task_id") == F.col("taken_"), "left")  # limit rows at most
+    now_, on = F.lit(now).cast("timestamp_ntz"), F.col("taken_").isNotNull()
+    new = {"status": F.when(on, "running").otherwise(F.col("status")), "attempts": F.col("attempts") + on.cast("int"), "started_at": F.when(on, now_).otherwise(F.col("started_at"))}
+    return hit.select(*(new[c].alias(c) if c in new else F.col(c) for c in queue.columns))
+
+
+def stale_reset(queue: DataFrame, now: str, minutes: int) -> DataFrame:
+    """The queue after tasks that started over ``minutes`` ago and still run were queued again."""
+    stale = (F.col("status") == "running") & (F.col("started_at") < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES"))
+    new = {"status": F.when(stale, "queued").otherwise(F.col("status")), "started_at": F.when(~stale, F.col("started_at"))}
+    return queue.select(*(new[c].alias(c) if c in new else F.col(c) for c in queue.columns))
+
+
+def autoscaled(due: Column, late: Column, peak: Column, pressure: Column, base: int, most_under_pressure: int) -> Column:
+    """Workers wanted: one for each 80 due tasks, 40 late ones or 220 in the peak; under pressure no more than allowed."""
+    wanted = F.greatest(F.lit(base), F.ceil(due / 80), F.ceil(late / 40), F.ceil(peak / 220))
+    return F.when(pressure, F.least(wanted, F.lit(most_under_pressure))).otherwise(wanted)
+
+
 def run_once(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
     """Process what there is now and stop; ``each`` gets every micro-batch with its number."""
     df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
