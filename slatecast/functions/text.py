@@ -8,40 +8,55 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from .scalars import clean_text, col, parse_number, slug
 
-#: Studios whose possessive is dropped from titles.
-STUDIOS = ("disney", "marvel", "pixar", "universal", "sony", "lionsgate", "paramount", "netflix")
+#: Studios whose possessive is dropped from titles, under the two rules.
+STUDIOS = ("disney", "marvel", "warner bros", "universal", "paramount", "sony")
+ARTICLE_STUDIOS = ("disney", "marvel", "pixar", "dreamworks", "illumination", "warner bros", "dc", "universal", "paramount", "sony", "a24")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decomposed(s: pd.Series) -> pd.Series:
     """Compatibility form without combining marks."""
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 times the matching share of two texts (Ratcliff and Obershelp)."""
     return pd.Series([None if x is None or y is None else 100 * SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def _key(plain: Column, studios: str) -> Column:
-    s = F.regexp_replace(F.lower(plain), r"\(\d{4}\)", " ")
-    s = F.regexp_replace(F.regexp_replace(s, studios, ""), "&", " and ")
-    return F.nullif(F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")), F.lit(""))
+def _year_off(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s*\(\d{4}\)\s*$", "")
+
+
+def _plain(s: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(s, "&", " and "), r"[^a-z0-9]+", " ")), F.lit(""))
 
 
 def audience_key(c: Column | str) -> Column:
-    """Marks off, studio possessives off wherever they stand."""
-    return _key(decomposed(col(c)), rf"\b({'|'.join(STUDIOS)})['’]?s?['’]\s*s?\b")
+    """Without marks, year at the end and studio possessives; small letters and digits with single spaces."""
+    s = F.lower(_year_off(decomposed(col(c))))
+    return _plain(F.regexp_replace(s, rf"\b({'|'.join(STUDIOS)})'?s\b", " "))
 
 
 def article_key(c: Column | str) -> Column:
-    """As ``audience_key``, but other characters than ASCII go, and a possessive goes only before a space."""
-    plain = F.regexp_replace(decomposed(col(c)), r"[^\x00-\x7F]", "")
-    return _key(plain, rf"\b({'|'.join(STUDIOS[:4])})'s ")
+    """As ``audience_key`` by another list of studios, whose possessive goes only before a space; characters beyond ASCII go."""
+    s = _year_off(F.lower(F.regexp_replace(decomposed(col(c)), r"[^\x00-\x7F]", "")))
+    return _plain(F.regexp_replace(s, rf"\b({'|'.join(ARTICLE_STUDIOS)})'?s\s+", ""))
+
+
+def variant_keys(title: Column | str, url: Column | None = None) -> Column:
+    """The keys of the forms a title may take: itself, as its address says it, and each with a trailing article moved to the front."""
+    forms = [col(title)]
+    if url is not None:
+        tail = F.regexp_replace(F.url_decode(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1)), r"\(\d{4}(-[^)]+)?\)$", "")
+        forms.append(F.regexp_replace(tail, "-", " "))
+    moved = [F.regexp_replace(_year_off(f), r"(?i)^(.+?),?\s+(the|a|an)$", "$2 $1") for f in forms]
+    return F.array_distinct(F.array_compact(F.array(*(audience_key(f) for f in (*forms, *moved)))))
 
 
 def markup_off(c: Column | str) -> Column:

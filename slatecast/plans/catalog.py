@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import competition, evaluation, forecasts, panels, relational, rules
+from . import competition, evaluation, forecasts, panels, relational, rules, sources
 
-QUERIES: dict = panels.QUERIES | competition.QUERIES | forecasts.QUERIES | evaluation.QUERIES | relational.QUERIES | rules.QUERIES
-SQL: dict = panels.SQL | competition.SQL | forecasts.SQL | evaluation.SQL | relational.SQL | rules.SQL
+QUERIES: dict = panels.QUERIES | competition.QUERIES | forecasts.QUERIES | evaluation.QUERIES | relational.QUERIES | rules.QUERIES | sources.QUERIES
+SQL: dict = panels.SQL | competition.SQL | forecasts.SQL | evaluation.SQL | relational.SQL | rules.SQL | sources.SQL

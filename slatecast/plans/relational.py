@@ -9,7 +9,7 @@ from ..functions.scalars import canonical_url, cents, clean_text, day, money_sum
 from ..operators.joins import latest_per_key, reconcile, resolve
 from ..operators.sampling import stratified, with_certainty
 from ..operators.tables import common_values, delete_by, insert_ignore, union_of, upsert
-from ..sources.readers import html_cells, page_facts
+from ..sources.readers import page_facts
 from ..streaming.events import after_failure, due_tasks, observed, schedule, sessions, tumbling
 from .registry import registry, table
 
@@ -230,12 +230,6 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_facts(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
-def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the tables of each page."""
-    return html_cells(table(spark, sf_dir, "pages"), "page_id", "html")
-
-
 @query("""
 WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS bare FROM pages),
 q AS (SELECT page_id, regexp_replace(regexp_replace(bare, '\\?.*$', ''), '/+$', '') AS path, list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: NOT starts_with(p, 'utm_') AND p <> '') AS kept FROM u)

@@ -70,7 +70,7 @@ def article_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), (F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1) == "en").alias("domestic"))
 
 
-POPULATIONS = {"covered": F.col("orders_") > 0, "covered_final": F.col("final_") > 0, "full_with_fallback": F.lit(True)}
+POPULATIONS = {"covered": "orders_ > 0", "covered_final": "final_ > 0", "full_with_fallback": "true"}
 SAMPLE_MODES = {"all": (0, None), "wide_first_4_weeks": (2, 28), "wide_first_10_weeks": (2, 70)}
 
 
@@ -87,7 +87,7 @@ def sample_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = b.agg(*(F.count_if(kept(*v)).alias(k) for k, v in SAMPLE_MODES.items())).unpivot([], list(SAMPLE_MODES), "name", "n")
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders_"), F.count_if(F.col("o_orderstatus") == "F").alias("final_"))
     c = table(spark, sf_dir, "customer").join(o, "c_custkey", "left")
-    pops = c.agg(*(F.count_if(v).alias(k) for k, v in POPULATIONS.items())).unpivot([], list(POPULATIONS), "name", "n")
+    pops = c.agg(*(F.count_if(F.expr(v)).alias(k) for k, v in POPULATIONS.items())).unpivot([], list(POPULATIONS), "name", "n")
     return modes.select(F.lit("sample").alias("kind"), "name", "n").union(pops.select(F.lit("population").alias("kind"), "name", "n"))
 
 
