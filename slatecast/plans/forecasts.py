@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cents, day, money_sum, safe_divide
 from ..models.linear import cluster_bootstrap, intervals, ols, two_stage
+from ..models.selection import dot, ridge_grid, standardised
 from ..operators.aggregates import accuracy, checks, correlation, descriptives
 from ..operators.joins import as_of_best, interval_join
 from ..operators.ranks import quantiles, value_quartiles
@@ -15,6 +16,8 @@ from .registry import registry, table
 
 QUERIES, SQL, query = registry()
 
+RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
+
 _PAIRS = """pairs AS (
   SELECT o_orderkey, o_custkey, o_orderstatus AS metric, o_orderpriority AS context, o_totalprice AS predicted, CAST(o_orderdate AS DATE) AS day, x.actual
   FROM orders JOIN (SELECT l_orderkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS actual FROM lineitem GROUP BY 1) x ON l_orderkey = o_orderkey)"""
@@ -152,15 +155,16 @@ def bootstrap_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_with_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge of log outcome on standardised log forecast and weekday, with the held-out years' errors."""
+    """Ridge of log outcome on standardised log forecast and weekday, alpha by leave-one-out error, with the held-out years' errors."""
     rows = pairs(spark, sf_dir).where("actual > 0 AND predicted > 0")
+    terms = ["x", *(f"weekday_{k}" for k in range(6))]
     rows = rows.select("day", F.ln("actual").alias("y"), F.ln("predicted").alias("x"), *((F.weekday("day") == k).cast("double").alias(f"weekday_{k}") for k in range(6)))
-    train, held = rows.where(F.year("day") < 2000), rows.where(F.year("day") >= 2000)
-    mean, sd = train.agg(F.avg("x"), F.stddev_pop("x")).first()
-    scale = lambda df: df.withColumn("x", (F.col("x") - F.lit(mean or 0.0)) / F.lit(sd or 1.0))
-    fit = ols(scale(train), ["x", *(f"weekday_{k}" for k in range(6))], "y", ridge=10.0)
-    judged = scale(held).withColumn("error", fit.predict() - F.col("y"))
-    return judged.agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("error") ** 2)), 6).alias("rmse"), F.round(F.avg(F.abs("error")), 6).alias("mae"), F.round(F.avg(F.exp(-F.col("error"))), 6).alias("smearing"))
+    early = F.year("day") < 2000
+    rows, _ = standardised(rows, ["x"], early)
+    alpha, _, beta = min(ridge_grid(rows.where(early), terms, "y", RIDGE_ALPHAS), key=lambda f: (f[1] or 0.0, f[0]))
+    error = dot(beta, terms) - F.col("y")
+    held = rows.where(F.year("day") >= 2000).withColumn("error", error)
+    return held.agg(F.lit(float(alpha)).alias("alpha"), F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("error") ** 2)), 6).alias("rmse"), F.round(F.avg(F.abs("error")), 6).alias("mae"), F.round(F.avg(F.exp(-F.col("error"))), 6).alias("smearing"))
 
 
 @query(f"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import day, money_sum, parse_date, parse_number, title_key
 from ..functions.text import article_key, audience_key, date_range_of, epoch_date, markup_off, money_range, variant_keys
-from ..operators.matching import match_forecasts, match_title_year
+from ..operators.matching import match_forecasts, match_scored, match_title_year
 from ..sources.readers import bindings, feed_items, film_page, filtered_tsv, graph_objects, html_cells, html_records, paper_tables, read_tsv, read_xml, resolved, seat_fill, tables_with, with_names
 from ..sources.writers import append_jsonl, delete_counts, folder, pending, transition, update_from, write_csv
 from .registry import registry, table
@@ -281,3 +281,13 @@ def tsv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.write.option("sep", "\t").option("header", True).option("nullValue", r"\N").option("quote", "").option("compression", "gzip").csv(at)
     got = read_tsv(spark, at, "id bigint, name string, balance double")
     return got.select("id", (F.col("id") >= 0).alias("found"), F.substring("name", 2, 100).alias("name"), "balance")
+
+
+@query()
+def fuzzy_match_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers matched to customers by similarity of names, years and known ids, with a margin to the next."""
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    items = s.select(F.col("s_suppkey").alias("item"), audience_key(F.regexp_replace("s_name", "pp", "p")).alias("key"), (1990 + F.col("s_suppkey") % 5).alias("year"))
+    k = F.col("c_custkey")
+    records = c.select(k.alias("entity"), audience_key(F.regexp_replace("c_name", "Customer", "Suppliers")).alias("key"), (1990 + k % 4).alias("year"), (k % 2 == 0).alias("has_id"))
+    return match_scored(items, records).select("item", "entity", F.round("score", 6).alias("score"), "status")
