@@ -10,8 +10,9 @@ consecutive coordinates then give candidates, and every link is confirmed on ful
 2. Representatives that agree in a band share a bucket. No pairs are made within a bucket: each
    member is first verified against one bucket leader, and verified links give components.
 3. Buckets that still hold several components are searched in blocks: members outside the largest component
-   are compared, as sketches, with every member, and pairs within reach are verified in the block, closest
-   first, until their components are one. Only links leave the block, and one pass covers every pair.
+   are compared, as sketches, with every member. Then the texts of those that came within reach of another are
+   fetched, and pairs are verified in the block, closest first, until their components are one. Only links
+   leave the block. Sketches meet once for each pair of a query and a member of such a bucket; they are 240 bytes.
 
 With the default 48 bands of 5, a pair at similarity 0.75 shares no bucket with a chance of 2e-6, and
 the sketch estimate of 240 coordinates falls below ``_REACH`` for such a pair with a chance of 1e-5.
@@ -147,41 +148,77 @@ def _verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int) -> Data
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _cross(members: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between different components within buckets (bucket, band, id, component).
+def _dealt(members: DataFrame, carried: DataFrame) -> DataFrame:
+    """Members of buckets with several components in blocks and chunks, with the carried columns of their id.
 
     The largest component of a bucket is its home; members of others are queries. Members are dealt into
-    blocks and queries into chunks, and each block meets each chunk: the block is held, the chunk streams
-    past. A pair is looked at only in the first band that it shares, where sizes and sketches allow a link, and
-    while no link of this block has joined its components. It is verified there on full sets, so only links
-    leave the task.
+    blocks and queries into chunks, and each block meets each chunk: the block is held, the chunk streams past.
     """
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
     homes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("home"), F.sum("size").alias("n"), F.sum("bytes").alias("bytes")).where("n > home.size")
-    blocks, chunks = F.ceil(F.greatest(F.col("n") / _SEARCH, F.col("bytes") / _BODIES)).cast("int"), F.ceil((F.col("n") - F.col("home.size")) / _STREAM).cast("int")
+    heavy = F.col("bytes") / _BODIES if "body" in carried.columns else F.lit(0.0)
+    blocks, chunks = F.ceil(F.greatest(F.col("n") / _SEARCH, heavy)).cast("int"), F.ceil((F.col("n") - F.col("home.size")) / _STREAM).cast("int")
     homes = materialise(homes.select(F.col("bucket").alias("at"), F.col("home.component").alias("home"), blocks.alias("blocks"), chunks.alias("chunks")), "homes")
     rows = members.join(homes, F.col("bucket") == F.col("at"))
     dealt, every = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     common = ["bucket", "band", "id", "component", (F.col("component") == F.col("home")).alias("inside")]
     held = rows.select(*common, dealt("blocks").alias("block"), F.explode(every("chunks")).alias("chunk"), F.lit(0).alias("query"))
     asked = rows.where("component <> home").select(*common, F.explode(every("blocks")).alias("block"), dealt("chunks").alias("chunk"), F.lit(1).alias("query"))
-    rows = held.union(asked).join(sketches.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).drop("own")
-    rows = rows.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", "query")
+    rows = held.union(asked).join(carried.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).drop("own")
+    return rows.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", "query")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, _Block(k, percent)
+
+def _cross(members: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between different components within buckets (bucket, band, id, component, bytes).
+
+    A pair is looked at only in the first band that it shares, where sizes and sketches allow a link. A first pass
+    compares sketches alone and tells which members have such a pair at all; only their texts are fetched.
+    The second verifies pairs on full sets, closest first, while no link of its block has joined their
+    components, so only links leave the task.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[object, bool, list]]:
+        """(place, whether it is a query, the named columns) of each row."""
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for bucket, part, chunk, query, *row in zip(*(x.to_pylist() for x in columns(batch, "bucket", "block", "chunk", "query", "band", "id", "component", "inside", "n_shingles", "sketch", "body")), strict=True):
-                if (bucket, part, chunk) != now:
-                    now, block = (bucket, part, chunk), _Block(k, percent)
-                if query:
-                    out.extend(block.links(*row))
-                else:
-                    block.hold(*row)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+            for bucket, part, chunk, query, *row in zip(*(x.to_pylist() for x in columns(batch, "bucket", "block", "chunk", "query", *names)), strict=True):
+                yield (bucket, part, chunk), bool(query), row
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, _Block(k, percent)
+        seen: set[tuple[int, int]] = set()
+        for place, query, (band, own, component, inside, n, sketched) in blocks(batches, "band", "id", "component", "inside", "n_shingles", "sketch"):
+            if place != now:
+                now, block = place, _Block(k, percent)
+            if not query:
+                block.hold(band, own, component, inside, n, sketched, b"")
+                continue
+            found = block.near(band, own, component, n, sketched)
+            if len(found):
+                seen.add((place[0], own))
+                seen.update((place[0], i) for i in block.ids[found].tolist())
+            if len(seen) >= _STREAM:
+                yield pa.RecordBatch.from_pydict({"at": pa.array([b for b, _ in seen], pa.int64()), "own": pa.array([i for _, i in seen], pa.int64())})
+                seen = set()
+        yield pa.RecordBatch.from_pydict({"at": pa.array([b for b, _ in seen], pa.int64()), "own": pa.array([i for _, i in seen], pa.int64())})
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, out = None, _Block(k, percent), []
+        for place, query, row in blocks(batches, "band", "id", "component", "inside", "n_shingles", "sketch", "body"):
+            if place != now:
+                now, block = place, _Block(k, percent)
+            if query:
+                out.extend(block.links(*row))
+            else:
+                block.hold(*row)
+            if len(out) >= _STREAM:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+                out = []
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    close = _dealt(members, table.select("id", "n_shingles", "sketch")).mapInArrow(near, "at bigint, own bigint")
+    close = materialise(close.distinct(), "near-members")
+    members = members.join(close, (F.col("bucket") == F.col("at")) & (F.col("id") == F.col("own")), "left_semi")
+    return _dealt(materialise(members, "close"), table).mapInArrow(verified, "a bigint, b bigint")
 
 
 class _Block:
@@ -216,9 +253,10 @@ class _Block:
             self.kept += found.nbytes
         return self.sets[i]
 
-    def links(self, band: int, own: int, component: int, inside: bool, n: int, sketched: bytes, body: bytes) -> Iterator[tuple[int, int]]:
+    def near(self, band: int, own: int, component: int, n: int, sketched: bytes) -> np.ndarray:
+        """Places of the members that a query may be linked with, closest first."""
         if not self.rows:
-            return
+            return np.zeros(0, np.int64)
         if self.table is None:
             ids, parts, home, sizes, rows, _ = zip(*self.rows, strict=True)
             self.ids, self.parts, self.home, self.sizes = np.array(ids), np.array(parts), np.array(home), np.array(sizes)
@@ -230,9 +268,11 @@ class _Block:
         near = same.mean(axis=1)
         fit, same, near = fit[near >= _REACH], same[near >= _REACH], near[near >= _REACH]
         first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        fit, near = fit[first], near[first]
+        return fit[first][np.argsort(-near[first], kind="stable")]
+
+    def links(self, band: int, own: int, component: int, inside: bool, n: int, sketched: bytes, body: bytes) -> Iterator[tuple[int, int]]:
         mine = None
-        for i in fit[np.argsort(-near, kind="stable")].tolist():
+        for i in self.near(band, own, component, n, sketched).tolist():
             a, b = self.root(component), self.root(int(self.parts[i]))
             if a == b:
                 continue
