@@ -45,6 +45,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _LETTER, _LOW, _HIGH, _DIGIT = (re.compile(p) for p in ("[A-Za-z]", "[a-z]", "[A-Z]", "[0-9]"))
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
 _WORD, _WORDS = re.compile(r"(?<![A-Za-z])[a-z]{2,11}(?![A-Za-z])"), 5000
+_DRAWN, _PASSAGES = 50, 20
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _LEFT, _FIELD, _RIGHT = 20, 40, 8
 _STEP, _LONG, _SHOWN = 20, 20, 8
@@ -408,13 +409,17 @@ def fit(texts: list[str], most: int = 4000, recall: float = 0.98, seed: int = 5)
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
-    """Texts of at most ``most`` documents that may hold a base finding, spread by hash."""
-    usable = docs[text_col].rlike(_ASSIGN.pattern.join(("(?i)", "")) + "|(?-i:AKIA[A-Z0-9]{16}|[0-9a-f]{24})")
-    n = docs.where(usable).count()
+    """Passages around what may be base findings, of at most ``most`` documents drawn by hash, ``_PASSAGES`` of each at most.
+
+    ``_DRAWN`` times as many documents are looked at, or all, if there are no more.
+    """
     place = F.xxhash64(docs[id_col].cast("string"), docs[text_col])
-    low = place.cast("double") / 2.0**64 + 0.5 < 2.0 * most / max(n, 1)
-    rows = docs.where(usable & low).select(docs[text_col].alias("text"), place.alias("place")).orderBy("place", "text").limit(most)
-    return [r["text"] for r in rows.collect()]
+    drawn = place.cast("double") / 2.0**64 + 0.5 < float(_DRAWN * most) / max(docs.count(), 1)
+    finding = f"(?:(?i:{_ASSIGN.pattern})|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}})"
+    found = F.regexp_extract_all(docs[text_col], F.lit(f"(?s).{{0,200}}{finding}.{{0,60}}"), F.lit(0))
+    mixed = F.sort_array(F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("text"))))
+    rows = docs.where(drawn).select(F.transform(F.slice(mixed, 1, _PASSAGES), lambda x: x["text"]).alias("texts"), place.alias("place"))
+    return [t for r in rows.where(F.size("texts") > 0).orderBy("place", "texts").limit(most).collect() for t in r["texts"]]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
