@@ -11,13 +11,16 @@ from ..models.linear import Fit, cluster_bootstrap, moments, ols, solve
 from ..models.selection import coefficients, fold, grouped_moments, leave_one_out, out_of_fold, ridge_grid, standardised, two_way
 from ..operators.aggregates import correlation
 from ..operators.ranks import midranks, quantiles, slices
-from .competition import daily_competition_lag_panel, weekly_lag_rows
+from .competition import SQL as PANEL_SQL
+from .competition import daily_competition_lag_panel, day_by_day_snapshots, weekly_lag_rows
 from .forecasts import _PAIRS, pairs
 from .panels import _BRAND_DAY, brand_days
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
 
+SNAPSHOT_SQL = PANEL_SQL["day_by_day_snapshots"]
+
 _LOG = f"{_PAIRS}, lp AS (SELECT *, ln(actual) AS y, ln(predicted) AS x FROM pairs WHERE actual > 0 AND predicted > 0)"
 
 
@@ -431,3 +434,20 @@ WITH {_PAIRS} SELECT CASE WHEN predicted * 1000 < 15e6 THEN 'under_15' WHEN pred
 def errors_by_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative errors by fixed bucket of the estimate."""
     return pairs(spark, sf_dir).groupBy(estimate_bucket(F.col("predicted") * 1000).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("actual") / F.col("predicted") - 1)), 6).alias("error"), money_sum("actual").alias("actual"))
+
+
+@query(f"""
+WITH s AS ({SNAPSHOT_SQL}), r AS (SELECT snapshot_day, bucket, residual FROM s WHERE residual IS NOT NULL), l AS (SELECT snapshot_day, avg(residual) AS d FROM r GROUP BY 1), b AS (SELECT snapshot_day, bucket, avg(residual) AS d, COUNT(*) AS n FROM r GROUP BY 1, 2),
+e AS (SELECT r.snapshot_day, r.bucket, UNNEST(['raw', 'level', 'bucket']) AS model, UNNEST([r.residual, r.residual - l.d, r.residual - CASE WHEN b.n >= 5 THEN b.d ELSE l.d END]) AS e FROM r JOIN l ON r.snapshot_day = l.snapshot_day JOIN b ON r.snapshot_day = b.snapshot_day AND r.bucket = b.bucket)
+SELECT snapshot_day, model, population, COUNT(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(exp(-e) - 1)), 5) AS mape, round(avg(CASE WHEN abs(e) <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS within_half FROM (SELECT *, UNNEST(CASE WHEN bucket = 'over_100' THEN ['all', 'large'] ELSE ['all'] END) AS population FROM e) GROUP BY 1, 2, 3""")
+def snapshot_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by snapshot day of the raw forecast, and less the mean miss of all and of its size, for all titles and large ones."""
+    r = day_by_day_snapshots(spark, sf_dir).where("residual IS NOT NULL").select("snapshot_day", "bucket", "residual")
+    level = r.groupBy("snapshot_day").agg(F.avg("residual").alias("d"))
+    sized = r.groupBy("snapshot_day", "bucket").agg(F.avg("residual").alias("db"), F.count("*").alias("nb"))
+    x = r.join(level, "snapshot_day").join(sized, ["snapshot_day", "bucket"])
+    e = {"raw": F.col("residual"), "level": F.col("residual") - F.col("d"), "bucket": F.col("residual") - F.when(F.col("nb") >= 5, F.col("db")).otherwise(F.col("d"))}
+    pops = F.when(F.col("bucket") == "over_100", F.array(F.lit("all"), F.lit("large"))).otherwise(F.array(F.lit("all")))
+    rows = x.select("snapshot_day", F.explode(pops).alias("population"), *(v.alias(m) for m, v in e.items())).unpivot(["snapshot_day", "population"], list(e), "model", "e")
+    v = F.col("e")
+    return rows.groupBy("snapshot_day", "model", "population").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(v * v)), 6).alias("rmse"), F.round(F.avg(F.abs(F.exp(-v) - 1)), 5).alias("mape"), F.round(F.avg((F.abs(v) <= 0.5).cast("int")), 6).alias("within_half"))

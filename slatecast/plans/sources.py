@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day, money_sum, parse_date, parse_number, title_key
-from ..functions.text import article_key, audience_key, date_range_of, epoch_date, markup_off, money_range, variant_keys
+from ..functions.text import article_key, audience_key, date_range_of, epoch_date, markup_off, money_range, rank_and_title, variant_keys
 from ..operators.matching import match_forecasts, match_scored, match_title_year
-from ..sources.readers import bindings, feed_items, film_page, filtered_tsv, graph_objects, html_cells, html_records, paper_tables, read_tsv, read_xml, resolved, seat_fill, tables_with, with_names
+from ..sources.readers import balanced_json, bindings, feed_items, film_page, filtered_tsv, graph_objects, html_cells, html_records, paper_tables, read_tsv, read_xml, resolved, seat_fill, tables_with, with_names
 from ..sources.writers import append_jsonl, delete_counts, folder, pending, transition, update_from, write_csv
 from .registry import registry, table
 
@@ -291,3 +291,77 @@ def fuzzy_match_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     records = c.select(k.alias("entity"), audience_key(F.regexp_replace("c_name", "Customer", "Suppliers")).alias("key"), (1990 + k % 4).alias("year"), (k % 2 == 0).alias("has_id"))
     return match_scored(items, records).select("item", "entity", F.round("score", 6).alias("score"), "status")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_name, p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part)
+SELECT p_brand AS page, p_partkey AS movie, DATE '2026-01-01' + p_size AS release_date, CASE WHEN p_partkey % 3 = 0 THEN 'Limited' ELSE 'Wide' END AS pattern FROM p""")
+def release_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release schedules read from pages: columns found by their headers, dates carried down to the rows below that leave them out."""
+    p = table(spark, sf_dir, "part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")))
+    date = F.date_add(F.lit("2026-01-01").cast("date"), F.col("p_size"))
+    p = p.withColumn("date_", date).withColumn("old_", F.lag("date_").over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")))
+    said = F.when(F.col("date_").eqNullSafe(F.col("old_")), "").otherwise(F.date_format("date_", "MMMM d, yyyy"))
+    link = F.concat(F.lit("<a href='/movie/"), F.col("p_partkey").cast("string"), F.lit("'>"), F.col("p_name"), F.lit("</a>"))
+    row = _row(link, said, F.when(F.col("p_partkey") % 3 == 0, "Limited").otherwise("Wide"))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", row.alias("html")))), lambda x: x["html"]), "")
+    pages = p.groupBy(F.col("p_brand").alias("page")).agg(F.concat(F.lit("<table><tr><th>Film</th><th> Release Date </th><th>Pattern</th></tr>"), rows, F.lit("</table>")).alias("html"))
+    cells = html_cells(pages, "page", "html")
+    names = cells.where("row_no = 0").select("page", "table_no", "cell_no", F.regexp_replace(F.lower("text"), "[^a-z]+", "_").alias("name"))
+    rows = cells.where("row_no > 0").join(names, ["page", "table_no", "cell_no"]).groupBy("page", "table_no", "row_no")
+    rows = rows.agg(F.max(F.when(F.col("name").isin("film", "title", "movie"), F.col("link"))).alias("link"), F.max(F.when(F.col("name") == "release_date", F.col("text"))).alias("said"), F.max(F.when(F.col("name") == "pattern", F.col("text"))).alias("pattern"))
+    down = Window.partitionBy("page", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("page", F.regexp_extract("link", r"/movie/(\d+)", 1).cast("bigint").alias("movie"), F.last(parse_date("said"), ignorenulls=True).over(down).alias("release_date"), "pattern")
+
+
+@query("""
+SELECT s_nationkey AS page, 'https://x.example.com/a/' || s_suppkey AS url, s_name AS title, CASE WHEN s_nationkey % 2 = 0 THEN 'archive' ELSE 'fallback' END AS parser FROM supplier""")
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of archive pages by the first parser, and by the second where that finds none."""
+    s = table(spark, sf_dir, "supplier")
+    url = F.concat(F.lit("https://x.example.com/a/"), F.col("s_suppkey").cast("string"))
+    new = F.concat(F.lit('<article class="item"><a href="'), url, F.lit('"><h2>'), F.col("s_name"), F.lit("</h2></a></article>"))
+    old = F.concat(F.lit('<h3><a href="'), url, F.lit('">'), F.col("s_name"), F.lit("</a></h3>"))
+    pages = s.select("s_nationkey", F.when(F.col("s_nationkey") % 2 == 0, new).otherwise(old).alias("i")).groupBy(F.col("s_nationkey").alias("page")).agg(F.array_join(F.collect_list("i"), "\n").alias("html"))
+    found = lambda pattern: F.arrays_zip(*(F.regexp_extract_all("html", F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "url"), (2, "title"))))
+    first, second = found(r'<article[^>]*>\s*<a href="([^"]+)">\s*<h2>([^<]*)'), found(r'<h3>\s*<a href="([^"]+)">([^<]*)')
+    rows = pages.select("page", F.when(F.size(first) > 0, first).otherwise(second).alias("items"), F.when(F.size(first) > 0, "archive").otherwise("fallback").alias("parser"))
+    return rows.select("page", "parser", F.explode("items").alias("i")).select("page", "i.url", "i.title", "parser")
+
+
+@query("""
+SELECT p_brand AS article, CASE WHEN p_partkey % 4 = 0 THEN 'rejected' ELSE 'prediction' END AS kind, COUNT(*) AS n, CAST(SUM(CASE WHEN p_partkey % 4 > 0 THEN p_size END) AS DOUBLE) * 1e6 AS low, CAST(SUM(CASE WHEN p_partkey % 4 > 0 THEN p_size + 5 END) AS DOUBLE) * 1e6 AS high, CAST(COUNT(*) FILTER (WHERE p_partkey % 2 = 1) AS BIGINT) AS holdovers FROM part GROUP BY 1, 2""")
+def article_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast blocks of articles: rank, title, status and range; blocks without a range are rejected, and kept apart."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    span = F.when(F.col("p_partkey") % 4 == 0, "no forecast yet").otherwise(F.concat(F.lit("Weekend range: $"), size, F.lit(" – $"), (F.col("p_size") + 5).cast("string"), F.lit(" million")))
+    block = F.concat((F.col("p_partkey") % 20).cast("string"), F.lit(". "), F.col("p_name"), F.lit("\nStudio | "), F.when(F.col("p_partkey") % 2 == 1, "Week 2").otherwise("NEW"), F.lit("\n"), span)
+    articles = p.groupBy(F.col("p_brand").alias("article")).agg(F.array_join(F.collect_list(block), "\n\n").alias("text"))
+    blocks = articles.select("article", F.explode(F.split("text", r"\n\s*\n")).alias("block"))
+    lines = F.split("block", "\n")
+    said = money_range(F.regexp_replace(F.regexp_extract("block", r"range: (.*)", 1), " million$", "M"))
+    rows = blocks.select("article", rank_and_title(F.get(lines, F.lit(0)))["title"].alias("title"), F.get(lines, F.lit(1)).rlike(r"Week \d").alias("holdover"), said.alias("r"))
+    kind = F.when(F.col("r.low").isNull() | (F.col("title") == ""), "rejected").otherwise("prediction")
+    return rows.groupBy("article", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("r.low").alias("low"), F.sum("r.high").alias("high"), F.count_if("holdover").alias("holdovers"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, COUNT(*) AS total, COUNT(*) FILTER (WHERE l_linestatus = 'O') AS available FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS showtime, CASE l_orderkey % 4 WHEN 0 THEN 'rsc' WHEN 1 THEN 'embedded_json' WHEN 2 THEN 'rendered' ELSE 'none' END AS parse_method, CASE WHEN l_orderkey % 4 < 3 THEN CAST(total AS INTEGER) END AS total, CASE WHEN l_orderkey % 4 < 3 THEN CAST(available AS INTEGER) END AS available FROM s""")
+def seat_fill_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seats of showtime pages in three formats: a streamed payload, JSON in a script, or rendered inputs; the first that parses counts."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("showtime")).agg(F.collect_list((F.col("l_linestatus") == "O")).alias("free"))
+    k = F.col("showtime") % 4
+    listed = F.array_join(F.transform("free", lambda a: F.concat(F.lit('{"shown":true,"type":"standard","available":'), a.cast("string"), F.lit("}"))), ",")
+    inputs = F.array_join(F.transform("free", lambda a: F.concat(F.lit('<input type="checkbox" name="seat"'), F.when(a, "").otherwise(" disabled"), F.lit(">"))), "")
+    html = F.when(k == 0, F.concat(F.lit('0:["$","x"] payload: {"seats":['), listed, F.lit("]} tail }"))).when(k == 1, F.concat(F.lit("<script>window.SEATS = {"), F.lit('"layout":{"seats":['), listed, F.lit("]}};</script>"))).when(k == 2, inputs).otherwise("<p>sold out?</p>")
+    pages = n.select("showtime", html.alias("html"))
+    seat = "array<struct<shown:boolean,type:string,available:boolean>>"
+    rsc = F.from_json(balanced_json("html", F.lit("payload:")), f"seats {seat}")["seats"]
+    embedded = F.from_json(balanced_json("html", F.lit("window.SEATS")), f"layout struct<seats:{seat}>")["layout"]["seats"]
+    boxes = F.regexp_extract_all("html", F.lit(r'<input type="checkbox" name="seat"([^>]*)>'), F.lit(1))
+    rendered = F.when(F.size(boxes) > 0, F.transform(boxes, lambda x: F.struct(F.lit(True).alias("shown"), F.lit("standard").alias("type"), (~x.contains("disabled")).alias("available"))))
+    chosen = F.coalesce(*(F.when(seats.isNotNull(), F.struct(F.lit(m).alias("m"), seats.alias("seats"))) for m, seats in (("rsc", rsc), ("embedded_json", embedded), ("rendered", rendered))))
+    fill = pages.select("showtime", chosen.alias("c")).select("showtime", F.coalesce("c.m", F.lit("none")).alias("parse_method"), F.when(F.col("c").isNotNull(), seat_fill(F.col("c.seats"))).alias("f"))
+    return fill.select("showtime", "parse_method", "f.total", "f.available")
