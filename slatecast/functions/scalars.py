@@ -148,3 +148,13 @@ def estimate_bucket(usd: Column) -> Column:
     for most, name in cuts:
         out = out.when(usd < most, name)
     return out.otherwise("over_100")
+
+
+def term(spelt: str) -> Column:
+    """A model term as it is spelt: a column, a product of columns with ``*``, or a function of it, as ``log:a*b`` (log, log1p, sqrt, square)."""
+    how, _, body = spelt.rpartition(":")
+    out = None
+    for name in body.split("*"):
+        out = F.col(name) if out is None else out * F.col(name)
+    made = {"": lambda c: c, "log": lambda c: F.when(c > 0, F.ln(c.cast("double"))), "log1p": log1p_floor, "sqrt": lambda c: F.sqrt(F.greatest(c, F.lit(0))), "square": lambda c: c * c}
+    return made[how](out)

@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import age_bucket, cents, day, estimate_bucket, money_sum, safe_divide
+from ..functions.scalars import age_bucket, cents, day, estimate_bucket, money_sum, safe_divide, season, term
 from ..models.linear import Fit, cluster_bootstrap, moments, ols, solve
 from ..models.selection import coefficients, fold, grouped_moments, leave_one_out, out_of_fold, ridge_grid, standardised, two_way
 from ..operators.aggregates import correlation
 from ..operators.ranks import midranks, quantiles, slices
+from ..sources.writers import append_jsonl, folder
 from .competition import SQL as PANEL_SQL
 from .competition import daily_competition_lag_panel, day_by_day_snapshots, weekly_lag_rows
 from .forecasts import _PAIRS, pairs
@@ -451,3 +452,39 @@ def snapshot_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = x.select("snapshot_day", F.explode(pops).alias("population"), *(v.alias(m) for m, v in e.items())).unpivot(["snapshot_day", "population"], list(e), "model", "e")
     v = F.col("e")
     return rows.groupBy("snapshot_day", "model", "population").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(v * v)), 6).alias("rmse"), F.round(F.avg(F.abs(F.exp(-v) - 1)), 5).alias("mape"), F.round(F.avg((F.abs(v) <= 0.5).cast("int")), 6).alias("within_half"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_quantity * l_extendedprice > 0 THEN ln(l_quantity * l_extendedprice) END, 6) AS log_volume, round(ln(1 + greatest(0, l_quantity - 25)), 6) AS log_surplus, round(sqrt(l_quantity), 6) AS root, round(l_discount * l_discount, 6) AS discount_sq, round(l_discount * l_tax, 6) AS rates FROM lineitem""")
+def term_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model terms made from how they are spelt."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("surplus", F.col("l_quantity") - 25)
+    spelt = {"log_volume": "log:l_quantity*l_extendedprice", "log_surplus": "log1p:surplus", "root": "sqrt:l_quantity", "discount_sq": "square:l_discount", "rates": "l_discount*l_tax"}
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", *(F.round(term(v), 6).alias(k) for k, v in spelt.items()))
+
+
+@query(f"""
+WITH {_LOG} SELECT metric AS model, ['intercept', 'x'] AS terms, [round(avg(x), 6)] AS centers, [round(stddev_pop(x), 6)] AS scales, [round(avg(y), 6), round(regr_slope(y, x) * stddev_pop(x), 6)] AS beta, COUNT(*) AS n FROM lp GROUP BY 1""")
+def model_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of standardised models, one for each metric, written as JSON and read back."""
+    rows = log_pairs(spark, sf_dir)
+    out = []
+    for metric, (xx, xy, _, n) in sorted(grouped_moments(rows, "metric", ["x"], "y").items()):
+        center = xx[0, 1] / n
+        scale = float(np.sqrt(max(xx[1, 1] / n - center**2, 0))) or 1.0
+        beta, _ = solve(xx, xy)
+        out.append((metric, ["intercept", "x"], [round(float(center), 6)], [round(scale, 6)], [round(float(beta[0] + beta[1] * center), 6), round(float(beta[1] * scale), 6)], n))
+    schema, at = "model string, terms array<string>, centers array<double>, scales array<double>, beta array<double>, n bigint", folder(spark, "bundle")
+    append_jsonl(spark.createDataFrame(out, schema), at)
+    return spark.read.schema(schema).json(at)
+
+
+@query("""
+WITH o AS (SELECT l_partkey AS part, MIN(CAST(l_shipdate AS DATE)) AS opened, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY 1), s AS (SELECT part, ln(total) AS y, CASE WHEN month(opened) * 100 + day(opened) BETWEEN 525 AND 905 THEN 1 ELSE 0 END AS summer, p_size / 50.0 AS size FROM o JOIN part ON part = p_partkey WHERE total > 0)
+SELECT summer = 1 AS in_summer, COUNT(*) AS n, round(regr_slope(y, size), 5) AS slope, round(regr_intercept(y, size), 5) AS intercept, round(avg(y), 6) AS mean FROM s GROUP BY 1""")
+def release_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What size does for titles that open in the summer season and for the others."""
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min(day("l_shipdate")).alias("opened"), money_sum("l_extendedprice").alias("total"))
+    s = o.join(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("size")), "p_partkey").where("total > 0")
+    rows = s.select(F.ln("total").alias("y"), "size", F.coalesce(season("opened").startswith("summer"), F.lit(False)).alias("in_summer"))
+    return rows.groupBy("in_summer").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "size"), 5).alias("slope"), F.round(F.regr_intercept("y", "size"), 5).alias("intercept"), F.round(F.avg("y"), 6).alias("mean"))

@@ -352,3 +352,23 @@ def age_bucket_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select(F.datediff(d, F.min(d).over(Window.partitionBy("l_partkey"))).alias("age"))  # noqa: E741
     a = F.col("age")
     return l.groupBy(age_bucket(a).alias("regression_bucket"), F.when(a < 7, "first_week").when(a < 28, "first_month").otherwise("long_tail").alias("segment"), F.when(a == 0, "day_0").when(a <= 6, "days_1_6").when(a <= 13, "days_7_13").otherwise("days_14_on").alias("next_day_bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH w AS (SELECT '0x' || lpad(CAST(o_custkey % 500 AS VARCHAR), 40, '0') AS wallet, COUNT(*) AS trades, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS volume FROM orders WHERE o_custkey % 500 > 0 GROUP BY 1) SELECT wallet, trades, CAST(volume AS DOUBLE) AS volume FROM w ORDER BY w.volume DESC, trades DESC, wallet LIMIT 40""")
+def wallet_seeding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 wallets with the largest volume; addresses that aren't well-formed don't count."""
+    address = F.when(F.col("o_custkey") % 500 > 0, F.concat(F.lit("0X"), F.lpad((F.col("o_custkey") % 500).cast("string"), 40, "0"))).otherwise("0x0")
+    w = table(spark, sf_dir, "orders").select(wallet(address).alias("wallet"), cents("o_totalprice").alias("v")).where("wallet IS NOT NULL")
+    w = w.groupBy("wallet").agg(F.count("*").alias("trades"), F.sum("v").alias("v")).orderBy(F.desc("v"), F.desc("trades"), "wallet").limit(40)
+    return w.select("wallet", "trades", F.col("v").cast("double").alias("volume"))
+
+
+#: Published estimates, held as a table.
+REPORTED = (("decay", -0.220, 0.0014), ("sigma", 0.524, 0.030), ("decay_plain", -0.163, None), ("sigma_plain", 0.577, None), ("loss_12_weeks", 0.191, None))
+
+
+@query("""SELECT * FROM (VALUES ('decay', -0.220, 0.0014), ('sigma', 0.524, 0.030), ('decay_plain', -0.163, NULL), ('sigma_plain', 0.577, NULL), ('loss_12_weeks', 0.191, NULL)) t(name, value, error)""")
+def reported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published estimates that fits are compared with."""
+    return spark.createDataFrame(list(REPORTED), "name string, value double, error double")
