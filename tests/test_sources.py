@@ -1,12 +1,13 @@
 """Readers, writers, matching and the rules that callers rely on, on small inputs."""
 
 import gzip
+import math
 import zipfile
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
-from slatecast.functions.scalars import estimate_bucket, log1p_floor, near_holiday
+from slatecast.functions.scalars import estimate_bucket, log1p_floor, near_holiday, term
 from slatecast.functions.text import age_text, article_key, audience_key, date_range_of, looks_like_bot, markup_off, money_range, money_text, rank_and_title, size_bucket, time_zone, to_utc, user_key, variant_keys, wallet
 from slatecast.operators.matching import match_forecasts, match_scored, match_title_year
 from slatecast.sources.readers import balanced_json, film_page, filtered_tsv, graph_objects, html_cells, paper_tables, resolved, seat_fill, tables_with, zip_members
@@ -137,3 +138,12 @@ def test_match_forecasts(spark):
 def test_odd_pages(spark, text):
     df = spark.createDataFrame([(1, text)], "k int, h string")
     assert html_cells(df, "k", "h").count() == 0 and graph_objects(df, "k", "h").count() == 0 and film_page(df, "k", "h").count() == 1
+
+
+def test_terms(spark):
+    df = spark.createDataFrame([(2.0, 3.0), (-1.0, 4.0), (None, 1.0)], "a double, b double")
+    got = [tuple(r) for r in df.select(term("log:a*b"), term("log1p:a"), term("square:b"), term("a*b"), term("sqrt:b")).collect()]
+    assert got[0] == pytest.approx((math.log(6), math.log(3), 9.0, 6.0, math.sqrt(3)))
+    assert got[1] == pytest.approx((None, 0.0, 16.0, -4.0, 2.0)) and got[2] == (None, 0.0, 1.0, None, 1.0)
+    with pytest.raises(KeyError):
+        term("tan:a")
