@@ -409,17 +409,27 @@ def fit(texts: list[str], most: int = 4000, recall: float = 0.98, seed: int = 5)
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
-    """Passages around what may be base findings, of at most ``most`` documents drawn by hash, ``_PASSAGES`` of each at most.
+    """Passages around base findings of at most ``most`` documents drawn by hash, ``_PASSAGES`` of each at most, spread over it.
 
     ``_DRAWN`` times as many documents are looked at, or all, if there are no more.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                places, texts = (x.to_pylist() for x in columns(batch, "place", "text"))
+                out = []
+                for place, text in zip(places, texts, strict=True):
+                    found = base_findings(text) if text else []
+                    if found:
+                        taken = sorted({int(k) for k in np.linspace(0, len(found) - 1, _PASSAGES)})
+                        out.append((place, [text[max(0, found[k][0] - 200) : found[k][2] + 60] for k in taken]))
+                yield pa.RecordBatch.from_pydict({"place": pa.array([x for x, _ in out], pa.int64()), "texts": pa.array([x for _, x in out], pa.list_(pa.string()))})
+
     place = F.xxhash64(docs[id_col].cast("string"), docs[text_col])
     drawn = place.cast("double") / 2.0**64 + 0.5 < float(_DRAWN * most) / max(docs.count(), 1)
-    finding = f"(?:(?i:{_ASSIGN.pattern})|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}})"
-    found = F.regexp_extract_all(docs[text_col], F.lit(f"(?s).{{0,200}}{finding}.{{0,60}}"), F.lit(0))
-    mixed = F.sort_array(F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("text"))))
-    rows = docs.where(drawn).select(F.transform(F.slice(mixed, 1, _PASSAGES), lambda x: x["text"]).alias("texts"), place.alias("place"))
-    return [t for r in rows.where(F.size("texts") > 0).orderBy("place", "texts").limit(most).collect() for t in r["texts"]]
+    rows = docs.where(drawn).select(place.alias("place"), docs[text_col].alias("text")).mapInArrow(run, "place bigint, texts array<string>")
+    return [t for r in rows.orderBy("place", "texts").limit(most).collect() for t in r["texts"]]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
