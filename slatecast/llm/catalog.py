@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality, secrets, substring_dedup, warc
+from . import bpe, decontaminate, html_text, language_id, line_dedup, manifest, near_dedup, quality, secrets, substring_dedup, warc
 from .shared import ship
 
 
@@ -29,6 +29,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_warc": warc.op10_warc,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
@@ -36,4 +37,5 @@ QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }
