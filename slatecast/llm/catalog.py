@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language_id, line_dedup, manifest, near_dedup, quality, secrets, substring_dedup, warc
+from . import bpe, decontaminate, html_text, language_id, line_dedup, manifest, near_dedup, quality, secrets, spelling, substring_dedup, topk, warc
 from .shared import ship
 
 
@@ -29,6 +29,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_exact_topk": topk.op11_exact_topk,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
@@ -37,5 +39,7 @@ QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_exact_topk": topk.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }
