@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 from .scalars import clean_text, col, parse_number, slug
 
@@ -23,12 +22,6 @@ def decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 times the matching share of two texts (Ratcliff and Obershelp)."""
-    return pd.Series([None if x is None or y is None else 100 * SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
 def _year_off(c: Column) -> Column:
     return F.regexp_replace(c, r"\s*\(\d{4}\)\s*$", "")
 

@@ -6,10 +6,10 @@ each entity that bears it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity
+from .similarity import similar_pairs
 
 
 def match_title_year(items: DataFrame, names: DataFrame) -> DataFrame:
@@ -30,31 +30,54 @@ def match_title_year(items: DataFrame, names: DataFrame) -> DataFrame:
     return out.select("item", status.alias("status"), method.alias("method"), F.when(one, F.col("a_")).alias("entity"))
 
 
-def match_scored(items: DataFrame, records: DataFrame, least: float = 100.0, sure: float = 130.0, margin: float = 8.0, blocks: int = 2) -> DataFrame:
+#: Points for years that are so far apart; others count -30, which no title makes up for.
+YEAR_POINTS = (30.0, 20.0, 10.0)
+UNKNOWN_YEAR, KNOWN_ID = 5.0, 10.0
+
+
+def match_scored(items: DataFrame, records: DataFrame, least: float = 100.0, sure: float = 130.0, margin: float = 8.0, **bounds: int) -> DataFrame:
     """(item, entity, score, status): the best record by similarity of titles, nearness of years and known ids.
 
-    ``items`` are (item, key, year), ``records`` (entity, key, year, has_id). Pairs are looked at if they share one of the
-    ``blocks`` rarest words of either title, so neither common words nor all pairs are compared; titles without a
-    common rare word aren't matched. A best score under ``sure``, or one less than ``margin`` ahead of the
-    next, is ambiguous; under ``least`` there is no match.
+    ``items`` are (item, key, year), ``records`` (entity, key, year, has_id). The score is 100 times the ratio of matching blocks, and
+    points for years and a known id. What points leave open to ``least`` is the least ratio of titles, so titles meet by
+    year and by ``similar_pairs``, and no pair that reaches ``least`` is lost. Equal titles meet once, however many bear them. A best
+    score under ``sure``, or one less than ``margin`` ahead of the next, is ambiguous; of equal scores the smallest
+    entity is named. ``least`` has to be over 80, what an equal title with a wrong year and an id can reach.
     """
-    word = lambda df, who: df.select(who, F.explode(F.array_distinct(F.split("key", " "))).alias("word"))
-    often = word(records, "entity").groupBy("word").agg(F.count("*").alias("often_"))
-
-    def rare(df: DataFrame, who: str) -> DataFrame:
-        held = word(df, who).join(often, "word", "left")
-        place = F.row_number().over(Window.partitionBy(who).orderBy(F.coalesce("often_", F.lit(0)), "word"))
-        return held.withColumn("p_", place).where(F.col("p_") <= blocks).select(who, "word")
-
-    pairs = rare(items, "item").join(rare(records, "entity"), "word").select("item", "entity").distinct()
-    pairs = pairs.join(items, "item").join(records.withColumnsRenamed({"key": "label", "year": "known"}), "entity")
-    off = F.abs(F.col("known") - F.col("year"))
-    years = F.when(off.isNull(), 5.0).when(off == 0, 30.0).when(off == 1, 20.0).when(off <= 2, 10.0).otherwise(-30.0)
-    scored = pairs.withColumn("score", similarity("key", "label") + years + F.when(F.col("has_id"), 10.0).otherwise(0.0)).where(F.col("score") >= least)
-    w = Window.partitionBy("item").orderBy(F.desc("score"), "entity")
-    best = scored.withColumns({"p_": F.row_number().over(w), "next_": F.lead("score").over(w)}).where("p_ = 1")
+    if least <= 100 - 30 + KNOWN_ID:
+        raise ValueError("least has to be over 80")
+    known_id = [(F.lit(i), i * KNOWN_ID) for i in (0, 1)]
+
+    def cell(year: Column, step: int | None, with_id: Column, points: Column | float) -> Column:
+        where = F.concat_ws("|", year.cast("string"), F.lit("?" if step is None else str(step)), with_id.cast("string"))
+        return F.struct(where.alias("cell"), F.lit(points).alias("points") if isinstance(points, float) else points.alias("points"))
+
+    asked, year = items.select("key", "year").distinct(), F.col("year")
+    near = [cell(year + d, abs(d), i, p + more) for d in range(-2, 3) for p in [YEAR_POINTS[abs(d)]] for i, more in known_id]
+    dated = [cell(F.lit("none"), None, i, UNKNOWN_YEAR + more) for i, more in known_id]
+    undated = [cell(F.lit("any"), None, i, UNKNOWN_YEAR + more) for i, more in known_id]
+    asked = asked.withColumn("at", F.explode(F.when(year.isNull(), F.array(*undated)).otherwise(F.array(*near, *dated)))).select("key", "year", "at.*")
+
+    known = records.groupBy("key", "year", F.coalesce("has_id", F.lit(False)).cast("int").alias("id_")).agg(F.min("entity").alias("entity"), F.count("*").alias("n_"))
+    more = F.col("id_") * KNOWN_ID
+    own = [cell(year, step, F.col("id_"), F.lit(p) + more) for step, p in enumerate(YEAR_POINTS)]
+    any_ = cell(F.lit("any"), None, F.col("id_"), F.lit(UNKNOWN_YEAR) + more)
+    none = cell(F.lit("none"), None, F.col("id_"), F.lit(UNKNOWN_YEAR) + more)
+    known = known.withColumn("at", F.explode(F.when(year.isNull(), F.array(any_, none)).otherwise(F.array(any_, *own))))
+    known = known.groupBy("key", "at").agg(F.min("entity").alias("entity"), F.sum("n_").alias("n_")).select("key", "at.*", "entity", "n_")
+
+    sides = [df.select(F.col("key").alias("id"), "key", "cell", ((F.lit(least) - F.col("points")) / 100).alias("least")).distinct() for df in (asked, known)]
+    pairs = similar_pairs(*sides, **bounds)
+    found = asked.join(pairs, (F.col("key") == F.col("left")) & (asked["cell"] == pairs["cell"])).select("key", "year", "right", pairs["cell"], (100 * F.col("ratio") + F.col("points")).alias("score"))
+    found = found.join(known.select(F.col("key").alias("right"), "cell", "entity", "n_"), ["right", "cell"]).where(F.col("score") >= least)
+    w = Window.partitionBy("key", "year").orderBy(F.desc("score"), "entity")
+    best = found.withColumn("p_", F.row_number().over(w)).where("p_ <= 2").groupBy("key", "year")
+    first = lambda c: F.max(F.when(F.col("p_") == 1, F.col(c)))
+    next_ = F.when(first("n_") > 1, first("score")).otherwise(F.max(F.when(F.col("p_") == 2, F.col("score"))))
+    best = best.agg(first("entity").alias("entity"), first("score").alias("score"), next_.alias("next_")).withColumnsRenamed({"key": "key_", "year": "year_"})
+    out = items.join(best, (F.col("key") == F.col("key_")) & F.col("year").eqNullSafe(F.col("year_")))
     status = F.when(F.col("score") < sure, "ambiguous").when(F.col("score") - F.col("next_") < margin, "ambiguous").otherwise("matched")
-    return best.select("item", "entity", "score", status.alias("status"))
+    return out.select("item", "entity", "score", status.alias("status"))
 
 
 def match_forecasts(forecasts: DataFrame, movies: DataFrame, overrides: DataFrame, source_ids: DataFrame) -> DataFrame:

@@ -24,6 +24,19 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/files-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder: its plan ends there, and a lost executor costs only the tasks after it."""
+    at = folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the files that this application's queries wrote; frames that read them are of no use afterwards."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder(spark, "any")).getParent()
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], one_file: bool = False) -> None:
     """Columns in a fixed order, with a header; ``one_file`` is for reports, whose size doesn't grow with the data."""
     out = df.select(*columns)

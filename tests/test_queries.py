@@ -2,6 +2,9 @@
 
 import hashlib
 import math
+import re
+import unicodedata
+import zlib
 from datetime import date, datetime
 from decimal import Decimal
 from difflib import SequenceMatcher
@@ -106,22 +109,34 @@ def test_nested_lag_models_and_bootstrap(spark):
     assert b["repetitions"] == 80 and b["low"] < slope < b["high"]
 
 
-def test_fuzzy_match_margin(spark, duck):
+def test_fuzzy_match_margin(spark):
+    """Every item against every record."""
     got = {r["item"]: (r["entity"], r["score"], r["status"]) for r in catalog.QUERIES["fuzzy_match_margin"](spark, SF).collect()}
-    items = [(k, n.lower().replace("pp", "p").replace("#", " "), 1990 + k % 5) for k, n in duck.execute("SELECT s_suppkey, s_name FROM supplier").fetchall()]
-    records = [(k, n.lower().replace("customer", "suppliers").replace("#", " "), 1990 + k % 4, k % 2 == 0) for k, n in duck.execute("SELECT c_custkey, c_name FROM customer").fetchall()]
+    items, records = [], []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        i, title = r["doc_id"], " ".join(re.findall(r"[^\W\d_]+", r["text"])[:4])
+        key = "".join(c for c in unicodedata.normalize("NFKD", title) if not unicodedata.combining(c)).lower()
+        key = " ".join(re.sub("[^a-z0-9]+", " ", key).split())
+        at = i % len(key)
+        typo = key[:at] + key[at + 1 :] if i % 2 == 0 else key
+        hashed = zlib.crc32(key.encode()) % 97 + 1920
+        items.append((i, typo, hashed + (i % 5 == 0) if i % 23 else None))
+        records.append((i, key, hashed if i % 19 else None, i % 3 > 0))
+    ambiguous = 0
     for item, key, year in items:
         scored = []
         for entity, label, known, has_id in records:
-            if key.split()[1] == label.split()[1]:  # the rare word
-                off = abs(known - year)
-                scored.append((-(100 * SequenceMatcher(None, key, label).ratio() + {0: 30, 1: 20, 2: 10}.get(off, -30) + 10 * has_id), entity))
-        scored = sorted(s for s in scored if -s[0] >= 100)
+            off = 5 if year is None or known is None else {0: 30, 1: 20, 2: 10}.get(abs(known - year), -30)
+            if off > 0:
+                scored.append((-(100 * SequenceMatcher(None, key, label).ratio() + off + 10 * has_id), entity))
+        scored = sorted(s for s in scored if -s[0] >= 100 - 1e-9)
         if not scored:
             assert item not in got
             continue
         status = "matched" if -scored[0][0] >= 130 and (len(scored) < 2 or scored[1][0] - scored[0][0] >= 8) else "ambiguous"
-        assert got[item] == (scored[0][1], pytest.approx(-scored[0][0], abs=1e-5), status)
+        ambiguous += status == "ambiguous"
+        assert got[item] == (scored[0][1], pytest.approx(-scored[0][0], abs=1e-5), status), (item, key)
+    assert len(got) > ambiguous > 10
 
 
 def test_every_query_without_sql_is_tested():
