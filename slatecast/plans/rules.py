@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_
 
@@ -13,7 +14,9 @@ from ..functions.text import age_text, in_morning, looks_like_bot, money_text, r
 from ..operators.aggregates import checks
 from ..operators.sampling import first_by_hash
 from ..operators.tables import insert_ignore, union_of
+from ..sources.writers import folder
 from ..streaming.events import autoscaled, claimed, snapshots, stale_reset
+from ..streaming.queue import Rules, replay, state_now
 from .panels import _BRAND_DAY, brand_days
 from .registry import registry, table
 
@@ -372,3 +375,45 @@ REPORTED = (("decay", -0.220, 0.0014), ("sigma", 0.524, 0.030), ("decay_plain",
 def reported_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published estimates that fits are compared with."""
     return spark.createDataFrame(list(REPORTED), "name string, value double, error double")
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id AS task_id, event_id, ts AS tm, CASE WHEN row_number() OVER w = 1 THEN 'add' WHEN event_type IN ('click', 'view') THEN 'claim' WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'done' END AS kind, row_number() OVER w AS k
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+),
+c AS (SELECT * REPLACE (row_number() OVER (PARTITION BY task_id ORDER BY k) AS k) FROM e WHERE kind IS NOT NULL UNION ALL SELECT task_id, NULL, (SELECT max(tm) FROM e) + INTERVAL 30 DAY, 'end', COUNT(*) + 1 FROM e WHERE kind IS NOT NULL GROUP BY 1),
+s AS (
+  SELECT task_id, k, 1 AS number, 'queued' AS status, 0 AS attempts, tm AS available, CAST(NULL AS TIMESTAMP) AS started, CAST(NULL AS BIGINT) AS result FROM c WHERE k = 1
+  UNION ALL
+  SELECT task_id, k, number + CAST(lost + claimed + failed + done AS INTEGER), CASE WHEN claimed = 1 THEN 'running' WHEN done = 1 THEN 'succeeded' WHEN failed = 1 THEN CASE WHEN attempts < 4 THEN 'retry' ELSE 'failed' END ELSE status END, attempts + claimed,
+         CASE WHEN failed = 1 THEN CASE WHEN attempts < 4 THEN tm + INTERVAL 90 MINUTE END ELSE available END, CASE WHEN claimed = 1 THEN tm WHEN failed = 0 AND done = 0 THEN started END, CASE WHEN done = 1 THEN event_id ELSE result END
+  FROM (
+    SELECT *, CAST(kind = 'claim' AND status IN ('queued', 'retry') AND available <= tm AS INTEGER) AS claimed, CAST(kind = 'fail' AND status = 'running' AS INTEGER) AS failed, CAST(kind = 'done' AND status = 'running' AS INTEGER) AS done
+    FROM (
+      SELECT n.task_id, n.k, n.event_id, n.tm, n.kind, number, attempts, result, CASE WHEN old THEN 1 ELSE 0 END AS lost, CASE WHEN old THEN CASE WHEN attempts < 4 THEN 'retry' ELSE 'failed' END ELSE status END AS status,
+             CASE WHEN old THEN CASE WHEN attempts < 4 THEN started + INTERVAL 24 HOUR END ELSE available END AS available, CASE WHEN NOT old THEN started END AS started
+      FROM (SELECT *, status = 'running' AND started + INTERVAL 24 HOUR < (SELECT n.tm FROM c n WHERE n.task_id = s.task_id AND n.k = s.k + 1) AS old FROM s) s JOIN c n ON n.task_id = s.task_id AND n.k = s.k + 1
+    )
+  )
+)
+SELECT task_id, number, status, attempts, available, started, result FROM s QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY k DESC) = 1""")
+def queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user as a task whose events are claims, failures and results, replayed as a stream in three runs with late rows; its state at the end.
+
+    A day without an event takes a running task from its worker. The last run adds a row after all others, so that the watermark passes them.
+    """
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").select(F.col("user_id").cast("bigint").alias("task_id"), F.col("event_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp").alias("at"), "event_type")
+    first = e.groupBy("task_id").agg(F.min(F.struct("at", "event_id")).alias("first"))
+    kind = F.when(F.struct("at", "event_id") == F.col("first"), "add").when(F.col("event_type").isin("click", "view"), "claim").when(F.col("event_type") == "error", "fail").when((F.col("event_type") == "purchase") & (F.col("event_id") % 4 == 0), "done")
+    e = e.join(first, "task_id").select("task_id", "event_id", "at", kind.alias("kind")).where("kind IS NOT NULL")
+    low, high = e.agg(F.min("at"), F.max("at")).first()
+    if low is None:
+        low = high = datetime(2026, 1, 1)
+    seen = F.col("at") + F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 6 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    cuts = [low + (high - low) * k / 3 for k in range(4)]
+    parts = [e.where((seen >= F.lit(a)) & (seen < F.lit(b))) for a, b in zip(cuts, [*cuts[1:3], high + timedelta(days=1)], strict=False)]
+    end = spark.createDataFrame([(-1, -1, high + timedelta(days=31), "add")], "task_id bigint, event_id bigint, at timestamp, kind string")
+    changes = replay(spark, [*parts[:2], parts[2].unionByName(end)], folder(spark, "queue"), "12 hours", Rules(4, 90 * 60 * 1_000_000, 24 * 3600 * 1_000_000))
+    ntz = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("available", "started")]
+    return state_now(changes).where("task_id >= 0").select("task_id", "number", "status", "attempts", *ntz, "result")
