@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,3 +161,31 @@ def term(spelt: str) -> Column:
         out = F.col(name) if out is None else out * F.col(name)
     made = {"": lambda c: c, "log": lambda c: F.when(c > 0, F.ln(c.cast("double"))), "log1p": log1p_floor, "sqrt": lambda c: F.sqrt(F.greatest(c, F.lit(0))), "square": lambda c: c * c}
     return made[how](out)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for each row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function for x of 0 or more: a series up to 2, a continued fraction beyond."""
+
+    def parts(v: Column) -> Column:
+        start = F.struct(v.alias("term"), v.alias("sum"))
+
+        def add(a: Column, k: Column) -> Column:
+            term_ = a["term"] * 2 * v * v / (2 * k + 1)
+            return F.struct(term_.alias("term"), (a["sum"] + term_).alias("sum"))
+
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, add)["sum"]
+        tail = F.aggregate(F.sequence(F.lit(150), F.lit(1), F.lit(-1)), v, lambda a, k: v + k / 2.0 / a)
+        small = 1 - F.lit(2 / math.sqrt(math.pi)) * F.exp(-v * v) * series
+        return F.when(v < 2, small).otherwise(F.exp(-v * v) / (F.lit(math.sqrt(math.pi)) * tail))
+
+    return let(x.cast("double"), parts)
+
+
+def two_sided_p(t: Column) -> Column:
+    """The chance of a larger |t| under the normal distribution; null for null."""
+    return F.when(t.isNotNull(), erfc(F.abs(t) / math.sqrt(2)))

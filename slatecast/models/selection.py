@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import written
 from .linear import Fit, moments, solve
 
 
@@ -85,36 +86,58 @@ def out_of_fold(df: DataFrame, by: str, terms: Sequence[str], target: str, name:
     return df.withColumn(name, out)
 
 
-def two_way(df: DataFrame, columns: Sequence[str], first: str, second: str, tolerance: float = 1e-10) -> DataFrame:
+def two_way(df: DataFrame, columns: Sequence[str], first: str, second: str, tolerance: float = 1e-10, most: int = 500) -> DataFrame:
     """Columns less the effects of two groupings, as alternating means would leave them at their limit.
 
-    Effects of the smaller grouping are solved for exactly, from sums: the larger is taken out of its normal equations, of
-    which only the square of the smaller one's size reaches the driver, so that one has to be small (some
-    thousand groups). Effects of the larger are means of what is left. Singular directions (groups that aren't
-    connected) are left out below ``tolerance``.
+    The effects of ``second`` solve the normal equations from which those of ``first`` are taken out. Conjugate gradients find them: a step
+    takes the mean of a direction in each group of ``first`` and the sum of these in each of ``second``, two aggregations of the
+    distinct pairs; only a few dot products reach the driver, so either grouping may have millions of values. Steps are written tables. It
+    ends when the residual has shrunk by ``tolerance`` in every column, and raises an error after ``most`` steps. Groups that
+    aren't connected keep their own levels, which the effects of ``first`` take up.
     """
-    spark = df.sparkSession
-    names = [f"x{k}_" for k in range(len(columns))]
-    pairs = df.groupBy(first, second).agg(F.count("*").alias("w_"), *(F.avg(c).alias(n) for c, n in zip(columns, names, strict=True)))
-    few, many = (first, second) if df.select(first).distinct().count() <= df.select(second).distinct().count() else (second, first)
-    mean = pairs.groupBy(many).agg(F.sum("w_").alias("n_"), *(F.sum(F.col("w_") * F.col(c)).alias(f"{c}t") for c in names))
-    own = pairs.join(mean, many)
-    share = own.groupBy(many).agg(F.collect_list(F.struct(few, (F.col("w_") / F.sqrt("n_")).alias("s"))).alias("m_"))
-    cross = share.select(F.explode("m_").alias("a"), "m_").select("a", F.explode("m_").alias("b"))
-    cross = cross.groupBy(F.col(f"a.{few}").alias("a_"), F.col(f"b.{few}").alias("b_")).agg(F.sum(F.col("a.s") * F.col("b.s")).alias("c_")).collect()
-    side = own.groupBy(few).agg(F.sum("w_").alias("d_"), *(F.sum(F.col("w_") * (F.col(c) - F.col(f"{c}t") / F.col("n_"))).alias(c) for c in names)).collect()
-    at = {r[few]: k for k, r in enumerate(side)}
-    a, b = np.zeros((len(at), len(at))), np.zeros((len(at), len(names)))
-    for r in cross:
-        a[at[r["a_"]], at[r["b_"]]] -= r["c_"]
-    for r in side:
-        a[at[r[few]], at[r[few]]] += r["d_"]
-        b[at[r[few]]] = [r[c] for c in names]
-    gamma = np.linalg.pinv(a, rcond=tolerance) @ b
-    effects = spark.createDataFrame([(v, *map(float, gamma[k])) for v, k in at.items()], pairs.select(few, *names).schema).withColumnsRenamed({c: f"{c}e" for c in names})
-    rest = pairs.join(effects, few).groupBy(many).agg(*((F.sum(F.col("w_") * (F.col(c) - F.col(f"{c}e"))) / F.sum("w_")).alias(f"{c}f") for c in names))
-    out = df.join(effects, few).join(rest, many)
-    gone = {c: F.col(c) - F.col(f"{n}e") - F.col(f"{n}f") for c, n in zip(columns, names, strict=True)}
+    k = range(len(columns))
+    pairs = df.groupBy(F.col(first).alias("a_"), F.col(second).alias("b_")).agg(F.count("*").cast("double").alias("w_"), *(F.avg(c).alias(f"x{i}_") for i, c in enumerate(columns)))
+    pairs = written(pairs, "pairs")
+
+    def means(rows: DataFrame, values: Sequence[Column]) -> DataFrame:
+        """The mean of each value in each group of ``first``, as m0_, m1_, ..."""
+        return rows.groupBy("a_").agg(*((F.sum(F.col("w_") * v) / F.sum("w_")).alias(f"m{i}_") for i, v in enumerate(values)))
+
+    def meet(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+        side = side.withColumnRenamed(key, f"{key}s_")
+        return rows.join(side, rows[key].eqNullSafe(side[f"{key}s_"])).drop(f"{key}s_")
+
+    start = meet(pairs, means(pairs, [F.col(f"x{i}_") for i in k]), "a_")
+    state = start.groupBy("b_").agg(F.sum("w_").alias("n_"), *(F.sum(F.col("w_") * (F.col(f"x{i}_") - F.col(f"m{i}_"))).alias(f"r{i}_") for i in k))
+    state = written(state.select("b_", "n_", *(F.lit(0.0).alias(f"g{i}_") for i in k), *(f"r{i}_" for i in k), *((F.col(f"r{i}_") / F.col("n_")).alias(f"p{i}_") for i in k)), "effects")
+    scale = state.agg(*(F.coalesce(F.sum(F.col(f"r{i}_") ** 2 / F.col("n_")), F.lit(0.0)).alias(f"s{i}_") for i in k)).first()
+    size = pairs.agg(*(F.coalesce(F.sum(F.col("w_") * F.col(f"x{i}_") ** 2), F.lit(0.0)).alias(f"s{i}_") for i in k)).first()
+    left, goal = list(scale), [max(tolerance**2 * s, 1e-30 * t) for s, t in zip(scale, size, strict=True)]
+    for _ in range(most):
+        if all(now <= end for now, end in zip(left, goal, strict=True)):
+            break
+        ahead = means(meet(pairs, state.select("b_", *(f"p{i}_" for i in k)), "b_"), [F.col(f"p{i}_") for i in k])
+        back = meet(pairs.select("a_", "b_", "w_"), ahead, "a_").groupBy("b_").agg(*(F.sum(F.col("w_") * F.col(f"m{i}_")).alias(f"t{i}_") for i in k))
+        held = meet(state, back, "b_")
+        held = written(held.select(*state.columns, *((F.col("n_") * F.col(f"p{i}_") - F.col(f"t{i}_")).alias(f"q{i}_") for i in k)), "effects")
+        dot = lambda a, b, i, by="": F.sum(F.col(f"{a}{i}_") * F.col(f"{b}{i}_") / (F.col("n_") if by else 1.0))
+        sums = held.agg(*(e.alias(f"{n}{i}") for i in k for n, e in (("pq", dot("p", "q", i)), ("rr", dot("r", "r", i, "n")), ("rq", dot("r", "q", i, "n")), ("qq", dot("q", "q", i, "n"))))).first()
+        new = {}
+        for i in k:
+            open_ = left[i] > goal[i] and sums[f"pq{i}"] > 0
+            alpha = sums[f"rr{i}"] / sums[f"pq{i}"] if open_ else 0.0
+            after = max(0.0, sums[f"rr{i}"] - 2 * alpha * sums[f"rq{i}"] + alpha**2 * sums[f"qq{i}"])
+            beta = after / sums[f"rr{i}"] if open_ and sums[f"rr{i}"] > 0 else 0.0
+            r = F.col(f"r{i}_") - F.lit(alpha) * F.col(f"q{i}_")
+            new |= {f"g{i}_": F.col(f"g{i}_") + F.lit(alpha) * F.col(f"p{i}_"), f"r{i}_": r, f"p{i}_": r / F.col("n_") + F.lit(beta) * F.col(f"p{i}_")}
+            left[i] = after if open_ else min(left[i], goal[i])
+        state = held.withColumns(new).drop(*(f"q{i}_" for i in k))
+    else:
+        raise RuntimeError(f"effects of {first} and {second} not found in {most} steps")
+    effects = written(state.select("b_", *(f"g{i}_" for i in k)), "effects")
+    rest = means(meet(pairs, effects, "b_"), [F.col(f"x{i}_") - F.col(f"g{i}_") for i in k])
+    out = meet(meet(df.withColumns({"a_": F.col(first), "b_": F.col(second)}), effects, "b_"), rest, "a_")
+    gone = {c: F.col(c) - F.col(f"g{i}_") - F.col(f"m{i}_") for i, c in enumerate(columns)}
     return out.select(*(gone[c].alias(c) if c in gone else F.col(c) for c in df.columns))
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import age_bucket, cents, day, estimate_bucket, money_sum, safe_divide, season, term
-from ..models.linear import Fit, cluster_bootstrap, moments, ols, solve
+from ..models.grouped import coefficient_rows, cross_moments, fits, judged, predicted
+from ..models.linear import Fit, cluster_bootstrap, moments, ols, solve, two_stage
 from ..models.selection import coefficients, fold, grouped_moments, leave_one_out, out_of_fold, ridge_grid, standardised, two_way
 from ..operators.aggregates import correlation
-from ..operators.ranks import midranks, quantiles, slices
-from ..sources.writers import append_jsonl, folder
+from ..operators.ranks import midranks, quantiles, slices, value_quartiles
+from ..sources.writers import append_jsonl, folder, written
 from .competition import SQL as PANEL_SQL
 from .competition import daily_competition_lag_panel, day_by_day_snapshots, weekly_lag_rows
 from .forecasts import _PAIRS, pairs
@@ -191,6 +192,87 @@ def nested_lag_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "model string, term string, beta double, se double, t double, p double, n bigint, r2 double")
 
 
+def _p_sql(t: str) -> str:
+    """The two-sided p of the normal distribution in DuckDB: a series near 0, a continued fraction beyond."""
+    v = f"(abs({t}) / sqrt(2))"
+    return (
+        f"CASE WHEN {v} < 2 THEN 1 - exp(-{v} * {v}) * list_sum(list_transform(range(0, 60), lambda k: {v} ^ (2 * k + 1) / gamma(k + 1.5))) "
+        f"ELSE exp(-{v} * {v}) / sqrt(pi()) / list_reduce(range(150, 0, -1), lambda a, k: {v} + k / 2.0 / a, {v}) END"
+    )
+
+
+_SEGMENTS = f"""{_BRAND_DAY}, e AS (SELECT brand, day, CAST(gross AS DOUBLE) AS gross, date_diff('day', MIN(day) OVER (PARTITION BY brand), day) AS age FROM brand_day),
+o AS (SELECT brand, SUM(CASE WHEN age < 90 THEN gross END) AS opening FROM e GROUP BY 1), q AS (SELECT brand, CAST(floor((rank() OVER (ORDER BY round(opening, 2)) - 1 + (COUNT(*) OVER (PARTITION BY round(opening, 2)) - 1) / 2.0) * 4 / COUNT(*) OVER ()) + 1 AS INTEGER) AS size FROM o),
+t AS (SELECT day, SUM(gross) AS total FROM e GROUP BY 1), l AS (SELECT e.brand, e.day, e.age, e.gross, total FROM e JOIN t ON e.day = t.day),
+j AS (SELECT a.brand, a.day, a.age, size, ln(a.gross) AS y, ln(b.gross) AS x, ln(1 + b.total - b.gross) AS r, year(a.day) >= 2000 AS test FROM l a JOIN l b ON a.brand = b.brand AND b.day = a.day - 1 JOIN q ON q.brand = a.brand),
+s AS (SELECT y, x, r, test, UNNEST(['age', 'size', 'period']) AS kind, UNNEST([CASE WHEN age <= 2 THEN 'opening' WHEN age <= 6 THEN 'week_1' WHEN age <= 27 THEN 'weeks_2_4' ELSE 'later' END, CAST(size AS VARCHAR), CAST(age // 30 AS VARCHAR)]) AS segment FROM j)"""
+
+
+@query(f"""
+WITH {_SEGMENTS}, m AS (SELECT kind, segment, COUNT(*) AS n, avg(y) AS my, avg(x) AS mx, avg(r) AS mr, covar_pop(x, x) AS xx, covar_pop(r, r) AS rr, covar_pop(x, r) AS xr, covar_pop(x, y) AS xy, covar_pop(r, y) AS ry, var_pop(y) AS yy FROM s WHERE NOT test GROUP BY 1, 2 HAVING COUNT(*) >= 40),
+b AS (SELECT *, (xy * rr - ry * xr) / (xx * rr - xr * xr) AS bx, (ry * xx - xy * xr) / (xx * rr - xr * xr) AS br, xx * rr - xr * xr AS det FROM m),
+f AS (SELECT *, my - bx * mx - br * mr AS b0, 1 - (yy - bx * xy - br * ry) / yy AS r2, sqrt((yy - bx * xy - br * ry) / (n - 3) * rr / det) AS sx, sqrt((yy - bx * xy - br * ry) / (n - 3) * xx / det) AS sr FROM b),
+h AS (SELECT s.kind, s.segment, COUNT(*) AS test_n, sqrt(avg((y - b0 - bx * x - br * r) ^ 2)) AS rmse, avg(CAST(sign(y - x) = sign(b0 + bx * x + br * r - x) AS DOUBLE)) AS directional FROM s JOIN f ON s.kind = f.kind AND s.segment = f.segment WHERE test GROUP BY 1, 2)
+SELECT f.kind, f.segment, CAST(n AS BIGINT) AS n, round(r2, 6) AS r2, round(bx, 5) AS own, round(br, 5) AS rivals, round(sr, 5) AS rivals_se, round(br / sr, 4) AS rivals_t, round({_p_sql('(br / sr)')}, 6) AS rivals_p, CAST(coalesce(test_n, 0) AS BIGINT) AS test_n, round(rmse, 5) AS rmse, round(directional, 5) AS directional
+FROM f LEFT JOIN h ON f.kind = h.kind AND f.segment = h.segment""")
+def segment_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What yesterday's own gross and the rivals' explain within each age, size quartile and month of age, where 40 rows or more were before 2000, and how it holds up later."""
+    d = brand_days(spark, sf_dir).select("brand", "day", F.col("gross").cast("double").alias("gross"))
+    first = d.groupBy("brand").agg(F.min("day").alias("first"))
+    d = written(d.join(first, "brand").withColumn("age", F.datediff("day", "first")).drop("first"), "aged")
+    opening = d.groupBy("brand").agg(F.round(F.sum(F.when(F.col("age") < 90, F.col("gross"))), 2).alias("opening"))
+    size = value_quartiles(opening, "opening", "size").select("brand", "size")
+    total = d.groupBy("day").agg(F.sum("gross").alias("total"))
+    before = d.join(total, "day").select("brand", F.date_add("day", 1).alias("day"), F.ln("gross").alias("x"), F.ln(1 + F.col("total") - F.col("gross")).alias("r"))
+    j = d.join(before, ["brand", "day"]).join(size, "brand").withColumn("y", F.ln("gross"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("string").alias("segment")) for k, v in (("age", age_bucket(F.col("age"))), ("size", F.col("size")), ("period", F.expr("age DIV 30")))))
+    rows = written(j.select("y", "x", "r", (F.year("day") >= 2000).alias("test"), F.inline(kinds)), "segments")
+    keys, terms = ["kind", "segment"], ["x", "r"]
+    sums = cross_moments(rows.where("NOT test"), keys, [*terms, "y"]).where("n >= 40")
+    fitted = written(fits(sums, [*terms, "y"], terms, "y"), "segment-fits")
+    effect = coefficient_rows(fitted, keys).where("term = 'r'").select(*keys, F.round("beta", 5).alias("rivals"), F.round("se", 5).alias("rivals_se"), F.round("t", 4).alias("rivals_t"), F.round("p", 6).alias("rivals_p"))
+    held = judged(predicted(rows.where("test"), fitted, keys, terms), keys, "y", before="x").select(*keys, "test_n", F.round("rmse", 5).alias("rmse"), F.round("directional", 5).alias("directional"))
+    out = fitted.select(*keys, "n", F.round("r2", 6).alias("r2"), F.round(F.col("beta")[1], 5).alias("own")).join(effect, keys).join(held, keys, "left")
+    return out.withColumn("test_n", F.coalesce("test_n", F.lit(0)))
+
+
+_LAG_MODELS = {
+    "lifecycle": ["log_prior_day", "log_prior_week", "age", "weekend"],
+    "demand": ["log_prior_day", "log_prior_week", "age", "weekend", "outlet_share"],
+    "competition": ["log_prior_day", "log_prior_week", "age", "weekend", "outlet_share", "log_rivals_total", "log_rivals_top1", "rivals"],
+    "amplified": ["log_prior_day", "log_prior_week", "age", "weekend", "outlet_share", "log_rivals_total", "log_rivals_top1", "rivals", "rivals_x_weekday"],
+}
+
+
+@query()
+def lag_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hypotheses on competition: four nested models fitted to the first 80 % of days, all from one pass of sums, and judged on the rest."""
+    rows = written(lag_models_frame(spark, sf_dir).select("day", "log_gross", *(F.col(t).cast("double").alias(t) for t in _LAG_MODELS["amplified"])), "lags")
+    days = rows.select("day").distinct()
+    cut = quantiles(days.withColumn("number", F.unix_date("day")), "number", [0.8]).select(F.date_from_unix_date(F.floor("q0").cast("int")).alias("cut_"))
+    rows = rows.crossJoin(F.broadcast(cut))  # one row
+    columns = [*_LAG_MODELS["amplified"], "log_gross"]
+    sums = written(cross_moments(rows.where("day <= cut_"), [], columns), "lag-sums")
+    found = {}
+    for name, terms in _LAG_MODELS.items():
+        fitted = fits(sums, columns, terms, "log_gross")
+        held = judged(predicted(rows.where("day > cut_"), fitted, [], terms), [], "log_gross").select("rmse")
+        c = coefficient_rows(fitted, [])
+        found[name] = (held.first()["rmse"], {r["term"]: r for r in c.collect()})  # a few coefficients
+    rmse = {name: r or float("nan") for name, (r, _) in found.items()}
+    demand, rival, both = found["demand"][1].get("outlet_share"), found["competition"][1], found["amplified"][1].get("rivals_x_weekday")
+    of = lambda row, what: None if row is None else row[what]
+    t = lambda term: abs(of(rival.get(term), "t") or 0.0)
+    out = [
+        ("H1 demand improves prediction", "rmse reduction over lifecycle", rmse["lifecycle"] - rmse["demand"], "outlet_share", of(demand, "beta"), of(demand, "p")),
+        ("H2 competition improves prediction", "rmse reduction over demand", rmse["demand"] - rmse["competition"], "all rival terms", None, None),
+        ("H3 stronger rivals reduce the next day", "coefficient", of(rival.get("log_rivals_total"), "beta"), "log_rivals_total", of(rival.get("log_rivals_total"), "beta"), of(rival.get("log_rivals_total"), "p")),
+        ("H4 more so towards the weekend", "coefficient", of(both, "beta"), "rivals_x_weekday", of(both, "beta"), of(both, "p")),
+        ("H5 the largest rival says more than their number", "|t| less |t|", t("log_rivals_top1") - t("rivals"), "log_rivals_top1 and rivals", of(rival.get("log_rivals_top1"), "beta"), of(rival.get("log_rivals_top1"), "p")),
+    ]
+    return spark.createDataFrame(out, "hypothesis string, metric string, value double, term string, beta double, p double")
+
+
 @query(f"""
 WITH {_BRAND_DAY}, a AS (SELECT brand, day, CAST(gross AS DOUBLE) AS gross, date_diff('day', MIN(day) OVER (PARTITION BY brand), day) AS age FROM brand_day),
 j AS (SELECT a.*, ln(a.gross) AS y, ln(b.gross) AS x FROM a JOIN a b ON a.brand = b.brand AND b.day = a.day - 1)
@@ -232,36 +314,62 @@ def alternating_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slopes.agg(F.count("slope").alias("repetitions"), F.avg("slope").alias("mean"), F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
 
 
-_MONTHLY = f"""{_BRAND_DAY}, q AS (SELECT brand, year(day) * 4 + quarter(day) AS period, ln(CAST(SUM(gross) AS DOUBLE)) AS y, ln(CAST(SUM(outlets) AS DOUBLE)) AS x, ln(CAST(COUNT(*) AS DOUBLE)) AS z FROM brand_day GROUP BY 1, 2),
-k AS (SELECT * FROM q WHERE period IN (SELECT period FROM q GROUP BY 1 HAVING COUNT(*) = (SELECT COUNT(DISTINCT brand) FROM q)))"""
-_DEMEANED = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY brand) - avg({c}) OVER (PARTITION BY period) + avg({c}) OVER () AS {c}" for c in "xyz")
+def _demeaned_sql(columns: str, source: str, rounds: int = 20) -> str:
+    """CTEs that take the means of brands and of quarters out by turns; the last is d."""
+    out, last = [], source
+    for k in range(2 * rounds):
+        by, name = ("brand", "period")[k % 2], "d" if k == 2 * rounds - 1 else f"d{k}"
+        out.append(f"{name} AS (SELECT brand, period, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}' for c in columns)} FROM {last})")
+        last = name
+    return ", ".join(out)
+
 
+_QUARTERLY = f"""{_BRAND_DAY}, g AS (SELECT brand, year(day) * 4 + quarter(day) AS period, CAST(SUM(gross) AS DOUBLE) AS gross, CAST(SUM(outlets) AS DOUBLE) AS outlets, CAST(COUNT(*) AS DOUBLE) AS days FROM brand_day GROUP BY 1, 2),
+h AS (SELECT *, SUM(gross) OVER (PARTITION BY period) AS total, SUM(days) OVER (PARTITION BY period) - days AS rival_days, SUM(gross) OVER (PARTITION BY period, nest) AS nested FROM (SELECT *, CAST(regexp_extract(brand, '[0-9]+') AS INTEGER) % 3 AS nest FROM g)),
+q AS (SELECT brand, period, ln(gross) AS y, ln(outlets) AS x, ln(days) AS z, ln(gross / nested) AS w, ln(1 + rival_days) AS v, ln(gross / total) AS s FROM h)"""
 
-def balanced_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brand quarters in which every brand sold: logs of gross (y), outlets (x) and days (z)."""
-    q = brand_days(spark, sf_dir).groupBy("brand", (F.year("day") * 4 + F.quarter("day")).cast("bigint").alias("period")).agg(*(F.ln(v.cast("double")).alias(c) for v, c in ((F.sum("gross"), "y"), (F.sum("outlets"), "x"), (F.count("*"), "z"))))
-    n = q.agg(F.count_distinct("brand").alias("n_"))
-    full = q.groupBy("period").agg(F.count("*").alias("c_")).crossJoin(F.broadcast(n)).where("c_ = n_").select("period")
-    return q.join(full, "period", "left_semi")
+
+def brand_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's quarters: logs of gross (y), outlets (x), days (z), share of its nest (w), the others' days (v) and share of all (s)."""
+    g = brand_days(spark, sf_dir).groupBy("brand", (F.year("day") * 4 + F.quarter("day")).cast("bigint").alias("period"))
+    g = g.agg(F.sum("gross").cast("double").alias("gross"), F.sum("outlets").cast("double").alias("outlets"), F.count("*").cast("double").alias("days"))
+    g = written(g.withColumn("nest", F.regexp_extract("brand", "[0-9]+", 0).cast("int") % 3), "quarters")
+    all_ = g.groupBy("period").agg(F.sum("gross").alias("total"), F.sum("days").alias("all_days"))
+    nests = g.groupBy("period", "nest").agg(F.sum("gross").alias("nested"))
+    q = g.join(all_, "period").join(nests, ["period", "nest"])
+    return q.select("brand", "period", F.ln("gross").alias("y"), F.ln("outlets").alias("x"), F.ln("days").alias("z"), F.ln(F.col("gross") / F.col("nested")).alias("w"), F.ln(1 + F.col("all_days") - F.col("days")).alias("v"), F.ln(F.col("gross") / F.col("total")).alias("s"))
 
 
 @query(f"""
-WITH {_MONTHLY} SELECT brand, CAST(period AS BIGINT) AS period, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (SELECT brand, period, {_DEMEANED} FROM k)""")
+WITH {_QUARTERLY}, {_demeaned_sql('xy', 'q')} SELECT brand, CAST(period AS BIGINT) AS period, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM d""")
 def two_way_demeaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand quarters less the effects of brands and of quarters."""
-    out = two_way(balanced_panel(spark, sf_dir), ["x", "y"], "brand", "period")
+    out = two_way(brand_quarters(spark, sf_dir), ["x", "y"], "brand", "period")
     return out.select("brand", "period", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
 @query(f"""
-WITH {_MONTHLY}, d AS (SELECT {_DEMEANED} FROM k) SELECT 'x' AS term, round(sum(z * y) / sum(z * x), 5) AS beta, COUNT(*) AS n, round(sum(x * y) / sum(x * x), 5) AS ols_beta FROM d""")
+WITH {_QUARTERLY}, {_demeaned_sql('xyz', 'q')} SELECT 'x' AS term, round(sum(z * y) / sum(z * x), 5) AS beta, COUNT(*) AS n, round(sum(x * y) / sum(x * x), 5) AS ols_beta FROM d""")
 def two_way_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-stage least squares of gross on outlets, with days as instrument, after brand and quarter effects."""
-    d = two_way(balanced_panel(spark, sf_dir), ["x", "y", "z"], "brand", "period")
+    d = two_way(brand_quarters(spark, sf_dir), ["x", "y", "z"], "brand", "period")
     x, y, z = (F.col(c) for c in "xyz")
     return d.agg(F.lit("x").alias("term"), F.round(F.sum(z * y) / F.sum(z * x), 5).alias("beta"), F.count("*").alias("n"), F.round(F.sum(x * y) / F.sum(x * x), 5).alias("ols_beta")).select("term", "beta", "n", "ols_beta")
 
 
+@query(f"""
+WITH {_QUARTERLY}, {_demeaned_sql('xzwvs', 'q')}, m AS (SELECT sum(x * x) AS xx, sum(x * z) AS xz, sum(x * v) AS xv, sum(x * w) AS xw, sum(x * s) AS xs, sum(z * z) AS zz, sum(z * v) AS zv, sum(z * w) AS zw, sum(z * s) AS zs, sum(v * v) AS vv, sum(v * w) AS vw, sum(v * s) AS vs, COUNT(*) AS n FROM d),
+f AS (SELECT *, xx * (zz * vv - zv * zv) - xz * (xz * vv - zv * xv) + xv * (xz * zv - zz * xv) AS det FROM m),
+p AS (SELECT *, (xw * (zz * vv - zv * zv) - xz * (zw * vv - zv * vw) + xv * (zw * zv - zz * vw)) / det AS px, (xx * (zw * vv - zv * vw) - xw * (xz * vv - zv * xv) + xv * (xz * vw - zw * xv)) / det AS pz, (xx * (zz * vw - zw * zv) - xz * (xz * vw - zw * xv) + xw * (xz * zv - zz * xv)) / det AS pv FROM f),
+ph AS (SELECT *, px * xx + pz * xz + pv * xv AS xh, px * xw + pz * zw + pv * vw AS hh, px * xs + pz * zs + pv * vs AS hs FROM p)
+SELECT CAST(n AS BIGINT) AS n, round((hs * xx - xs * xh) / (hh * xx - xh * xh), 4) AS sigma, round((xs * hh - hs * xh) / (hh * xx - xh * xh), 4) AS beta FROM ph""")
+def nested_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares explained by outlets and the share within the nest, which days and the others' days stand in for, after brand and quarter effects."""
+    d = two_way(brand_quarters(spark, sf_dir), ["x", "z", "w", "v", "s"], "brand", "period")
+    fit = two_stage(d, ["w"], ["z", "v"], ["x"], "s")
+    return spark.createDataFrame([(fit.n, round(float(fit.beta[1]), 4), round(float(fit.beta[2]), 4))], "n bigint, sigma double, beta double")
+
+
 @query(f"""
 WITH {_BRAND_DAY}, g AS (SELECT o, w FROM (SELECT UNNEST([1, 2, 3]) AS o), (SELECT UNNEST([30, 365, 3650]) AS w)), a AS (SELECT *, date_diff('day', MIN(day) OVER (PARTITION BY brand), day) AS age FROM brand_day),
 j AS (SELECT a.outlets, a.age, ln(CAST(a.gross AS DOUBLE)) AS y, ln(CAST(b.gross AS DOUBLE)) AS x FROM a JOIN a b ON a.brand = b.brand AND b.day = a.day - 1)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from slatecast.models.linear import Fit, ols
+from slatecast.sources.writers import written
 from slatecast.models.selection import coefficients, fold, grouped_moments, leave_one_out, out_of_fold, p_value, ridge_grid, standardised, two_way
 
 
@@ -78,6 +79,27 @@ def test_two_way_effects_of_an_unbalanced_table(spark):
         assert [got[k][c] for k in range(120)] == pytest.approx(want, abs=1e-8)
 
 
+def test_two_way_effects_of_many_groups(spark):
+    """100,000 values on either side: what is left sums to 0 in every group, and known slopes come back."""
+    k = spark.range(500_000)
+    g, t = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100_000)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100_000))
+    g = F.when(F.col("id") % 5 == 0, 7).otherwise(g)  # a hot group
+    df = k.select("id", g.alias("g"), t.alias("t")).withColumn("x", F.randn(5) + F.col("g") % 7).withColumn("y", 2 * F.col("x") + F.sin(F.col("g").cast("double")) - F.col("t") % 11)
+    df = written(df, "two-way")
+    out = written(two_way(df, ["x", "y"], "g", "t", tolerance=1e-7), "two-way-done")
+    assert out.count() == 500_000 and out.columns == df.columns
+    for by in ("g", "t"):
+        worst = out.groupBy(by).agg(F.abs(F.sum("x")).alias("x"), F.abs(F.sum("y")).alias("y")).agg(F.max("x"), F.max("y")).first()
+        assert max(worst) < 1e-3
+    assert out.agg(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") ** 2)).first()[0] == pytest.approx(2, abs=1e-4)
+
+
+def test_two_way_edges(spark):
+    df = spark.createDataFrame([(1, None, "a", 2.0), (2, "p", "a", 4.0), (3, "q", None, 5.0)], "k int, g string, t string, x double")
+    assert {r["k"]: round(r["x"], 9) for r in two_way(df, ["x"], "g", "t").collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+    assert two_way(df.limit(0), ["x"], "g", "t").isEmpty()
+
+
 def test_p_values_and_tables(data):
     _, _, df = data
     assert p_value(1.959963984540054) == pytest.approx(0.05) and p_value(None) is None

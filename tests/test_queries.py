@@ -15,7 +15,7 @@ import pytest
 
 import __spark_entry__
 from slatecast.plans import catalog
-from slatecast.plans.evaluation import _NESTED, lag_models_frame
+from slatecast.plans.evaluation import _LAG_MODELS, _NESTED, lag_models_frame
 from slatecast.plans.forecasts import _PAIRS, RIDGE_ALPHAS
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +109,26 @@ def test_nested_lag_models_and_bootstrap(spark):
     assert b["repetitions"] == 80 and b["low"] < slope < b["high"]
 
 
+def test_lag_hypotheses(spark):
+    rows = lag_models_frame(spark, SF).toPandas()
+    rows = rows.astype({t: float for t in _LAG_MODELS["amplified"]}).dropna(subset=[*_LAG_MODELS["amplified"], "log_gross"])
+    days = np.array([d.toordinal() for d in rows.day])
+    early = days <= np.floor(np.quantile(np.unique(days), 0.8))
+    rmse, t, beta = {}, {}, {}
+    for name, terms in _LAG_MODELS.items():
+        x = np.column_stack([np.ones(len(rows)), rows[terms]])
+        b, rss = np.linalg.lstsq(x[early], rows.log_gross[early], rcond=None)[:2]
+        se = np.sqrt(rss[0] / (early.sum() - len(b)) * np.diag(np.linalg.inv(x[early].T @ x[early])))
+        rmse[name] = np.sqrt(((rows.log_gross - x @ b)[~early] ** 2).mean())
+        t[name], beta[name] = dict(zip(terms, (b / se)[1:], strict=True)), dict(zip(terms, b[1:], strict=True))
+    got = {r["hypothesis"][:2]: r for r in catalog.QUERIES["lag_hypotheses"](spark, SF).collect()}
+    p = lambda v: pytest.approx(math.erfc(abs(v) / math.sqrt(2)), rel=1e-4)
+    assert got["H1"]["value"] == pytest.approx(rmse["lifecycle"] - rmse["demand"], abs=1e-7) and got["H2"]["value"] == pytest.approx(rmse["demand"] - rmse["competition"], abs=1e-7)
+    assert (got["H3"]["beta"], got["H3"]["p"]) == (pytest.approx(beta["competition"]["log_rivals_total"], rel=1e-5), p(t["competition"]["log_rivals_total"]))
+    assert (got["H4"]["beta"], got["H4"]["p"]) == (pytest.approx(beta["amplified"]["rivals_x_weekday"], rel=1e-5), p(t["amplified"]["rivals_x_weekday"]))
+    assert got["H5"]["value"] == pytest.approx(abs(t["competition"]["log_rivals_top1"]) - abs(t["competition"]["rivals"]), rel=1e-4)
+
+
 def test_fuzzy_match_margin(spark):
     """Every item against every record."""
     got = {r["item"]: (r["entity"], r["score"], r["status"]) for r in catalog.QUERIES["fuzzy_match_margin"](spark, SF).collect()}
@@ -140,7 +160,7 @@ def test_fuzzy_match_margin(spark):
 
 
 def test_every_query_without_sql_is_tested():
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"bootstrap_calibration", "ridge_with_calendar", "certainty_sample", "nested_lag_models", "alternating_bootstrap", "fuzzy_match_margin"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"bootstrap_calibration", "ridge_with_calendar", "certainty_sample", "nested_lag_models", "alternating_bootstrap", "fuzzy_match_margin", "lag_hypotheses"}
 
 
 def test_entry(spark):
