@@ -4,17 +4,18 @@ A tokenizer feeds a tree builder, which supplies the tags that HTML lets authors
 option and table parts; rows around lone cells) and emits the tree as events. A renderer lays the visible ones
 out: paragraphs, headings, lists, quotes and tables are set apart by an empty line, other blocks by a new
 line; list items are marked and indented; ``pre`` keeps its spaces; a table's cells are aligned in columns, with
-spans. Hidden are head, script, style, templates, embedded fallbacks, comments, the ``hidden`` attribute,
-``display: none`` and ``visibility: hidden`` in a style attribute or in simple rules of a style sheet. Rules and
-sheets for a medium count if they hold for every screen; under any other condition their text stays. Of svg its
-texts show, of math all but annotations.
+spans. Hidden are head, script, style, templates, embedded fallbacks, comments, and what ``hidden``, ``display: none`` and
+``visibility: hidden`` hide. Style sheets are read before the page is laid out. A selector of one element (tag, classes, id) is resolved
+as browsers do: per property by importance, specificity and order, style attributes over sheets, all of them over ``hidden``; a child may
+show again by ``visibility: visible``. Where a selector or a condition can't be resolved, its rules never hide, and an element that
+they may show stays. Rules for print or speech only count for nothing. Of svg its texts show, of math all but annotations.
 
 Attributes are read by the states of HTML: a quote opens a value only right after ``=``. Where a quoted value
 never ends, this and later tags end at their next ``>``, so that the text after them stays; browsers would drop it.
 
 Cases: null or empty pages give an empty text. A tag without any ``>`` after it is dropped with what follows it.
-Nesting may have any depth. Columns are as wide as their widest cell, unless ``column`` bounds them; cells over it
-run on. So do cells of a table whose padding would come to more than ``_PADDING`` times its text.
+Nesting may have any depth. Columns are as wide as their widest cell; lines of over ``COLUMN`` characters are
+wrapped at spaces, and a longer word runs on. ``column`` sets another width, over which whole lines run on. Numbers in attributes that aren't plain, or have over nine digits, count as missing.
 Repeated rows give repeated results. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -30,7 +31,9 @@ from pyspark.sql import DataFrame
 
 from .shared import columns, pieces
 
-_SPAN, _PADDING = 1000, 16
+_SPAN = 1000
+#: Lines of table cells are wrapped from this width on.
+COLUMN = 400
 _VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
 _ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+{_VALUE}?+)?+")
 _STATES = r"(?:[\s/]++|" + re.sub(r"\((?!\?)", "(?:", _ATTRIBUTE.pattern) + r")*+"
@@ -40,10 +43,14 @@ _TOKEN, _PLAIN = (
 )
 _CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|[{};]|[^{};"'/]+|/""", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_NONE, _HIDE, _SHOW = (re.compile(p, re.I) for p in (r"display\s*:\s*none", r"visibility\s*:\s*(?:hidden|collapse)", r"visibility\s*:\s*visible"))
 _HINT = re.compile(r"hidden|style|class|id|span|value|type|start", re.I)
 _AT = re.compile(r"@([\w-]+)(.*)", re.S)
 _SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech)", re.I)
+_ELSEWHERE = re.compile(r"(?:only\s+)?(?:print|speech|aural|braille|embossed|handheld|projection|tty|tv)\b.*|not\s+(?:all|screen)", re.I | re.S)
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_DOCTYPE = re.compile(r"(?:\s|<!--.*?-->)*<!doctype\b", re.I | re.S)
+_PART = re.compile(r"[.#][\w-]+")
+_COUNT, _START = re.compile(r"\s*\+?([0-9]{1,9})(?![0-9])"), re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -74,9 +81,131 @@ CELLS = frozenset(("td", "th"))
 FENCES = frozenset("td th caption table button".split())
 
 
-def _for_screens(media: str) -> bool:
-    """Whether a list of media queries holds for every screen."""
-    return not media.strip() or any(_SCREEN.fullmatch(q.strip()) for q in media.split(","))
+def _for_screens(media: str) -> bool | None:
+    """Whether a list of media queries holds for every screen (True), for none (False), or for some."""
+    queries = [q.strip() for q in media.split(",")]
+    if not media.strip() or any(_SCREEN.fullmatch(q) for q in queries):
+        return True
+    return False if all(_ELSEWHERE.fullmatch(q) for q in queries) else None
+
+
+def _number(pattern: re.Pattern, text: str | None, default: int) -> int:
+    found = pattern.match(text or "")
+    return int(found[1]) if found else default
+
+
+def _wrapped(line: str, most: int) -> list[str]:
+    """A line in parts of up to ``most`` characters, broken at spaces; longer words stay whole."""
+    out = []
+    while len(line) > most:
+        cut = line.rfind(" ", 0, most + 1)
+        cut = cut if cut > 0 else line.find(" ", most)
+        if cut < 0:
+            break
+        out.append(line[:cut].rstrip(" "))
+        line = line[cut + 1 :]
+    return [*out, line]
+
+
+def _declared(body: str) -> dict[str, tuple[bool, bool | None]]:
+    """Of a block of declarations, what display and visibility say: important or not, and whether it shows (None: as around it)."""
+    parts, said = [], ""
+    for token in _CSS.findall(body):
+        if token == ";":
+            parts.append(said)
+            said = ""
+        elif not token.startswith("/*"):
+            said += token
+    out: dict[str, tuple[bool, bool | None]] = {}
+    for part in (*parts, said):
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        important = bool(re.search(r"!\s*important$", value))
+        value = re.sub(r"\s*!\s*important$", "", value)
+        if not colon or name not in ("display", "visibility") or out.get(name, (False,))[0] > important:
+            continue
+        if name == "display":
+            out[name] = (important, value != "none")
+        elif value in ("hidden", "collapse", "visible", "initial", "inherit", "unset", "revert"):
+            out[name] = (important, None if value in ("inherit", "unset", "revert") else value in ("visible", "initial"))
+    return out
+
+
+class Styles:
+    """What style sheets say about showing: rules of simple selectors, and selectors that may show an element.
+
+    ``quirks``: the page has no doctype, and so the case of classes and ids doesn't count.
+    """
+
+    def __init__(self, quirks: bool = False) -> None:
+        self.quirks = quirks
+        self.rules: dict[str, list[tuple[str, frozenset[str], str, tuple, bool | None]]] = {}  # by one part of the selector
+        self.may_show: dict[str, dict[str, list[tuple[str, frozenset[str]]]]] = {"display": {}, "visibility": {}}
+        self.order = 0
+
+    def sheet(self, text: str, sure: bool = True) -> None:
+        """Read a sheet; ``sure`` says that it holds on every screen. Rules within rules are passed over."""
+        over: list[tuple[str, str]] = []  # the open blocks: kind and what stands before them
+        bodies, said = [""], ""  # the declarations of each open block, and what came since the last of them
+        for token in (*_CSS.findall(text), *"}" * text.count("{")):  # blocks that never end end with the sheet
+            if token == "{":
+                head, kind = said.strip(), "shut"
+                around = over[-1][0] if over else ("open" if sure else "maybe")
+                if around in ("open", "maybe"):
+                    at = _AT.match(head)
+                    if not at:
+                        kind = "rule" if around == "open" else "perhaps"
+                    elif at[1].lower() in ("media", "layer", "supports", "container", "scope"):
+                        holds = True if at[1].lower() == "layer" else _for_screens(at[2]) if at[1].lower() == "media" else None
+                        kind = "shut" if holds is False else "open" if holds and around == "open" else "maybe"
+                over.append((kind, head))
+                bodies.append("")
+                said = ""
+            elif token == "}":
+                if over:
+                    kind, head = over.pop()
+                    body = bodies.pop() + said
+                    if kind in ("rule", "perhaps"):
+                        self._rule(head, body, kind == "rule")
+                said = ""
+            elif token == ";":
+                bodies[-1] += said + ";"
+                said = ""
+            elif not token.startswith("/*"):
+                said += token
+
+    def _rule(self, selectors: str, body: str, sure: bool) -> None:
+        declared = _declared(body)
+        if not declared:
+            return
+        for selector in selectors.split(","):
+            selector = selector.strip().lower() if self.quirks else selector.strip()
+            self.order += 1
+            whole = _COMPOUND.fullmatch(selector)
+            if sure and whole and selector:
+                tag, parts = (whole[1] or "*").lower(), frozenset(_PART.findall(whole[2]))
+                rank = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), tag != "*", self.order)
+                for name, (important, shows) in declared.items():
+                    self.rules.setdefault(min(parts, default=tag), []).append((name, parts, tag, (important, rank), shows))
+            elif any(shows is not False for _, shows in declared.values()):
+                last = _COMPOUND.match(re.split(r"[\s>+~]+", selector)[-1])
+                tag, parts = (last[1] or "*").lower(), frozenset(_PART.findall(last[2]))
+                for name, (_, shows) in declared.items():
+                    if shows is not False:
+                        self.may_show[name].setdefault(min(parts, default=tag), []).append((tag, parts))
+
+    def shows(self, name: str, tag: str, names: set[str], inline: tuple[bool, bool | None] | None, fallback: bool | None) -> bool | None:
+        """What holds of a property for an element; ``names`` are its tag, ``*``, classes and id."""
+        best = ((False, (-1,)), fallback)
+        for key in names:
+            for of, parts, wants, rank, shows in self.rules.get(key, ()):
+                if of == name and wants in (tag, "*") and parts <= names and rank > best[0]:
+                    best = (rank, shows)
+        if inline and (inline[0] or not best[0][0]):
+            return inline[1]
+        if best[1] is False and any(wants in (tag, "*") and parts <= names for key in names for wants, parts in self.may_show[name].get(key, ())):
+            return True
+        return best[1]
 
 
 class _Table:
@@ -86,7 +215,7 @@ class _Table:
         self.rows: list[list[tuple[list[str], int, int]]] = []
         self.captions: list[str] = []
 
-    def lines(self, most: int | None = None) -> list[str]:
+    def lines(self, most: int | None) -> list[str]:
         placed: list[list[tuple[int, int, list[str]]]] = []
         taken: dict[int, int] = {}  # rows that a column is still taken for
         widths: dict[int, int] = {}
@@ -95,9 +224,10 @@ class _Table:
             for text, across, down in row:
                 while taken.get(at):
                     at += 1
+                text = text if most else [part for line in text for part in _wrapped(line, COLUMN)]
                 out.append((at, across, text))
                 if across == 1:
-                    widths[at] = max(widths.get(at, 0), min(most or _SPAN**3, max(map(len, text), default=0)))
+                    widths[at] = max(widths.get(at, 0), min(most or COLUMN, max(map(len, text), default=0)))
                 if down > 1:
                     new.update(dict.fromkeys(range(at, at + across), down))
                 at += across
@@ -105,9 +235,6 @@ class _Table:
             placed.append(out)
         used = sorted({c for row in placed for c, _, text in row if text})
         heights = [max((len(text) for _, _, text in row), default=0) for row in placed]
-        size = sum(len(line) for row in placed for _, _, text in row for line in text)
-        while (widest := max(widths.values(), default=0)) > 8 and sum(heights) * sum(widths.values()) > _PADDING * (size + 4096):
-            widths = {c: min(w, widest // 2) for c, w in widths.items()}
         left, x = {}, 0
         for c in used:
             left[c] = x
@@ -189,12 +316,11 @@ class _Flow:
 class _Page:
     """Builds the tree of one page as a stack of open elements, and lays it out on the way."""
 
-    def __init__(self, column: int | None = None) -> None:
-        self.column = column
+    def __init__(self, column: int | None = None, styles: Styles | None = None) -> None:
+        self.column, self.styles = column, styles or Styles()
         self.stack: list[tuple[str, bool, bool]] = []  # tag, whether it shows, whether its spaces are kept
         self.flows, self.tables, self.spans = [_Flow()], [], []
         self.lists: list[list] = []
-        self.hidden_by: set[str] = set()
         self.open: Counter[str] = Counter()  # tags on the stack
 
     def text(self, s: str, raw: bool = False) -> None:
@@ -204,36 +330,6 @@ class _Page:
         if shown and s:
             self.flows[-1].text(unescape(s) if "&" in s and not raw else s, kept)
 
-    def rules(self, sheet: str) -> None:
-        """Note what the sheet's rules hide; rules within rules and blocks that some screens don't take are passed over."""
-        over: list[tuple[str, str]] = []  # the open blocks: kind and what stands before them
-        bodies, said = [""], ""  # the declarations of each open block, and what came since the last of them
-        for token in (*_CSS.findall(sheet), *"}" * sheet.count("{")):  # blocks that never end end with the sheet
-            if token == "{":
-                head, kind = said.strip(), "shut"
-                if not over or over[-1][0] == "open":
-                    at = _AT.match(head)
-                    kind = "rule" if not at else "open" if at[1].lower() == "layer" or at[1].lower() == "media" and _for_screens(at[2]) else "shut"
-                over.append((kind, head))
-                bodies.append("")
-                said = ""
-            elif token == "}":
-                if over:
-                    kind, head = over.pop()
-                    body = bodies.pop() + said
-                    if kind == "rule":
-                        self._rule(head, body)
-                said = ""
-            elif token == ";":
-                bodies[-1] += said + ";"
-                said = ""
-            elif not token.startswith("/*"):
-                said += token
-
-    def _rule(self, selectors: str, body: str) -> None:
-        if _NONE.search(body) or _HIDE.search(body):
-            self.hidden_by.update(s.strip().lower() for s in selectors.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
-
     def _near(self, tags: tuple[str, ...], fences) -> int | None:
         if not any(self.open[t] for t in tags):
             return None
@@ -285,15 +381,22 @@ class _Page:
     def _shows(self, tag: str, found: dict[str, str]) -> bool | None:
         """True: it shows; False: it doesn't, but parts of it may; None: no part of it does."""
         over = self.stack[-1][1] if self.stack else True
-        if over is None or tag in UNSEEN or ("hidden" in found and found["hidden"].lower() != "until-found"):
+        if over is None or tag in UNSEEN:
             return None
         if tag in UNDRAWN and self._near(("svg", "math"), INNER) is not None:
             return None
-        style = found.get("style", "")
-        names = {tag, *(f".{c}" for c in found.get("class", "").lower().split()), f"#{found.get('id', '').lower()}"}
-        if _NONE.search(style) or names & self.hidden_by:
+        hidden = "hidden" in found and found["hidden"].lower() != "until-found"
+        inline = _declared(found["style"]) if "style" in found else {}
+        if not (inline or hidden or self.styles.rules):
+            return over
+        classes, own = found.get("class", ""), found.get("id", "")
+        if self.styles.quirks:
+            classes, own = classes.lower(), own.lower()
+        names = {tag, "*", *(f".{c}" for c in classes.split()), f"#{own}"}
+        if self.styles.shows("display", tag, names, inline.get("display"), not hidden) is False:
             return None
-        return False if _HIDE.search(style) else True if _SHOW.search(style) else over
+        shows = self.styles.shows("visibility", tag, names, inline.get("visibility"), None)
+        return over if shows is None else shows
 
     def _open(self, tag: str, found: dict[str, str]) -> None:
         shows = self._shows(tag, found)
@@ -318,15 +421,16 @@ class _Page:
             if tag == "tr":
                 self.tables[-1].rows.append([])
             else:
-                self.spans.append(tuple(min(_SPAN, max(1, int(n))) if (n := found.get(c, "")).isascii() and n.isdigit() else 1 for c in ("colspan", "rowspan")))
+                self.spans.append(tuple(min(_SPAN, max(1, _number(_COUNT, found.get(c), 1))) for c in ("colspan", "rowspan")))
                 self.flows.append(_Flow())
         elif tag in BLOCK:
             flow.block(tag in APART and not (tag in ("ul", "ol", "menu") and self.lists))
             if tag in ("ul", "ol", "menu"):
-                self.lists.append([tag, int(found.get("start", "1")) if found.get("start", "1").lstrip("-").isdigit() else 1])
+                self.lists.append([tag, _number(_START, found.get("start"), 1)])
             elif tag == "li":
                 flow.mark = "- "
                 if self.lists and self.lists[-1][0] == "ol":
+                    self.lists[-1][1] = _number(_START, found.get("value"), self.lists[-1][1])
                     flow.mark = f"{self.lists[-1][1]}. "
                     self.lists[-1][1] += 1
                 flow.indent.append(" " * len(flow.mark))
@@ -360,32 +464,69 @@ class _Page:
                 flow.mark = "" if tag == "li" else flow.mark
 
 
-def render(html: str | None, column: int | None = None) -> str:
-    """All visible text of a page, laid out; ``column`` bounds the width of table columns."""
-    page, pos, html, token = _Page(column), 0, html or "", _TOKEN
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, more) of each part of a page: text; start with the source of its attributes; raw, the body of the element just started; end."""
+    pos, token = 0, _TOKEN
     while m := token.search(html, pos):
         if m.start() > pos:
-            page.text(html[pos : m.start()])
+            yield "text", "", html[pos : m.start()]
         if m[5] and token is _TOKEN:  # attributes that run to the end of the page
             token, pos = _PLAIN, m.start()
             continue
         pos = m.end()
         if m[1]:
-            page.end(m[1].lower())
+            yield "end", m[1].lower(), ""
         elif m[2]:
             tag = m[2].lower()
-            if page.start(tag, m[3]) and tag in RAW:
+            raw = yield "start", tag, m[3]
+            if raw and tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(html, pos)
                 body = html[pos : end.start() if end else len(html)]
                 pos = end.end() if end else len(html)
-                if tag == "style":
-                    medium = next((b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3]) if a.lower() == "media"), "")
-                    if _for_screens(medium):
-                        page.rules(body)
-                elif tag in ("textarea", "xmp"):
-                    page.text(body, raw=tag == "xmp")
-                page.end(tag)
-    page.text(html[pos:])
+                yield "raw", tag, body
+    yield "text", "", html[pos:]
+
+
+def _styles(html: str) -> Styles:
+    """All style sheets of a page, but for those in templates."""
+    out, templates, medium = Styles(not _DOCTYPE.match(html)), 0, ""
+    tokens = _tokens(html)
+    sent = None
+    while True:
+        try:
+            kind, tag, more = tokens.send(sent)
+        except StopIteration:
+            return out
+        sent = kind == "start"
+        if tag == "template":
+            templates = max(0, templates + (1 if kind == "start" else -1))
+        elif kind == "start" and tag == "style":
+            medium = next((unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(more) if a.lower() == "media"), "")
+        elif kind == "raw" and tag == "style" and not templates and (holds := _for_screens(medium)) is not False:
+            out.sheet(more, holds is True)
+
+
+def render(html: str | None, column: int | None = None) -> str:
+    """All visible text of a page, laid out; ``column`` bounds the width of table columns."""
+    html = html or ""
+    page = _Page(column, _styles(html) if re.search("<style", html, re.I) else None)
+    tokens, sent = _tokens(html), None
+    while True:
+        try:
+            kind, tag, more = tokens.send(sent)
+        except StopIteration:
+            break
+        sent = None
+        if kind == "text":
+            page.text(more)
+        elif kind == "end":
+            page.end(tag)
+        elif kind == "start":
+            sent = page.start(tag, more)
+        else:
+            if tag in ("textarea", "xmp"):
+                page.text(more, raw=tag == "xmp")
+            page.end(tag)
     page._close_to(0)
     return "\n".join(page.flows[0].done())
 

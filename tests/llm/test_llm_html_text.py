@@ -1,5 +1,6 @@
 """HTML to text: layout cases, and words against the standard parser."""
 
+import random
 from html.parser import HTMLParser
 
 import pytest
@@ -102,3 +103,65 @@ def test_long_cells_keep_columns_aligned():
     huge = "<table><tr><td>" + "w" * 300_000 + "<td>b" + "<tr><td>x<td>y" * 5000 + "</table>"
     out = render(huge)
     assert out.count("y") == 5000 and len(out) < 20 * len(huge)
+
+
+def test_long_lines_are_wrapped_in_their_columns():
+    text = " ".join(f"word{i}" for i in range(400))
+    lines = render(f"<table><tr><td>{text}<td>b<tr><td>x<td>y</table>").split("\n")
+    assert " ".join(x.split("  ")[0] for x in lines[:-1]).split() == text.split() and max(map(len, lines)) <= 403
+    assert lines[0].endswith("b") and lines[0].index("  b") <= 400 and lines[-1].index("y") == lines[0].rindex("b")
+
+
+NUMBERS = ("--5", "\u00b2", "9" * 5000, "-", "", " 7", "+3", "1e9", "0", "-2", "3px", "\u0663")
+
+
+@pytest.mark.parametrize("n", NUMBERS)
+def test_numbers_that_are_none(n):
+    assert render(f'<ol start="{n}"><li>a</ol>').split()[1] == "a"
+    assert render(f'<table><tr><td colspan="{n}" rowspan="{n}">a<td>b</table>').split() == ["a", "b"]
+    assert render(f'<ol><li value="{n}">a<li>b</ol>').split()[1::2] == ["a", "b"]
+
+
+def test_list_numbers():
+    assert render("<ol start=-1><li>a<li>b<li value=7>c<li>d</ol>") == "-1. a\n0. b\n7. c\n8. d"
+
+
+def test_random_attributes_never_fail():
+    rng = random.Random(4)
+    names = ("hidden", "style", "class", "id", "colspan", "rowspan", "type", "value", "start", "media", "title")
+    letters = "a1-:;{}!%*/\\\"'()[]<>=&#.,@ \n\u00b2\u0663\U0001f600displaynoevb"
+    for _ in range(3000):
+        tags = "".join(f"<{rng.choice(('p', 'div', 'li', 'ol', 'td', 'table', 'style', 'input', 'span', 'tr'))} {rng.choice(names)}={rng.choice(('', chr(34), chr(39)))}{''.join(rng.choices(letters, k=rng.randint(0, 25)))}{rng.choice(('', chr(34), chr(39)))}>t" for _ in range(rng.randint(1, 6)))
+        assert isinstance(render(tags), str)
+
+
+STYLED = {
+    "<style>.a{display:none} .a{display:block}</style><p class=a>x": "x",
+    "<style>.a{display:none}</style><p class=a style='display:block'>x": "x",
+    "<style>p{display:none} #k{display:block}</style><p id=k>x<p>no": "x",
+    "<style>.a{visibility:hidden} .b{visibility:visible}</style><p class=a>no<b class=b>x</b>": "x",
+    "<style>.a{content:'display:none'}</style><p class=a>x": "x",
+    "<style>.a{--x-display:none}</style><p class=a>x": "x",
+    "<style>.a{display:none!important} #k{display:block}</style><p class=a id=k style='display:block'>no": "",
+    "<style>.a{display:none!important}</style><p class=a style='display:block !important'>x": "x",
+    "<style>#k{display:none} p.a{display:block} p{display:block}</style><p class=a id=k>no": "",
+    "<style>p.a{display:none} .b.a{display:block}</style><p class=a>no<p class='a b'>x": "x",
+    "<style>.a{display:none} div .a{display:block}</style><p class=a>x": "x",
+    "<style>.a{display:none} .a:hover{display:block} .b{display:none}</style><p class=a>x<p class=b>no": "x",
+    "<style>div > .a{display:none}</style><p class=a>x": "x",
+    "<style>.a{display:none} @media (max-width:9em){.a{display:block}}</style><p class=a>x": "x",
+    "<style>.a{display:none} @media print{.a{display:block}}</style><p class=a>no": "",
+    "<p class=a>x<style>.a{display:none} .a{display:block}</style>": "x",
+    "<p class=a>no<p>x<style>.a{display:none}</style>": "x",
+    "<style>.a{display:none}</style><p class=a>x<style>.a{display:inline}</style>": "x",
+    "<p hidden>no<p hidden style='display:block'>x": "x",
+    "<template><style>p{display:none}</style></template><p>x": "x",
+    "<!doctype html><style>.a{display:none}</style><p class=A>x<p class=a>no": "x",
+    "<style>.a{visibility:hidden;visibility:nonsense}</style><p class=a>no<p style='visibility:hidden;visibility:visible'>x": "x",
+    "<style>*{visibility:visible} .a{display:none;display:block}</style><p class=a>x": "x",
+}
+
+
+@pytest.mark.parametrize("html", STYLED)
+def test_styles_as_browsers_resolve_them(html):
+    assert render(html) == STYLED[html]
