@@ -1,36 +1,61 @@
-"""Exact ranks and quantiles over tables of any size: counts by value, cut at fixed bounds, summed from below.
+"""Exact places, ranks and quantiles over tables of any size: rows laid out by ranges, ranges added up, places read off.
 
-No task holds all values of a group: rows are first counted by value, the counts are dealt to ranges of
-values, and ranges are added up before ranks are read off. Bounds come from a sketch of ``BOUNDS`` numbers; they
-only balance the ranges, so results are exact whatever they are.
+No task holds all rows of a group: a table is sorted by ranges once and written, so that its rows are numbered within
+their range; the ranges' counts are summed from below, and a place is the sum before the range and the number in it. Ranks of
+values work the same way on counts by value. Ranges come from Spark's own sample of the rows and their number from
+the shuffle partitions; they only balance the work, so results are exact whatever they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BOUNDS = 64
+from ..sources.writers import written
 
 
-def counted(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, value, c_ (rows with it), below_ (rows of the keys with less) and n_ (rows of the keys); nulls are passed over."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c_"))
-    bounds = sorted(set(df.select(F.col(value).cast("double").alias("v_")).approxQuantile("v_", [k / BOUNDS for k in range(1, BOUNDS)], 0.01)))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(value).cast("double") > F.lit(b)).cast("int")
-    counts = counts.withColumn("p_", part)
-    sums = counts.groupBy(*keys, "p_").agg(F.sum("c_").alias("t_"))
-    over = Window.partitionBy(*keys)  # ranges of a key, BOUNDS at most
-    sums = sums.withColumns({"before_": F.coalesce(F.sum("t_").over(over.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n_": F.sum("t_").over(over)}).drop("t_")
-    inside = Window.partitionBy(*keys, "p_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    on = [counts[k].eqNullSafe(sums[k]) for k in (*keys, "p_")]
-    joined = counts.withColumn("inside_", F.coalesce(F.sum("c_").over(inside), F.lit(0)))
-    on = [joined[k].eqNullSafe(sums[k]) for k in (*keys, "p_")]
-    return joined.join(sums, on).select(*(joined[k] for k in keys), joined[value], "c_", (F.col("before_") + F.col("inside_")).alias("below_"), "n_")
+def _laid(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The rows sorted by ranges of keys and order, with ``p_``, the number of the range, and ``at_``, rising within it."""
+    by = [*keys, *order]
+    laid = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at_", F.monotonically_increasing_id())
+    return written(laid.withColumn("p_", F.shiftright("at_", 33)), "ranges")
+
+
+def _before(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, p_, before_ (rows of the keys in lower ranges) and n_ (rows of the keys) from the counts ``t_`` of ranges."""
+    over = Window.partitionBy(*keys)  # ranges of a key, as many as there are partitions at most
+    upto = F.coalesce(F.sum("t_").over(over.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranges.withColumns({"before_": upto, "n_": F.sum("t_").over(over)}).drop("t_")
+
+
+def _met(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    side = ranges.withColumnsRenamed({k: f"{k}_s_" for k in (*keys, "p_")})
+    on = [rows[k].eqNullSafe(side[f"{k}_s_"]) for k in (*keys, "p_")]
+    return rows.join(side, on).drop(*(f"{k}_s_" for k in (*keys, "p_")))
+
+
+def places(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "place", size: str | None = None) -> DataFrame:
+    """Adds ``name``, each row's place from 0 among the rows of its keys, by ``order``, and ``size``, how many these are.
+
+    Rows that are equal in ``order`` get different places, in no certain order. Null keys make a group.
+    """
+    laid = _laid(df, keys, order)
+    ranges = laid.groupBy(*keys, "p_").agg(F.count("*").alias("t_"), F.min("at_").alias("first_"))
+    out = _met(laid, _before(ranges, keys), keys)
+    place = (F.col("before_") + F.col("at_") - F.col("first_")).alias(name)
+    return out.select(*df.columns, place, *([F.col("n_").alias(size)] if size else []))
+
+
+def counted(df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """keys, value, c_ (rows with it), below_ (rows of the keys with less) and n_ (rows of the keys); nulls are passed over. ``weight`` says how many rows a row stands for."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("c_"))
+    laid = _laid(counts, keys, [value])
+    ranges = laid.groupBy(*keys, "p_").agg(F.sum("c_").alias("t_"))
+    inside = Window.partitionBy(*keys, "p_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    out = _met(laid.withColumn("inside_", F.coalesce(F.sum("c_").over(inside), F.lit(0))), _before(ranges, keys), keys)
+    return out.select(*keys, value, "c_", (F.col("before_") + F.col("inside_")).alias("below_"), "n_")
 
 
 def quantiles(df: DataFrame, value: str, levels: Sequence[float], keys: Sequence[str] = (), prefix: str = "q") -> DataFrame:
@@ -64,10 +89,7 @@ def value_quartiles(df: DataFrame, value: str, name: str = "quartile", keys: Seq
 
 
 def slices(df: DataFrame, value: str, tie: str, n: int, name: str) -> DataFrame:
-    """Adds ``name``: rows in order of value and tie, cut into ``n`` slices from floor(k * rows / n) on, numbered from 1."""
-    ranked = counted(df, value).select(F.col(value).alias("v_r_"), "below_", "n_")
-    place = F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
-    out = df.withColumn("place_", place).join(ranked, F.col(value) == F.col("v_r_"))
-    at = F.col("below_") + F.col("place_")
+    """Adds ``name``: rows in order of value and tie, cut into ``n`` slices from floor(k * rows / n) on, numbered from 1; rows without value are left out."""
+    out = places(df.where(F.col(value).isNotNull()), [], [value, tie], "place_", "n_")
     # the last slice k (from 0) with floor(k * rows / n) <= place
-    return out.withColumn(name, (F.floor(((at + 1) * n - 1) / F.col("n_")) + 1).cast("int")).drop("v_r_", "below_", "n_", "place_")
+    return out.withColumn(name, (F.floor(((F.col("place_") + 1) * n - 1) / F.col("n_")) + 1).cast("int")).drop("place_", "n_")

@@ -13,7 +13,9 @@ from ..functions.scalars import business_minute, cents, day, day_block, estimate
 from ..models.linear import decay_fit
 from ..operators.aggregates import block_pivot, group_concentration, without_self
 from ..operators.joins import as_of_best, as_of_join, shifted, spine
+from ..operators.orders import order_agreement
 from ..operators.ranks import value_quartiles
+from ..sources.writers import written
 from ..operators.windows import gap_episodes, trailing
 from .panels import _BRAND_DAY, brand_days
 from .registry import registry, table
@@ -109,13 +111,26 @@ x AS (SELECT a.week, a.brand, a.gross, b.gross AS said FROM w a JOIN w b ON a.br
 SELECT l.week, COUNT(*) AS pairs, COUNT(*) FILTER (WHERE sign(l.gross - r.gross) = sign(l.said - r.said)) AS in_order, round(COUNT(*) FILTER (WHERE sign(l.gross - r.gross) = sign(l.said - r.said)) / COUNT(*), 6) AS accuracy
 FROM x l JOIN x r ON l.week = r.week AND l.brand < r.brand GROUP BY 1""")
 def pairwise_order_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of pairs of brands of a week that the week before puts in their order. Pairs are bounded by the number of brands."""
-    w = brand_days(spark, sf_dir).groupBy("brand", F.date_trunc("week", "day").cast("date").alias("week")).agg(F.sum("gross").alias("gross"))
+    """Share of pairs of brands of a week that the week before puts in their order, counted without pairs."""
+    w = written(brand_days(spark, sf_dir).groupBy("brand", F.date_trunc("week", "day").cast("date").alias("week")).agg(F.sum("gross").alias("gross")), "weeks")
     x = w.join(w.select("brand", F.date_add("week", 7).alias("week"), F.col("gross").alias("said")), ["brand", "week"])
-    right = x.select("week", *(F.col(c).alias(f"{c}_") for c in ("brand", "gross", "said")))
-    same = F.signum((F.col("gross") - F.col("gross_")).cast("double")) == F.signum((F.col("said") - F.col("said_")).cast("double"))
-    out = x.join(right, "week").where("brand < brand_").groupBy("week").agg(F.count("*").alias("pairs"), F.count_if(same).alias("in_order"))
-    return out.withColumn("accuracy", F.round(F.col("in_order") / F.col("pairs"), 6))
+    out = order_agreement(x, ["week"], "said", "gross").where("pairs > 0")
+    return out.select("week", "pairs", "in_order", F.round(F.col("in_order") / F.col("pairs"), 6).alias("accuracy"))
+
+
+@query("""
+WITH u AS (SELECT l_partkey % 3 AS region, CAST(l_quantity AS BIGINT) AS x, CAST(round(l_extendedprice / 1000) AS BIGINT) AS y, COUNT(*) AS w FROM lineitem GROUP BY 1, 2, 3),
+p AS (SELECT a.region, SUM(CASE WHEN sign(a.x - b.x) * sign(a.y - b.y) > 0 THEN a.w * b.w END) / 2 AS same, SUM(CASE WHEN sign(a.x - b.x) * sign(a.y - b.y) < 0 THEN a.w * b.w END) / 2 AS crossed FROM u a JOIN u b ON a.region = b.region GROUP BY 1),
+n AS (SELECT region, SUM(w) AS n FROM u GROUP BY 1), tx AS (SELECT region, SUM(s * (s - 1)) / 2 AS t FROM (SELECT region, x, SUM(w) AS s FROM u GROUP BY 1, 2) GROUP BY 1), ty AS (SELECT region, SUM(s * (s - 1)) / 2 AS t FROM (SELECT region, y, SUM(w) AS s FROM u GROUP BY 1, 2) GROUP BY 1)
+SELECT p.region, CAST(n * (n - 1) / 2 AS BIGINT) AS pairs, CAST(crossed AS BIGINT) AS crossed, round((same - crossed) / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 6) AS tau
+FROM p JOIN n ON p.region = n.region JOIN tx ON p.region = tx.region JOIN ty ON p.region = ty.region""")
+def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau-b of quantity and price over all lines of three regions, ties and hot values included."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 3).alias("region"), F.col("l_quantity").cast("bigint").alias("x"), F.round(F.col("l_extendedprice") / 1000).cast("bigint").alias("y"))
+    a = order_agreement(rows, ["region"], "x", "y")
+    same = F.col("in_order") - F.col("tied_both")
+    tau = (same - F.col("crossed")) / F.sqrt((F.col("pairs") - F.col("tied_x")).cast("double") * (F.col("pairs") - F.col("tied_y")))
+    return a.select("region", "pairs", "crossed", F.round(tau, 6).alias("tau"))
 
 
 @query("""

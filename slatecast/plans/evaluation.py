@@ -11,6 +11,7 @@ from ..models.grouped import coefficient_rows, cross_moments, fits, judged, pred
 from ..models.linear import Fit, cluster_bootstrap, moments, ols, solve, two_stage
 from ..models.selection import coefficients, fold, grouped_moments, leave_one_out, out_of_fold, ridge_grid, standardised, two_way
 from ..operators.aggregates import correlation
+from ..operators.permutation import permuted
 from ..operators.ranks import midranks, quantiles, slices, value_quartiles
 from ..sources.writers import append_jsonl, folder, written
 from .competition import SQL as PANEL_SQL
@@ -305,6 +306,23 @@ def placebo_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("y", F.inline(modes)).groupBy("mode", "valid").agg(F.count("v").alias("n"), F.round(F.regr_slope("y", "v"), 6).alias("slope"))
 
 
+@query(f"""
+WITH {_BRAND_DAY}, t AS (SELECT brand || ':' || CAST(day AS VARCHAR) AS id, day, ln(CAST(gross AS DOUBLE)) AS y, ln(1 + CAST(SUM(gross) OVER (PARTITION BY day) - gross AS DOUBLE)) AS x FROM brand_day),
+o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY md5('take:7:' || id), id) AS td, row_number() OVER (PARTITION BY day ORDER BY md5('give:7:' || id), id) AS gd, row_number() OVER (ORDER BY md5('take:7:' || id), id) AS ta, row_number() OVER (ORDER BY md5('give:7:' || id), id) AS ga FROM t)
+SELECT 'observed' AS mode, COUNT(*) AS n, round(regr_slope(y, x), 6) AS slope FROM t UNION ALL SELECT 'within day', COUNT(*), round(regr_slope(a.y, b.x), 6) FROM o a JOIN o b ON a.day = b.day AND a.td = b.gd UNION ALL SELECT 'across days', COUNT(*), round(regr_slope(a.y, b.x), 6) FROM o a JOIN o b ON a.ta = b.ga""")
+def permuted_placebos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect of rivals, and what is left of it when their totals are permuted within a day and over all days."""
+    d = brand_days(spark, sf_dir).select("brand", "day", F.col("gross").cast("double").alias("gross"))
+    total = d.groupBy("day").agg(F.sum("gross").alias("total"))
+    d = d.join(total, "day").select(F.concat_ws(":", "brand", F.col("day").cast("string")).alias("id"), "day", F.ln("gross").alias("y"), F.ln(1 + F.col("total") - F.col("gross")).alias("x"))
+    d = written(d, "placebo")
+    out = None
+    for mode, rows, x in (("observed", d, "x"), ("within day", permuted(d, ["day"], ["x"], "id", 7), "x_permuted"), ("across days", permuted(d, [], ["x"], "id", 7), "x_permuted")):
+        row = rows.agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), F.round(F.regr_slope("y", x), 6).alias("slope")).select("mode", "n", "slope")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query()
 def alternating_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence interval of the rivals' effect when brands and days are redrawn by turns, 80 times."""

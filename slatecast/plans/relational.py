@@ -11,6 +11,8 @@ from ..operators.sampling import stratified, with_certainty
 from ..operators.tables import common_values, delete_by, insert_ignore, union_of, upsert
 from ..sources.readers import page_facts
 from ..streaming.events import after_failure, due_tasks, observed, schedule, sessions, tumbling
+from ..sources.stored import StoredTable
+from ..sources.writers import folder
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -278,3 +280,23 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("s_nationkey").orderBy(hash_rank("s3", "s_suppkey"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.row_number().over(w).alias("round"))
+
+
+@query("""
+WITH base AS (SELECT o_orderkey AS k, o_custkey % 16 AS bucket, o_orderstatus AS status, o_totalprice AS price, CAST(NULL AS VARCHAR) AS note FROM orders WHERE o_orderkey % 3 < 2),
+one AS (SELECT k, bucket, 'X' AS status, price + 1 AS price, 'first' AS note FROM (SELECT o_orderkey AS k, o_custkey % 16 AS bucket, o_totalprice AS price FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 16 < 6)),
+a AS (SELECT coalesce(o.k, b.k) AS k, coalesce(o.bucket, b.bucket) AS bucket, coalesce(o.status, b.status) AS status, coalesce(o.price, b.price) AS price, coalesce(b.note, o.note) AS note FROM base b FULL JOIN one o ON b.k = o.k AND b.bucket = o.bucket),
+two AS (SELECT o_orderkey AS k, o_custkey % 16 AS bucket, CASE WHEN o_orderkey % 2 = 0 THEN 'Y' END AS status, o_totalprice * 2 AS price, 'second' AS note FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 16 BETWEEN 4 AND 9),
+b AS (SELECT coalesce(t.k, a.k) AS k, coalesce(t.bucket, a.bucket) AS bucket, coalesce(t.status, a.status) AS status, coalesce(t.price, a.price) AS price, coalesce(a.note, t.note) AS note FROM a FULL JOIN two t ON a.k = t.k AND a.bucket = t.bucket)
+SELECT k, CAST(bucket AS INTEGER) AS bucket, status, price, note FROM b WHERE NOT (k % 11 = 0 AND bucket = 3) AND bucket <> 15""")
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of orders after two batches, a repeat of the first, and a delete that empties a partition."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 16).cast("int").alias("bucket"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    stored = StoredTable(spark, folder(spark, "orders"), "k bigint, bucket int, status string, price double, note string", ["k"], "bucket")
+    stored.merge("base", o.where("k % 3 < 2").withColumn("note", F.lit(None).cast("string")))
+    one = o.where("k % 5 = 0 AND bucket < 6").select("k", "bucket", F.lit("X").alias("status"), (F.col("price") + 1).alias("price"), F.lit("first").alias("note"))
+    two = o.where("k % 7 = 0 AND bucket BETWEEN 4 AND 9").select("k", "bucket", F.when(F.col("k") % 2 == 0, "Y").alias("status"), (F.col("price") * 2).alias("price"), F.lit("second").alias("note"))
+    for name, rows in (("one", one), ("two", two), ("one", one)):
+        stored.merge(name, rows, keep_old=["note"], keep_new=["status"])
+    stored.delete("gone", o.where("(k % 11 = 0 AND bucket = 3) OR bucket = 15"))
+    return stored.read()
