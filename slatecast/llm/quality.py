@@ -2,8 +2,8 @@
 
 Each rule votes good (1) or bad (-1) on a document or abstains (0). Votes of all documents are counted by
 pattern (at most three to the power of the rules), and expectation-maximisation over these counts estimates
-the rules' accuracies and how common good documents and each kind of bad ones are: bad documents share no
-one defect, so there is a kind for each rule. No rule may be worse than chance, see ``fit``. A document is kept if
+the rules' accuracies and how common good documents and the kinds of bad ones are: bad documents share no
+one defect, so there are as many kinds as the votes tell apart. No rule may be worse than chance, see ``fit``. A document is kept if
 its posterior probability of being good is at least one half and the base rules pass.
 
 Cases: null text counts as empty; documents without words fail the base rules. Repeated rows are judged alike.
@@ -16,6 +16,7 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ class Fit:
     """What is believed of the rules: how common good documents and each kind of bad ones are, and how rules vote on them."""
 
     good: float
-    kinds: list[float]  # share of each kind of bad documents: kind k is what rule k is to find, the last has many defects
+    kinds: list[float]  # share of each kind of bad documents; the last has many defects
     alarm: list[float]  # how often a vote of each rule on good documents is bad, and so wrong
     found: list[list[float]]  # found[k][r]: how often a vote of rule r on kind k is bad, and so right
     abstains: list[float]
@@ -137,42 +138,60 @@ class Fit:
         return 1 / (1 + sum(math.exp(odds + sum(w[0] if v < 0 else w[1] for v, w in zip(votes, adds, strict=True) if v)) for odds, adds in self.weights()))
 
 
-def fit(counts: Iterable[tuple[tuple[int, ...], int]], rounds: int = 60, doubt: float = 0.002, most: float = 0.05, least: float = 0.6, apart: bool = True) -> Fit:
-    """Expectation-maximisation over counted vote patterns, for one class of good documents, a kind of bad ones for each rule, and one of many defects.
-
-    A rule's accuracy is held on its side: a vote on good documents is bad in ``doubt`` of cases before any is seen,
-    with the weight of a fifth of all documents, and in ``most`` at most; a rule finds at least ``least`` of its kind,
-    and raises no fewer bad votes on other kinds than on good documents. Abstentions are as frequent in every class,
-    so they weigh nothing in the posterior. Where rules are noisy and all look at the same defects, bad documents
-    are one class: ``apart`` is False then, and ``most`` and ``doubt`` are higher.
+def _maximise(votes: np.ndarray, count: np.ndarray, kinds: list[int], rounds: int, doubt: float, most: float, least: float, trust: float) -> tuple[float, Fit]:
+    """Expectation-maximisation with a kind of bad documents for each rule in ``kinds`` and one of many defects; the log posterior, and the fit."""
+    n, n_rules = float(count.sum()), votes.shape[1]
+    bad, said = (votes < 0).astype(float), (votes != 0).astype(float)
+    start = np.array([[0.9 if r == k else doubt for r in range(n_rules)] for k in kinds] + [[0.7] * n_rules])
+    own = np.array([[r == k for r in range(n_rules)] for k in [*kinds, -1]])
+    alarm, found, good, share = np.full(n_rules, doubt), start, 0.9, np.full(len(start), 0.1 / len(start))
+    value = -math.inf
+    for _ in range(rounds if n else 0):
+        rates = np.vstack([alarm, found])
+        logs = np.log(np.append(good, share)) + bad @ np.log(rates).T + (said - bad) @ np.log1p(-rates).T
+        top = logs.max(axis=1, keepdims=True)
+        part = np.exp(logs - top)
+        total = part.sum(axis=1, keepdims=True)
+        before, value = value, float(count @ (top + np.log(total))[:, 0] + trust * (doubt * np.log(alarm) + (1 - doubt) * np.log1p(-alarm)).sum())
+        weight = part / total * count[:, None]
+        mass, bad_votes, all_votes = weight.sum(axis=0), weight.T @ bad, weight.T @ said
+        alarm = np.minimum(most, (bad_votes[0] + trust * doubt) / (all_votes[0] + trust))
+        found = (bad_votes[1:] + start) / (all_votes[1:] + 1)
+        over = alarm + 1e-4 * (1 - alarm)
+        found = np.clip(np.maximum(found, np.where(own, np.maximum(least, over), over)), 1e-6, 0.999)
+        good, share = (mass[0] + 1) / (n + 2), (mass[1:] + 1 / len(start)) / (n + 2)
+        if abs(value - before) < 1e-9 * max(1.0, n):
+            break
+    abstains = [float(count @ (1 - said[:, r])) / max(n, 1.0) for r in range(n_rules)]
+    return value, Fit(float(good), share.tolist(), alarm.tolist(), found.tolist(), abstains)
+
+
+def fit(counts: Iterable[tuple[tuple[int, ...], int]], rounds: int = 400, doubt: float = 0.002, most: float = 0.5, least: float = 0.6, apart: bool = True, trust: float = 25.0, price: float = 1.5) -> Fit:
+    """Expectation-maximisation over counted vote patterns, for one class of good documents, one of bad ones with many defects, and kinds with a defect each.
+
+    The rules' accuracies are estimated: how often a vote of a rule on good documents is bad, and how often one on bad documents is. Before
+    any vote is seen, one on good documents is bad in ``doubt`` of cases, with the weight of ``trust`` votes, however many
+    documents there are. Rules that raise alarms of their own do so independently, and patterns of several bad votes show how
+    often; a defect of its own shows in votes that go together or keep apart. A kind of bad documents that one rule is to find
+    is added, the best first, as long as it raises the logarithm of the posterior by ``price`` for each of its
+    parameters. Rules stay on their side: none raises fewer bad votes on a kind of bad documents than on good ones, ``most`` on
+    good ones at most, and one finds at least ``least`` of its own kind. Abstentions are as frequent in every class, so they
+    weigh nothing in the posterior. Without ``apart`` bad documents are one class.
     """
     counts = sorted(counts)
-    n, n_rules = sum(c for _, c in counts), len(RULES)
-    start = [[0.9 if r == k else doubt for r in range(n_rules)] for k in range(n_rules) if apart] + [[0.7] * n_rules]
-    n_kinds = len(start)
-    abstains = [sum(c for v, c in counts if not v[r]) / max(n, 1) for r in range(n_rules)]
-    now = Fit(0.9, [0.05 / n_rules if apart else 0.1] * n_kinds, [doubt] * n_rules, start, abstains)
-    for _ in range(rounds if n else 0):
-        mass, weights = [0.0] * (n_kinds + 1), now.weights()
-        bad_votes, all_votes = ([[0.0] * n_rules for _ in range(n_kinds + 1)] for _ in range(2))
-        for votes, c in counts:
-            logs = [0.0, *(odds + sum(w[0] if v < 0 else w[1] for v, w in zip(votes, adds, strict=True) if v) for odds, adds in weights)]
-            top = max(logs)
-            share = [math.exp(x - top) for x in logs]
-            total = sum(share)
-            for k, s in enumerate(share):
-                w = c * s / total
-                mass[k] += w
-                for r, v in enumerate(votes):
-                    if v:
-                        all_votes[k][r] += w
-                        bad_votes[k][r] += w * (v < 0)
-        alarm = [min(most, (bad_votes[0][r] + 0.2 * n * doubt) / (all_votes[0][r] + 0.2 * n)) for r in range(n_rules)]
-        found = [
-            [min(0.99, max(least if apart and r == k else alarm[r], (bad_votes[k + 1][r] + start[k][r]) / (all_votes[k + 1][r] + 1))) for r in range(n_rules)]
-            for k in range(n_kinds)
-        ]
-        now = Fit((mass[0] + 1) / (n + 2), [(m + 1 / n_kinds) / (n + 2) for m in mass[1:]], alarm, found, abstains)
+    votes = np.array([v for v, _ in counts], dtype=float).reshape(len(counts), len(RULES))
+    count = np.array([c for _, c in counts], dtype=float)
+    run = lambda kinds: _maximise(votes, count, kinds, rounds, doubt, most, least, trust)
+    kinds: list[int] = []
+    value, now = run(kinds)
+    tried = [r for r in range(len(RULES)) if apart and (votes[:, r] < 0).any()]
+    while tried:
+        gains = {r: run([*kinds, r]) for r in tried if r not in kinds}
+        best = max(gains, key=lambda r: (gains[r][0], -r), default=None)
+        if best is None or gains[best][0] - value < price * (len(RULES) + 1):
+            break
+        kinds.append(best)
+        value, now = gains[best]
     return now
 
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from plain import AWKWARD, WORDS
 from slatecast.llm.quality import RULES, fit, judge
 
@@ -83,3 +84,30 @@ def test_clean_documents_stay(documents, rows):
     kept = {r["doc_id"] for r in judge(documents).where("kept").collect()}
     plain = [r["doc_id"] for r in rows if not expected(0, r["text"])[-1] and not re.search(r"[#*$%&|<>]|!!|[A-Z]{4}", r["text"])]
     assert len(set(plain) - kept) <= 0.01 * len(plain)
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.05, 0.12, 0.2])
+@pytest.mark.parametrize("caught", [0.7, 0.9])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_accuracies_of_independent_rules_are_found(rate, caught, seed):
+    """With the settings of the query: alarm rates, the share of good documents, and what one bad vote of a weak rule weighs."""
+    rng = np.random.default_rng(seed)
+    good = rng.random(5000) < 0.9
+    votes = np.where(rng.random((5000, len(RULES))) < np.where(good, rate, caught)[:, None], -1, 1)
+    fitted = fit(Counter(map(tuple, votes.tolist())).items())
+    assert np.abs(np.array(fitted.alarm) - rate).max() < 0.02 and abs(fitted.good - 0.9) < 0.03
+    assert np.abs(np.array(fitted.caught()) - caught).max() < 0.06
+    assert all(fitted.posterior([-1 if r == k else 1 for r in range(len(RULES))]) > 0.9 for k in range(len(RULES)))
+    assert fitted.posterior([-1] * len(RULES)) < 0.01
+
+
+def test_rules_of_unlike_accuracy():
+    rng = np.random.default_rng(9)
+    rates = np.linspace(0.002, 0.25, len(RULES))
+    good = rng.random(40_000) < 0.8
+    votes = np.where(rng.random((40_000, len(RULES))) < np.where(good[:, None], rates, 0.75), -1, 1)
+    votes[rng.random(votes.shape) < 0.3] = 0
+    fitted = fit(Counter(map(tuple, votes.tolist())).items())
+    assert np.abs(np.array(fitted.alarm) - rates).max() < 0.02 and abs(fitted.good - 0.8) < 0.03
+    one = lambda k: fitted.posterior([-1 if r == k else 1 for r in range(len(RULES))])
+    assert one(0) < one(len(RULES) - 1)  # a bad vote of an accurate rule weighs more
