@@ -111,7 +111,7 @@ class Fit:
     """What is believed of the rules: how common good documents and each kind of bad ones are, and how rules vote on them."""
 
     good: float
-    kinds: list[float]  # share of each kind of bad documents; the last has many defects
+    kinds: list[float]  # share of each kind of bad documents: kind k is what rule k is to find, 0 if the votes don't tell it apart; the last has many defects
     alarm: list[float]  # how often a vote of each rule on good documents is bad, and so wrong
     found: list[list[float]]  # found[k][r]: how often a vote of rule r on kind k is bad, and so right
     abstains: list[float]
@@ -130,6 +130,7 @@ class Fit:
         return [
             (math.log(p / self.good), [(math.log(f / a), math.log((1 - f) / (1 - a))) for f, a in zip(found, self.alarm, strict=True)])
             for p, found in zip(self.kinds, self.found, strict=True)
+            if p > 0
         ]
 
     def posterior(self, votes: Iterable[int]) -> float:
@@ -163,18 +164,21 @@ def _maximise(votes: np.ndarray, count: np.ndarray, kinds: list[int], rounds: in
         if abs(value - before) < 1e-9 * max(1.0, n):
             break
     abstains = [float(count @ (1 - said[:, r])) / max(n, 1.0) for r in range(n_rules)]
-    return value, Fit(float(good), share.tolist(), alarm.tolist(), found.tolist(), abstains)
+    shares, rates = [0.0] * (n_rules + 1), [np.maximum(alarm, [0.9 if r == k else doubt for r in range(n_rules)]) for k in range(n_rules + 1)]
+    for k, p, f in zip([*kinds, n_rules], share, found, strict=True):
+        shares[k], rates[k] = float(p), f
+    return value, Fit(float(good), shares, alarm.tolist(), [f.tolist() for f in rates], abstains)
 
 
-def fit(counts: Iterable[tuple[tuple[int, ...], int]], rounds: int = 400, doubt: float = 0.002, most: float = 0.5, least: float = 0.6, apart: bool = True, trust: float = 25.0, price: float = 1.5) -> Fit:
+def fit(counts: Iterable[tuple[tuple[int, ...], int]], rounds: int = 400, doubt: float = 0.002, most: float = 0.5, least: float = 0.6, apart: bool = True, trust: float = 2.0, price: float = 0.85) -> Fit:
     """Expectation-maximisation over counted vote patterns, for one class of good documents, one of bad ones with many defects, and kinds with a defect each.
 
     The rules' accuracies are estimated: how often a vote of a rule on good documents is bad, and how often one on bad documents is. Before
     any vote is seen, one on good documents is bad in ``doubt`` of cases, with the weight of ``trust`` votes, however many
     documents there are. Rules that raise alarms of their own do so independently, and patterns of several bad votes show how
-    often; a defect of its own shows in votes that go together or keep apart. A kind of bad documents that one rule is to find
-    is added, the best first, as long as it raises the logarithm of the posterior by ``price`` for each of its
-    parameters. Rules stay on their side: none raises fewer bad votes on a kind of bad documents than on good ones, ``most`` on
+    often; a defect of its own shows in votes that go together or keep apart. Kinds of bad documents that one rule is to find are
+    added one by one, the best first, and of all these models the one counts whose logarithm of the posterior is highest, less ``price``
+    for each parameter of a kind. Rules stay on their side: none raises fewer bad votes on a kind of bad documents than on good ones, ``most`` on
     good ones at most, and one finds at least ``least`` of its own kind. Abstentions are as frequent in every class, so they
     weigh nothing in the posterior. Without ``apart`` bad documents are one class.
     """
@@ -183,16 +187,17 @@ def fit(counts: Iterable[tuple[tuple[int, ...], int]], rounds: int = 400, doubt:
     count = np.array([c for _, c in counts], dtype=float)
     run = lambda kinds: _maximise(votes, count, kinds, rounds, doubt, most, least, trust)
     kinds: list[int] = []
-    value, now = run(kinds)
-    tried = [r for r in range(len(RULES)) if apart and (votes[:, r] < 0).any()]
-    while tried:
-        gains = {r: run([*kinds, r]) for r in tried if r not in kinds}
-        best = max(gains, key=lambda r: (gains[r][0], -r), default=None)
-        if best is None or gains[best][0] - value < price * (len(RULES) + 1):
-            break
-        kinds.append(best)
-        value, now = gains[best]
-    return now
+    left = [r for r in range(len(RULES)) if apart and (votes[:, r] < 0).any()]
+    value, best = run(kinds)
+    while left:
+        more = {r: run([*kinds, r]) for r in left}
+        add = max(more, key=lambda r: (more[r][0], -r))
+        kinds.append(add)
+        left.remove(add)
+        worth = more[add][0] - price * (len(RULES) + 1) * len(kinds)
+        if worth > value:
+            value, best = worth, more[add][1]
+    return best
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
