@@ -4,13 +4,13 @@ Words are runs of letters and digits, in lower case. Benchmark items are the sta
 even pieces of at most ``_PIECE`` words, each followed by the next ``_RUN - 1`` words of its item, and pieces go into blocks of at most ``_BLOCK`` bytes. For each block:
 
 1. A scan of the documents counts, for every three-word gram of the block, the documents that hold it.
-2. Seeds are the rare grams: those that at most ``_FEW`` documents or one in ``_PART`` hold, and the rarest of each
-   ``_SPREAD`` consecutive ones of a piece. Grams that no document holds can't be seeds.
-3. A second scan joins documents to pieces on their seeds. Where two seeds of a piece (one, if it has no more) lie close
-   together in a document, that region is aligned with the piece by Smith-Waterman over words: 2 for a match,
-   -1 for a mismatch or a gap. Two common grams in place of seeds give a region a second chance, so that
-   edits can't hide a passage copied so often that its grams aren't rare: it is aligned, too, if
-   the words it shares with the piece can add up to the least score. Only leaks leave the task.
+2. Seeds are the rare grams: those that at most ``_FEW`` documents or one in ``_PART`` hold.
+3. A second scan joins documents to pieces. Grams that at most ``_HELD`` pieces have join by themselves. Items that are worded alike share
+   grams that many pieces have; such a gram joins only pieces that the document has a better reason to hold: another gram, or, since
+   a score takes so many words of the piece within so many words of the document, enough of the piece's rarest words close together.
+   Where two grams of a piece (one, if it has no more) lie close together in a document, and the words that the region shares
+   with the piece can add up to the least score, the region is aligned with the piece by Smith-Waterman over
+   words: 2 for a match, -1 for a mismatch or a gap. So neither common grams nor edits hide a passage. Only leaks leave the task.
 4. The score is the share of the piece's perfect score; a leak has at least ``least``, or, however long the piece,
    as much as ``_RUN`` words in a row. Edits that leave fewer than two grams hide a copy.
 
@@ -37,8 +37,8 @@ from . import words
 from .shared import columns, fresh, materialise, pieces
 
 GRAM = 3
-_PIECE, _BLOCK, _SPREAD, _SLACK, _RUN = 512, 16 << 20, 3, 8, 40
-_FEW, _PART = 50, 10_000
+_PIECE, _BLOCK, _SLACK, _RUN = 512, 16 << 20, 8, 40
+_FEW, _PART, _HELD = 50, 10_000, 64
 _NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -76,6 +76,12 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, "item_id bigint, piece bigint, words binary")
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each range [start, start + n), and which range they are of."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
 class _Grams:
     """The grams of a block's pieces, sorted by hash, with a table of bits that says no quickly."""
 
@@ -90,13 +96,23 @@ class _Grams:
         self.shift = np.uint64(64 - max(16, int(len(h)).bit_length() + 4))
         self.bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.bits[h >> self.shift] = True
+        self.first = np.flatnonzero(np.append(True, self.h[1:] != self.h[:-1])) if len(h) else np.zeros(0, np.int64)
+        self.times = np.diff(np.append(self.first, len(h)))
+        self.distinct = self.h[self.first]
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each occurrence in ``h``: its index there and the gram's index."""
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each occurrence in ``h``: its index there and the number of its gram among the distinct ones."""
         near = np.flatnonzero(self.bits[h >> self.shift])
-        a, b = np.searchsorted(self.h, h[near]), np.searchsorted(self.h, h[near], side="right")
-        n = b - a
-        return np.repeat(near, n), np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if not len(self.distinct) or not len(near):
+            return near[:0], near[:0]
+        at = np.minimum(np.searchsorted(self.distinct, h[near]), len(self.distinct) - 1)
+        hit = self.distinct[at] == h[near]
+        return near[hit], at[hit]
+
+    def entries(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All entries of distinct grams: the index in ``gram``, and the entry."""
+        n = self.times[gram]
+        return _ranges(self.first[gram], n)
 
 
 def _counts(docs: DataFrame, texts) -> DataFrame:
@@ -104,15 +120,14 @@ def _counts(docs: DataFrame, texts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = _Grams(texts.value)
-        first = np.searchsorted(g.h, g.h)
         total = np.zeros(len(g.h), dtype=np.int64)
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
                 doc = words.split([normal(t) for t in columns(batch, "text")[0].to_pylist()])
                 h, at = doc.windows(GRAM)
-                where, gram = g.find(h)
+                where, gram = g.known(h)
                 if len(where):
-                    held = np.unique(np.stack((doc.owner[at[where]], first[gram])), axis=1)[1]
+                    held = np.unique(np.stack((doc.owner[at[where]], g.first[gram])), axis=1)[1]
                     total += np.bincount(held, minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(seen), "n": pa.array(total[seen])})
@@ -120,17 +135,62 @@ def _counts(docs: DataFrame, texts) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def rare(g: _Grams, counts: np.ndarray, n_docs: int) -> np.ndarray:
+def rare(counts: np.ndarray, n_docs: int) -> np.ndarray:
     """Which grams are seeds, given in how many documents each occurs."""
-    often = np.where(counts > 0, counts, np.iinfo(np.int64).max)
-    seed = (counts > 0) & (counts <= max(_FEW, n_docs // _PART))
-    ends = np.cumsum(np.bincount(g.piece, minlength=len(g.size)))[:-1]
-    for order in np.split(np.lexsort((g.place, g.piece)), ends):
-        if len(order):
-            runs = np.lib.stride_tricks.sliding_window_view(often[order], min(_SPREAD, len(order)))
-            least = order[np.arange(len(runs)) + runs.argmin(axis=1)]
-            seed[least[counts[least] > 0]] = True
-    return seed
+    return (counts > 0) & (counts <= max(_FEW, n_docs // _PART))
+
+
+def _wanted(size: int, least: float) -> float:
+    """The least score of a leak of a piece of ``size`` words."""
+    return min(max(least * 2 * size, 2 * min(size, 8)), 2 * _RUN)
+
+
+class _RareWords:
+    """Which pieces a document has enough rare words of, close together, to reach the least score.
+
+    A score of s takes s / 2 words of the piece, in at most 3 * size - s words of the document, as every other word costs one. Some of
+    the words that a piece needs are among its rarest, so only these are looked up, those that fewest pieces have: as many
+    as make one of them certain, and up to half of what is needed as long as they aren't common.
+    """
+
+    def __init__(self, texts: list[np.ndarray], pieces_: np.ndarray, least: float):
+        told = [np.unique(texts[p], return_counts=True) for p in pieces_]
+        every = np.concatenate([w for w, _ in told]) if told else np.zeros(0, np.uint64)
+        names, often = np.unique(every, return_counts=True)
+        hashes, owners = [], []
+        self.least, self.span = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for p, (w, n) in zip(pieces_.tolist(), told, strict=True):
+            size, wanted = int(n.sum()), _wanted(int(n.sum()), least)
+            need = -(-int(np.ceil(wanted)) // 2)
+            held = often[np.searchsorted(names, w)]
+            order = np.argsort(held, kind="stable")
+            left = size - np.cumsum(n[order])  # words that are not looked up, if the first so many are
+            k, most_k = (int(np.argmax(left <= need - x)) + 1 for x in (1, max(1, need // 2)))
+            k = max(k, min(most_k, int(np.searchsorted(held[order], _HELD, side="right"))))
+            sought = need - int(left[k - 1])
+            most = np.sort(n[order[:k]])[::-1]
+            self.least[p] = int(np.argmax(np.cumsum(most) >= sought)) + 1
+            self.span[p] = int(3 * size - wanted) + 1
+            hashes.append(w[order[:k]])
+            owners.append(np.full(k, p))
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.h, self.piece = h[order], (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
+
+    def near(self, doc: np.ndarray) -> np.ndarray:
+        """Pieces that the document may hold."""
+        if not len(self.h):
+            return np.zeros(0, np.int64)
+        start = np.searchsorted(self.h, doc)
+        at, entry = _ranges(start, np.searchsorted(self.h, doc, side="right") - start)
+        piece = self.piece[entry]
+        order = np.lexsort((at, piece))
+        at, piece = at[order], piece[order]
+        last = np.arange(len(at)) + self.least[piece] - 1
+        fits = last < len(at)
+        here, last = np.flatnonzero(fits), last[fits]
+        close = (piece[last] == piece[here]) & (at[last] - at[here] < self.span[piece[here]])
+        return np.unique(piece[here[close]])
 
 
 def shared_words(words_of_item: tuple[np.ndarray, np.ndarray], region: np.ndarray) -> int:
@@ -142,23 +202,57 @@ def shared_words(words_of_item: tuple[np.ndarray, np.ndarray], region: np.ndarra
 
 
 class _Judge:
-    """Regions of documents that meet a piece in its seeds, and their alignments."""
+    """Regions of documents that meet a piece in its grams, and their alignments."""
 
     def __init__(self, texts: list[np.ndarray], seed: np.ndarray, least: float):
         self.texts, self.seed, self.least = texts, seed, least
-        self.grams = _Grams(texts)
-        self.n_grams = np.maximum(self.grams.size - GRAM + 1, 0)
-        self.n_seeds = np.bincount(self.grams.piece[seed], minlength=len(texts))
+        self.grams = g = _Grams(texts)
+        self.n_grams = np.maximum(g.size - GRAM + 1, 0)
         self.vocabulary: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # grams of many pieces, and the pieces that have two of them (or that one only)
+        self.common = g.times > _HELD
+        self.hot = np.repeat(self.common, g.times)
+        of = np.repeat(np.arange(len(g.first)), g.times)
+        self.keys = of * len(texts) + g.piece  # rises with the entries
+        held = np.unique(self.keys[self.common[of]]) % max(len(texts), 1)
+        enough = np.bincount(held, minlength=len(texts)) >= np.minimum(2, self.n_grams) if len(held) else np.zeros(len(texts), bool)
+        self.rare_words = _RareWords(texts, np.flatnonzero(enough & (self.n_grams > 0)), least)
+
+    def _hits(self, doc: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of grams and their entries, for all pieces that a document may hold, and the pairs of both that rare words speak for."""
+        g = self.grams
+        h, at = doc.windows(GRAM)
+        where, gram = g.known(h)
+        at = at[where]
+        common = self.common[gram]
+        of, entry = g.entries(gram[~common])
+        places, found, spoken = [at[~common][of]], [entry], [np.zeros(0, np.int64)]
+        hot_at, hot_gram = at[common], gram[common]
+        hot_owner = doc.owner[hot_at]
+        cold_owner = doc.owner[places[0]]
+        for d in np.unique(hot_owner).tolist():
+            mine = slice(*np.searchsorted(hot_owner, (d, d + 1)))
+            cold = slice(*np.searchsorted(cold_owner, (d, d + 1)))
+            first = int(doc.first[d])
+            near = self.rare_words.near(doc.hashes[first : first + int(doc.count[d])])
+            spoken.append(d * len(self.texts) + near)
+            maybe = np.unique(np.concatenate((g.piece[entry[cold]], near)))
+            step = max(1, (4 << 20) // max(1, mine.stop - mine.start))
+            for k in range(0, len(maybe), step):
+                keys = hot_gram[mine][:, None] * len(self.texts) + maybe[None, k : k + step]
+                start = np.searchsorted(self.keys, keys.ravel())
+                n = np.searchsorted(self.keys, keys.ravel(), side="right") - start
+                of, more = _ranges(start, n)
+                places.append(hot_at[mine][of // keys.shape[1]])
+                found.append(more)
+        return np.concatenate(places), np.concatenate(found), np.concatenate(spoken)
 
     def leaks(self, doc: words.Words) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(document, piece, score, seeds hit, first word, end word) of each leak."""
         g = self.grams
-        h, at = doc.windows(GRAM)
-        where, gram = g.find(h)
-        if not len(where):
+        at, gram, spoken = self._hits(doc)
+        if not len(at):
             return
-        at = at[where]
         owner, piece = doc.owner[at], g.piece[gram]
         order = np.lexsort((at, piece, owner))
         at, gram, owner, piece = at[order], gram[order], owner[order], piece[order]
@@ -166,7 +260,11 @@ class _Judge:
         new[1:] = (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1]) | (np.diff(at) > g.size[piece[1:]])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(at)))
+        if not len(starts):
+            return
         enough = sizes >= np.minimum(2, self.n_grams[piece[starts]])
+        # grams of many pieces alone make no region unless rare words do
+        enough &= ~np.logical_and.reduceat(self.hot[gram], starts) | np.isin(owner[starts] * len(self.texts) + piece[starts], spoken)
         for a, n in zip(starts[enough].tolist(), sizes[enough].tolist(), strict=True):
             hit, p, d = gram[a : a + n], int(piece[a]), int(owner[a])
             if len(np.unique(g.place[hit])) < min(2, self.n_grams[p]):
@@ -175,13 +273,12 @@ class _Judge:
             shift = at[a : a + n] - g.place[hit]
             lo, hi = max(first, int(shift.min()) - _SLACK), min(last, int(shift.max() + g.size[p]) + _SLACK)
             item, near = self.texts[p], doc.hashes[lo:hi]
-            wanted = min(max(self.least * 2 * len(item), 2 * min(len(item), 8)), 2 * _RUN)
+            wanted = _wanted(len(item), self.least)
             seeds = len(np.unique(g.place[hit[self.seed[hit]]]))
-            if seeds < min(2, self.n_seeds[p]) or not seeds:
-                if p not in self.vocabulary:
-                    self.vocabulary[p] = np.unique(item, return_counts=True)
-                if 2 * shared_words(self.vocabulary[p], near) < wanted:
-                    continue
+            if p not in self.vocabulary:
+                self.vocabulary[p] = np.unique(item, return_counts=True)
+            if 2 * shared_words(self.vocabulary[p], near) < wanted:
+                continue
             score, end = align(item, near)
             if score >= wanted:
                 _, size = align(item[::-1], near[:end][::-1])
@@ -223,7 +320,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         seen = _counts(picked, told).toArrow()
         counts[seen.column("gram").to_numpy()] = seen.column("n").to_numpy()
         told.destroy()
-        judged = spark.sparkContext.broadcast((made, rare(grams, counts[np.searchsorted(grams.h, grams.h)], n_docs)))
+        judged = spark.sparkContext.broadcast((made, rare(counts[np.searchsorted(grams.h, grams.h)], n_docs)))
         part = materialise(_scan(picked, judged, least), "benchmark-leaks")
         judged.destroy()
         pieces_ = spark.createDataFrame(pa.table({"piece": pa.array(range(len(block)), pa.int64()), "words": pa.array([bytes(r["words"]) for r in block], pa.binary())}))

@@ -139,3 +139,41 @@ def test_clashing_columns(llm, awkward):
     docs = awkward.withColumnsRenamed({"id": "leak_id_", "place": "LEAK_VERSION_", "component": "version"})
     kept = drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(AWKWARD) - 3
+
+
+def test_items_that_are_worded_alike(llm):
+    """Common grams join nothing by themselves, and no copy is lost among thousands of like items, even one that keeps only these grams."""
+    rng = np.random.default_rng(8)
+    opening = "what is the value of it when".split()
+    prose = lambda n: [f"w{rng.integers(0, 4000)}" for _ in range(n)]
+    items = [opening + prose(int(rng.integers(6, 14))) for _ in range(3000)]
+    docs, want = [], set()
+    for d in range(60):
+        body = [w for _ in range(15) for w in prose(40) + opening]
+        if d % 2:
+            i = int(rng.integers(0, 3000))
+            copy = list(items[i])
+            if d % 4 == 3:  # every gram beyond the opening is broken, but most words stay
+                copy = [x for k, w in enumerate(copy) for x in ([w] if k < 8 or k % 2 else [w, f"edit{k}"])]
+            body += copy + prose(30)
+            want.add((d, i))
+        docs.append((d, " ".join(body)))
+    found = contaminated(llm.createDataFrame(docs, "doc_id bigint, text string"), llm.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert want <= got
+    code = lambda ws: np.array([hash(w) & 0xFFFFFFFF for w in ws], dtype=np.uint64)
+    for d, i in got - want:  # whatever else is found reaches the score
+        assert align(code(items[i]), code(dict(docs)[d].split()))[0] >= max(len(items[i]), 16)
+
+
+def test_grams_of_many_pieces_change_no_result(llm, documents, monkeypatch):
+    import slatecast.llm.decontaminate as module
+
+    bench = llm.read.parquet(f"{SMALL}/benchmark.parquet")
+    texts = [np.frombuffer(bytes(r["words"]), np.uint64) for r in module._items(bench, "item_id", "text").select("words").distinct().collect()]
+    docs = module.words.split([normal(r["text"]) for r in documents.select("text").collect()])
+    seed = np.ones(len(module._Grams(texts).h), bool)
+    want = sorted(module._Judge(texts, seed, 0.5).leaks(docs))
+    for held in (0, 1, 3):
+        monkeypatch.setattr(module, "_HELD", held)
+        assert sorted(module._Judge(texts, seed, 0.5).leaks(docs)) == want and want
