@@ -177,10 +177,10 @@ class _RareWords:
         order = np.argsort(h, kind="stable")
         self.h, self.piece = h[order], (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
 
-    def near(self, doc: np.ndarray) -> np.ndarray:
-        """Pieces that the document may hold."""
+    def near(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that the document may hold, and where enough of their rare words begin."""
         if not len(self.h):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         start = np.searchsorted(self.h, doc)
         at, entry = _ranges(start, np.searchsorted(self.h, doc, side="right") - start)
         piece = self.piece[entry]
@@ -190,7 +190,7 @@ class _RareWords:
         fits = last < len(at)
         here, last = np.flatnonzero(fits), last[fits]
         close = (piece[last] == piece[here]) & (at[last] - at[here] < self.span[piece[here]])
-        return np.unique(piece[here[close]])
+        return piece[here[close]], at[here[close]]
 
 
 def shared_words(words_of_item: tuple[np.ndarray, np.ndarray], region: np.ndarray) -> int:
@@ -219,7 +219,7 @@ class _Judge:
         self.rare_words = _RareWords(texts, np.flatnonzero(enough & (self.n_grams > 0)), least)
 
     def _hits(self, doc: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of grams and their entries, for all pieces that a document may hold, and the pairs of both that rare words speak for."""
+        """Places of grams and their entries, for all pieces that a document may hold; pieces and places that rare words speak for, as sorted numbers."""
         g = self.grams
         h, at = doc.windows(GRAM)
         where, gram = g.known(h)
@@ -234,8 +234,8 @@ class _Judge:
             mine = slice(*np.searchsorted(hot_owner, (d, d + 1)))
             cold = slice(*np.searchsorted(cold_owner, (d, d + 1)))
             first = int(doc.first[d])
-            near = self.rare_words.near(doc.hashes[first : first + int(doc.count[d])])
-            spoken.append(d * len(self.texts) + near)
+            near, begins = self.rare_words.near(doc.hashes[first : first + int(doc.count[d])])
+            spoken.append((near << 32) + first + begins)
             maybe = np.unique(np.concatenate((g.piece[entry[cold]], near)))
             step = max(1, (4 << 20) // max(1, mine.stop - mine.start))
             for k in range(0, len(maybe), step):
@@ -245,7 +245,7 @@ class _Judge:
                 of, more = _ranges(start, n)
                 places.append(hot_at[mine][of // keys.shape[1]])
                 found.append(more)
-        return np.concatenate(places), np.concatenate(found), np.concatenate(spoken)
+        return np.concatenate(places), np.concatenate(found), np.sort(np.concatenate(spoken))
 
     def leaks(self, doc: words.Words) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(document, piece, score, seeds hit, first word, end word) of each leak."""
@@ -263,8 +263,11 @@ class _Judge:
         if not len(starts):
             return
         enough = sizes >= np.minimum(2, self.n_grams[piece[starts]])
-        # grams of many pieces alone make no region unless rare words do
-        enough &= ~np.logical_and.reduceat(self.hot[gram], starts) | np.isin(owner[starts] * len(self.texts) + piece[starts], spoken)
+        # grams of many pieces alone make no region unless rare words are near
+        of, span = piece[starts], self.rare_words.span[piece[starts]] + _SLACK
+        low, high = at[starts] - span, at[starts + sizes - 1] + span
+        told = np.searchsorted(spoken, (of << 32) + np.maximum(low, 0)) < np.searchsorted(spoken, (of << 32) + high, side="right")
+        enough &= ~np.logical_and.reduceat(self.hot[gram], starts) | told
         for a, n in zip(starts[enough].tolist(), sizes[enough].tolist(), strict=True):
             hit, p, d = gram[a : a + n], int(piece[a]), int(owner[a])
             if len(np.unique(g.place[hit])) < min(2, self.n_grams[p]):
