@@ -112,17 +112,35 @@ def wallet(c: Column | str) -> Column:
     return F.when((F.length(s) == 42) & s.startswith("0x"), s)
 
 
-#: Time zones of states with one, and cuts of longitude for the rest.
-ZONES = {"CA": "America/Los_Angeles", "WA": "America/Los_Angeles", "NV": "America/Los_Angeles", "CO": "America/Denver", "UT": "America/Denver", "AZ": "America/Phoenix", "IL": "America/Chicago", "TX": "America/Chicago", "NY": "America/New_York", "MA": "America/New_York", "HI": "Pacific/Honolulu", "AK": "America/Anchorage"}
-LONGITUDES = ((-114.5, "America/Los_Angeles"), (-102.0, "America/Denver"), (-87.0, "America/Chicago"))
+#: The states of each time zone, and the parts of states beyond a longitude that keep another one.
+ZONES = {
+    "America/Anchorage": "AK",
+    "America/Chicago": "AL AR IA IL KS LA MN MO MS ND NE OK SD TN TX WI",
+    "America/Denver": "CO MT NM UT WY",
+    "America/Detroit": "MI",
+    "America/Indiana/Indianapolis": "IN",
+    "America/Los_Angeles": "CA NV OR WA",
+    "America/New_York": "CT DC DE GA MA MD ME NC NH NJ NY OH PA RI SC VA VT WV",
+    "America/Phoenix": "AZ",
+    "Pacific/Honolulu": "HI",
+}
+WEST_OF = {"AK": (-169, "America/Adak"), "FL": (-85.1, "America/Chicago"), "IN": (-86.8, "America/Chicago"), "KS": (-101, "America/Denver"), "KY": (-85.2, "America/Chicago"), "MI": (-87, "America/Chicago"), "ND": (-101, "America/Denver"), "NE": (-101, "America/Denver"), "SD": (-100.3, "America/Denver"), "TX": (-104.6, "America/Denver")}
+EAST_OF = {"ID": (-116.5, "America/Denver"), "OR": (-116.5, "America/Denver"), "TN": (-84.9, "America/New_York")}
+#: For places without a state that decides: zones up to a longitude; further east, or without one, it is New York.
+UP_TO = ((-125, "America/Anchorage"), (-115, "America/Los_Angeles"), (-100, "America/Denver"), (-85, "America/Chicago"))
 
 
 def time_zone(state: Column, longitude: Column) -> Column:
-    out = F.lit("America/New_York")
-    for west, zone in reversed(LONGITUDES):
-        out = F.when(longitude < west, zone).otherwise(out)
-    for name, zone in ZONES.items():
-        out = F.when(F.upper(state) == name, zone).otherwise(out)
+    """The zone of a place by its state, for split states by longitude too; by longitude alone where the state doesn't tell."""
+    code = F.upper(F.trim(F.coalesce(state, F.lit(""))))
+    zone = F.create_map(*(F.lit(v) for name, codes in ZONES.items() for c in codes.split() for v in (c, name)))
+    by_longitude = F.lit("America/New_York")
+    for most, name in reversed(UP_TO):
+        by_longitude = F.when(longitude <= most, name).otherwise(by_longitude)
+    out = F.coalesce(F.try_element_at(zone, code), by_longitude)
+    for rule, far in ((WEST_OF, lambda cut: longitude < cut), (EAST_OF, lambda cut: longitude > cut)):
+        for c, (cut, name) in rule.items():
+            out = F.when((code == c) & far(cut), name).otherwise(out)
     return out
 
 

@@ -160,11 +160,16 @@ def autoscale_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, CASE s_nationkey % 6 WHEN 0 THEN 'America/Los_Angeles' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'America/Chicago' WHEN 3 THEN 'Pacific/Honolulu' ELSE CASE WHEN -70.0 - s_suppkey % 50 < -114.5 THEN 'America/Los_Angeles' WHEN -70.0 - s_suppkey % 50 < -102 THEN 'America/Denver' WHEN -70.0 - s_suppkey % 50 < -87 THEN 'America/Chicago' ELSE 'America/New_York' END END AS zone FROM supplier""")
+WITH p AS (SELECT s_suppkey, -66.0 - (s_suppkey * 7) % 105 AS lon, (['CA', 'NY', ' tx ', 'HI', 'AK', 'AZ', 'ID', 'OR', 'FL', 'IN', 'KS', 'KY', 'MI', 'ND', 'NE', 'SD', 'TN', 'MT', 'XX', NULL, ''])[1 + s_suppkey % 21] AS state FROM supplier), q AS (SELECT s_suppkey, lon, upper(trim(state)) AS st FROM p)
+SELECT s_suppkey, CASE WHEN st = 'AK' THEN CASE WHEN lon < -169 THEN 'America/Adak' ELSE 'America/Anchorage' END WHEN st = 'HI' THEN 'Pacific/Honolulu' WHEN st = 'AZ' THEN 'America/Phoenix' WHEN st IN ('ID', 'OR') AND lon > -116.5 THEN 'America/Denver' WHEN st IN ('CA', 'OR') THEN 'America/Los_Angeles' WHEN st = 'NY' THEN 'America/New_York' WHEN st = 'MT' THEN 'America/Denver'
+       WHEN st IN ('FL', 'KY') AND lon < -85.2 + CASE st WHEN 'FL' THEN 0.1 ELSE 0 END THEN 'America/Chicago' WHEN st = 'IN' THEN CASE WHEN lon < -86.8 THEN 'America/Chicago' ELSE 'America/Indiana/Indianapolis' END WHEN st = 'MI' THEN CASE WHEN lon < -87 THEN 'America/Chicago' ELSE 'America/Detroit' END
+       WHEN st IN ('KS', 'ND', 'NE') THEN CASE WHEN lon < -101 THEN 'America/Denver' ELSE 'America/Chicago' END WHEN st = 'SD' THEN CASE WHEN lon < -100.3 THEN 'America/Denver' ELSE 'America/Chicago' END WHEN st = 'TX' THEN CASE WHEN lon < -104.6 THEN 'America/Denver' ELSE 'America/Chicago' END WHEN st = 'TN' THEN CASE WHEN lon > -84.9 THEN 'America/New_York' ELSE 'America/Chicago' END
+       WHEN lon <= -125 THEN 'America/Anchorage' WHEN lon <= -115 THEN 'America/Los_Angeles' WHEN lon <= -100 THEN 'America/Denver' WHEN lon <= -85 THEN 'America/Chicago' ELSE 'America/New_York' END AS zone FROM q""")
 def time_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time zone of each supplier by a made state, else by a made longitude."""
-    state = F.get(F.array(*map(F.lit, ("CA", "NY", "TX", "HI"))), F.col("s_nationkey") % 6)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", time_zone(state, -70.0 - F.col("s_suppkey") % 50).alias("zone"))
+    """Time zone of each supplier by a made state and longitude, split states and unknown ones among them."""
+    states = ("CA", "NY", " tx ", "HI", "AK", "AZ", "ID", "OR", "FL", "IN", "KS", "KY", "MI", "ND", "NE", "SD", "TN", "MT", "XX", None, "")
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", time_zone(F.get(F.array(*map(F.lit, states)), (k % 21).cast("int")), -66.0 - (k * 7) % 105).alias("zone"))
 
 
 @query("""

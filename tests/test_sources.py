@@ -147,3 +147,10 @@ def test_terms(spark):
     assert got[1] == pytest.approx((None, 0.0, 16.0, -4.0, 2.0)) and got[2] == (None, 0.0, 1.0, None, 1.0)
     with pytest.raises(KeyError):
         term("tan:a")
+
+
+def test_time_zones_of_towns(spark):
+    towns = {("ID", -116.2): "America/Denver", ("ID", -117.0): "America/Los_Angeles", ("OR", -122.7): "America/Los_Angeles", ("OR", -116.4): "America/Denver", ("FL", -87.2): "America/Chicago", ("FL", -80.2): "America/New_York", ("TX", -106.4): "America/Denver", ("tx", -95.4): "America/Chicago", ("TN", -83.9): "America/New_York", ("TN", -90.0): "America/Chicago", ("IN", -87.3): "America/Chicago", ("IN", -86.2): "America/Indiana/Indianapolis", ("MI", -83.0): "America/Detroit", ("AZ", -112.1): "America/Phoenix", ("AK", -176.6): "America/Adak", ("AK", None): "America/Anchorage", ("SD", -103.2): "America/Denver", (None, None): "America/New_York", ("PR", -66.1): "America/New_York", ("WY", -104.8): "America/Denver", (" KY ", -86.0): "America/Chicago", ("KY", -84.5): "America/New_York"}
+    df = spark.createDataFrame([(s, x, z) for (s, x), z in towns.items()], "state string, x double, zone string")
+    wrong = df.where(~time_zone(F.col("state"), F.col("x")).eqNullSafe(F.col("zone"))).collect()
+    assert not wrong
