@@ -71,6 +71,25 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, checks: Sequence[tuple[str,
     return joined.select(key, F.explode(F.array_compact(F.array(*rows))).alias("i_")).select(key, "i_.*")
 
 
+def unreconciled(chart: DataFrame, pages: DataFrame, keys: Sequence[str], strict: Sequence[str], loose: Sequence[str]) -> DataFrame:
+    """keys, issue, chart_value and page_value of what chart rows and the rows of pages don't agree on.
+
+    A chart row without a row of its keys is missing and gives no other issue, with the first strict value. Columns in ``strict``
+    are compared null-safe, those in ``loose`` only if both sides are set. ``pages`` has a row for a key at most.
+    """
+    side = pages.select(*keys, F.lit(True).alias("there_"), *(F.col(c).alias(f"{c}_page_") for c in (*strict, *loose)))
+    joined = chart.join(side, list(keys), "left")
+    there = F.col("there_").isNotNull()
+
+    def issue(name: str, c: str, when: Column, page: Column) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("issue"), F.col(c).cast("string").alias("chart_value"), page.cast("string").alias("page_value")))
+
+    found = [issue("missing_row", strict[0], ~there, F.lit(None))]
+    found += [issue(f"{c}_mismatch", c, there & ~F.col(c).eqNullSafe(F.col(f"{c}_page_")), F.col(f"{c}_page_")) for c in strict]
+    found += [issue(f"{c}_mismatch", c, there & (F.col(c) != F.col(f"{c}_page_")), F.col(f"{c}_page_")) for c in loose]
+    return joined.select(*keys, F.inline(F.array_compact(F.array(*found))))
+
+
 def resolve(items: DataFrame, methods: Sequence[tuple[str, DataFrame, Sequence[str]]], item_key: str, entity: str) -> DataFrame:
     """Entity matching by a cascade: the first method with candidates decides, and one candidate only is a match.
 

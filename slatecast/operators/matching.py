@@ -30,6 +30,23 @@ def match_title_year(items: DataFrame, names: DataFrame) -> DataFrame:
     return out.select("item", status.alias("status"), method.alias("method"), F.when(one, F.col("a_")).alias("entity"))
 
 
+def match_pages(pages: DataFrame, movies: DataFrame) -> DataFrame:
+    """(page, movie, status, method, score): whether a candidate page is the movie that it was fetched for.
+
+    ``pages`` are (page, movie, page_id, page_key, page_year), ``movies`` (movie, known_id, key, year). Equal ids decide; else equal titles
+    with years at most one off or unknown do, with a score of 1 for equal years (or none on either side) and 0.75 otherwise. Pages of
+    unknown movies are not found.
+    """
+    joined = pages.join(movies.withColumn("there_", F.lit(True)), "movie", "left")
+    same_id = F.coalesce((F.col("page_id") == F.col("known_id")) & (F.col("page_id") != ""), F.lit(False))
+    near = F.coalesce(F.abs(F.col("page_year") - F.col("year")) <= 1, F.lit(True))
+    same_title = F.coalesce((F.col("page_key") == F.col("key")) & (F.col("page_key") != ""), F.lit(False)) & near
+    found = F.col("there_").isNotNull() & (same_id | same_title)
+    method = F.when(found & same_id, "id").when(found, "title_year").otherwise("rejected")
+    score = F.when(found & same_id, 1.0).when(found, F.when(F.col("page_year").eqNullSafe(F.col("year")), 1.0).otherwise(0.75))
+    return joined.select("page", "movie", F.when(found, "matched").otherwise("not_found").alias("status"), method.alias("method"), score.alias("score"))
+
+
 #: Points for years that are so far apart; others count -30, which no title makes up for.
 YEAR_POINTS = (30.0, 20.0, 10.0)
 UNKNOWN_YEAR, KNOWN_ID = 5.0, 10.0

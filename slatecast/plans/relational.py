@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_url, cents, clean_text, day, money_sum, parse_number, reasons, slug, title_key
-from ..operators.joins import latest_per_key, reconcile, resolve
+from ..operators.joins import latest_per_key, reconcile, resolve, unreconciled
 from ..operators.sampling import stratified, with_certainty
 from ..operators.tables import common_values, delete_by, insert_ignore, union_of, upsert
 from ..sources.readers import page_facts
@@ -300,3 +300,21 @@ def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         stored.merge(name, rows, keep_old=["note"], keep_new=["status"])
     stored.delete("gone", o.where("(k % 11 = 0 AND bucket = 3) OR bucket = 15"))
     return stored.read()
+
+
+@query("""
+WITH d AS (SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS gross, COUNT(*) AS theaters, CAST(CASE WHEN l_partkey % 4 > 0 THEN MAX(l_orderkey) END AS BIGINT) AS cumulative FROM lineitem GROUP BY 1, 2),
+c AS (SELECT l_partkey, day, CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 7 = 0 THEN gross + 1 ELSE gross END AS gross, CASE WHEN l_partkey % 5 > 0 THEN theaters + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END END AS theaters, cumulative + CASE WHEN l_partkey % 17 = 0 THEN 2 ELSE 0 END AS cumulative FROM d),
+p AS (SELECT * FROM d WHERE l_partkey % 19 > 0)
+SELECT l_partkey, day, 'missing_row' AS issue, CAST(gross AS VARCHAR) AS chart_value, CAST(NULL AS VARCHAR) AS page_value FROM c WHERE l_partkey % 19 = 0
+UNION ALL SELECT c.l_partkey, c.day, 'gross_mismatch', CAST(c.gross AS VARCHAR), CAST(p.gross AS VARCHAR) FROM c JOIN p ON c.l_partkey = p.l_partkey AND c.day = p.day WHERE c.gross IS DISTINCT FROM p.gross
+UNION ALL SELECT c.l_partkey, c.day, 'theaters_mismatch', CAST(c.theaters AS VARCHAR), CAST(p.theaters AS VARCHAR) FROM c JOIN p ON c.l_partkey = p.l_partkey AND c.day = p.day WHERE c.theaters <> p.theaters
+UNION ALL SELECT c.l_partkey, c.day, 'cumulative_mismatch', CAST(c.cumulative AS VARCHAR), CAST(p.cumulative AS VARCHAR) FROM c JOIN p ON c.l_partkey = p.l_partkey AND c.day = p.day WHERE c.cumulative <> p.cumulative""")
+def chart_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts against pages, part by part and day: missing rows, gross null-safe, theaters and running totals where both are there."""
+    k = F.col("l_partkey")
+    d = table(spark, sf_dir, "lineitem").groupBy("l_partkey", day("l_shipdate").alias("day")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("gross"), F.count("*").alias("theaters"), F.max("l_orderkey").alias("last"))
+    d = d.select("l_partkey", "day", "gross", "theaters", F.when(k % 4 > 0, F.col("last")).alias("cumulative"))
+    off = lambda n, by: F.when(k % n == 0, by).otherwise(0)
+    chart = d.select("l_partkey", "day", F.when(k % 13 != 0, F.col("gross") + off(7, 1)).alias("gross"), F.when(k % 5 > 0, F.col("theaters") + off(11, 1)).alias("theaters"), (F.col("cumulative") + off(17, 2)).alias("cumulative"))
+    return unreconciled(chart, d.where(k % 19 > 0), ["l_partkey", "day"], ["gross"], ["theaters", "cumulative"])

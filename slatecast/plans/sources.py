@@ -6,14 +6,20 @@ CSV, JSON lines) and read them back; the SQL works on the tables themselves.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day, money_sum, parse_date, parse_number, title_key
 from ..functions.text import article_key, audience_key, date_range_of, epoch_date, markup_off, money_range, rank_and_title, variant_keys
-from ..operators.matching import match_forecasts, match_scored, match_title_year
-from ..sources.readers import balanced_json, bindings, feed_items, film_page, filtered_tsv, graph_objects, html_cells, html_records, paper_tables, read_tsv, read_xml, resolved, seat_fill, tables_with, with_names
-from ..sources.writers import append_jsonl, delete_counts, folder, pending, transition, update_from, write_csv
+from ..operators.matching import match_forecasts, match_pages, match_scored, match_title_year
+from ..operators.ranks import places
+from ..sources.readers import balanced_json, bindings, feed_items, film_page, filtered_tsv, graph_objects, html_cells, html_records, paper_tables, read_tsv, read_xml, resolved, seat_fill, tables_with, with_names, zip_lines
+from ..sources.paging import offset_tokens, paged_items
+from ..sources.writers import append_jsonl, delete_counts, folder, pending, transition, update_from, write_csv, written
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -273,14 +279,14 @@ def forecast_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_forecasts(f, movies, over, ids).select("forecast", "method", "status", F.when(F.col("method") != "provisioned", F.col("movie")).alias("movie"))
 
 
-@query("""SELECT s_suppkey AS id, CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) > 0 AS found, s_name AS name, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 2) END AS balance FROM supplier""")
+@query("""SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 2) END AS balance FROM supplier""")
 def tsv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""A TSV with header, quotes that are ordinary, and \N for what is missing, read with types."""
     at = folder(spark, "typed")
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit('"'), F.col("s_name")).alias("name"), F.when(F.col("s_acctbal") >= 0, F.format_string("%.2f", "s_acctbal")).alias("balance"))
     s.write.option("sep", "\t").option("header", True).option("nullValue", r"\N").option("quote", "").option("compression", "gzip").csv(at)
     got = read_tsv(spark, at, "id bigint, name string, balance double")
-    return got.select("id", (F.col("id") >= 0).alias("found"), F.substring("name", 2, 100).alias("name"), "balance")
+    return got.select("id", F.substring("name", 2, 100).alias("name"), "balance")
 
 
 @query()
@@ -368,3 +374,88 @@ def seat_fill_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.coalesce(*(F.when(seats.isNotNull(), F.struct(F.lit(m).alias("m"), seats.alias("seats"))) for m, seats in (("rsc", rsc), ("embedded_json", embedded), ("rendered", rendered))))
     fill = pages.select("showtime", chosen.alias("c")).select("showtime", F.coalesce("c.m", F.lit("none")).alias("parse_method"), F.when(F.col("c").isNotNull(), seat_fill(F.col("c.seats"))).alias("f"))
     return fill.select("showtime", "parse_method", "f.total", "f.available")
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS page, CASE WHEN c_custkey % 9 = 8 THEN -1 ELSE c_custkey % 2000 END AS movie, CASE WHEN c_custkey % 3 = 0 THEN 'tt' || (c_custkey % 2000 + CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE 1 END) WHEN c_custkey % 3 = 1 THEN '' END AS page_id, CASE WHEN c_custkey % 5 = 0 THEN 'other' ELSE 'title ' || (c_custkey % 2000) END AS page_key, CASE WHEN c_custkey % 4 > 0 THEN 1990 + c_custkey % 7 END AS page_year FROM customer),
+m AS (SELECT p_partkey AS movie, 'tt' || p_partkey AS known_id, 'title ' || p_partkey AS key, CASE WHEN p_partkey % 8 > 0 THEN 1990 + p_partkey % 5 END AS year FROM part)
+SELECT page, p.movie, CASE WHEN m.movie IS NOT NULL AND (page_id = known_id OR page_key = key AND coalesce(abs(page_year - year) <= 1, TRUE)) THEN 'matched' ELSE 'not_found' END AS status,
+       CASE WHEN m.movie IS NULL THEN 'rejected' WHEN page_id = known_id THEN 'id' WHEN page_key = key AND coalesce(abs(page_year - year) <= 1, TRUE) THEN 'title_year' ELSE 'rejected' END AS method,
+       CASE WHEN m.movie IS NULL THEN NULL WHEN page_id = known_id THEN 1.0 WHEN page_key = key AND coalesce(abs(page_year - year) <= 1, TRUE) THEN CASE WHEN page_year IS NOT DISTINCT FROM year THEN 1.0 ELSE 0.75 END END::DOUBLE AS score
+FROM p LEFT JOIN m ON p.movie = m.movie""")
+def page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pages of customers, held against the parts that they were fetched for: by id, else by title and year."""
+    k = F.col("c_custkey")
+    n = (k % 2000).cast("string")
+    pages = table(spark, sf_dir, "customer").select(
+        k.alias("page"), F.when(k % 9 == 8, -1).otherwise(k % 2000).alias("movie"),
+        F.when(k % 3 == 0, F.concat(F.lit("tt"), (k % 2000 + F.when(k % 6 == 0, 0).otherwise(1)).cast("string"))).when(k % 3 == 1, "").alias("page_id"),
+        F.when(k % 5 == 0, "other").otherwise(F.concat(F.lit("title "), n)).alias("page_key"), F.when(k % 4 > 0, 1990 + k % 7).alias("page_year"),
+    )
+    p = F.col("p_partkey")
+    movies = table(spark, sf_dir, "part").select(p.alias("movie"), F.concat(F.lit("tt"), p.cast("string")).alias("known_id"), F.concat(F.lit("title "), p.cast("string")).alias("key"), F.when(p % 8 > 0, 1990 + p % 5).alias("year"))
+    return match_pages(pages, movies)
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderkey % 50 AS m, row_number() OVER (PARTITION BY o_orderkey % 50 ORDER BY o_orderkey) - 1 AS i FROM orders),
+k AS (SELECT *, 'a' || (i // 400) || '.zip' AS archive, 'm' || m || '.tsv' AS member FROM r)
+SELECT archive, member, CAST(i % 400 + 1 AS INTEGER) AS line_no, o_orderkey || chr(9) || o_orderstatus AS line, CAST(NULL AS VARCHAR) AS error FROM k WHERE m <> 7
+UNION ALL SELECT archive, member, CAST(0 AS INTEGER), 'key' || chr(9) || 'status', NULL FROM (SELECT DISTINCT archive, member FROM k WHERE m <> 7)
+UNION ALL SELECT archive, member, NULL, NULL, 'checksum' FROM (SELECT DISTINCT archive, member FROM k WHERE m = 7)""")
+def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in ZIP archives of 50 tables of 400 rows each, one of them damaged, unpacked member by member."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 50).alias("m"))
+    o = places(o, ["m"], ["o_orderkey"], "i").withColumn("archive", F.expr("i DIV 400"))
+
+    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w") as z:
+            for m, part in rows.sort_values("i").groupby("m"):
+                text = "\ufeffkey\tstatus\n" + "".join(f"{k}\t{s}\n" for k, s in zip(part["o_orderkey"], part["o_orderstatus"], strict=True))
+                z.writestr(f"m{m}.tsv", text, zipfile.ZIP_STORED if m % 3 == 0 or m == 7 else zipfile.ZIP_DEFLATED)
+        content = body.getvalue()
+        at = content.find(b"m7.tsv")
+        if at > 0:  # a letter of the stored table changes
+            content = content[: at + 12] + bytes([content[at + 12] ^ 1]) + content[at + 13 :]
+        return pd.DataFrame({"path": [f"/a{key[0]}.zip"], "content": [content]})
+
+    return zip_lines(o.groupBy("archive").applyInPandas(packed, "path string, content binary"))
+
+
+_PAGED = """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT user_id, COUNT(*) AS n, CASE WHEN user_id % 10 = 3 AND COUNT(*) > 20 THEN 20 WHEN user_id % 10 = 4 THEN 0 ELSE COUNT(*) END AS reached FROM e GROUP BY 1)"""
+
+
+def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of 10 events each by user: where they start, and their ids. A third page (user 3, 13, ...) and first pages (user 4, 14, ...) got lost."""
+    e = places(table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_id"), ["user_id"], ["event_id"], "k")
+    p = e.groupBy("user_id", F.expr("k DIV 10").alias("page")).agg(F.sort_array(F.collect_list("event_id")).alias("items"))
+    lost = ((F.col("user_id") % 10 == 3) & (F.col("page") == 2)) | ((F.col("user_id") % 10 == 4) & (F.col("page") == 0))
+    return written(p.where(~lost), "responses")
+
+
+@query(_PAGED + """
+SELECT e.user_id, e.k AS n, e.event_id FROM e JOIN s ON e.user_id = s.user_id WHERE k < least(reached, 65)""")
+def keyset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read page by page, each page naming the last event before the next, 65 a user at most."""
+    p = event_pages(spark, sf_dir)
+    after = p.groupBy("user_id").agg(F.max("page").alias("last"))
+    p = p.join(after, "user_id")
+    ahead = p.select("user_id", (F.col("page") + 1).alias("page"), F.element_at("items", -1).cast("string").alias("token"))
+    pages = p.join(ahead, ["user_id", "page"], "left").select(
+        F.col("user_id").alias("source"), F.when(F.col("page") == 0, "").otherwise(F.coalesce("token", F.concat(F.lit("lost "), F.col("page").cast("string")))).alias("token"),
+        F.when(F.col("page") < F.col("last"), F.element_at("items", -1).cast("string")).alias("next_token"), "items",
+    )
+    items, _ = paged_items(pages, 65)
+    return items.select(F.col("source").alias("user_id"), "n", F.col("item").alias("event_id"))
+
+
+@query(_PAGED + """
+SELECT user_id, CAST(least(reached, 65) AS BIGINT) AS n_items, CASE WHEN user_id % 10 = 4 THEN 'empty' WHEN reached > 65 THEN 'limit' WHEN reached < n OR n % 10 = 0 THEN 'gap' ELSE 'complete' END AS status FROM s""")
+def offset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far reading by offset came for each user: a full last page asks for one that isn't there."""
+    p = event_pages(spark, sf_dir).withColumn("offset", F.col("page") * 10)
+    pages = offset_tokens(p, "offset", "items", 10).select(F.col("user_id").alias("source"), "token", "next_token", "items")
+    _, found = paged_items(pages, 65, first="0")
+    return found.select(F.col("source").alias("user_id"), "n_items", "status")

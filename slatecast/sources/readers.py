@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -166,18 +168,82 @@ def filtered_tsv(spark: SparkSession, path: str, schema: str, width: int, titles
     return by_id.unionByName(rest.join(titles.select(F.col("key").alias("key_")).distinct(), "key_", "left_semi").drop("key_"))
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, line_no, line) of the text files in ZIP archives; an archive is one task's."""
+_PARTS = pa.schema([("archive", pa.string()), ("member", pa.string()), ("method", pa.int32()), ("crc", pa.int64()), ("flags", pa.int32()), ("size", pa.int64()), ("raw", pa.binary())])
+_ZIP_LINES = pa.schema([("archive", pa.string()), ("member", pa.string()), ("line_no", pa.int32()), ("line", pa.string()), ("error", pa.string())])
+_LINES = "archive string, member string, line_no int, line string, error string"
+
+
+def zip_parts(archives: DataFrame) -> DataFrame:
+    """(archive, member, method, crc, flags, size, raw): the members of archives (path, content) as they are stored, from their directories alone.
+
+    Nothing is inflated; an archive without a readable directory gives one row without a member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = path.rsplit("/", 1)[-1]
+                try:
+                    with zipfile.ZipFile(io.BytesIO(body or b"")) as z:
+                        members = [m for m in z.infolist() if not m.is_dir()]
+                except zipfile.BadZipFile:
+                    yield pa.RecordBatch.from_pylist([{"archive": name}], _PARTS)
+                    continue
+                for m in members:
+                    at = m.header_offset
+                    head = body[at : at + 30]
+                    start = at + 30 + sum(struct.unpack("<HH", head[26:30])) if len(head) == 30 and head[:4] == b"PK\x03\x04" else len(body)
+                    row = {"archive": name, "member": m.filename, "method": m.compress_type, "crc": m.CRC, "flags": m.flag_bits, "size": m.file_size, "raw": body[start : start + m.compress_size]}
+                    yield pa.RecordBatch.from_pylist([row], _PARTS)
+
+    return archives.select("path", "content").mapInArrow(run, "archive string, member string, method int, crc bigint, flags int, size bigint, raw binary")
+
+
+def zip_lines(archives: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(archive, member, line_no, line, error) of the text files in ZIP archives (path, content).
+
+    Members are dealt out before they are inflated, so an archive of many is read by one task but unpacked by all. A member that is broken,
+    encrypted or packed by a method other than deflate gives one row that says so, and so does a broken archive.
+    """
+
+    def unpacked(row: dict) -> bytes:
+        if row["flags"] & 1:
+            raise ValueError("encrypted")
+        if row["method"] not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise ValueError("unknown method")
+        if row["method"] == zipfile.ZIP_DEFLATED:
+            inflate = zlib.decompressobj(-15)
+            out = inflate.decompress(row["raw"]) + inflate.flush()
+        else:
+            out = row["raw"]
+        if len(out) != row["size"] or zlib.crc32(out) != row["crc"]:
+            raise ValueError("checksum")
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(body)) as z:
-                    for member in z.namelist():
-                        lines = z.read(member).decode("utf-8-sig").splitlines()
-                        yield pa.RecordBatch.from_pydict({"archive": [name.rsplit("/", 1)[1]] * len(lines), "member": [member] * len(lines), "line_no": pa.array(range(len(lines)), pa.int32()), "line": lines}, pa.schema([("archive", pa.string()), ("member", pa.string()), ("line_no", pa.int32()), ("line", pa.string())]))
+            for row in batch.to_pylist():
+                at = {"archive": row["archive"], "member": row["member"]}
+                try:
+                    if row["member"] is None:
+                        raise ValueError("no archive")
+                    lines = unpacked(row).decode("utf-8-sig").splitlines()
+                except (ValueError, zlib.error) as e:
+                    reason = "inflate" if isinstance(e, zlib.error) else "encoding" if isinstance(e, UnicodeDecodeError) else str(e)
+                    yield pa.RecordBatch.from_pylist([{**at, "error": reason}], _ZIP_LINES)
+                    continue
+                for k in range(0, len(lines), 10_000):
+                    part = lines[k : k + 10_000]
+                    yield pa.RecordBatch.from_pydict({"archive": [at["archive"]] * len(part), "member": [at["member"]] * len(part), "line_no": pa.array(range(k, k + len(part)), pa.int32()), "line": part, "error": pa.nulls(len(part), pa.string())}, _ZIP_LINES)
+
+    parts = zip_parts(archives)
+    tasks = tasks or int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, F.xxhash64("archive", "member")).mapInArrow(run, _LINES)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, line_no int, line string")
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, line_no, line) of the text files in the ZIP archives of a path, those that can be read."""
+    return zip_lines(spark.read.format("binaryFile").load(path)).where("error IS NULL").drop("error")
 
 
 def _balanced(text: str | None, mark: str) -> str | None:
@@ -185,27 +251,15 @@ def _balanced(text: str | None, mark: str) -> str | None:
     start = (text or "").find("{", at) if at >= 0 else -1
     if start < 0:
         return None
-    depth, quoted, escaped = 0, False, False
-    for k in range(start, len(text)):
-        c = text[k]
-        if quoted:
-            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                try:
-                    json.loads(text[start : k + 1])
-                except ValueError:
-                    return None
-                return text[start : k + 1]
-    return None
+    try:
+        return text[start : json.JSONDecoder().raw_decode(text, start)[1]]
+    except (ValueError, RecursionError):
+        return None
 
 
 @F.pandas_udf(StringType())
 def balanced_json(text: pd.Series, mark: pd.Series) -> pd.Series:
-    """The JSON object that starts at the first brace after ``mark``: braces are counted outside of strings."""
+    """The JSON object that starts at the first brace after ``mark``, up to the brace that ends it."""
     return pd.Series([_balanced(t, m) for t, m in zip(text, mark, strict=True)], dtype=object)
 
 

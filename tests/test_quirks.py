@@ -79,7 +79,6 @@ def test_others_of_an_entity_that_is_not_in_the_group(spark):
 
 
 def test_nulls_sort_last_only_where_it_is_said(spark):
-    con = duckdb.connect()
-    assert con.execute("SELECT x FROM (VALUES (1), (NULL)) t(x) ORDER BY x").fetchall() == [(1,), (None,)]
-    df = spark.createDataFrame([(1,), (None,)], "x int")
-    assert [r["x"] for r in df.orderBy("x").collect()] == [None, 1] and [r["x"] for r in df.orderBy(F.asc_nulls_last("x")).collect()] == [1, None]
+    """As the other database sorts them: last in rising order, where Spark alone has them first."""
+    query = catalog.QUERIES["top_k_nulls_last"](spark, SF)
+    assert "NULLS LAST" in query._jdf.queryExecution().logical().toString().upper() and query.count() > 0
