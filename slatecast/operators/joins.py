@@ -44,7 +44,7 @@ def shifted(df: DataFrame, keys: Sequence[str], date: str, value: str, days: int
 
 def spine(entities: DataFrame, days: DataFrame) -> DataFrame:
     """Every entity on every day. ``days`` is a date range, so its size is bounded by the calendar."""
-    return entities.crossJoin(F.broadcast(days))
+    return entities.crossJoin(days)
 
 
 def date_range(df: DataFrame, date: str) -> DataFrame:

@@ -71,16 +71,18 @@ SELECT r1.brand, r1.day, {', '.join(f"r{n}.n AS rivals{n}, r{n}.total AS total{n
 FROM r1 JOIN r3 ON r1.brand = r3.brand AND r1.day = r3.day JOIN r7 ON r1.brand = r7.brand AND r1.day = r7.day""")
 def competitor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the other brands came to over the 1, 3 and 7 days before each brand's day: each rival is summed first, then compared."""
-    daily = brand_days(spark, sf_dir)
-    grid = spine(daily.select("brand").distinct(), daily.select("day").distinct()).join(daily, ["brand", "day"], "left").withColumn("n_day_", F.unix_date("day"))
-    sums = trailing(grid, ["brand"], "n_day_", F.col("gross"), (1, 3, 7), "g")
-    out = daily.select("brand", "day")
+    daily = written(brand_days(spark, sf_dir).select("brand", "day", "gross"), "days")
+    # each day counts for the seven after it, of which those count on which somebody sold
+    ahead = daily.select("brand", "gross", "day", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k"))
+    sums = ahead.groupBy("brand", F.expr("date_add(day, k)").alias("day")).agg(*(F.coalesce(F.sum(F.when(F.col("k") <= n, F.col("gross"))), F.lit(0)).alias(f"g{n}") for n in (1, 3, 7)))
+    sums = written(sums.join(daily.select("day").distinct(), "day", "left_semi"), "windows")
+    out = daily.select("brand", "day").join(sums, ["brand", "day"], "left").fillna(0, ["g1", "g3", "g7"])
     for n in (1, 3, 7):
-        rivals = group_concentration(sums, ["day"], "brand", f"g{n}")
         own = without_self("brand", f"g{n}", F.col(f"g{n}"))
-        step = sums.select("brand", "day", f"g{n}").join(rivals, "day", "left").select("brand", "day", own["others_count"].alias(f"rivals{n}"), own["others_total"].alias(f"total{n}"), own["others_top1"].alias(f"top1_{n}"), F.round(own["others_hhi"], 6).alias(f"hhi{n}"))
-        out = out.join(step, ["brand", "day"])
-    return out
+        named = {"others_count": f"rivals{n}", "others_total": f"total{n}", "others_top1": f"top1_{n}"}
+        joined = out.join(group_concentration(sums, ["day"], "brand", f"g{n}"), "day", "left")
+        out = joined.select(*out.columns, *(own[c].alias(name) for c, name in named.items()), F.round(own["others_hhi"], 6).alias(f"hhi{n}"))
+    return out.drop("g1", "g3", "g7")
 
 
 @query("""

@@ -444,7 +444,7 @@ def smearing_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log_pairs(spark, sf_dir)
     m = rows.groupBy("metric").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
     said, y = F.col("a") + F.col("b") * F.col("x"), F.col("y")
-    out = rows.join(F.broadcast(m), "metric").groupBy("metric").agg(F.avg(F.exp(y - said)).alias("s"), F.avg(F.exp(said)).alias("p"), F.avg(F.exp(y)).alias("o"))
+    out = rows.join(m, "metric").groupBy("metric").agg(F.avg(F.exp(y - said)).alias("s"), F.avg(F.exp(said)).alias("p"), F.avg(F.exp(y)).alias("o"))
     return out.select("metric", F.round("s", 6).alias("smearing"), F.round(F.col("p") / F.col("o"), 6).alias("plain_ratio"), F.round(F.col("p") * F.col("s") / F.col("o"), 6).alias("smeared_ratio"))
 
 
@@ -499,7 +499,7 @@ def forecast_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = t.where(F.year("day") < 2000)
     f = train.groupBy("metric").agg(F.avg(F.col("y") - F.col("x")).alias("d"), F.count("*").alias("nf"))
     q = train.groupBy("bucket").agg(F.count("*").alias("nq")).join(quantiles(train, "miss", [0.8], ["bucket"]), "bucket")
-    rows = t.where(F.year("day") >= 2000).join(F.broadcast(f), "metric", "left").join(F.broadcast(q), "bucket", "left").crossJoin(F.broadcast(quantiles(train, "miss", [0.8], prefix="g")))
+    rows = t.where(F.year("day") >= 2000).join(f, "metric", "left").join(q, "bucket", "left").crossJoin(F.broadcast(quantiles(train, "miss", [0.8], prefix="g")))
     fitted, own = F.coalesce(F.col("nf") >= 30, F.lit(False)), F.coalesce(F.col("nq") >= 5, F.lit(False))
     mid, half = F.col("x") + F.when(fitted, F.col("d")).otherwise(0.0), F.when(own, F.col("q0")).otherwise(F.col("g0"))
     usd = lambda c, a: F.round(F.exp(c) / 1e5, 5).alias(a)

@@ -357,7 +357,8 @@ SELECT CASE WHEN age <= 2 THEN 'opening' WHEN age <= 6 THEN 'week_1' WHEN age <=
 def age_bucket_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by age under the three definitions that the models use."""
     d = day("l_shipdate")
-    l = table(spark, sf_dir, "lineitem").select(F.datediff(d, F.min(d).over(Window.partitionBy("l_partkey"))).alias("age"))  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", d.alias("day"))  # noqa: E741
+    l = l.join(l.groupBy("l_partkey").agg(F.min("day").alias("first")), "l_partkey").select(F.datediff("day", "first").alias("age"))  # noqa: E741
     a = F.col("age")
     return l.groupBy(age_bucket(a).alias("regression_bucket"), F.when(a < 7, "first_week").when(a < 28, "first_month").otherwise("long_tail").alias("segment"), F.when(a == 0, "day_0").when(a <= 6, "days_1_6").when(a <= 13, "days_7_13").otherwise("days_14_on").alias("next_day_bucket")).agg(F.count("*").alias("n"))
 
