@@ -96,7 +96,7 @@ def jsonl_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT regexp_replace(url, '[?#].*$', '') AS link, COUNT(*) > 0 AS found, CAST(MIN(page_id % 2) AS INTEGER) AS kind FROM pages WHERE page_id % 3 < 2 GROUP BY 1""")
+SELECT regexp_replace(url, '[?#].*$', '') AS link, CAST(1700000000 + 86400 * MIN(page_id % 2) AS BIGINT) AS published, CAST(MIN(page_id % 2) AS INTEGER) AS kind FROM pages WHERE page_id % 3 < 2 GROUP BY 1""")
 def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed of the pages in XML, read back: one item for each address, the first by date, none of kind other."""
     at = folder(spark, "feed")
@@ -104,12 +104,12 @@ def feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.date_format(F.timestamp_seconds(F.col("page_id") % 2 * 86400 + 1_700_000_000), "EEE, dd MMM yyyy HH:mm:ss Z")
     title = F.when(F.col("page_id") % 3 == 2, "News").when(F.col("page_id") % 2 == 0, "Weekend Preview").otherwise("Review of it")
     item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</link><pubDate>"), when, F.lit("</pubDate></item>"))
-    # one feed for each part of the pages by address
-    feeds = p.select(F.pmod(F.xxhash64("url"), F.lit(50)).alias("feed"), item.alias("item")).groupBy("feed").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    # feeds of 200 items each
+    feeds = places(p.select("page_id", item.alias("item")), [], ["page_id"], "n").groupBy(F.expr("n DIV 200").alias("feed")).agg(F.array_join(F.collect_list("item"), "").alias("items"))
     feeds.select(F.concat(F.lit('<rss version="2.0"><channel>'), "items", F.lit("</channel></rss>")).alias("value")).write.text(at)
     channel = read_xml(spark.read.text(at), "value", "channel", "item array<struct<title:string,link:string,pubDate:string>>")
     got = feed_items(channel.select(F.explode("item").alias("i")).select("i.*"))
-    return got.select("link", F.col("published").isNotNull().alias("found"), F.when(F.col("kind") == "forecast", 0).otherwise(1).alias("kind"))
+    return got.select("link", F.unix_seconds("published").alias("published"), F.when(F.col("kind") == "forecast", 0).otherwise(1).alias("kind"))
 
 
 @query("""SELECT s_suppkey AS id, 'theatre-' || s_suppkey AS slug, CAST(1 + s_suppkey % 9 AS INTEGER) AS screens, s_name AS name FROM supplier""")
@@ -118,7 +118,8 @@ def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark, "sitemap")
     k = F.col("s_suppkey").cast("string")
     url = F.concat(F.lit("<url><loc>https://x.example.com/theatres/theatre-"), k, F.lit('</loc><PageMap><DataObject type="theatre"><Attribute name="theatreId" value="'), k, F.lit('"/><Attribute name="title" value="'), F.col("s_name"), F.lit(" "), (1 + F.col("s_suppkey") % 9).cast("string"), F.lit(' Screens"/></DataObject></PageMap></url>'))
-    maps = table(spark, sf_dir, "supplier").select("s_nationkey", url.alias("url")).groupBy("s_nationkey").agg(F.array_join(F.collect_list("url"), "").alias("urls"))
+    maps = places(table(spark, sf_dir, "supplier").select("s_suppkey", url.alias("url")), [], ["s_suppkey"], "n")
+    maps = maps.groupBy(F.expr("n DIV 500").alias("map")).agg(F.array_join(F.collect_list("url"), "").alias("urls"))
     maps.select(F.concat(F.lit("<urlset>"), "urls", F.lit("</urlset>")).alias("value")).write.text(at)
     rows = read_xml(spark.read.text(at), "value", "url", "loc string, PageMap struct<DataObject:struct<_type:string,Attribute:array<struct<_name:string,_value:string>>>>")
     attribute = F.map_from_entries(F.transform("PageMap.DataObject.Attribute", lambda a: F.struct(a["_name"], a["_value"])))
