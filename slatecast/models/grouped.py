@@ -125,3 +125,27 @@ def judged(rows: DataFrame, keys: Sequence[str], target: str, before: str | None
     if before:
         measures.append(F.avg((F.signum(F.col(target) - F.col(before)) == F.signum(F.col(name) - F.col(before))).cast("double")).alias("directional"))
     return seen.groupBy(*keys).agg(*measures)
+
+
+def bundle(fitted: dict[str, DataFrame]) -> DataFrame:
+    """(model, priority, terms, beta) of fits without keys, in order of preference; models without a solution are left out."""
+    out = None
+    for k, (name, one) in enumerate(fitted.items()):
+        row = one.where("beta IS NOT NULL").select(F.lit(name).alias("model"), F.lit(k).alias("priority"), "terms", "beta")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def served(df: DataFrame, models: DataFrame, features: Sequence[str], name: str = "predicted") -> DataFrame:
+    """Adds ``model`` and ``name``: each row's prediction by the first model of a bundle whose terms the row all has; both null where there is none."""
+    held = models.agg(F.sort_array(F.collect_list(F.struct("priority", "model", "terms", "beta"))).alias("models_"))  # one row, some models
+    has = F.create_map(*(v for f in features for v in (F.lit(f), F.col(f).cast("double"))))
+    slopes = lambda m: F.slice(m["terms"], F.lit(2), F.size(m["terms"]))
+    fits_row = F.filter("models_", lambda m: F.forall(slopes(m), lambda t: has[t].isNotNull()))
+
+    def said(m: Column) -> Column:
+        parts = F.zip_with(slopes(m), F.slice(m["beta"], F.lit(2), F.size(m["beta"])), lambda t, b: has[t] * b)
+        return F.struct(m["model"].alias("model"), (F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) + m["beta"][0]).alias("said"))
+
+    out = df.crossJoin(F.broadcast(held)).withColumn("said_", let(F.get(fits_row, F.lit(0)), said))
+    return out.select(*df.columns, F.col("said_.model").alias("model"), F.col("said_.said").alias(name))

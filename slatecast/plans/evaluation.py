@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import age_bucket, cents, day, estimate_bucket, money_sum, safe_divide, season, term
-from ..models.grouped import coefficient_rows, cross_moments, fits, judged, predicted
+from ..models.grouped import bundle, coefficient_rows, cross_moments, fits, judged, predicted, served
 from ..models.linear import Fit, cluster_bootstrap, moments, ols, solve, two_stage
 from ..models.selection import coefficients, fold, grouped_moments, leave_one_out, out_of_fold, ridge_grid, standardised, two_way
 from ..operators.aggregates import correlation
@@ -614,3 +614,29 @@ def release_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = o.join(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("size")), "p_partkey").where("total > 0")
     rows = s.select(F.ln("total").alias("y"), "size", F.coalesce(season("opened").startswith("summer"), F.lit(False)).alias("in_summer"))
     return rows.groupBy("in_summer").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "size"), 5).alias("slope"), F.round(F.regr_intercept("y", "size"), 5).alias("intercept"), F.round(F.avg("y"), 6).alias("mean"))
+
+
+_SERVED = {"both": ["log_prior_day", "log_prior_week"], "day": ["log_prior_day"], "week": ["log_prior_week"], "outlets": ["outlet_share"]}
+
+
+@query(f"""
+WITH p AS ({PANEL_SQL["daily_competition_lag_panel"]}), f AS (SELECT brand, day, log_gross AS y, CASE WHEN NOT prior_day_missing THEN log_prior_day END AS a, CASE WHEN NOT prior_week_missing THEN log_prior_week END AS b, outlet_share AS c FROM p),
+t AS (SELECT * FROM f WHERE year(day) < 2000), two AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM t WHERE a IS NOT NULL AND b IS NOT NULL),
+m AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ka, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS kb, my, ma, mb FROM two), o AS (SELECT regr_slope(y, a) AS sa, regr_intercept(y, a) AS ia, regr_slope(y, b) AS sb, regr_intercept(y, b) AS ib, regr_slope(y, c) AS sc, regr_intercept(y, c) AS ic FROM t),
+s AS (SELECT y, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'both' WHEN a IS NOT NULL THEN 'day' WHEN b IS NOT NULL THEN 'week' ELSE 'outlets' END AS model, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN my + ka * (a - ma) + kb * (b - mb) WHEN a IS NOT NULL THEN ia + sa * a WHEN b IS NOT NULL THEN ib + sb * b ELSE ic + sc * c END AS said FROM f, m, o WHERE year(day) >= 2000)
+SELECT model, COUNT(*) AS n, round(sqrt(avg((y - said) ^ 2)), 5) AS rmse, round(avg(abs(y - said)), 5) AS mae FROM s GROUP BY 1""")
+def bundle_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored bundle of four models, and each later day's forecast by the best of them whose terms the day has."""
+    p = daily_competition_lag_panel(spark, sf_dir)
+    day_before, week_before = F.when(~F.col("prior_day_missing"), F.col("log_prior_day")), F.when(~F.col("prior_week_missing"), F.col("log_prior_week"))
+    rows = written(p.select("day", "log_gross", day_before.alias("log_prior_day"), week_before.alias("log_prior_week"), "outlet_share"), "served")
+    train, fitted = rows.where(F.year("day") < 2000), {}
+    for name, terms in _SERVED.items():
+        columns = [*terms, "log_gross"]
+        fitted[name] = fits(cross_moments(train, [], columns), columns, terms, "log_gross")
+    at = folder(spark, "bundle")
+    bundle(fitted).write.json(at)
+    models = spark.read.schema("model string, priority int, terms array<string>, beta array<double>").json(at)
+    out = served(rows.where(F.year("day") >= 2000), models, ["log_prior_day", "log_prior_week", "outlet_share"])
+    e = F.col("log_gross") - F.col("predicted")
+    return out.where("model IS NOT NULL").groupBy("model").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"), F.round(F.avg(F.abs(e)), 5).alias("mae"))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from slatecast.functions.scalars import two_sided_p
-from slatecast.models.grouped import coefficient_rows, cross_moments, fits, judged, predicted
+from slatecast.models.grouped import coefficient_rows, cross_moments, fits, judged, predicted, served
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,11 @@ def test_coefficient_rows(spark, frame):
     df = spark.createDataFrame(frame[frame.g == 1])
     rows = coefficient_rows(fits(cross_moments(df, ["g"], ["b", "y"]), ["b", "y"], ["b"], "y"), ["g"]).orderBy("term").collect()
     assert [r["term"] for r in rows] == ["b", "intercept"] and all(r["t"] == pytest.approx(r["beta"] / r["se"]) for r in rows)
+
+
+def test_models_are_served_by_what_a_row_has(spark):
+    models = spark.createDataFrame([("small", 1, ["intercept", "a"], [1.0, 2.0]), ("large", 0, ["intercept", "a", "b"], [0.0, 1.0, 10.0]), ("bare", 2, ["intercept"], [7.0])], "model string, priority int, terms array<string>, beta array<double>")
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, None), (3, None, 5.0)], "k int, a double, b double")
+    assert {r["k"]: (r["model"], r["predicted"]) for r in served(df, models, ["a", "b"]).collect()} == {1: ("large", 21.0), 2: ("small", 7.0), 3: ("bare", 7.0)}
+    assert {(r["model"], r["predicted"]) for r in served(df, models.where("priority < 2"), ["a", "b"]).where("k = 3").collect()} == {(None, None)}
+    assert {r["predicted"] for r in served(df, models.limit(0), ["a", "b"]).collect()} == {None}
