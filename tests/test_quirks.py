@@ -1,8 +1,7 @@
 """Behaviour that callers rely on although it looks odd."""
 
-from datetime import date
+from datetime import date, datetime
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 from slatecast.operators.aggregates import concentration_without_self, group_concentration, without_self
@@ -14,11 +13,22 @@ from slatecast.plans.rules import clean_lines
 SF = "/root/testdata/sf0.001"
 
 
-def test_a_run_opens_for_itself_and_a_movie_with_its_first_run(spark):
-    d = spark.createDataFrame([("m", "r1", date(2026, 1, 2), 5.0), ("m", "r2", date(2026, 5, 1), 7.0), ("m", "r0", date(2025, 12, 1), 0.0)], "movie string, run string, day date, gross double")
-    by_run = {r["run"]: r["o"] for r in d.groupBy("run").agg(F.min("day").alias("o")).collect()}
-    by_movie = d.where("gross > 0").groupBy("movie").agg(F.min("day").alias("o")).first()["o"]
-    assert by_run == {"r1": date(2026, 1, 2), "r2": date(2026, 5, 1), "r0": date(2025, 12, 1)} and by_movie == date(2026, 1, 2)
+def test_a_run_opens_on_any_row_and_a_movie_with_its_first_gross(spark, tmp_path):
+    """Opening features count a day without gross as the opening; the ridge frame wants gross above 0."""
+    rows = [(1, datetime(2026, 1, 2), 0.0, "N"), (1, datetime(2026, 1, 4), 5.0, "N"), (1, datetime(2025, 12, 1), 9.0, "R"), (2, datetime(2026, 5, 1), 7.0, "N")]
+    spark.createDataFrame(rows, "l_partkey bigint, l_shipdate timestamp_ntz, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["part"]: (r["opening_date"], r["opening_day"], r["opening_weekend"]) for r in catalog.QUERIES["opening_features"](spark, str(tmp_path)).collect()}
+    assert got == {1: (date(2026, 1, 2), 0.0, 5.0), 2: (date(2026, 5, 1), 7.0, 7.0)}
+    events = [(r["user_id"], r["ts"].date(), r["value"]) for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    positive = {}
+    for user, d, value in events:
+        positive[user, d] = positive.get((user, d), 0) + round(100 * value)
+    opened = {}
+    for (user, d), cents in positive.items():
+        if cents > 0:
+            opened[user] = min(d, opened.get(user, d))
+    frame = catalog.QUERIES["ridge_training_frame"](spark, SF).collect()
+    assert frame and all(r["age"] == (r["day"] - opened[r["user_id"]]).days >= 0 for r in frame)
 
 
 def test_previews_are_out_unless_asked_for(spark):
