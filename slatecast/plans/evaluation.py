@@ -640,3 +640,14 @@ def bundle_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = served(rows.where(F.year("day") >= 2000), models, ["log_prior_day", "log_prior_week", "outlet_share"])
     e = F.col("log_gross") - F.col("predicted")
     return out.where("model IS NOT NULL").groupBy("model").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"), F.round(F.avg(F.abs(e)), 5).alias("mae"))
+
+
+@query(f"""
+WITH s AS ({SNAPSHOT_SQL}) SELECT snapshot_day, CASE WHEN snapshot_day < -7 THEN 'early' WHEN snapshot_day < -2 THEN 'final_week' ELSE 'last_days' END AS stage, COUNT(*) AS n, COUNT(forecast) AS n_known, COUNT(DISTINCT forecast) AS n_forecasts, round(COUNT(forecast) / COUNT(*), 6) AS coverage, round(avg(forecast_age), 5) AS mean_age FROM s GROUP BY 1, 2""")
+def snapshot_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many titles have a forecast on each day before their target, how many forecasts these are, and how old."""
+    d = F.col("snapshot_day")
+    stage = F.when(d < -7, "early").when(d < -2, "final_week").otherwise("last_days")
+    out = day_by_day_snapshots(spark, sf_dir).groupBy("snapshot_day", stage.alias("stage"))
+    out = out.agg(F.count("*").alias("n"), F.count("forecast").alias("n_known"), F.count_distinct("forecast").alias("n_forecasts"), F.round(F.avg("forecast_age"), 5).alias("mean_age"))
+    return out.withColumn("coverage", F.round(F.col("n_known") / F.col("n"), 6))
