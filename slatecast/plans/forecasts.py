@@ -51,7 +51,7 @@ def complete_window_forecast_eval(spark: SparkSession, sf_dir: str) -> DataFrame
 WITH a AS (SELECT p_brand AS brand, CAST(l_shipdate AS DATE) AS day, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS gross FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 f AS (SELECT brand, start, start + CASE WHEN day(start) % 2 = 0 THEN 2 ELSE 3 END AS finish FROM (SELECT DISTINCT brand, CAST(date_trunc('week', day) + INTERVAL 4 DAY AS DATE) AS start FROM a)),
 w AS (SELECT f.brand, start, date_diff('day', start, finish) + 1 AS expected, COUNT(DISTINCT day) AS n_days, CAST(SUM(gross) AS DOUBLE) AS actual FROM f JOIN a ON a.brand = f.brand AND day BETWEEN start AND finish GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT day) = date_diff('day', start, finish) + 1)
-SELECT w.brand, w.start, CAST(w.n_days AS BIGINT) AS n_days, w.actual, round(p.actual / p.n_days * w.n_days, 2) AS predicted FROM w LEFT JOIN w p ON p.brand = w.brand AND p.start = w.start - 7""")
+SELECT w.brand, w.start, CAST(w.n_days AS BIGINT) AS n_days, w.actual, round(p.actual / p.n_days * w.n_days, 4) AS predicted FROM w LEFT JOIN w p ON p.brand = w.brand AND p.start = w.start - 7""")
 def expected_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekends of three or four days of which every day is there, with the complete weekend before, day for day, as their forecast."""
     a = brand_days(spark, sf_dir).select("brand", "day", "gross")
@@ -62,7 +62,7 @@ def expected_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = w.where(F.col("n_days") == F.datediff("end", "start") + 1).drop("end")
     before = w.select("brand", F.date_add("start", 7).alias("start"), (F.col("actual") / F.col("n_days")).alias("per_day"))
     out = w.join(before, ["brand", "start"], "left")
-    return out.select("brand", "start", "n_days", "actual", F.round(F.col("per_day") * F.col("n_days"), 2).alias("predicted"))
+    return out.select("brand", "start", "n_days", "actual", F.round(F.col("per_day") * F.col("n_days"), 4).alias("predicted"))
 
 
 @query(f"""
