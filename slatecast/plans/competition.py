@@ -16,7 +16,7 @@ from ..operators.joins import as_of_best, as_of_join, shifted, spine
 from ..operators.orders import order_agreement
 from ..operators.ranks import value_quartiles
 from ..sources.writers import written
-from ..operators.windows import gap_episodes, trailing
+from ..operators.windows import gap_episodes
 from .panels import _BRAND_DAY, brand_days
 from .registry import registry, table
 
