@@ -19,7 +19,6 @@ are doubles, so scores are exact while sums of whole numbers stay under 2 ** 53.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
