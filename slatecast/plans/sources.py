@@ -17,9 +17,9 @@ from ..functions.scalars import day, money_sum, parse_date, parse_number, title_
 from ..functions.text import article_key, audience_key, date_range_of, epoch_date, markup_off, money_range, rank_and_title, variant_keys
 from ..operators.matching import match_forecasts, match_pages, match_scored, match_title_year
 from ..operators.ranks import places
-from ..sources.readers import balanced_json, bindings, feed_items, film_page, filtered_tsv, graph_objects, html_cells, html_records, paper_tables, read_tsv, read_xml, resolved, seat_fill, tables_with, with_names, zip_lines
+from ..sources.readers import balanced_json, bindings, feed_items, film_page, filtered_tsv, graph_objects, html_cells, html_records, paper_tables, read_tsv, read_xml, resolved, seat_fill, tables_with, unescaped, with_names, zip_lines
 from ..sources.paging import offset_tokens, paged_items
-from ..sources.writers import append_jsonl, delete_counts, folder, pending, transition, update_from, write_csv, written
+from ..sources.writers import append_jsonl, delete_counts, escaped, folder, pending, transition, update_from, write_csv, write_tsv, written
 from .registry import registry, table
 
 QUERIES, SQL, query = registry()
@@ -280,14 +280,16 @@ def forecast_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_forecasts(f, movies, over, ids).select("forecast", "method", "status", F.when(F.col("method") != "provisioned", F.col("movie")).alias("movie"))
 
 
-@query("""SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 2) END AS balance FROM supplier""")
+@query("""SELECT s_suppkey AS id, CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) > 0 AS found, s_name AS name, CASE WHEN s_acctbal >= 0 THEN round(s_acctbal, 2) END AS balance FROM supplier""")
 def tsv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r"""A TSV with header, quotes that are ordinary, and \N for what is missing, read with types."""
+    r"""A TSV with header, quotes that are ordinary, and \N for what is missing, read with types; rows found are those with a number by id, which all get."""
     at = folder(spark, "typed")
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit('"'), F.col("s_name")).alias("name"), F.when(F.col("s_acctbal") >= 0, F.format_string("%.2f", "s_acctbal")).alias("balance"))
-    s.write.option("sep", "\t").option("header", True).option("nullValue", r"\N").option("quote", "").option("compression", "gzip").csv(at)
-    got = read_tsv(spark, at, "id bigint, name string, balance double")
-    return got.select("id", F.substring("name", 2, 100).alias("name"), "balance")
+    b = F.col("s_acctbal")
+    cents = F.format_string("%.2f", F.when((b == 0) | (b * 100 == float("inf")), b).otherwise(F.round(b * 100) / 100))  # rounded as SQL does; -0 keeps its sign
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit('"'), escaped("s_name")).alias("name"), F.when(b >= 0, cents).alias("balance"))
+    write_tsv(s, at)
+    got = places(read_tsv(spark, at, "id bigint, name string, balance double"), [], ["id"], "n")
+    return got.select("id", (F.col("n") + 1 > 0).alias("found"), unescaped(F.substr("name", F.lit(2))).alias("name"), "balance")
 
 
 @query()

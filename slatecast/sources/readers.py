@@ -26,6 +26,12 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return df.select(*(F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) if t == "string" else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
+def unescaped(text: Column) -> Column:
+    r"""Text as it was before ``writers.escaped``: backslashes are read from the left, so ``\\t`` is a backslash and a t."""
+    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit(r"\t"), F.lit("\t")), F.lit(r"\n"), F.lit("\n")), F.lit(r"\r"), F.lit("\r")), F.lit(r"\0"), F.lit("\0"))
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
+
+
 def with_names(df: DataFrame, aliases: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:
     """Columns under their agreed names, found by any alias whatever its case and spacing; raises for missing ones."""
     clean = {c.replace("﻿", "").strip().lower().replace(" ", "_"): c for c in df.columns}
