@@ -159,6 +159,23 @@ def test_fuzzy_match_margin(spark):
     assert len(got) > ambiguous > 10
 
 
+def made(at, lines):
+    """Folder and connection of made tables: 6 parts, each of a brand, and ``lines``, SQL of (part, supplier, day, price)."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS p_partkey, 'Brand#' || (i + 1) AS p_brand FROM range(6) t(i)) TO '{at}/part.parquet'")
+    con.execute(f"COPY (SELECT CAST(part AS BIGINT) AS l_partkey, CAST(supplier AS BIGINT) AS l_suppkey, CAST(day AS TIMESTAMP) AS l_shipdate, CAST(price AS DOUBLE) AS l_extendedprice FROM ({lines})) TO '{at}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("outlets", ["4", "2", "CASE WHEN part = 0 AND week = 3 THEN 4 ELSE 2 END", "1 + (part + week) % 4", "0"])
+def test_pooled_interactions_of_one_width(spark, tmp_path, outlets):
+    con = made(tmp_path, f"SELECT part, supplier, DATE '1998-01-05' + CAST(7 * week AS INTEGER) AS day, 100 + (37 * part + 11 * week) % 50 AS price FROM range(6) p(part), range(8) w(week), range(4) s(supplier) WHERE supplier < {outlets}")
+    got, cur = catalog.QUERIES["pooled_interactions"](spark, str(tmp_path)), con.execute(catalog.SQL["pooled_interactions"])
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_every_query_without_sql_is_tested():
     assert set(catalog.QUERIES) - set(catalog.SQL) == {"bootstrap_calibration", "ridge_with_calendar", "certainty_sample", "nested_lag_models", "alternating_bootstrap", "fuzzy_match_margin", "lag_hypotheses"}
 
