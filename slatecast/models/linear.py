@@ -69,25 +69,52 @@ def ols(df: DataFrame, terms: Sequence[str], target: str, ridge: float = 0.0) ->
     return Fit(["intercept", *terms], beta, np.sqrt(np.maximum(sigma2 * np.diag(inverse), 0)), 1 - rss / tss if tss > 0 else 0.0, n)
 
 
+def _eliminated(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit lower triangle and pivots of a matrix of products; a column whose pivot rounding may have made takes nothing out of later ones."""
+    a, lower, least = a.copy(), np.eye(len(a)), 1e-13 * np.diag(a)
+    for j in range(len(a)):
+        if a[j, j] > least[j]:
+            lower[j + 1 :, j] = a[j + 1 :, j] / a[j, j]
+            a[j + 1 :] -= np.outer(lower[j + 1 :, j], a[j])
+    return lower, np.diag(a)
+
+
 def two_stage(df: DataFrame, endogenous: Sequence[str], instruments: Sequence[str], controls: Sequence[str], target: str) -> Fit:
-    """Two-stage least squares of ``target`` on ``endogenous`` and ``controls``, from one pass of moments.
+    """Two-stage least squares of ``target`` on ``endogenous`` and ``controls``, from one pass of moments or two.
 
     The first stage regresses all regressors on instruments and controls; both stages are products of one
-    matrix of sums, so the data is read once. Errors use the residuals of the second stage at the observed
-    regressors. There must be as many instruments as endogenous terms, at least.
+    matrix of sums, so the data is read once. Where the columns before it leave less than 1e-4 of an instrument's or control's
+    squares, these sums lack the digits that tell it from them, and a second pass sums what is left of each column. Errors use
+    the residuals of the second stage at the observed regressors. There must be as many instruments as endogenous terms, at least. An
+    instrument that adds nothing to the others is passed over; coefficients are nan if the rest doesn't tell the regressors apart.
     """
     if len(instruments) < len(endogenous):
         raise ValueError("fewer instruments than endogenous terms")
-    names = [*endogenous, *controls, *instruments]
-    all_, sums, yy, n = moments(df, names, target)
-    k, last = 1 + len(endogenous), 1 + len(endogenous) + len(controls)
-    x = list(range(last))
-    z = [0, *range(k, len(names) + 1)]
-    zx, zy = all_[np.ix_(z, x)], sums[z]
-    first, _ = solve(all_[np.ix_(z, z)], zx)
-    beta, inverse = solve(first.T @ zx, first.T @ zy)
-    rss = max(0.0, yy - 2 * beta @ sums[x] + beta @ all_[np.ix_(x, x)] @ beta)
-    tss = yy - sums[0] ** 2 / n if n else 0.0
+    given, k = [*controls, *instruments], 1 + len(controls) + len(instruments)
+    sums, xy, yy, n = moments(df, [*given, *endogenous], target)
+    size = np.sqrt(np.diag(sums) / max(n, 1))
+    size = np.where((size > 0) & (np.arange(len(size)) < k), size, 1.0)
+    sums, xy, lower = sums / np.outer(size, size), xy / size, np.eye(len(sums))
+    triangle, pivots = _eliminated(sums[:k, :k])
+    if (pivots < 1e-4 * n).any():
+        lower[:k, :k], names = triangle, [f"left{i}_" for i in range(1, k)]
+        left = [sum((F.lit(float(b)) * F.col(c) for c, b in zip(given, row[1:], strict=True)), F.lit(float(row[0]))) for row in (np.linalg.inv(triangle) / size[:k])[1:]]
+        rows = df.dropna(subset=[*given, *endogenous, target]).select(*(v.alias(c) for v, c in zip(left, names, strict=True)), *endogenous, target)
+        sums, xy, yy, n = moments(rows, [*names, *endogenous], target)
+    x = (lower * size[:, None])[[0, *range(k, len(sums)), *range(1, 1 + len(controls))]]  # regressors by the columns of the sums
+    z = np.flatnonzero(np.diag(sums)[:k] > 1e-14 * n)
+    unit = np.sqrt(np.diag(sums)[z])
+    zx = sums[z] @ x.T / unit[:, None]
+    first = np.linalg.solve(sums[np.ix_(z, z)] / np.outer(unit, unit), zx)
+    fitted, own = zx.T @ first, np.sqrt(np.diag(x @ sums @ x.T))
+    own[own == 0] = 1.0
+    fitted /= np.outer(own, own)
+    order = [0, *range(1 + len(endogenous), len(x)), *range(1, 1 + len(endogenous))]
+    apart = (_eliminated(fitted[np.ix_(order, order)])[1] > 1e-13 * np.diag(fitted)[order]).all()
+    inverse = np.linalg.inv(fitted) / np.outer(own, own) if apart else np.full(fitted.shape, np.nan)
+    beta = inverse @ (first.T @ (xy[z] / unit))
+    rss = float(np.maximum(0.0, yy - 2 * beta @ (x @ xy) + beta @ (x @ sums @ x.T) @ beta))
+    tss = yy - xy[0] ** 2 / n if n else 0.0
     sigma2 = rss / (n - len(beta)) if n > len(beta) else 0.0
     return Fit(["intercept", *endogenous, *controls], beta, np.sqrt(np.maximum(sigma2 * np.diag(inverse), 0)), 1 - rss / tss if tss > 0 else 0.0, n)
 

@@ -160,6 +160,20 @@ def test_two_stage(spark):
         two_stage(df, ["x"], [], ["w"], "y")
 
 
+def test_two_stage_of_instruments_alike(spark):
+    rng = np.random.default_rng(4)
+    z, w, u, v = rng.normal(size=(4, 400))
+    x = z + 0.5 * w + u
+    near = 3 * z + 2e-6 * v + 7
+    df = spark.createDataFrame([*zip(*(c.tolist() for c in (x, z, w, 2 * x - w + 3 * u + 1, near, 3 * z + 7, near * 0)), strict=True)], "x double, z double, w double, y double, near double, again double, zero double")
+    fit = two_stage(df, ["x"], ["z"], ["w"], "y")
+    assert np.allclose(two_stage(df, ["x"], ["z", "again"], ["w"], "y").beta, fit.beta)
+    have, both = np.column_stack([np.ones(400), z, w, v]), np.column_stack([np.ones(400), x, w])
+    said = have @ np.linalg.lstsq(have, both, rcond=None)[0]
+    assert np.allclose(two_stage(df, ["x"], ["z", "near"], ["w"], "y").beta, np.linalg.lstsq(said, 2 * x - w + 3 * u + 1, rcond=None)[0], atol=1e-8)
+    assert np.isnan(two_stage(df, ["x"], ["zero"], ["w"], "y").beta).all() and np.isnan(two_stage(df.limit(0), ["x"], ["z"], [], "y").beta).all()
+
+
 def test_cluster_bootstrap(spark):
     rng = np.random.default_rng(5)
     rows = [(c, float(v), float(2.0 * v + rng.normal())) for c in range(60) for v in rng.normal(size=5)]

@@ -176,6 +176,14 @@ def test_pooled_interactions_of_one_width(spark, tmp_path, outlets):
     assert rows(got.columns, got.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
 
 
+def test_nested_logit_of_nearly_full_quarters(spark, tmp_path):
+    """Only three days are missing, so days and the others' days say nearly the same."""
+    day = "DATE '1998-01-01' + CAST(d AS INTEGER)"
+    con = made(tmp_path, f"SELECT part, (part + d + s) % 7 AS supplier, {day} AS day, 100 + (37 * part + 11 * d + 5 * part * (d // 90)) % 50 AS price FROM range(6) p(part), range(730) t(d), range(3) r(s) WHERE s <= (part + d // 60) % 3 AND (part, d) NOT IN ((1, 5), (2, 320), (4, 500))")
+    got, cur = catalog.QUERIES["nested_logit"](spark, str(tmp_path)), con.execute(catalog.SQL["nested_logit"])
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_every_query_without_sql_is_tested():
     assert set(catalog.QUERIES) - set(catalog.SQL) == {"bootstrap_calibration", "ridge_with_calendar", "certainty_sample", "nested_lag_models", "alternating_bootstrap", "fuzzy_match_margin", "lag_hypotheses"}
 
