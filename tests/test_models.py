@@ -94,6 +94,18 @@ def test_two_way_effects_of_many_groups(spark):
     assert out.agg(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") ** 2)).first()[0] == pytest.approx(2, abs=1e-4)
 
 
+def test_two_way_of_a_column_that_effects_explain(spark):
+    """Zeros are left, in a table with gaps too, and a part of 1e-9 that they don't explain stays."""
+    rng = np.random.default_rng(8)
+    have = [(g, t) for g in range(9) for t in range(14) if rng.random() < 0.6]
+    df = spark.createDataFrame([(g, t, math.log(90 + g) + math.log(30 + t), math.log(90 + g) + math.log(30 + t) + 1e-9 * (g * t % 3)) for g, t in have], "g int, t int, x double, y double")
+    got = two_way(df, ["x", "y"], "g", "t").toPandas()
+    assert len(got) == len(have) and (got.x == 0).all()
+    dummies = np.column_stack([*((got.g == g).to_numpy(float) for g in range(9)), *((got.t == t).to_numpy(float) for t in range(14))])
+    more = (got.g * got.t % 3).to_numpy(float)
+    assert 1e9 * got.y.to_numpy() == pytest.approx(more - dummies @ np.linalg.lstsq(dummies, more, rcond=None)[0], abs=1e-4)
+
+
 def test_two_way_edges(spark):
     df = spark.createDataFrame([(1, None, "a", 2.0), (2, "p", "a", 4.0), (3, "q", None, 5.0)], "k int, g string, t string, x double")
     assert {r["k"]: round(r["x"], 9) for r in two_way(df, ["x"], "g", "t").collect()} == {1: 0.0, 2: 0.0, 3: 0.0}

@@ -184,6 +184,17 @@ def test_nested_logit_of_nearly_full_quarters(spark, tmp_path):
     assert rows(got.columns, got.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("missing", ["FALSE", "part = 2 AND d BETWEEN 10 AND 15"])
+def test_instruments_that_do_not_vary(spark, tmp_path, missing):
+    """Every brand sells on every day, which leaves nothing of days; with some days out, SQL has a value."""
+    con = made(tmp_path, f"SELECT part, (part + d + s) % 7 AS supplier, DATE '1998-01-01' + CAST(d AS INTEGER) AS day, 100 + (37 * part + 11 * d + 5 * part * (d // 90)) % 50 AS price FROM range(6) p(part), range(400) t(d), range(3) r(s) WHERE s <= (part + d // 60) % 3 AND NOT ({missing})")
+    got = catalog.QUERIES["two_way_instruments"](spark, str(tmp_path)).first()
+    beta, n, ols_beta = con.execute(catalog.SQL["two_way_instruments"]).fetchone()[1:]
+    assert (got["n"], plain(got["ols_beta"])) == (n, plain(ols_beta)) and math.isnan(got["beta"]) == (missing == "FALSE")
+    if missing != "FALSE":  # else what SQL has is 0 / 0, or the quotient of two rounding errors, which differ from run to run
+        assert plain(got["beta"]) == plain(beta)
+
+
 def test_every_query_without_sql_is_tested():
     assert set(catalog.QUERIES) - set(catalog.SQL) == {"bootstrap_calibration", "ridge_with_calendar", "certainty_sample", "nested_lag_models", "alternating_bootstrap", "fuzzy_match_margin", "lag_hypotheses"}
 
