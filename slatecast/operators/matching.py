@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import similar_pairs
+from ..sources.writers import written
+from .similarity import letter_bags, similar_pairs
 
 
 def match_title_year(items: DataFrame, names: DataFrame) -> DataFrame:
@@ -50,6 +51,8 @@ def match_pages(pages: DataFrame, movies: DataFrame) -> DataFrame:
 #: Points for years that are so far apart; others count -30, which no title makes up for.
 YEAR_POINTS = (30.0, 20.0, 10.0)
 UNKNOWN_YEAR, KNOWN_ID = 5.0, 10.0
+#: Points between two levels down to which pairs are looked for.
+STEP = 12.0
 
 
 def match_scored(items: DataFrame, records: DataFrame, least: float = 100.0, sure: float = 130.0, margin: float = 8.0, **bounds: int) -> DataFrame:
@@ -57,9 +60,12 @@ def match_scored(items: DataFrame, records: DataFrame, least: float = 100.0, sur
 
     ``items`` are (item, key, year), ``records`` (entity, key, year, has_id). The score is 100 times the ratio of matching blocks, and
     points for years and a known id. What points leave open to ``least`` is the least ratio of titles, so titles meet by
-    year and by ``similar_pairs``, and no pair that reaches ``least`` is lost. Equal titles meet once, however many bear them. A best
+    year and by ``similar_pairs``. Equal titles meet once, however many bear them. A best
     score under ``sure``, or one less than ``margin`` ahead of the next, is ambiguous; of equal scores the smallest
     entity is named. ``least`` has to be over 80, what an equal title with a wrong year and an id can reach.
+
+    Pairs are looked for down to ``sure - margin`` first: a best score from ``sure`` has every next one that counts there, and a lower one is
+    ambiguous whatever comes next. Only titles without any go on to the levels below, down to ``least``, so no result depends on the levels.
     """
     if least <= 100 - 30 + KNOWN_ID:
         raise ValueError("least has to be over 80")
@@ -73,7 +79,7 @@ def match_scored(items: DataFrame, records: DataFrame, least: float = 100.0, sur
     near = [cell(year + d, abs(d), i, p + more) for d in range(-2, 3) for p in [YEAR_POINTS[abs(d)]] for i, more in known_id]
     dated = [cell(F.lit("none"), None, i, UNKNOWN_YEAR + more) for i, more in known_id]
     undated = [cell(F.lit("any"), None, i, UNKNOWN_YEAR + more) for i, more in known_id]
-    asked = asked.withColumn("at", F.explode(F.when(year.isNull(), F.array(*undated)).otherwise(F.array(*near, *dated)))).select("key", "year", "at.*")
+    asked = asked.where("key <> ''").withColumn("at", F.explode(F.when(year.isNull(), F.array(*undated)).otherwise(F.array(*near, *dated)))).select("key", "year", "at.*")
 
     known = records.groupBy("key", "year", F.coalesce("has_id", F.lit(False)).cast("int").alias("id_")).agg(F.min("entity").alias("entity"), F.count("*").alias("n_"))
     more = F.col("id_") * KNOWN_ID
@@ -81,12 +87,20 @@ def match_scored(items: DataFrame, records: DataFrame, least: float = 100.0, sur
     any_ = cell(F.lit("any"), None, F.col("id_"), F.lit(UNKNOWN_YEAR) + more)
     none = cell(F.lit("none"), None, F.col("id_"), F.lit(UNKNOWN_YEAR) + more)
     known = known.withColumn("at", F.explode(F.when(year.isNull(), F.array(any_, none)).otherwise(F.array(any_, *own))))
-    known = known.groupBy("key", "at").agg(F.min("entity").alias("entity"), F.sum("n_").alias("n_")).select("key", "at.*", "entity", "n_")
-
-    sides = [df.select(F.col("key").alias("id"), "key", "cell", ((F.lit(least) - F.col("points")) / 100).alias("least")).distinct() for df in (asked, known)]
-    pairs = similar_pairs(*sides, **bounds)
-    found = asked.join(pairs, (F.col("key") == F.col("left")) & (asked["cell"] == pairs["cell"])).select("key", "year", "right", pairs["cell"], (100 * F.col("ratio") + F.col("points")).alias("score"))
-    found = found.join(known.select(F.col("key").alias("right"), "cell", "entity", "n_"), ["right", "cell"]).where(F.col("score") >= least)
+    known = known.where("key <> ''").groupBy("key", "at").agg(F.min("entity").alias("entity"), F.sum("n_").alias("n_")).select("key", "at.*", "entity", "n_")
+    asked, known = written(asked, "asked"), written(known, "known")
+    bags, found, level = letter_bags(asked.select("key").union(known.select("key"))), None, max(least, sure - margin)
+    while True:
+        sides = [df.select(F.col("key").alias("id"), "key", "cell", ((F.lit(level) - F.col("points")) / 100).alias("least")).distinct() for df in (asked, known)]
+        pairs = similar_pairs(*sides, **bounds, bags=bags)
+        some = asked.join(pairs, (F.col("key") == F.col("left")) & (asked["cell"] == pairs["cell"])).select("key", "year", "right", pairs["cell"], (100 * F.col("ratio") + F.col("points")).alias("score"))
+        some = written(some.join(known.select(F.col("key").alias("right"), "cell", "entity", "n_"), ["right", "cell"]).where(F.col("score") >= level), "scored")
+        found = some if found is None else found.unionByName(some)
+        if level <= least:
+            break
+        done = some.select(F.col("key").alias("key_"), F.col("year").alias("year_")).distinct()
+        asked = written(asked.join(done, (F.col("key") == F.col("key_")) & F.col("year").eqNullSafe(F.col("year_")), "left_anti"), "asked")
+        level = max(least, level - STEP)
     w = Window.partitionBy("key", "year").orderBy(F.desc("score"), "entity")
     best = found.withColumn("p_", F.row_number().over(w)).where("p_ <= 2").groupBy("key", "year")
     first = lambda c: F.max(F.when(F.col("p_") == 1, F.col(c)))

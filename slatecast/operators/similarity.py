@@ -4,7 +4,8 @@ A text is a bag of letters: its tokens are (letter, how often it came before), s
 intersection. The matched letters of a sequence comparison are shared letters in order, so a ratio r = 2 * matched / (m + n) needs an
 overlap of t = r * (m + n) / 2 tokens or more. In one global order, rarest first, two such texts share one of the first n - t + 1
 tokens of either, and k of the first n - t + k. Texts meet on one shared token where few have it; a token that makes more
-than ``most`` pairs is split by the next shared one, and so on, up to ``depth`` tokens.
+than ``most`` pairs is split by the next shared one, and so on, up to ``depth`` tokens. Each text brings its tokens as bits, so the overlap is
+counted where two texts meet, and only pairs that reach it are sent on.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -56,28 +57,36 @@ def _need(ratio: Column, letters: Column) -> Column:
     return F.ceil(ratio * letters / 2 - 1e-9)
 
 
-def _bags(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(is_left, id, key, tokens): each text's tokens, rarest first."""
-    texts = left.select(F.lit(True).alias("is_left"), "id", "key").unionByName(right.select(F.lit(False).alias("is_left"), "id", "key")).distinct()
-    held = written(texts.where("key <> ''").withColumn("token", F.explode(_tokens(F.col("key")))), "tokens")
+#: Longs that hold the bits of a text's tokens; the most frequent tokens have a bit of their own, the others share theirs.
+WORDS = 4
+
+
+def letter_bags(keys: DataFrame) -> DataFrame:
+    """(key, tokens, bits, shared): each text's tokens, rarest first, the same as bits, and how many tokens found their bit taken."""
+    held = written(keys.select("key").where("key <> ''").distinct().withColumn("token", F.explode(_tokens(F.col("key")))), "tokens")
     often = held.groupBy("token").agg(F.count("*").alias("often"))
+    bit = (F.row_number().over(Window.orderBy(F.desc("often"), "token")) - 1) % (64 * WORDS)  # as many rows as an alphabet has letters, times a text's length
+    often = often.withColumn("bit", bit)
     ordered = F.sort_array(F.collect_list(F.struct("often", "token")))
-    return held.join(often, "token").groupBy("is_left", "id", "key").agg(F.transform(ordered, lambda x: x["token"]).alias("tokens"))
+    word = lambda k: F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("bigint"))).alias(f"bits{k}")
+    bags = held.join(often, "token").groupBy("key").agg(F.transform(ordered, lambda x: x["token"]).alias("tokens"), *(word(k) for k in range(WORDS)))
+    ones = sum((F.bit_count(f"bits{k}") for k in range(WORDS)), F.lit(0))
+    return written(bags.withColumn("shared", F.size("tokens") - ones), "bags")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, most: int = 1_000_000, depth: int = 4) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, most: int = 1_000_000, depth: int = 4, bags: DataFrame | None = None) -> DataFrame:
     """(left, right, cell, ratio): every pair of a cell whose ratio of matching blocks is at least the cell's ``least``.
 
     Both sides are (id, key, cell, least), with one key for an id; ``least`` is above 0 and the same for all rows of a cell. Pairs have one row for each cell
-    that they share. Null and empty keys match nothing.
+    that they share. Null and empty keys match nothing. ``bags`` are the ``letter_bags`` of all keys, if they have been made.
     """
-    bags = written(_bags(left, right), "bags")
+    bags = letter_bags(left.select("key").union(right.select("key"))) if bags is None else bags
     cells = left.select(F.lit(True).alias("is_left"), "id", "key", "cell", "least").unionByName(right.select(F.lit(False).alias("is_left"), "id", "key", "cell", "least"))
     n = F.size("tokens")
     # the shortest partner has least / (2 - least) as many letters
     sure = F.ceil(F.col("least") / (2 - F.col("least")) * n - 1e-9)
-    rows = cells.where("least <= 1").join(bags, ["is_left", "id", "key"])
-    rows = rows.select("is_left", "id", "cell", "least", n.alias("n"), sure.alias("sure"), F.slice("tokens", F.lit(1), F.least(n, n - sure + depth).cast("int")).alias("head"))
+    rows = cells.where("least <= 1").join(bags, "key")
+    rows = rows.select("is_left", "id", "cell", "least", *BITS, n.alias("n"), sure.alias("sure"), F.slice("tokens", F.lit(1), F.least(n, n - sure + depth).cast("int")).alias("head"))
     rows = rows.withColumn("sign", F.xxhash64("cell")).withColumn("pos", F.lit(-1))
     found = None
     for level in range(1, depth + 1):
@@ -97,21 +106,24 @@ def similar_pairs(left: DataFrame, right: DataFrame, most: int = 1_000_000, dept
         found = some if found is None else found.unionByName(some)
         if last:
             break
-    found = found.distinct()
-    side = lambda is_left, name: bags.where(F.col("is_left") == is_left).select(F.col("id").alias(name), F.col("key").alias(f"{name}_key"), F.col("tokens").alias(f"{name}_tokens"))
-    both = found.join(side(True, "left"), "left").join(side(False, "right"), "right")
-    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    both = both.where(shared >= _need(F.col("least"), F.size("left_tokens") + F.size("right_tokens")))
+    found = written(found.distinct(), "met")
+    side = lambda rows, name: rows.select(F.col("id").alias(name), F.col("key").alias(f"{name}_key")).distinct()
+    both = found.join(side(left, "left"), "left").join(side(right, "right"), "right")
     both = both.withColumn("ratio", ratio_from("left_key", "right_key", "least"))
     return both.where(F.col("ratio") >= F.col("least") - 1e-12).select("left", "right", "cell", "ratio")
 
 
+#: What a text brings to a meeting, besides its letters' number.
+BITS = ["shared", *(f"bits{k}" for k in range(WORDS))]
+
+
 def _meet(rows: DataFrame, level: int) -> DataFrame:
-    """Pairs of equal signs whose lengths, and letters left behind the last shared one, allow the overlap."""
-    a = rows.where("is_left").select("sign", "cell", "least", F.col("id").alias("left"), F.col("n").alias("n_l"), F.col("pos").alias("pos_l"))
-    b = rows.where("NOT is_left").select("sign", F.col("cell").alias("cell_r"), F.col("id").alias("right"), F.col("n").alias("n_r"), F.col("pos").alias("pos_r"))
-    joined = a.join(b, "sign").where("cell = cell_r")
+    """Pairs of equal signs that share the letters they need; lengths, and letters left behind the last shared one, are looked at first."""
+    a = rows.where("is_left").select("sign", "cell", "least", F.col("id").alias("left"), F.col("n").alias("n_l"), F.col("pos").alias("pos_l"), *(F.col(c).alias(f"{c}_l") for c in BITS))
+    b = rows.where("NOT is_left").select(F.col("sign").alias("sign_r"), F.col("cell").alias("cell_r"), F.col("id").alias("right"), F.col("n").alias("n_r"), F.col("pos").alias("pos_r"), *(F.col(c).alias(f"{c}_r") for c in BITS))
     need = _need(F.col("least"), F.col("n_l") + F.col("n_r"))
     rest = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r")) - 1
-    fits = (need <= F.col("n_l")) & (need <= F.col("n_r")) & (rest + level >= need)
-    return joined.where(fits).select("left", "right", "cell", "least").distinct()
+    # tokens that share a bit count once, so those of the side with fewer such may be missing
+    both = sum((F.bit_count(F.col(f"bits{k}_l").bitwiseAND(F.col(f"bits{k}_r"))) for k in range(WORDS)), F.least("shared_l", "shared_r"))
+    fits = (need <= F.least("n_l", "n_r")) & (rest + level >= need) & (both >= need)
+    return a.join(b, (F.col("sign") == F.col("sign_r")) & fits & (F.col("cell") == F.col("cell_r"))).select("left", "right", "cell", "least")

@@ -1,10 +1,12 @@
 """The similarity join against all pairs."""
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from slatecast.operators import similarity
 from slatecast.operators.matching import match_scored
 from slatecast.operators.similarity import _in_order, similar_pairs
 
@@ -43,3 +45,18 @@ def test_typos_in_the_rare_word(spark):
     assert {r["item"]: (r["entity"], r["status"]) for r in match_scored(items, twins).collect()}[1] == ("a", "ambiguous")
     with pytest.raises(ValueError, match="80"):
         match_scored(items, records, least=80)
+
+
+def test_only_pairs_with_enough_letters_are_sent_on(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sides = [["".join(rng.choice(list("abcdefghijkl"), 20)) for _ in range(150)] for _ in range(2)]
+    want = sum((Counter(a) & Counter(b)).total() >= 16 for a in sides[0] for b in sides[1])
+    met, meet = [], similarity._meet
+
+    def counted(rows, level):
+        met.append(out := meet(rows, level))
+        return out
+
+    monkeypatch.setattr(similarity, "_meet", counted)
+    similar_pairs(*(spark.createDataFrame([(k, key, "a", 0.8) for k, key in enumerate(s)], SIDE) for s in sides)).count()
+    assert sum(m.select("left", "right").distinct().count() for m in met) == want < 150 * 150 / 4
