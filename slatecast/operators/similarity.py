@@ -62,16 +62,15 @@ WORDS = 4
 
 
 def letter_bags(keys: DataFrame) -> DataFrame:
-    """(key, tokens, bits, shared): each text's tokens, rarest first, the same as bits, and how many tokens found their bit taken."""
+    """(key, number, tokens, bits, shared): each text's tokens as their ranks, rarest first, the same as bits, and how many tokens found their bit taken."""
     held = written(keys.select("key").where("key <> ''").distinct().withColumn("token", F.explode(_tokens(F.col("key")))), "tokens")
     often = held.groupBy("token").agg(F.count("*").alias("often"))
-    bit = (F.row_number().over(Window.orderBy(F.desc("often"), "token")) - 1) % (64 * WORDS)  # as many rows as an alphabet has letters, times a text's length
-    often = often.withColumn("bit", bit)
-    ordered = F.sort_array(F.collect_list(F.struct("often", "token")))
+    rank = F.row_number().over(Window.orderBy(F.desc("often"), "token")) - 1  # as many rows as an alphabet has letters, times a text's length
+    often = often.select("token", rank.alias("rank"), (rank % (64 * WORDS)).alias("bit"))
     word = lambda k: F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("bigint"))).alias(f"bits{k}")
-    bags = held.join(often, "token").groupBy("key").agg(F.transform(ordered, lambda x: x["token"]).alias("tokens"), *(word(k) for k in range(WORDS)))
+    bags = held.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list("rank"), asc=False).alias("tokens"), *(word(k) for k in range(WORDS)))
     ones = sum((F.bit_count(f"bits{k}") for k in range(WORDS)), F.lit(0))
-    return written(bags.withColumn("shared", F.size("tokens") - ones), "bags")
+    return written(bags.withColumns({"shared": F.size("tokens") - ones, "number": F.monotonically_increasing_id()}), "bags")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, most: int = 1_000_000, depth: int = 4, bags: DataFrame | None = None) -> DataFrame:
@@ -81,12 +80,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, most: int = 1_000_000, dept
     that they share. Null and empty keys match nothing. ``bags`` are the ``letter_bags`` of all keys, if they have been made.
     """
     bags = letter_bags(left.select("key").union(right.select("key"))) if bags is None else bags
-    cells = left.select(F.lit(True).alias("is_left"), "id", "key", "cell", "least").unionByName(right.select(F.lit(False).alias("is_left"), "id", "key", "cell", "least"))
+    sides = left.select(F.lit(True).alias("is_left"), "key", "cell", "least").unionByName(right.select(F.lit(False).alias("is_left"), "key", "cell", "least")).where("least <= 1")
+    cells = written(sides.groupBy(F.col("cell").alias("name")).agg(F.min("least").alias("least")).withColumn("cell", F.monotonically_increasing_id()), "cells")
     n = F.size("tokens")
     # the shortest partner has least / (2 - least) as many letters
     sure = F.ceil(F.col("least") / (2 - F.col("least")) * n - 1e-9)
-    rows = cells.where("least <= 1").join(bags, "key")
-    rows = rows.select("is_left", "id", "cell", "least", *BITS, n.alias("n"), sure.alias("sure"), F.slice("tokens", F.lit(1), F.least(n, n - sure + depth).cast("int")).alias("head"))
+    rows = sides.select("is_left", "key", F.col("cell").alias("name")).distinct().join(cells, "name").join(bags, "key")  # numbers for texts and cells from here on
+    rows = rows.select("is_left", "number", "cell", "least", *BITS, n.alias("n"), sure.alias("sure"), F.slice("tokens", F.lit(1), F.least(n, n - sure + depth).cast("int")).alias("head"))
     rows = rows.withColumn("sign", F.xxhash64("cell")).withColumn("pos", F.lit(-1))
     found = None
     for level in range(1, depth + 1):
@@ -107,10 +107,11 @@ def similar_pairs(left: DataFrame, right: DataFrame, most: int = 1_000_000, dept
         if last:
             break
     found = written(found.distinct(), "met")
-    side = lambda rows, name: rows.select(F.col("id").alias(name), F.col("key").alias(f"{name}_key")).distinct()
-    both = found.join(side(left, "left"), "left").join(side(right, "right"), "right")
-    both = both.withColumn("ratio", ratio_from("left_key", "right_key", "least"))
-    return both.where(F.col("ratio") >= F.col("least") - 1e-12).select("left", "right", "cell", "ratio")
+    text = lambda name: bags.select(F.col("number").alias(name), F.col("key").alias(f"{name}_key"))
+    both = found.join(text("left"), "left").join(text("right"), "right").withColumn("ratio", ratio_from("left_key", "right_key", "least"))
+    both = both.where(F.col("ratio") >= F.col("least") - 1e-12).join(cells.select("cell", "name"), "cell").select("left_key", "right_key", F.col("name").alias("cell"), "ratio")
+    side = lambda rows, name: rows.select(F.col("id").alias(name), F.col("key").alias(f"{name}_key"), "cell").distinct()
+    return both.join(side(left, "left"), ["left_key", "cell"]).join(side(right, "right"), ["right_key", "cell"]).select("left", "right", "cell", "ratio")
 
 
 #: What a text brings to a meeting, besides its letters' number.
@@ -119,8 +120,8 @@ BITS = ["shared", *(f"bits{k}" for k in range(WORDS))]
 
 def _meet(rows: DataFrame, level: int) -> DataFrame:
     """Pairs of equal signs that share the letters they need; lengths, and letters left behind the last shared one, are looked at first."""
-    a = rows.where("is_left").select("sign", "cell", "least", F.col("id").alias("left"), F.col("n").alias("n_l"), F.col("pos").alias("pos_l"), *(F.col(c).alias(f"{c}_l") for c in BITS))
-    b = rows.where("NOT is_left").select(F.col("sign").alias("sign_r"), F.col("cell").alias("cell_r"), F.col("id").alias("right"), F.col("n").alias("n_r"), F.col("pos").alias("pos_r"), *(F.col(c).alias(f"{c}_r") for c in BITS))
+    a = rows.where("is_left").select("sign", "cell", "least", F.col("number").alias("left"), F.col("n").alias("n_l"), F.col("pos").alias("pos_l"), *(F.col(c).alias(f"{c}_l") for c in BITS))
+    b = rows.where("NOT is_left").select(F.col("sign").alias("sign_r"), F.col("cell").alias("cell_r"), F.col("number").alias("right"), F.col("n").alias("n_r"), F.col("pos").alias("pos_r"), *(F.col(c).alias(f"{c}_r") for c in BITS))
     need = _need(F.col("least"), F.col("n_l") + F.col("n_r"))
     rest = F.least(F.col("n_l") - F.col("pos_l"), F.col("n_r") - F.col("pos_r")) - 1
     # tokens that share a bit count once, so those of the side with fewer such may be missing

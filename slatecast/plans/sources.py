@@ -295,13 +295,15 @@ def tsv_typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_match_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of documents, half of them with a letter dropped, matched to the titles of all documents by similarity, years and known ids."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\p{L}+)")), 1, 4), " ").alias("title"))
-    i, key = F.col("doc_id"), audience_key("title")
+    start = F.regexp_extract("text", r"^(?:\P{L}*+\p{L}++){1,4}", 0)  # the first four words, without a look at the rest
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.regexp_extract_all(start, F.lit(r"(\p{L}+)")), " ").alias("title"))
+    d = written(d.select("doc_id", audience_key("title").alias("key")).where("key IS NOT NULL"), "titles")
+    i = F.col("doc_id")
     at = (i % F.length("key") + 1).cast("int")
     typo = F.when(i % 2 == 0, F.concat(F.substring("key", F.lit(1), at - 1), F.substring("key", at + 1, F.length("key")))).otherwise(F.col("key"))
     year = F.when(i % 23 > 0, (1920 + F.crc32("key") % 97 + F.when(i % 5 == 0, 1).otherwise(0)).cast("int"))
-    items = d.withColumn("key", key).where("key IS NOT NULL").select(i.alias("item"), typo.alias("key"), year.alias("year"))
-    records = d.withColumn("key", key).where("key IS NOT NULL").select(i.alias("entity"), "key", F.when(i % 19 > 0, (1920 + F.crc32("key") % 97).cast("int")).alias("year"), (i % 3 > 0).alias("has_id"))
+    items = d.select(i.alias("item"), typo.alias("key"), year.alias("year"))
+    records = d.select(i.alias("entity"), "key", F.when(i % 19 > 0, (1920 + F.crc32("key") % 97).cast("int")).alias("year"), (i % 3 > 0).alias("has_id"))
     return match_scored(items, records).select("item", "entity", F.round("score", 6).alias("score"), "status")
 
 
